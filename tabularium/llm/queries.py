@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, sharding
+from . import langid, lines, media, sharding, warc
 from .shared import new_folder
 
 
@@ -37,8 +37,41 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), new_folder(spark, "slot-map"), n_shards=8)
 
 
+def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_texts(media.store_texts(_documents(spark, sf_dir)))
+
+
+def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    back = warc.read_archives(spark, folder, payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as n, sha1(html) as h from p),
+k as (select *, max(page_id) over (partition by h) as keeper from d)
+select page_id, n as payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') as payload_digest,
+    case when page_id = keeper then 'response' else 'revisit' end as record_type,
+    case when page_id <> keeper then keeper end as refers_to
+from k
+"""
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "n_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
+    "op6_warc_zstd": op6_warc_zstd,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
+    "op10_gif_media": op10_gif_media,
 }
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op6_warc_zstd": OP6_SQL, "op7_line_dedup": OP7_SQL}
