@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, media, sharding, warc
+from . import langid, lines, media, minhash, sharding, warc
 from .shared import new_folder
 
 
@@ -37,6 +37,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), new_folder(spark, "slot-map"), n_shards=8)
 
 
+def op1_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_texts(media.store_texts(_documents(spark, sf_dir)))
 
@@ -68,6 +72,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_dartminhash": op1_dartminhash,
     "op5_language_id": op5_language_id,
     "op6_warc_zstd": op6_warc_zstd,
     "op7_line_dedup": op7_line_dedup,

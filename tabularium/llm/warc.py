@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 DICT_MAGIC, PAD_MAGIC = 0x184D2A5D, 0x184D2A50
 #: Bytes of records that a dictionary is trained on, and its own size; this bounds a writer's memory and time.
 SAMPLE_BYTES, DICT_BYTES, PIECE_BYTES, LEVEL = 1 << 20, 1 << 15, 4 << 20, 5
@@ -164,7 +166,8 @@ def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
     digest = F.sha1("html").alias("digest")
     keys = own.where(F.octet_length("html") >= min_bytes).select("page_id", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("name"), digest)
-    groups = keys.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null")
+    # staged, so that Spark can split the rows of a payload that many pages share
+    groups = staged(keys.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null"), "payloads")
     revisits = (
         keys.join(groups, "digest").where("page_id is null or page_id < keeper")
         .groupBy("name", "digest").agg(F.first("keeper").alias("refers_to"))
