@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, media, minhash, sharding, warc
+from . import langid, lines, media, minhash, sharding, suffix, warc
 from .shared import new_folder
 
 
@@ -41,6 +41,10 @@ def op1_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_documents(spark, sf_dir))
+
+
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_texts(media.store_texts(_documents(spark, sf_dir)))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_zstd": op6_warc_zstd,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_gif_media": op10_gif_media,
 }
 ORACLES: dict[str, str] = {"op6_warc_zstd": OP6_SQL, "op7_line_dedup": OP7_SQL}
