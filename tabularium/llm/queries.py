@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, media, minhash, sharding, suffix, warc
+from . import decontam, langid, lines, media, minhash, mixing, sharding, suffix, warc
 from .shared import new_folder
 
 
@@ -45,6 +45,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_documents(spark, sf_dir))
 
 
+def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), mixing.TARGETS)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_texts(media.store_texts(_documents(spark, sf_dir)))
 
@@ -77,6 +85,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dartminhash": op1_dartminhash,
+    "op2_soft_mixing": op2_soft_mixing,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_warc_zstd": op6_warc_zstd,
     "op7_line_dedup": op7_line_dedup,
