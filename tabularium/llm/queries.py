@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, media, minhash, mixing, sharding, suffix, warc
+from . import decontam, langid, lines, media, minhash, mixing, sharding, suffix, tokens, warc
 from .shared import new_folder
 
 
@@ -49,6 +49,11 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rates(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), mixing.TARGETS)
 
 
+def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", tokens.redactions(F.col("text")).alias("edits"))
+    return tokens.recount(tokens.build(docs))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -86,6 +91,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dartminhash": op1_dartminhash,
     "op2_soft_mixing": op2_soft_mixing,
+    "op3_edit_token_counts": op3_edit_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_warc_zstd": op6_warc_zstd,
