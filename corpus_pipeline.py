@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates towards the targets: no toxic tokens, all tokens of the other domains; rates of a half and more stay."""
+    """Rates towards the domain totals that are left without the documents that are toxic more likely than not; rates of a half and more stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = mixing.mix_rates(docs, labels, None)
     keep = out.where(F.col("rate") >= LEAST_RATE).select("doc_id").distinct()
