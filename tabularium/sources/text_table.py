@@ -42,7 +42,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Spark's text source has no line numbers; offsets come from the position of each line in its file split,
     so this reads a file as one split: raw tables are files that people edit. Large tables belong in Parquet.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "value")).select((F.col("at") + 1).alias("row_no"), "value")
 
 
