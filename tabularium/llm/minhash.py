@@ -7,8 +7,9 @@ throws again with twice the limit, which changes no coordinate that was hit. Equ
 have the probability of their weighted Jaccard similarity. Bands of coordinates are joined on.
 
 Candidates are verified exactly on the sets of five-word shingles. No pairs are made within a bucket: each
-member is compared with its bucket's first member; then, in buckets that still hold several classes, with
-the first member of each other class there. Links become classes by label spreading over staged tables.
+member is compared with the bucket's most central member. For members of buckets that then still hold several
+classes, an exact prefix filter with positions finds the pairs of unlike classes that may yet be similar.
+Links become classes by label spreading over staged tables.
 Equal texts are one representative throughout, so copies cost one row each.
 
 Edge cases: null text is the empty text; equal texts, also empty ones, share a class; texts without words
@@ -181,6 +182,35 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def across(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of unlike labels that may reach the similarity: a prefix filter with positions, which loses none.
+
+    ``sets``: id, shingles, label. With shingles in one order, rarest first, two sets of that similarity share one
+    among the first ``n - ceil(similarity * n) + 1`` of either, and what follows it must be enough for the overlap.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i, shingles_, label in zip(batch.column(0), batch.column(1), batch.column(2)):
+                values = np.frombuffer(shingles_.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i.as_py())), pa.array(np.full(len(values), label.as_py())), pa.array(values)], ["id", "label", "shingle"])
+
+    each = sets.select("id", "shingles", "label").mapInArrow(run, "id long, label long, shingle long")
+    common = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
+    # shingles of one set alone come first in it and need no place: their number is the difference in size
+    known = each.join(common, "shingle").groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
+    sizes = sets.select("id", (F.octet_length("shingles") / 8).cast("int").alias("n"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1 - F.col("alone")).cast("int")
+    known = known.join(sizes, "id").withColumn("alone", F.col("n") - F.size("common")).where(prefix > 0)
+    first = known.select("id", "label", "n", "alone", F.posexplode(F.slice("common", F.lit(1), prefix)).alias("place", "c"))
+    first = staged(first.select("id", "label", "n", (F.col("place") + F.col("alone")).alias("place"), F.col("c.shingle").alias("shingle")), "prefixes")
+    x = first.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "place")))
+    y = first.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "place")))
+    need = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)
+    fits = (F.col("label_a") < F.col("label_b")) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
+    return x.join(y, "shingle").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def classes(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Spread the least label over links (a, b) until nothing changes. labels: id, label.
 
@@ -214,8 +244,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
         .dropDuplicates(["id"]).select("id", "n", F.explode("keys").alias("key"))
     )
     entries = staged(entries, "entries")
-    leads = staged(entries.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), "leads")
-    shared = staged(entries.join(leads, "key"), "buckets")
+    counts = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "counts")
+    shared = staged(entries.join(counts, "key"), "buckets")
+    # a bucket is led by its member that meets most others in all its buckets: of edited copies, the original
+    rank = staged(shared.groupBy("id").agg(F.sum("held").alias("met")), "rank")
+    leads = shared.join(rank, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("back"))).alias("top"))
+    shared = staged(shared.join(staged(leads.select("key", (-F.col("top.back")).alias("lead")), "leads"), "key").drop("held"), "buckets")
     wanted = shared.select("id").distinct().join(chosen, "id")
     sets = staged(shingle_sets(docs, wanted, size), "sets")
     sizes = shared.select(F.col("id").alias("lead"), F.col("n").alias("lead_n")).distinct()
@@ -227,16 +261,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     ids = chosen.select("id", F.col("id").alias("label")).union(shared.select("id", F.col("id").alias("label"))).distinct()
     labels = classes(first.union(again), ids)
     # what is left: members of one bucket in unlike classes
-    placed = shared.join(labels, "id")
+    placed = shared.select("key", "id").join(labels, "id")
     mixed = staged(placed.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key"), "mixed")
-    placed = staged(placed.join(mixed, "key"), "mixed")
-    heads = staged(placed.groupBy("key", "label").agg(F.min("id").alias("head")), "heads")
-    rest = (
-        placed.join(heads.withColumnRenamed("label", "other"), "key").where("label <> other and head <> lead and id <> head")
-        .select(F.col("head").alias("a"), F.col("id").alias("b"), "n").distinct()
-        .join(sizes.select(F.col("lead").alias("a"), "lead_n"), "a").where(alike)
-    )
-    second = staged(verified(rest.select("a", "b"), sets, similarity), "links")
+    open_ = staged(placed.join(mixed, "key").select("id", "label").distinct(), "open")
+    second = staged(verified(across(sets.join(open_, "id"), similarity), sets, similarity), "links")
     if not second.isEmpty():
         labels = classes(second, labels)
     return members.join(labels, "id").select("doc_id", F.col("label").alias("class_id"), F.col("id").alias("copy_of"), F.col("n").alias("n_shingles"))
