@@ -11,7 +11,7 @@ the gradient of the least squares in the metric of G with each document's step s
 step of 1 is safe. A step needs one aggregate of as many numbers as domains; rates stay columns.
 
 Edge cases: null and wordless texts have no tokens and rate 1 throughout; null labels and labels of missing documents
-teach nothing; with one class labelled, or none, its classifier gives the share of that class; repeated
+teach nothing; with one class labelled its classifier gives that class, without labels all is high and nothing toxic; repeated
 documents have equal rates; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -74,7 +74,7 @@ class Classifier:
         return 1.0 / (1.0 + np.exp(-np.clip(x @ self.weight[:-1] + self.weight[-1], -30, 30)))
 
 
-def train(bucket, offsets, marks, label) -> Classifier:
+def train(bucket, offsets, marks, label, unknown: float = 0.5) -> Classifier:
     """Logistic regression on the summary of word ratios and on marks.
 
     A word's ratio counts by how many standard errors its shares in the two classes are apart: not at all
@@ -92,7 +92,7 @@ def train(bucket, offsets, marks, label) -> Classifier:
     made.centre, made.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     x = np.column_stack([(x - made.centre) / made.scale, np.ones(len(label))])
     made.weight = np.zeros(x.shape[1])
-    base = float(np.clip(label.mean() if len(label) else 0.5, 1e-3, 1 - 1e-3))
+    base = float(np.clip(label.mean() if len(label) else unknown, 1e-3, 1 - 1e-3))
     made.weight[-1] = np.log(base / (1 - base))
     if len(set(label.tolist())) < 2:
         return made
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[C
     bucket = np.concatenate([np.empty(0, np.int64), *word])
     offsets = np.concatenate([[0], np.cumsum([len(w) for w in word], dtype=np.int64)]).astype(np.int64)
     marks = np.array([np.frombuffer(m, np.float32) for m in held["marks"].to_pylist()]).reshape(len(word), len(_MARKS))
-    return tuple(train(bucket, offsets, marks, held[c].to_numpy()) for c in ("quality", "toxic"))
+    return tuple(train(bucket, offsets, marks, held[c].to_numpy(), unknown) for c, unknown in (("quality", 1.0), ("toxic", 0.0)))
 
 
 def posteriors(docs: DataFrame, quality: Classifier, toxic: Classifier, least: float = 0.02) -> DataFrame:
