@@ -64,24 +64,32 @@ class Model:
     table: np.ndarray
     allowed: np.ndarray
 
+    def __post_init__(self):
+        object.__setattr__(self, "columns", [np.ascontiguousarray(c) for c in self.table.T])
+        object.__setattr__(self, "out_of_script", np.where(~self.allowed & self.allowed.any(1)[:, None], 50.0, 0.0))
+
 
 def _letters(texts: list[str | None]) -> dict[str, np.ndarray]:
     """Trigram bucket of each letter, start and end of each word and of each text's words, script of each word."""
     lower, script = _code_tables()
     joined = "\n".join(["", *(t or "" for t in texts), ""])
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.minimum(raw, _TOP - 1)
-    low = lower[code]
-    low = np.where((raw >= _TOP) & (raw < 0x323B0), raw, low)  # later ideographs are letters
+    if raw.max() < _TOP:
+        low = lower[raw]
+    else:
+        low = lower[np.minimum(raw, _TOP - 1)]
+        low = np.where((raw >= _TOP) & (raw < 0x323B0), raw, low)  # later ideographs are letters
     has = low > 0
     edges = np.flatnonzero(has[1:] != has[:-1]) + 1
     start, end = edges[0::2], edges[1::2]
-    spot = np.flatnonzero(has)
-    gram = low[spot - 1] * np.uint32(0x9E3779B1) ^ low[spot] * np.uint32(0x85EBCA77) ^ low[spot + 1] * np.uint32(0xC2B2AE3D)
-    gram = (gram ^ gram >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    gram = low * np.uint32(0x9E3779B1)
+    gram[1:-1] = gram[:-2] ^ low[1:-1] * np.uint32(0x85EBCA77) ^ low[2:] * np.uint32(0xC2B2AE3D)
+    gram = gram[has]
+    gram ^= gram >> np.uint32(15)
+    gram *= np.uint32(0x2C1B3C6D)
     lengths = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
     begins = np.concatenate([[0], np.cumsum(lengths)]) + 1
-    return {"gram": (gram >> np.uint32(18)).astype(np.int64), "start": start, "end": end, "first": np.searchsorted(spot, start), "script": script[code[start]], "text": np.searchsorted(start, begins), "begin": begins}
+    return {"gram": gram >> np.uint32(18), "start": start, "end": end, "first": np.cumsum(end - start) - (end - start), "script": script[np.minimum(raw[start], _TOP - 1)], "text": np.searchsorted(start, begins), "begin": begins}
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -118,19 +126,18 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 def _viterbi(score: np.ndarray, penalty: float) -> np.ndarray:
     """Best path over score [words, langs] where every change costs ``penalty``."""
-    n, k = score.shape
-    came, best = np.empty((n, k), np.int64), score[0].copy()
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(best.argmax())
-        change = best[top] - penalty > best
-        came[t] = np.where(change, top, stay)
-        best = np.where(change, best[top] - penalty, best) + score[t]
-    path = np.empty(n, np.int64)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
-    return path
+    best, came = score[0].tolist(), []
+    for row in score[1:].tolist():
+        most = max(best)
+        top, least = best.index(most), most - penalty
+        came.append([top if b < least else j for j, b in enumerate(best)])
+        best = [(least if b < least else b) + x for b, x in zip(best, row)]
+    at = best.index(max(best))
+    path = [at]
+    for step in reversed(came):
+        at = step[at]
+        path.append(at)
+    return np.array(path[::-1], np.int64)
 
 
 def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -139,22 +146,27 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> tu
     at, k, n = got["text"], len(model.langs), len(got["start"])
     if not n or not k:
         return got, np.full(n, -1), np.zeros(n)
-    score = np.add.reduceat(model.table[got["gram"]], got["first"], axis=0).astype(np.float64)
-    allowed = model.allowed[got["script"]]
-    score[~allowed & allowed.any(1)[:, None]] -= 50.0
+    score = np.stack([np.add.reduceat(model.columns[j][got["gram"]], got["first"]) for j in range(k)], 1).astype(np.float64)
+    score -= model.out_of_script[got["script"]]
     full = np.flatnonzero(np.diff(at) > 0)
     owner = np.repeat(np.arange(len(full)), np.diff(at)[full])
     total = np.add.reduceat(score, at[full], axis=0)
     lead = total.argmax(1)
     path = lead[owner]
-    # A detour to another language gains at most the best run of (its score - the leader's).
+    # Leaving the leader for a stretch pays only if some language gains more than the penalty in a run of words;
+    # never using it, only if the best gains of a beginning and of an end do so together.
     gain = score - score[np.arange(n), path][:, None]
     far = 4.0 * (np.abs(gain).sum() + 1.0)
-    doubtful = np.zeros(len(full), bool)
+    doubtful, begin, finish = np.zeros(len(full), bool), np.full(len(full), -np.inf), np.full(len(full), -np.inf)
     for j in range(k):
         run = np.cumsum(gain[:, j])
-        floor = np.minimum.accumulate(np.concatenate([[0.0], run])[:-1] - owner * far)
-        doubtful |= np.maximum.reduceat(run - owner * far - floor, at[full]) > penalty / 2
+        before = np.concatenate([[0.0], run[:-1]])
+        floor = np.minimum.accumulate(before - owner * far)
+        doubtful |= (np.maximum.reduceat(run - owner * far - floor, at[full]) > penalty) & (lead != j)
+        other = lead != j
+        begin[other] = np.maximum(begin, np.maximum.reduceat(run, at[full]) - before[at[full]])[other]
+        finish[other] = np.maximum(finish, run[at[full + 1] - 1] - np.minimum.reduceat(before, at[full]))[other]
+    doubtful |= begin + finish > penalty
     for d in np.flatnonzero(doubtful):
         a, b = at[full[d]], at[full[d] + 1]
         path[a:b] = _viterbi(score[a:b], penalty)
@@ -162,6 +174,19 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> tu
     return got, path, 1.0 / np.exp(np.minimum(score - chosen[:, None], 700)).sum(1)
 
 
+def judge(texts: list[str | None], model: Model, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language of most letters or -1, its part of the words' shares, words, spans) of each text."""
+    got, path, share = label(texts, model, penalty)
+    n, k = np.diff(got["text"]), max(1, len(model.langs))
+    owner = np.repeat(np.arange(len(n)), n)
+    if not model.langs:
+        return np.full(len(n), -1), np.zeros(len(n)), n, np.zeros(len(n), int)
+    top = np.bincount(owner * k + path, got["end"] - got["start"], len(n) * k).reshape(-1, k).argmax(1)
+    sure = np.bincount(owner, np.where(path == top[owner], share, 0.0), len(n)) / np.maximum(n, 1)
+    turns = np.bincount(owner[1:][(path[1:] != path[:-1]) & (owner[1:] == owner[:-1])], minlength=len(n))
+    return np.where(n > 0, top, -1), np.clip(sure, 0.0, 1.0), n, np.where(n > 0, turns + 1, 0)
+
+
 PREDICT_SCHEMA = "lang_pred string, score double, n_words long, n_spans int"
 
 
@@ -173,21 +198,11 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     """
 
     def run(batches):
+        names = [*model.langs, "und"]
         for batch in batches:
-            for block in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), 1):
-                got, path, share = label([t for _, t in block], model, penalty)
-                at, rows = got["text"], []
-                size = (got["end"] - got["start"]).astype(float)
-                for i, (doc_id, _) in enumerate(block):
-                    a, b = at[i], at[i + 1]
-                    if a == b or not model.langs:
-                        rows.append((doc_id, "und", 0.0, int(b - a), 0))
-                        continue
-                    top = int(np.bincount(path[a:b], size[a:b], len(model.langs)).argmax())
-                    sure = float((share[a:b] * (path[a:b] == top)).sum() / (b - a))
-                    rows.append((doc_id, model.langs[top], min(1.0, max(0.0, sure)), int(b - a), 1 + int((path[a + 1 : b] != path[a : b - 1]).sum())))
-                kinds = [batch.schema[0].type, pa.string(), pa.float64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "lang_pred", "score", "n_words", "n_spans"])
+            for block in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), 1, 1 << 18):
+                top, sure, n, turns = judge([t for _, t in block], model, penalty)
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in block], batch.schema[0].type), pa.array([names[j] for j in top.tolist()], pa.string()), pa.array(sure), pa.array(n, pa.int64()), pa.array(turns, pa.int32())], ["doc_id", "lang_pred", "score", "n_words", "n_spans"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PREDICT_SCHEMA}")
 
