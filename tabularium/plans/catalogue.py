@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions.ordering import with_rank
-from ..operators import curves, diagnostics, metrics, models, profile, provenance, scaling, scoring, split, symbolic
+from ..operators import curves, diagnostics, metrics, models, profile, provenance, scaling, scoring, search, split, symbolic
 from ..sources import text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -564,6 +564,13 @@ def symbolic_fit(spark, sf_dir):
     return rounded(symbolic.fit_edges(samples, ["edge"], 1), 4)
 
 
+def _best_fits(spark, sf_dir):
+    line = _t(spark, sf_dir, "lineitem")
+    samples = line.groupBy(F.col("l_returnflag").alias("edge"), ((F.col("l_quantity") - F.lit(25.0)) / F.lit(15.0)).alias("x")).agg((F.avg("l_extendedprice") / F.lit(10000.0)).alias("y"))
+    settings = symbolic.grid(spark).where(F.col("name").isin("sin", "tanh", "x^2"))
+    return symbolic.fit_round(samples, settings, ["edge"]).groupBy("edge", "name").agg(F.max("r2").alias("r2"))
+
+
 _FIT = "p as (select l_returnflag as edge, (l_quantity - 25) / 15.0::double as x, avg(l_extendedprice) / 10000.0::double as y from lineitem group by 1, 2)"
 
 
@@ -572,10 +579,7 @@ v as (select edge, n, b, c, y, case n when 'sin' then sin(b * x + c) when 'tanh'
 select edge, n as name, round(max(coalesce(r2, 0)), 6) as r2 from (select edge, n, b, c, case when var_pop(f) > 1e-12 and var_pop(y) > 1e-12 then covar_pop(f, y) ** 2 / (var_pop(f) * var_pop(y)) end as r2 from v group by all) group by edge, n""")
 def symbolic_round(spark, sf_dir):
     """The best R2 of three primitives over the whole grid of settings, for each return flag."""
-    line = _t(spark, sf_dir, "lineitem")
-    samples = line.groupBy(F.col("l_returnflag").alias("edge"), ((F.col("l_quantity") - F.lit(25.0)) / F.lit(15.0)).alias("x")).agg((F.avg("l_extendedprice") / F.lit(10000.0)).alias("y"))
-    settings = symbolic.grid(spark).where(F.col("name").isin("sin", "tanh", "x^2"))
-    return rounded(symbolic.fit_round(samples, settings, ["edge"]).groupBy("edge", "name").agg(F.max("r2").alias("r2")), 6)
+    return rounded(_best_fits(spark, sf_dir), 6)
 
 
 @query("select p_partkey, round(2 * sin(1.5 * p_size / 10.0::double - 0.5) + 0.3 + 1.7 * ln(greatest(p_retailprice / 1000.0::double + 3, 1e-4)) - 0.4 + 0.1, 7) as pred from part")
@@ -628,3 +632,67 @@ def export_summary(spark, sf_dir):
 @query()
 def dataset_fingerprint(spark, sf_dir):
     return provenance.fingerprint(_orders(spark, sf_dir), "row_id", ["x0", "x1", "y"])
+
+
+# ---- searches, reports
+
+
+@query(f"""with {_KFOLD}, f as (select fold, count(*) as n from k where part = 'pool' group by fold),
+g as (select a * 2 + b as candidate from (select unnest(range(2)) as a), (select unnest(range(2)) as b))
+select candidate, seed, fold, (sum(n) over (partition by candidate, seed) - n)::bigint as train_rows, n as val_rows from g, (values (0), (1)) s(seed), f""")
+def search_runs(spark, sf_dir):
+    """Every run of the balanced grid on five folds, with the rows that it trains on and scores."""
+    axes = {k: search.BUDGETS["balanced"][k] for k in ("grid", "strength")}
+    folds = split.kfold(_orders(spark, sf_dir), "row_id").where("part = 'pool'").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return search.runs(search.candidates(spark, axes), folds, [0, 1]).select("candidate", "seed", "fold", "train_rows", "val_rows")
+
+
+@query(f"""with {_PREDS}, a as (select 1 - sum((pred - target) ** 2) / (var_pop(target) * count(*)) as r2, (select avg(nrmse) from m) as nrmse from p),
+w as (select min(r2) as worst, avg(r2) as mean, arg_min(output, (r2, output)) as worst_output from m)
+select worst_output, unnest(['worst_output_r2', 'aggregate_r2', 'mean_output_r2', 'nrmse']) as objective, round(unnest([worst, r2, mean, -nrmse]), 6) as score from w, a""")
+def objective_scores(spark, sf_dir):
+    rows, scales = _predictions(spark, sf_dir)
+    each = metrics.per_output(rows, scales)
+    return rounded(search.objectives(each, metrics.overall(rows, each)), 6)
+
+
+@query(f"""with {_FIT}, g as (select n, -3 + 6 * i / 12.0::double as b, -4 + 8 * j / 12.0::double as c from (values ('sin'), ('tanh'), ('x^2')) t(n), (select unnest(range(13)) as i), (select unnest(range(13)) as j)),
+v as (select edge, n, b, c, y, case n when 'sin' then sin(b * x + c) when 'tanh' then tanh(b * x + c) else (b * x + c) * (b * x + c) end as f from p, g),
+r as (select edge, n, max(coalesce(r2, 0)) as r2 from (select edge, n, b, c, case when var_pop(f) > 1e-12 and var_pop(y) > 1e-12 then covar_pop(f, y) ** 2 / (var_pop(f) * var_pop(y)) end as r2 from v group by all) group by edge, n)
+select n as name, round(min(r2), 4) as worst, round(avg(r2), 4) as mean, count(*) filter (r2 < 0.99) as weak from r group by n""")
+def weak_edges(spark, sf_dir):
+    """How well each primitive does over all edges, and how many edges it leaves below 0.99."""
+    fits = _best_fits(spark, sf_dir)
+    return rounded(fits.groupBy("name").agg(F.min("r2").alias("worst"), F.avg("r2").alias("mean"), F.count_if(F.col("r2") < 0.99).alias("weak")), 4)
+
+
+@query(f"""with {_RES}, {_RANGES[len(_ORDERS) + 2:]} """ + " union all ".join(
+    [f"select 'sign_changes' as kind, '{x}' as feature, round(count(*) filter (e * p < 0) / (count(*) - 1)::double, 6) as value from (select e, lag(e) over (order by {x}, row_id) as p from e)" for x in ("x0", "x1")]
+    + [f"select 'outside', '{x}', count(*) filter ({x} < l{x[1]} or {x} > h{x[1]})::double from o, s" for x in ("x0", "x1")]))
+def diagnostic_report(spark, sf_dir):
+    """Residual structure and range violations of each feature, as one table."""
+    o, rows = _orders(spark, sf_dir), _residuals(spark, sf_dir)
+    out = None
+    for x in ("x0", "x1"):
+        part = diagnostics.sign_changes(rows, x, "row_id", "e").select(F.lit("sign_changes").alias("kind"), "feature", F.col("sign_change_rate").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    report = scaling.range_report(o, ["x0", "x1"], _urgent(o))
+    outside = report.select(F.inline(F.array(*[F.struct(F.lit("outside").alias("kind"), F.lit(x).alias("feature"), F.col(f"outside_{x}").cast("double").alias("value")) for x in ("x0", "x1")])))
+    return rounded(out.unionByName(outside), 6)
+
+
+@query("""with t as (select text, unnest(range(length(text) - 1)) as i from documents where length(text) > 1)
+select substr(text, i + 1, 1) as context, substr(text, i + 2, 1) as following, count(*) as n from t group by 1, 2""")
+def char_transitions(spark, sf_dir):
+    """Character windows of one context and one target, counted over all texts."""
+    chars = _t(spark, sf_dir, "documents").select(F.filter(F.split("text", ""), lambda c: c != "").alias("c")).where(F.size("c") > 1)
+    pairs = F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("context"), F.slice("c", F.lit(2), F.size("c") - 1).alias("following"))
+    return chars.select(F.inline(pairs)).toDF("context", "following").groupBy("context", "following").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_INTER} select turn, p_partkey, p_retailprice from i join part on row_id = p_partkey")
+def gather_rows(spark, sf_dir):
+    """Rows picked by place, with their turn."""
+    part = _t(spark, sf_dir, "part")
+    picked = diagnostics.interleaved(part, "p_partkey", 300)
+    return part.join(F.broadcast(picked), part["p_partkey"] == picked["row_id"]).select("turn", "p_partkey", "p_retailprice")

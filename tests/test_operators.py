@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabularium.functions import numeric
-from tabularium.operators import curves, diagnostics, metrics, models, profile, provenance, scaling, scoring, split, symbolic
-from tabularium.sources import text_table, workbook
+from tabularium.operators import curves, diagnostics, metrics, models, profile, provenance, scaling, scoring, search, split, symbolic
+from tabularium.sources import generators, text_table, workbook
 from tabularium.streaming import scorer
 
 
@@ -314,3 +314,22 @@ def test_stream_scores_as_batch(spark, sf_dir, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.sql("select sum(n) from errors").first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+# ---- searches
+
+
+def test_grid_and_cost(spark):
+    rows = search.candidates(spark, {"a": [1, 2], "b": [3, 4, 5]}).orderBy("candidate").collect()
+    assert [tuple(r) for r in rows] == [(3 * i + j, float(a), float(b)) for i, a in enumerate([1, 2]) for j, b in enumerate([3, 4, 5])]
+    with pytest.raises(ValueError):
+        search.candidates(spark, {"a": []})
+    one = search.Cost(6, 2, 5, 1, 40)
+    assert (one.runs, one.epochs) == (60, 2400) and search.Cost(6, 2, 5, 3, 40).epochs == 7200
+    assert search.Cost(1 << 40, 1 << 40, 2, 2, 9).epochs == (1 << 63) - 1
+
+
+def test_generated_tables_repeat(spark):
+    a, b = (generators.generate(spark, "projectile", 50, 3).repartition(n).orderBy("row_id").collect() for n in (1, 7))
+    assert a == b and all(1 <= r.x0 <= 10 and abs(r.y - r.x0**2 * np.sin(2 * r.x1) / 9.81) < 1e-9 for r in a)
+    assert generators.generate(spark, "sum", 5, 1).collect() != generators.generate(spark, "sum", 5, 2).collect()
