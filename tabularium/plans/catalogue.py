@@ -372,7 +372,7 @@ def tail_ratio(spark, sf_dir):
     return rounded(diagnostics.tail_ratio(rows, "x0", "row_id", "e").unionByName(diagnostics.tail_ratio(rows, "x1", "row_id", "e")), 6)
 
 
-_INTER = "i as (select row_id, (k * 300 // n)::bigint as turn from (select p_partkey as row_id, row_number() over (order by p_partkey) - 1 as k, count(*) over () as n from part) where n > 300 and k = ceil((k * 300 // n) * n / 300.0::double) or n <= 300)"
+_INTER = "i as (select row_id, (case when n <= 300 then k else k * 300 // n end)::bigint as turn from (select p_partkey as row_id, row_number() over (order by p_partkey) - 1 as k, count(*) over () as n from part) where n > 300 and k = ceil((k * 300 // n) * n / 300.0::double) or n <= 300)"
 
 
 @query(f"with {_INTER} select row_id, turn from i")
