@@ -1,7 +1,7 @@
 """Benchmark passages in documents: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distance.
 
 The alphabet is words (lower case, no punctuation). An item of n words matches a stretch of a document
-within ``limit(n)`` word edits: a fifth of n, and few enough that any such stretch has ``SEED`` words of the
+within ``limit(n)`` word edits: a quarter of n, and few enough that any such stretch has ``SEED`` words of the
 item in a row. Those runs place windows of n words on the document; nothing else can match, so placing loses nothing.
 Window and item then take the same random walks (CGK: at each of 3n steps the current word is put out and a
 random bit of step and word decides whether to move on), which maps edits to differing coordinates; a
@@ -12,7 +12,7 @@ verified by the exact edit distance of the item to the best stretch around the w
 The benchmark is the stated query set: it goes through in blocks of bounded rows and bytes, every block against all
 documents, without a shuffle of documents.
 
-Edge cases: null and wordless texts match nothing, as items or as documents; items of under 8 words match
+Edge cases: null and wordless texts match nothing, as items or as documents; items of under 6 words match
 without edits only; equal items all match; an empty benchmark matches nothing; extra columns are ignored by
 ``matches`` and kept by ``clean``; repeated documents are repeated in the result.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .textkit import U64, blocks, mix, words
 
-SEED, SHARE, BITS, RECALL = 4, 0.2, 2, 0.99
+SEED, SHARE, BITS, RECALL = 3, 0.25, 2, 0.99
 BLOCK_ITEMS, BLOCK_BYTES = 4000, 4 << 20
 _ANY = U64(1)
 
