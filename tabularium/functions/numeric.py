@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: A number as a cell may write it; anything else is text, also what a lenient cast would take.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+#: The primitives in order of preference.
 PRIMITIVES = ("x", "x^2", "x^3", "sqrt", "exp", "log", "1/x", "sin", "tanh")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Spread of flat targets; share of sigma under which a target is near nought.
 FLAT, TINY = 1e-12, 1e-3
 
 

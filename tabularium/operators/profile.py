@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import is_missing, is_number
 
+#: Levels that a category has at most; thresholds of affine dependencies.
 MOST_LEVELS = 256
 EXACT, NEAR, LEAST_ROWS, LEAST_FREEDOM = 0.999999, 0.999, 10, 5
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import ranked
 
+#: Fixed value: the odd step between the seeds of repeats.
 SEED_STEP = 0x9E3779B97F4A7C15
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import PRIMITIVES, affine_edge, primitive
 
+#: Ranges of the inner scale and shift, settings of each, rounds of refinement.
 B_RANGE, C_RANGE, STEPS, ZOOMS = (-3.0, 3.0), (-4.0, 4.0), 13, 3
 
 

@@ -101,6 +101,10 @@ def to_dataset(table: Table, numeric: dict[str, int], categorical: dict[str, tup
 # ---- inference from names and values
 
 
+#: Words in the names of categorical inputs.
+CATEGORY_WORDS = ("material", "category", "class")
+
+
 def output_start(header: list[str]) -> int | None:
     """Place of the first output: y, y<digits> or out*, after the first column; all later columns are outputs too."""
     for i, name in enumerate(header):
@@ -112,7 +116,7 @@ def output_start(header: list[str]) -> int | None:
 
 def categorical_by_name(name: str) -> bool:
     low = name.strip().lower()
-    return low == "id" or low.endswith("_id") or any(w in low for w in ("material", "category", "class"))
+    return low == "id" or low.endswith("_id") or any(w in low for w in CATEGORY_WORDS)
 
 
 def category_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -127,6 +131,7 @@ def category_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 # ---- typed text files
 
+#: The first word of a typed file.
 MAGIC = ("TRNUM1", "TRNUM2")
 
 
