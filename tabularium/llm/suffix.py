@@ -253,8 +253,21 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, key long")
 
 
+def _whole_runs(name: np.ndarray, most: int):
+    """(start, end) of pieces of sorted names, of about ``most`` rows and never within a run of equal names."""
+    at = 0
+    while at < len(name):
+        end = at + most
+        end = len(name) if end >= len(name) else int(np.searchsorted(name, name[end - 1], "right"))
+        yield at, end
+        at = end
+
+
 def _surroundings(texts: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
-    """key, doc_id, pos, left, right, around of the anchors in column ``keys`` of ``texts`` (doc_id, text, keys)."""
+    """key, doc_id, left, right, places, around of the anchors in column ``keys`` of ``texts`` (doc_id, text, keys).
+
+    A document's anchors with the same surroundings, as periodic text has them, are one row with all their places.
+    """
     before = span - gram
     wide = 2 * span - gram
 
@@ -272,15 +285,25 @@ def _surroundings(texts: DataFrame, buckets: int, span: int, gram: int) -> DataF
                 left, right = np.minimum(spots - begin, before), np.minimum(ends[which] - spots, span)
                 ids = np.array([b[0] for b in block], np.int64)[which]
                 padded = np.concatenate([np.zeros(before, np.uint8), data, np.zeros(span, np.uint8)])
-                for a in range(0, len(spots), 8192):
-                    part = slice(a, a + 8192)
+                prefix = prefix_hash(data)
+                name = mix(slice_hash(prefix, spots - left, spots + right) + mix((which * 4 * span * span + left * 2 * span + right).astype(U64)))
+                by = np.argsort(name, kind="stable")
+                spots, which, begin, left, right, ids, key, name = (x[by] for x in (spots, which, begin, left, right, ids, key, name))
+                for a, b in _whole_runs(name, 1 << 15):
+                    part = slice(a, b)
                     around = padded[spots[part, None] + np.arange(wide)]
                     column = np.arange(wide)
                     around[(column < before - left[part, None]) | (column >= before + right[part, None])] = 0
-                    flat = pa.Array.from_buffers(pa.binary(wide), len(around), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[part]), pa.array((spots - begin)[part], pa.int64()), pa.array(left[part], pa.int16()), pa.array(right[part], pa.int16()), flat], ["key", "doc_id", "pos", "left", "right", "around"])
+                    new = np.ones(len(around), bool)  # also where a hash is shared by unlike bytes
+                    new[1:] = (name[part][1:] != name[part][:-1]) | (which[part][1:] != which[part][:-1]) | (around[1:] != around[:-1]).any(1)
+                    first = np.flatnonzero(new)
+                    places = np.split((spots - begin)[part], first[1:])
+                    by = np.argsort(spots[part][first])  # neighbours overlap, which compresses well
+                    first, places = first[by], [places[i] for i in by]
+                    flat = pa.Array.from_buffers(pa.binary(wide), len(first), [None, pa.py_buffer(around[first].tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part][first]), pa.array(ids[part][first]), pa.array(left[part][first], pa.int16()), pa.array(right[part][first], pa.int16()), pa.array([x.astype(np.int64).tobytes() for x in places], pa.binary()), flat], ["key", "doc_id", "left", "right", "places", "around"])
 
-    return texts.select("doc_id", "text", "keys").mapInArrow(run, "key long, doc_id long, pos long, left short, right short, around binary")
+    return texts.select("doc_id", "text", "keys").mapInArrow(run, "key long, doc_id long, left short, right short, places binary, around binary")
 
 
 def _repeats(rows: DataFrame, span: int, gram: int, most: int = 1 << 16) -> DataFrame:
@@ -288,34 +311,34 @@ def _repeats(rows: DataFrame, span: int, gram: int, most: int = 1 << 16) -> Data
     wide = 2 * span - gram
 
     def settle(held):
-        key, doc, pos, left, right = (np.concatenate([h[i] for h in held]) for i in range(5))
+        key, doc, left, right, places = (np.concatenate([h[i] for h in held]) for i in range(5))
         around = np.concatenate([h[5] for h in held])
         most, fewest = _earlier(key, doc, left, right, around, span, gram)
         got = np.flatnonzero(most >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(doc[got]), pa.array(pos[got] - most[got]), pa.array(pos[got] + span - fewest[got])], ["doc_id", "start", "end"])
+        each = [np.frombuffer(places[i], np.int64) for i in got]
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        pos = np.concatenate([np.empty(0, np.int64), *each])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(doc[got], n)), pa.array(pos - np.repeat(most[got], n)), pa.array(pos + span - np.repeat(fewest[got], n))], ["doc_id", "start", "end"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
-            if not len(cols[0]):
+            if not len(batch):
                 continue
-            around = np.frombuffer(batch.column(5).cast(pa.binary(wide)).buffers()[1], np.uint8, wide * len(batch), wide * batch.column(5).offset if batch.column(5).offset else 0).reshape(-1, wide)
-            held.append((*cols, around))
+            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+            places = np.empty(len(batch), object)
+            places[:] = batch.column(4).to_pylist()
+            around = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, wide)
+            held.append((*cols, places, around))
             size += len(around)
-            if size < most:
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
-            if last == 0 and cols[0][0] == held[0][0][0]:
+            if size < most or cols[0][-1] == held[0][0][0]:  # all of one key
                 continue
-            if last == 0:  # the key began in an earlier batch
-                flat = [np.concatenate([h[i] for h in held]) for i in range(6)]
-                last = int(np.searchsorted(flat[0], flat[0][-1]))
-            else:
-                flat = [np.concatenate([*(h[i] for h in held[:-1]), held[-1][i]]) for i in range(6)]
-                last += size - len(around)
-            yield settle([tuple(x[:last] for x in flat)])
-            held = [tuple(x[last:] for x in flat)]
+            flat = [np.concatenate([h[i] for h in held]) for i in range(6)]
+            last = int(np.searchsorted(flat[0], flat[0][-1]))  # the last key may go on
+            held = [tuple(flat)]
+            if last:
+                yield settle([tuple(x[:last] for x in flat)])
+                held = [tuple(x[last:] for x in flat)]
             size = len(held[0][0])
         if held:
             yield settle(held)
