@@ -207,18 +207,18 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PREDICT_SCHEMA}")
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language (is not ``und``); a map, without a shuffle."""
+def keep_known(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose labelled spans give a language (``und`` goes); a map, without a shuffle."""
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             keep: list[bool] = []
-            for block in blocks(((t,) for t in batch.column(at).to_pylist()), 0):
-                keep += (np.diff(_letters([t for t, in block])["text"]) > 0).tolist()
+            for block in blocks(((t,) for t in batch.column(at).to_pylist()), 0, 1 << 18):
+                keep += (judge([t for t, in block], model, penalty)[0] >= 0).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if model.langs else docs.where(F.lit(False))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
