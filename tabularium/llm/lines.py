@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,8 +45,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> D
             lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
             .groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
         )
+    # staged, so that Spark can split the rows of a hot key in the join
+    keys = staged(keys.select("h1", "h2", "keeper"), "line-keys")
     return (
-        lines.join(keys.select("h1", "h2", "keeper"), ["h1", "h2"])
+        lines.join(keys, ["h1", "h2"])
         .where("doc_id > keeper")
         .select("doc_id", "text_hash", "line_no")
     )
