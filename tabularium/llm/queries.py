@@ -51,7 +51,7 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", tokens.redactions(F.col("text")).alias("edits"))
-    return tokens.recount(tokens.build(docs))
+    return tokens.edited_counts(docs)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-AHEAD, FAN = 2, 32
-_CACHE = 1 << 20
+AHEAD, FAN, SLICE = 2, 32, 128
+_CACHE = 1 << 17
 _loaded: dict[str, "Counter"] = {}
 
 
@@ -156,7 +156,7 @@ def build(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         counter = Counter.of(path)
-        for batch in batches:
+        for batch in _slices(batches):
             held = [counter.pieces(t.as_py() or "") for t in batch.column(1)]
             packed = [pa.array([np.array(h[k], np.uint32).tobytes() for h in held], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *packed], ["doc_id", "text", "edits", "lengths", "counts"])
@@ -164,26 +164,59 @@ def build(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string"), F.col("edits").cast("array<struct<start:int,end:int,text:string>>").alias("edits")).mapInArrow(run, schema)
 
 
+_COUNTS = "n_tokens long, n_pieces long, n_edits long, n_tokens_after long, n_reencoded long"
+
+
+def _after(text: str, edits, lengths: list[int], counts: list[int], counter: Counter) -> tuple[int, int, int, int, int]:
+    before, todo, fresh = sum(counts), settled(edits, len(text)), 0
+    if not todo:
+        return before, len(lengths), 0, before, 0
+    tree = TokenTree(lengths, counts)
+    for a, b, new in reversed(todo):  # from the right, so that places to the left stay
+        text, k = tree.edit(text, a, b, new, counter)
+        fresh += k
+    return before, len(lengths), len(todo), tree.total, fresh
+
+
+def _counts(ids, rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))], ["doc_id", *(c.split(" ")[0] for c in _COUNTS.split(", "))])
+
+
+def _slices(batches):
+    """Small pieces of Spark's batches: lists of pieces take many times the text's memory."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def recount(trees: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, n_pieces, n_edits, n_tokens_after, n_reencoded of trees from ``build`` under their edits."""
+    """doc_id, n_tokens, n_pieces, n_edits, n_tokens_after, n_reencoded of kept trees from ``build`` under their edits."""
 
     def run(batches):
         counter = Counter.of(path)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
-            for doc_id, text, edits, lengths, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                text = text.as_py() or ""
+            for text, edits, lengths, counts in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                 sizes, n = (np.frombuffer(x.as_buffer(), np.uint32).tolist() for x in (lengths, counts))
-                before, todo, fresh = sum(n), settled(edits, len(text)), 0
-                tree = TokenTree(sizes, n)
-                for a, b, new in reversed(todo):  # from the right, so that places to the left stay
-                    text, k = tree.edit(text, a, b, new, counter)
-                    fresh += k
-                rows.append((doc_id, before, len(sizes), len(todo), tree.total, fresh))
-            kinds = [batch.schema[0].type, *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_tokens", "n_pieces", "n_edits", "n_tokens_after", "n_reencoded"])
-
-    return trees.mapInArrow(run, f"doc_id {trees.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_pieces long, n_edits long, n_tokens_after long, n_reencoded long")
+                rows.append(_after(text.as_py() or "", edits, sizes, n, counter))
+            yield _counts(batch.column(0), rows)
+
+    return trees.mapInArrow(run, f"doc_id {trees.schema['doc_id'].dataType.simpleString()}, {_COUNTS}")
+
+
+def edited_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """What ``recount(build(docs))`` gives, in one pass that keeps each document's tree in its task only."""
+
+    def run(batches):
+        counter = Counter.of(path)
+        for batch in _slices(batches):
+            rows = []
+            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                rows.append(_after(text or "", edits, *counter.pieces(text or ""), counter))
+            yield _counts(batch.column(0), rows)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string"), F.col("edits").cast("array<struct<start:int,end:int,text:string>>").alias("edits")).mapInArrow(run, f"doc_id {kind}, {_COUNTS}")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -150,7 +150,10 @@ def test_counts_follow_random_edits():
 def test_recount_of_a_table(spark):
     rows = [(1, "The cat sat."), (2, None), (3, ""), (4, "abc " * 2000), (4, "abc " * 2000)]
     edits = spark.createDataFrame([(1, 4, 7, "dog"), (1, 5, 9, "lost"), (1, 90, 95, "!"), (4, 4000, 4004, "x"), (2, 0, 5, "new"), (1, None, 3, "")], "doc_id long, start int, end int, text string")
-    got = {x.doc_id: x for x in tokens.recount(tokens.build(tokens.with_edits(table(spark, rows), edits))).collect()}
+    docs = tokens.with_edits(table(spark, rows), edits)
+    kept = tokens.recount(tokens.build(docs)).collect()
+    assert sorted(kept) == sorted(tokens.edited_counts(docs).collect())
+    got = {x.doc_id: x for x in kept}
     count = lambda t: len(tokens.Counter.of(tokens.VOCABULARY).encoding.encode_ordinary(t))
     assert (got[1].n_tokens, got[1].n_tokens_after, got[1].n_edits) == (count("The cat sat."), count("The dog sat.!"), 2)
     assert (got[2].n_tokens, got[2].n_tokens_after) == (0, count("new")) and got[3].n_tokens_after == 0
