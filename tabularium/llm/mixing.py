@@ -1,7 +1,8 @@
 """Mixing to target weights with soft domains: a classifier gives posteriors, least squares gives document rates.
 
 Domains are high, low and toxic. Two logistic classifiers (quality, toxic) learn from a bounded sample of
-labelled documents, over words weighted by their log ratio between the classes and shares of punctuation.
+labelled documents whose own label is known, over words weighted by their shrunk log ratio between the classes and shares
+of punctuation.
 Every document then has posteriors of the domains and a token count (words). Rates are nonnegative and bring each
 domain's expected tokens, sum of rate * tokens * posterior, to its target: projected gradient steps from rate 1,
 
@@ -10,8 +11,8 @@ domain's expected tokens, sum of rate * tokens * posterior, to its target: proje
 the gradient of the least squares in the metric of G with each document's step scaled by its tokens, so that a
 step of 1 is safe. A step needs one aggregate of as many numbers as domains; rates stay columns.
 
-Edge cases: null and wordless texts have no tokens and rate 1 throughout; null labels and labels of missing documents
-teach nothing; with one class labelled its classifier gives that class, without labels all is high and nothing toxic; repeated
+Edge cases: null and wordless texts have no tokens and rate 1 throughout; a null label teaches its own
+classifier nothing, labels of missing documents teach nothing; with one class labelled its classifier gives that class, without labels all is high and nothing toxic; repeated
 documents have equal rates; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -31,8 +32,10 @@ DOMAINS = ("high", "low", "toxic")
 #: Labelled documents that the classifiers learn from at most, in expectation: of each label pair.
 FIT_ROWS = 3000
 BUCKETS = 1 << 16
+#: Rows that every word starts with, the squared standard errors at which a ratio counts half, parts of the labelled rows.
+PRIOR, DOUBT, FOLDS = 1.0, 30.0, 10
 TARGETS = {"high": 0.75, "low": 0.2, "toxic": 0.05}
-STEPS, TOLERANCE = 60, 1e-5
+STEPS, TOLERANCE = 400, 1e-5
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n0"
 
 
@@ -74,21 +77,36 @@ class Classifier:
         return 1.0 / (1.0 + np.exp(-np.clip(x @ self.weight[:-1] + self.weight[-1], -30, 30)))
 
 
+def ratios(bucket, owner, label) -> np.ndarray:
+    """Log ratio of each word's shares in the classes 1 and 0, shrunk smoothly by its doubt.
+
+    A word starts with ``PRIOR`` rows dealt to the classes by their sizes, so an unseen one has ratio 0. Its ratio
+    counts z^2 / (z^2 + DOUBT) for z standard errors: rare one-sided words keep a part that adds up in a text.
+    """
+    counts = [np.bincount(bucket[(label == c)[owner]], minlength=BUCKETS) for c in (0, 1)]
+    rows = [max(1, int((label == c).sum())) for c in (0, 1)]
+    seen = [c + PRIOR * n / sum(rows) for c, n in zip(counts, rows)]
+    ratio = np.log(seen[1] / rows[1]) - np.log(seen[0] / rows[0])
+    z2 = ratio * ratio / (1 / seen[0] + 1 / seen[1])
+    return ratio * z2 / (z2 + DOUBT)
+
+
 def train(bucket, offsets, marks, label, unknown: float = 0.5) -> Classifier:
     """Logistic regression on the summary of word ratios and on marks.
 
-    A word's ratio counts by how many standard errors its shares in the two classes are apart: not at all
-    below 4, in full from 4.5 on.
+    The regression sees each row by ratios from the other folds' rows, else words of one row would speak for its label.
     """
     label = np.asarray(label, float)
     owner = np.repeat(np.arange(len(label)), np.diff(offsets))
-    counts = [np.bincount(bucket[(label == c)[owner]], minlength=BUCKETS) for c in (0, 1)]
-    rows = [max(1, int((label == c).sum())) for c in (0, 1)]
-    share = [(c + 0.3) / (n + 0.6) for c, n in zip(counts, rows)]
-    spread = np.sqrt(sum((p * (1 - p) + 1e-9) / n for p, n in zip(share, rows)))
-    sure = np.clip(np.abs(share[1] - share[0]) / spread - 4.0, 0, 0.5) * 2
-    made = Classifier(np.log(share[1] / share[0]) * sure, np.zeros(0), np.zeros(0), np.ones(0))
+    made = Classifier(ratios(bucket, owner, label), np.zeros(0), np.zeros(0), np.ones(0))
+    fold = np.zeros(len(label), int)
+    for c in (0, 1):
+        fold[label == c] = np.arange((label == c).sum()) % FOLDS
     x = made.inputs(bucket, offsets, marks)
+    for k in range(FOLDS):
+        rest = (fold != k)[owner]
+        other = Classifier(ratios(bucket[rest], owner[rest], np.where(fold != k, label, -1)), np.zeros(0), np.zeros(0), np.ones(0))
+        x[fold == k] = other.inputs(bucket, offsets, marks)[fold == k]
     made.centre, made.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     x = np.column_stack([(x - made.centre) / made.scale, np.ones(len(label))])
     made.weight = np.zeros(x.shape[1])
@@ -107,31 +125,37 @@ def train(bucket, offsets, marks, label, unknown: float = 0.5) -> Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Classifier, Classifier]:
-    """(quality, toxic) from ``fit_rows`` labelled documents of each label pair at most, chosen by a hash of the id."""
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic")
-    counts = known.groupBy("quality", "toxic").count().collect()  # four rows
+    """(quality, toxic) from ``fit_rows`` labelled documents of each label pair at most, chosen by a hash of the id; one label of a pair may be null."""
+    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").select("doc_id", "quality", "toxic")
+    counts = known.groupBy("quality", "toxic").count().collect()  # eight rows
     share = F.lit(1.0)
     for r in counts:
         if r["count"] > fit_rows:
-            share = F.when((F.col("quality") == r["quality"]) & (F.col("toxic") == r["toxic"]), F.lit(fit_rows / r["count"])).otherwise(share)
+            share = F.when(F.col("quality").eqNullSafe(r["quality"]) & F.col("toxic").eqNullSafe(r["toxic"]), F.lit(fit_rows / r["count"])).otherwise(share)
     sample = known.where(F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    # at most some twelve thousand ids and label pairs
+    # at most some twenty-four thousand ids and label pairs
     taught = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(batches):
         for batch in batches:
             for block in blocks(zip(*(c.to_pylist() for c in batch.columns)), 1):
                 bucket, at, marks, _ = features([b[1] for b in block])
-                rows = [(b[0], bucket[i:j].astype(np.uint16).tobytes(), marks[n].astype(np.float32).tobytes(), int(b[2]), int(b[3])) for n, (b, i, j) in enumerate(zip(block, at[:-1], at[1:]))]
+                rows = [(b[0], bucket[i:j].astype(np.uint16).tobytes(), marks[n].astype(np.float32).tobytes(), b[2], b[3]) for n, (b, i, j) in enumerate(zip(block, at[:-1], at[1:]))]
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "words", "marks", "quality", "toxic"])
 
-    held = taught.select(F.col("doc_id").cast("long"), "text", "quality", "toxic").mapInArrow(run, "doc_id long, words binary, marks binary, quality int, toxic int").toArrow().sort_by("doc_id")
+    held = taught.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(run, "doc_id long, words binary, marks binary, quality int, toxic int").toArrow().sort_by("doc_id")
     word = [np.frombuffer(w, np.uint16).astype(np.int64) for w in held["words"].to_pylist()]
-    bucket = np.concatenate([np.empty(0, np.int64), *word])
-    offsets = np.concatenate([[0], np.cumsum([len(w) for w in word], dtype=np.int64)]).astype(np.int64)
     marks = np.array([np.frombuffer(m, np.float32) for m in held["marks"].to_pylist()]).reshape(len(word), len(_MARKS))
-    return tuple(train(bucket, offsets, marks, held[c].to_numpy(), unknown) for c, unknown in (("quality", 1.0), ("toxic", 0.0)))
+
+    def taught_by(column, unknown):
+        at = np.flatnonzero(held[column].is_valid().to_numpy())
+        own = [word[i] for i in at]
+        offsets = np.concatenate([[0], np.cumsum([len(w) for w in own], dtype=np.int64)]).astype(np.int64)
+        return train(np.concatenate([np.empty(0, np.int64), *own]), offsets, marks[at], held[column].drop_null().to_numpy(), unknown)
+
+    return taught_by("quality", 1.0), taught_by("toxic", 0.0)
+
 
 
 def posteriors(docs: DataFrame, quality: Classifier, toxic: Classifier, least: float = 0.02) -> DataFrame:

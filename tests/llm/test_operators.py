@@ -131,6 +131,35 @@ def test_mixing_without_labels_or_rows(spark):
     assert mixing.mix_rates(table(spark, []), none, None).count() == 0
 
 
+def rare_rows(r, n, rare, first=0):
+    """Texts of common words; toxic ones (odd ids) hold three of many rare words besides."""
+    plain = [f"word{i}" for i in range(200)]
+    return [(i, " ".join(r.sample([*(r.choice(plain) for _ in range(30)), *(r.sample(rare, 3) if i % 2 else [])], 33 if i % 2 else 30))) for i in range(first, first + n)]
+
+
+@pytest.mark.parametrize("n, n_rare", [(600, 150), (6000, 600), (80, 16)])
+def test_rare_words_of_toxic_documents_add_up(n, n_rare):
+    """No word has four standard errors: each is in about 6, 15 and 8 toxic documents and in no clean one."""
+    r = random.Random(8)
+    rare = [f"slur{i}" for i in range(n_rare)]
+    texts = [t for _, t in rare_rows(r, n, rare)]
+    bucket, at, marks, _ = mixing.features(texts)
+    made = mixing.train(bucket, at, marks, np.arange(n) % 2)
+    new = [t for _, t in rare_rows(r, 400, rare)]
+    p = made.probability(*mixing.features(new)[:3])
+    assert p[1::2].mean() > 0.9 and p[::2].mean() < 0.1
+    assert sum(made.ratio[mixing.features([w])[0][0]] > 0 for w in rare) > 0.98 * n_rare  # a few share a common word's bucket
+
+
+def test_each_classifier_uses_rows_with_its_own_label(spark):
+    r = random.Random(9)
+    rows = rare_rows(r, 200, ["nasty", "awful", "vile", "gross"])
+    known = spark.createDataFrame([(i, None, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    out = {x.doc_id: x for x in mixing.mix_rates(table(spark, rows), known, mixing.TARGETS).collect()}
+    assert all((out[i].p_toxic > 0.5) == bool(i % 2) for i in range(200))
+    assert all(out[i].p_low == 0 for i in range(200))
+
+
 # ---- 3
 
 
