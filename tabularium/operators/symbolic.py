@@ -64,6 +64,12 @@ def fit_edges(samples: DataFrame, keys: list[str], zooms: int = ZOOMS) -> DataFr
     return best_of(fits, keys)
 
 
+def edge_quality(best: DataFrame, least: float = 0.99) -> DataFrame:
+    """worst, mean, weak: R2 over the edges of ``fit_edges`` and how many are below ``least``; without edges 1, 1 and 0."""
+    one = F.lit(1.0)
+    return best.agg(F.coalesce(F.min("r2"), one).alias("worst"), F.coalesce(F.avg("r2"), one).alias("mean"), F.count_if(F.col("r2") < least).alias("weak"))
+
+
 @dataclass(frozen=True)
 class Edge:
     input: str

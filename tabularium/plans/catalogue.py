@@ -556,12 +556,22 @@ def search_splines(spark, sf_dir):
 
 
 
+def _edges(spark, sf_dir):
+    line = _t(spark, sf_dir, "lineitem")
+    samples = line.groupBy("l_returnflag", "l_quantity").agg(F.avg("l_extendedprice").alias("y")).select(F.col("l_returnflag").alias("edge"), ((F.col("l_quantity") - F.lit(25.0)) / F.lit(15.0)).alias("x"), (F.col("y") / F.lit(10000.0)).alias("y"))
+    return symbolic.fit_edges(samples, ["edge"])
+
+
 @query()
 def symbolic_fit(spark, sf_dir):
     """The primitive that fits price by quantity best, for each return flag."""
-    line = _t(spark, sf_dir, "lineitem")
-    samples = line.groupBy("l_returnflag", "l_quantity").agg(F.avg("l_extendedprice").alias("y")).select(F.col("l_returnflag").alias("edge"), ((F.col("l_quantity") - F.lit(25.0)) / F.lit(15.0)).alias("x"), (F.col("y") / F.lit(10000.0)).alias("y"))
-    return rounded(symbolic.fit_edges(samples, ["edge"], 1), 4)
+    return rounded(_edges(spark, sf_dir), 4)
+
+
+@query()
+def weak_best_edges(spark, sf_dir):
+    """Worst and mean R2 of the edges' best fits of nine primitives, and how many edges are below 0.99 even so."""
+    return rounded(symbolic.edge_quality(_edges(spark, sf_dir)), 4)
 
 
 def _best_fits(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions import numeric
 from tabularium.operators import curves, diagnostics, metrics, models, profile, provenance, scaling, scoring, search, split, symbolic
+from tabularium.plans import catalogue
 from tabularium.sources import generators, text_table, workbook
 from tabularium.streaming import scorer
 
@@ -259,6 +260,29 @@ def test_symbolic_fits(spark, f, name):
     assert max(abs(r.y - f(x)) for r, x in zip(out, xs)) < 0.12
 
 
+def test_symbolic_query_runs_all_rounds(spark, sf_dir):
+    """Settings of b after all rounds lie on the last round's steps around the best of the round before."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    samples = line.groupBy("l_returnflag", "l_quantity").agg((F.avg("l_extendedprice") / 10000.0).alias("y")).select(F.col("l_returnflag").alias("edge"), ((F.col("l_quantity") - 25.0) / 15.0).alias("x"), "y")
+    want = {r.edge: r for r in symbolic.fit_edges(samples, ["edge"], symbolic.ZOOMS).collect()}
+    got = {r.edge: r for r in catalogue.QUERIES["symbolic_fit"](spark, sf_dir).collect()}
+    assert set(got) == set(want)
+    for edge, r in got.items():
+        assert r.name == want[edge].name and np.allclose([r.a, r.b, r.c, r.d, r.r2], [round(want[edge][k], 4) for k in ("a", "b", "c", "d", "r2")], atol=1e-4)
+    weak = catalogue.QUERIES["weak_best_edges"](spark, sf_dir).first()
+    assert weak.weak == sum(r.r2 < 0.99 for r in want.values()) and abs(weak.worst - min(r.r2 for r in want.values())) < 1e-4
+
+
+def test_weak_edges_are_judged_by_their_best_primitive(spark):
+    """An exponential is no edge of sin, tanh or x^2, but of one of the nine; noise is of none."""
+    xs, r = np.linspace(-2, 2, 40), np.random.default_rng(3)
+    rows = [("e", float(x), float(np.exp(1.5 * x))) for x in xs] + [("n", float(x), float(y)) for x, y in zip(xs, r.normal(size=40))]
+    best = symbolic.fit_edges(spark.createDataFrame(rows, "edge string, x double, y double"), ["edge"])
+    got = symbolic.edge_quality(best).first()
+    assert got.weak == 1 and got.worst < 0.9 and {x.edge: x.name for x in best.collect()}["e"] == "exp"
+    assert symbolic.edge_quality(best.limit(0)).first() == (1.0, 1.0, 0)
+
+
 def test_formula_text():
     text = symbolic.formula_text([symbolic.Edge("h1_0", "x", 2.0, 3.0, 1.0, 0.5), symbolic.Edge("2temperature", "sin", 1.0, 1.0, 0.0, 0.25)], 1.0)
     assert text == "6*`h1_0` + 1*sin(1*`2temperature` + 0) + 3.75"
