@@ -34,7 +34,7 @@ from j group by doc_id
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_documents(spark, sf_dir), new_folder(spark, "slot-map"), n_shards=8)
+    return sharding.shard(_documents(spark, sf_dir), sharding.map_folder(spark, 8), n_shards=8)
 
 
 def op1_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

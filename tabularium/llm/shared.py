@@ -1,12 +1,11 @@
-"""Helpers that the operators of this subpackage share: the shared folder, staged tables, text digests."""
+"""Helpers that the operators of this subpackage share: the shared folder and staged tables in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _UNSET: dict[str, str] = {}
 
@@ -14,11 +13,14 @@ _UNSET: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a new temporary folder.
+    A local session that names none (a test on one machine) gets a new temporary folder; on a cluster that is an error,
+    because executors don't see each other's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _UNSET:
         _UNSET[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -37,6 +39,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def key128(*cols: Column) -> Column:
-    """A struct of two 64-bit hashes with unlike seeds; equal values get equal keys."""
-    return F.struct(F.xxhash64(F.lit(1), *cols).alias("a"), F.xxhash64(F.lit(2), *cols).alias("b"))
+def spent(*tables: DataFrame) -> None:
+    """Empty the folders of staged tables that no later step reads; what was made of them must be written by now."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
