@@ -481,3 +481,93 @@ def test_frames_table_and_broken_media(spark):
     df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"no")), (3, None), (4, bytearray(good[:-30]))], "k long, media binary")
     rows = {(x.k, x.frame_no): x for x in media.gif_frames(df, "k", "media").collect()}
     assert rows[1, 0].red[15] == 1 + 1 and rows[1, 1].start_ms == 50 and rows[2, None].error and rows[3, None].error and any(x.error for (k, _), x in rows.items() if k == 4)
+
+
+def test_streams_of_one_batch_do_not_mix():
+    r = random.Random(4)
+    held = [bytes(r.choice(b"abc") for _ in range(n)) for n in (0, 1, 30_000, 5, 700)] + [b"\xff" * 18_432]
+    streams = media.lzw_encode_all(held)
+    broken = media.lzw_encode_all([b"ab" * 40])[0][:2] + b"\xff\xff\xff"
+    assert media.lzw_decode_all([*streams[:3], broken, *streams[3:]], 8) == [*held[:3], None, *held[3:]]
+    assert [simple_lzw(s, 8) for s in streams] == held
+
+
+def test_a_deferred_clear():
+    codes, width = [256, *(v for _ in range(3000) for v in (97, 98))], []
+    for j in range(-1, len(codes) - 1):
+        width.append(9 if j < 0 else min(12, (258 + max(0, j - 1)).bit_length()))
+    value, at = 0, 0
+    for c, w in zip([*codes, 257], [*width, 12]):
+        value, at = value | c << at, at + w
+    assert media.lzw_decode(value.to_bytes(at // 8 + 1, "little"), 8) == b"ab" * 3000
+
+
+def test_every_column_of_stored_texts(spark):
+    rows = ragged(10, 12, "abc é\n") + [(90, "long and dull " * 9000), (91, "long and dull " * 9000)]
+    stored = {x.doc_id: bytes(x.media) for x in media.store_texts(table(spark, rows)).collect()}
+    for x in media.read_texts(media.store_texts(table(spark, rows))).collect():
+        gif, payload = stored[x.doc_id], media.pad(dict(rows)[x.doc_id])[1]
+        assert (x.media_bytes, x.media_sha256) == (len(gif), hashlib.sha256(gif).hexdigest())
+        assert x.feature == ",".join(str(sum(payload.count(b) for b in range(16 * k, 16 * k + 16))) for k in range(16))
+        assert x.n_frames == -(-len(payload) // 18_432) and x.duration_ms == 40 * x.n_frames
+        at, parts = 13 + 768, []
+        while gif[at] == 0x21:
+            at, codes = at + 8 + 11, b""
+            while gif[at]:
+                codes, at = codes + gif[at + 1 : at + 1 + gif[at]], at + 1 + gif[at]
+            parts.append(simple_lzw(codes, 8))
+            at += 1
+        assert b"".join(parts) == payload and gif[at:] == b"\x3b"
+    assert stored[90] == stored[91]
+
+
+def test_no_texts_to_store(spark):
+    assert media.read_texts(media.store_texts(table(spark, []))).count() == 0
+
+
+# ---- more of 8
+
+
+def test_the_law_of_the_key(spark):
+    """shard(n + 1) is shard(n) but for what goes into the new shard, and nothing but id and shard count decides."""
+    rows = [(i, f"text {i}") for i in range(2000)] + [(3000, None), (7, "again")]
+    by = {}
+    for n in (1, 8, 9, 10):
+        got = sharding.shard(table(spark, rows if n != 9 else [(d, "other") for d, _ in rows[::-1]]), new_folder(spark, "map"), n_shards=n).collect()
+        by[n] = {x.doc_id: (x.shard, x.grown_shard) for x in got}
+    assert {s for s, _ in by[1].values()} == {0}
+    for n in (8, 9):
+        assert all(by[n + 1][d][0] == grown and grown in (old, n) for d, (old, grown) in by[n].items())
+    assert 8 < sum(1 for d, (s, _) in by[9].items() if s == 8) < 2000 / 9 * 1.4
+
+
+def test_every_place_by_brute_force(spark):
+    rows = [(i % 900, f"text {i % 700}") for i in range(1200)] + [(5000, None), (None, "no id"), (None, None), (None, None), (-3, "x" * 300_000)]
+    path = new_folder(spark, "map")
+    slots = {x.doc_id: x.v for x in table(spark, rows).select("doc_id", sharding.virtual_slot(F.col("doc_id"), F.col("text")).alias("v")).collect()}
+    got = sharding.shard(table(spark, rows), path).collect()
+    placed = {x.virtual_slot: x.shard for x in sharding.load_map(spark, path, 1).collect()}
+    sizes = {}
+    for x in got:
+        sizes[x.virtual_slot] = sizes.get(x.virtual_slot, 0) + x.size
+    assert all(x.virtual_slot == slots[x.doc_id] for x in got if x.doc_id is not None)
+    assert all((x.law, x.shard, x.slot_bytes, x.map_version) == ("key", placed[x.virtual_slot], sizes[x.virtual_slot], 1) for x in got)
+    for s in range(8):
+        mine = sorted((x for x in got if x.shard == s), key=lambda x: x.slot)
+        assert [x.slot for x in mine] == list(range(len(mine)))
+        assert [x.virtual_slot for x in mine] == sorted(x.virtual_slot for x in mine)
+    again = sharding.shard(table(spark, rows), path).collect()  # a later run finds the map
+    assert sorted(map(str, again)) == sorted(map(str, got)) and sharding.versions(spark, path) == [1, 2]
+
+
+def test_bytes_are_evened_by_editing_the_map(spark):
+    r = random.Random(5)
+    rows = [(i, "x" * int(r.paretovariate(1.5) * 40)) for i in range(6000)]
+    path = new_folder(spark, "map")
+    got = sharding.shard(table(spark, rows), path, law="bytes").collect()
+    loads = [sum(x.size for x in got if x.shard == s) for s in range(8)]
+    largest = max(x.slot_bytes for x in got)
+    assert max(loads) - min(loads) <= 2 * largest and {x.map_version for x in got} == {2} and {x.grown_shard for x in got} == {None}
+    assert len(got) == 6000 and all(sorted(x.slot for x in got if x.shard == s) == list(range(sum(x.shard == s for x in got))) for s in range(8))
+    with pytest.raises(ValueError):
+        sharding.shard(table(spark, rows), path, law="rows")
