@@ -14,7 +14,8 @@ Equal texts are one representative throughout, so copies cost one row each.
 
 Edge cases: null text is the empty text; equal texts, also empty ones, share a class; texts without words
 have no other link; texts of fewer than five words are one shingle; rows without an id are left out;
-repeated ids with unlike texts join their classes; an empty table gives an empty result; extra columns are ignored.
+repeated ids with unlike texts: each text is classed for itself, so two classes may bear the same least id, and ``leads`` tells
+their rows; very long texts are whole sets of shingles; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import spent, staged
 from .textkit import U64, blocks, mix, shingles
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 20, 5, 5, 0.8
@@ -146,7 +147,7 @@ def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int =
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """id, shingles (sorted 64-bit hashes, packed) of the documents whose (id, h1, h2) are asked for."""
+    """id, shingles (sorted 64-bit hashes, packed) of the texts that are asked for by (id, doc_id, h1, h2)."""
 
     def run(batches):
         for batch in batches:
@@ -156,8 +157,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in block], pa.int64()), pa.array(packed, pa.binary())], ["id", "shingles"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    wanted = ids.select("id", F.col("h1").alias("w1"), F.col("h2").alias("w2"))
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).join(wanted, "id")
+    wanted = ids.select("id", "doc_id", F.col("h1").alias("w1"), F.col("h2").alias("w2"))
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(wanted, "doc_id")
     source = source.where((F.xxhash64(F.lit(1), "text") == F.col("w1")) & (F.xxhash64(F.lit(2), "text") == F.col("w2")))
     return source.select("id", "text").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
@@ -223,48 +224,92 @@ def classes(links: DataFrame, labels: DataFrame) -> DataFrame:
             edges.join(labels.select(F.col("id").alias("b"), "label"), "b")
             .groupBy("a").agg(F.min("label").alias("least"))
         )
-        one = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("least", "label")).alias("label"))
+        one = labels.join(near, labels["id"] == near["a"], "left").select(labels["id"], labels["label"].alias("was"), F.least("label", F.coalesce("least", "label")).alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("upper"))
         two = staged(one.join(up, "label", "left").select("id", "was", F.least("label", F.coalesce("upper", "label")).alias("label")), "labels")
         changed = not two.where("label < was").isEmpty()
-        labels = two.select("id", "label")
+        spent(labels)
+        labels = two
         if not changed:
-            return labels
+            spent(edges)
+            return labels.select("id", "label")
+
+
+#: Stands for a further text of an id that has several; document ids are below.
+_FURTHER = 1 << 62
+
+
+def _nodes(sketches: DataFrame) -> DataFrame:
+    """h1, h2, doc_id, id of every distinct text: its least doc_id, and the number that stands for the text.
+
+    That is the doc_id, but where unlike texts have one least id only one of them has it and the others get a hash.
+    """
+    texts = staged(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")), "texts")
+    several = texts.groupBy("doc_id").agg(F.min("h1").alias("top"), F.max("h1").alias("low")).where("top < low").select("doc_id", "top")
+    further = F.xxhash64("h1", "h2", "doc_id").bitwiseAND(F.lit(_FURTHER - 1)).bitwiseOR(F.lit(_FURTHER))
+    nodes = texts.join(several, "doc_id", "left").select("h1", "h2", "doc_id", F.when(F.col("h1") > F.col("top"), further).otherwise(F.col("doc_id")).alias("id"))
+    out = staged(nodes, "nodes")
+    spent(texts)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), copy_of (the least doc_id with its text), n_shingles, a row for each row with an id."""
+    """doc_id, class_id (the least doc_id of its class), copy_of (the least doc_id with its text), n_shingles, h1, h2 (the
+    text's hashes), leads (it is the class's first row, or a row equal to that one), a row for each row with an id."""
     sketches = staged(sketch(docs, size, bands, rows), "sketch")
+    nodes = _nodes(sketches)
     # staged, so that Spark can split the hot side of the joins that follow
-    texts = staged(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "texts")
-    members = staged(sketches.select("doc_id", "h1", "h2", "n").join(texts.select("h1", "h2", "id"), ["h1", "h2"]), "members")
-    chosen = members.where("doc_id = id").select("id", "h1", "h2").dropDuplicates(["id"])
+    members = staged(sketches.select("doc_id", "h1", "h2", "n").join(nodes.select("h1", "h2", F.col("doc_id").alias("first_id"), "id"), ["h1", "h2"]), "members")
     entries = (
-        sketches.select(F.col("doc_id").alias("id"), "h1", "h2", "n", "keys").join(chosen, ["id", "h1", "h2"])
+        sketches.join(nodes, ["doc_id", "h1", "h2"])
         .dropDuplicates(["id"]).select("id", "n", F.explode("keys").alias("key"))
     )
     entries = staged(entries, "entries")
+    spent(sketches)
     counts = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "counts")
-    shared = staged(entries.join(counts, "key"), "buckets")
+    met = staged(entries.join(counts, "key"), "buckets")
+    spent(entries, counts)
     # a bucket is led by its member that meets most others in all its buckets: of edited copies, the original
-    rank = staged(shared.groupBy("id").agg(F.sum("held").alias("met")), "rank")
-    leads = shared.join(rank, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("back"))).alias("top"))
-    shared = staged(shared.join(staged(leads.select("key", (-F.col("top.back")).alias("lead")), "leads"), "key").drop("held"), "buckets")
-    wanted = shared.select("id").distinct().join(chosen, "id")
-    sets = staged(shingle_sets(docs, wanted, size), "sets")
+    rank = staged(met.groupBy("id").agg(F.sum("held").alias("met")), "rank")
+    leads = staged(met.join(rank, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("lead")), "leads")
+    shared = staged(met.join(leads, "key").drop("held"), "buckets")
+    spent(met, rank, leads)
+    sets = staged(shingle_sets(docs, shared.select("id").distinct().join(nodes, "id"), size), "sets")
     sizes = shared.select(F.col("id").alias("lead"), F.col("n").alias("lead_n")).distinct()
     alike = (F.least("n", "lead_n") >= F.greatest("n", "lead_n") * F.lit(similarity) - F.lit(1e-9))
     star = shared.where("id <> lead").select("lead", "id", "n").distinct().join(sizes, "lead").where(alike)
     first = staged(verified(star.select(F.col("lead").alias("a"), F.col("id").alias("b")), sets, similarity), "links")
-    # rows of one id with unlike texts are one document
-    again = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
-    ids = chosen.select("id", F.col("id").alias("label")).union(shared.select("id", F.col("id").alias("label"))).distinct()
-    labels = classes(first.union(again), ids)
+    labels = classes(first, nodes.select("id", F.col("id").alias("label")))
+    spent(first)
     # what is left: members of one bucket in unlike classes
     placed = shared.select("key", "id").join(labels, "id")
     mixed = staged(placed.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key"), "mixed")
     open_ = staged(placed.join(mixed, "key").select("id", "label").distinct(), "open")
+    spent(shared, mixed)
     second = staged(verified(across(sets.join(open_, "id"), similarity), sets, similarity), "links")
+    spent(sets, open_)
     if not second.isEmpty():
         labels = classes(second, labels)
-    return members.join(labels, "id").select("doc_id", F.col("label").alias("class_id"), F.col("id").alias("copy_of"), F.col("n").alias("n_shingles"))
+    heads = staged(labels.join(nodes.select("id", F.col("doc_id").alias("least")), "id"), "heads")
+    leaders = heads.groupBy("label").agg(F.min(F.struct("least", "id")).alias("lead"))
+    named = staged(heads.select("id", "label").join(leaders.hint("merge"), "label").select("id", F.col("lead.least").alias("class_id"), F.col("lead.id").alias("lead")), "named")
+    spent(heads)
+    # kept a merge join: Spark splits the rows of a hot text in it
+    return members.join(named.hint("merge"), "id").select(
+        "doc_id", "class_id", F.col("first_id").alias("copy_of"), F.col("n").alias("n_shingles"), "h1", "h2",
+        ((F.col("id") == F.col("lead")) & (F.col("doc_id") == F.col("class_id"))).alias("leads"),
+    )
+
+
+def keep_leads(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` with all their columns, but of each class only its leading row, once; rows without an id stay.
+
+    Of rows with the same id and text one stays; which one is open, if other columns differ.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.lit(1), text).alias("_h1"), F.xxhash64(F.lit(2), text).alias("_h2")]
+    keep = near_duplicates(docs, **settings).where("leads").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    names = ["_id", "_h1", "_h2"]
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("_row"), *key)
+    rows = rows.join(keep, names, "left_semi").dropDuplicates(names)
+    return rows.select("_row.*").unionByName(docs.where("doc_id is null"))
