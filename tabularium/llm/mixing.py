@@ -9,15 +9,21 @@ domain's expected tokens, sum of rate * tokens * posterior, to its target: proje
     rate <- max(0, rate - posterior . G^-1 (totals - targets)),   G = sum of tokens * posterior posterior',
 
 the gradient of the least squares in the metric of G with each document's step scaled by its tokens, so that a
-step of 1 is safe. A step needs one aggregate of as many numbers as domains; rates stay columns.
+step of 1 is safe. While it pays, G sums only the documents whose rate isn't nought yet, which takes few steps to targets
+that can be reached. A step needs one aggregate of as few numbers as domains and pairs of them; rates stay columns.
+
+The steps are few numbers for each domain, so a second pass over the texts (``realise``) can apply them again and
+put out whole documents without joining or shuffling texts.
 
 Edge cases: null and wordless texts have no tokens and rate 1 throughout; a null label teaches its own
 classifier nothing, labels of missing documents teach nothing; with one class labelled its classifier gives that class, without labels all is high and nothing toxic; repeated
-documents have equal rates; an empty table gives an empty result; extra columns are ignored.
+documents and equal texts have equal rates; targets that no rates reach are approached as far as they go, and ``target_miss`` says
+how far; very long texts are scored whole; an empty table gives an empty result; extra columns are ignored by ``mix_rates`` and kept by ``realise``.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import spent, staged
 from .textkit import U64, blocks, words
 
 DOMAINS = ("high", "low", "toxic")
@@ -35,7 +41,7 @@ BUCKETS = 1 << 16
 #: Rows that every word starts with, the squared standard errors at which a ratio counts half, parts of the labelled rows.
 PRIOR, DOUBT, FOLDS = 1.0, 30.0, 10
 TARGETS = {"high": 0.75, "low": 0.2, "toxic": 0.05}
-STEPS, TOLERANCE = 400, 1e-5
+STEPS, TOLERANCE = 100, 1e-5
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n0"
 
 
@@ -54,12 +60,16 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 @dataclass
 class Classifier:
-    """ratio [BUCKETS]: log ratio of a word; weight over (ratio sum, strongest, weakest, marks..., 1); scale of these."""
+    """ratio [BUCKETS]: log ratio of a word; weight over (ratio sum, strongest, weakest, marks..., 1); scale of these.
+
+    ``always``: the probability of every text where one class at most was labelled.
+    """
 
     ratio: np.ndarray
     weight: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
+    always: float | None = None
 
     def inputs(self, bucket, offsets, marks):
         n = len(marks)
@@ -73,6 +83,8 @@ class Classifier:
         return np.column_stack([total, np.maximum(top, 0), np.minimum(low, 0), marks])
 
     def probability(self, bucket, offsets, marks):
+        if self.always is not None:
+            return np.full(len(marks), self.always)
         x = (self.inputs(bucket, offsets, marks) - self.centre) / self.scale
         return 1.0 / (1.0 + np.exp(-np.clip(x @ self.weight[:-1] + self.weight[-1], -30, 30)))
 
@@ -113,6 +125,7 @@ def train(bucket, offsets, marks, label, unknown: float = 0.5) -> Classifier:
     base = float(np.clip(label.mean() if len(label) else unknown, 1e-3, 1 - 1e-3))
     made.weight[-1] = np.log(base / (1 - base))
     if len(set(label.tolist())) < 2:
+        made.always = float(label[0]) if len(label) else unknown
         return made
     for _ in range(30):  # Newton steps with a small ridge
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ made.weight, -30, 30)))
@@ -157,19 +170,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[C
     return taught_by("quality", 1.0), taught_by("toxic", 0.0)
 
 
+def _shares(texts: list[str | None], quality: Classifier, toxic: Classifier) -> tuple[np.ndarray, np.ndarray]:
+    """(words, [texts, domains] posteriors)."""
+    bucket, at, marks, n = features(texts)
+    q, t = quality.probability(bucket, at, marks), toxic.probability(bucket, at, marks)
+    return n, np.column_stack([q * (1 - t), (1 - q) * (1 - t), t])
 
-def posteriors(docs: DataFrame, quality: Classifier, toxic: Classifier, least: float = 0.02) -> DataFrame:
-    """doc_id, tokens, p_high, p_low, p_toxic of every whole text; shares under ``least`` become nought."""
+
+def posteriors(docs: DataFrame, quality: Classifier, toxic: Classifier) -> DataFrame:
+    """doc_id, tokens, p_high, p_low, p_toxic of every whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for block in blocks(zip(*(c.to_pylist() for c in batch.columns)), 1):
-                bucket, at, marks, n = features([t for _, t in block])
-                q, t = quality.probability(bucket, at, marks), toxic.probability(bucket, at, marks)
-                p = np.column_stack([q * (1 - t), (1 - q) * (1 - t), t])
-                p[p < least] = 0
-                p /= p.sum(1, keepdims=True)
+                n, p = _shares([t for _, t in block], quality, toxic)
                 yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in block], batch.schema[0].type), pa.array(n, pa.int64()), *(pa.array(p[:, i]) for i in range(3))], ["doc_id", "tokens", "p_high", "p_low", "p_toxic"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, tokens long, p_high double, p_low double, p_toxic double")
@@ -179,8 +194,30 @@ def _weighted(parts: list[Column]) -> list[Column]:
     return [F.coalesce(F.sum(x), F.lit(0.0)) for x in parts]
 
 
-def rates(soft: DataFrame, targets: dict[str, float] | None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], list[float]]:
-    """(``soft`` with column rate, expected tokens by domain, targets in tokens).
+@dataclass
+class Fit:
+    """pulls: the steps, a number for each domain; reached and wanted: expected tokens by domain; whole: all expected tokens."""
+
+    pulls: list[np.ndarray]
+    reached: np.ndarray
+    wanted: np.ndarray
+    whole: float
+
+    @property
+    def miss(self) -> float:
+        """The largest distance from a target, as a share of all tokens."""
+        return float(np.abs(self.reached - self.wanted).max() / self.whole)
+
+    def rate(self, p: np.ndarray) -> np.ndarray:
+        """Rates of documents with posteriors p [documents, domains]."""
+        out = np.ones(len(p))
+        for pull in self.pulls:
+            out = np.maximum(0.0, out - sum((p[:, i] * float(g) for i, g in enumerate(pull)), 0.0))
+        return out
+
+
+def rates(soft: DataFrame, targets: dict[str, float] | None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, Fit]:
+    """(``soft`` with column rate, how it was reached).
 
     ``targets``: shares of all tokens by domain; None aims at the totals of the documents that are likelier
     of another domain than toxic, so that rates fall for the others.
@@ -188,29 +225,44 @@ def rates(soft: DataFrame, targets: dict[str, float] | None, steps: int = STEPS,
     p = [F.col(f"p_{d}") for d in DOMAINS]
     tokens = F.col("tokens").cast("double")
     k = len(DOMAINS)
-    first = soft.agg(*_weighted([tokens * x for x in p]), *_weighted([tokens * x * y for x in p for y in p])).first()
-    totals, gram = np.array(first[:k]), np.array(first[k:]).reshape(k, k)
+
+    def sums(rate):
+        """Expected tokens by domain and G of the documents whose rate isn't nought."""
+        live = tokens * F.when(rate > 0, 1.0).otherwise(0.0)
+        got = soft.select(*p, tokens.alias("tokens"), rate.alias("_rate"), live.alias("_live")).agg(
+            *_weighted([F.col("_rate") * F.col("tokens") * x for x in p]), *_weighted([F.col("_live") * x * y for x in p for y in p])
+        ).first()
+        return np.array(got[:k]), np.array(got[k:]).reshape(k, k)
+
+    totals, gram = sums(F.lit(1.0))
     whole = max(1.0, totals.sum())
     if targets is None:
         wanted = np.array(soft.where("p_toxic < greatest(p_high, p_low)").agg(*_weighted([tokens * x for x in p])).first())
     else:
         wanted = np.array([targets[d] for d in DOMAINS]) * totals.sum()
     back = np.linalg.pinv(gram, rcond=1e-9)
-    rate, depth = F.lit(1.0), 0
+    rate, depth, pulls, narrow = F.lit(1.0), 0, [], True
     for _ in range(steps):
-        if np.abs(totals - wanted).max() <= tolerance * whole:
+        off = totals - wanted
+        if np.abs(off).max() <= tolerance * whole:
             break
         if depth == 12:  # keeps the expression short
-            soft = staged(soft.withColumn("so_far", rate), "rates")
+            before, soft = soft, staged(soft.withColumn("so_far", rate), "rates")
+            if "so_far" in before.columns:
+                spent(before)
             rate, depth = F.col("so_far"), 0
-        pull = back @ (totals - wanted)
-        rate, depth = F.greatest(F.lit(0.0), rate - sum((x * F.lit(float(g)) for x, g in zip(p, pull)), F.lit(0.0))), depth + 1
-        now = np.array(soft.agg(*_weighted([rate * tokens * x for x in p])).first())
-        if np.abs(now - totals).max() <= tolerance * 0.01 * whole:
-            totals = now
+        pull = (np.linalg.pinv(gram, rcond=1e-9) if narrow else back) @ off
+        next_rate = F.greatest(F.lit(0.0), rate - sum((x * F.lit(float(g)) for x, g in zip(p, pull)), F.lit(0.0)))
+        now, next_gram = sums(next_rate)
+        was, gap = off @ back @ off, (now - wanted) @ back @ (now - wanted)
+        if narrow and gap >= 0.9 * was:
+            narrow = False
+            continue
+        pulls.append(pull)
+        rate, totals, gram, depth = next_rate, now, next_gram, depth + 1
+        if not narrow and was - gap <= 1e-3 * was:
             break
-        totals = now
-    return soft.withColumn("rate", rate).drop("so_far"), totals.tolist(), wanted.tolist()
+    return soft.withColumn("rate", rate).drop("so_far"), Fit(pulls, totals, wanted, whole)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -220,7 +272,38 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, tokens, p_high, p_low, p_toxic, rate, n_copies of every row; ``targets`` as in ``rates``."""
+    """doc_id, tokens, p_high, p_low, p_toxic, rate, n_copies, target_miss of every row; ``targets`` as in ``rates``.
+
+    ``target_miss`` is the same in all rows: what the reached totals miss of the targets, as a share of all tokens.
+    """
     soft = staged(posteriors(docs, *fit(docs, labels)), "soft")
-    out, _, _ = rates(soft, targets)
-    return out.withColumn("n_copies", copies(F.col("rate"), F.col("doc_id")))
+    out, how = rates(soft, targets)
+    return out.withColumn("n_copies", copies(F.col("rate"), F.col("doc_id"))).withColumn("target_miss", F.lit(how.miss))
+
+
+def realise(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, nearest: bool = False) -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns, as often as its rate says.
+
+    A rate's fraction is decided by a hash of the text, or, with ``nearest``, by rounding, so that documents that the targets
+    want whole are never lost by a draw. The texts go through the classifiers twice and are not shuffled.
+    """
+    models = fit(docs, labels)
+    soft = staged(posteriors(docs, *models), "soft")
+    _, how = rates(soft, targets)
+    spent(soft)
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches):
+        for batch in batches:
+            times = []
+            for block in blocks(((t,) for t in batch.column(at).to_pylist()), 0):
+                texts = [t for t, in block]
+                rate = how.rate(_shares(texts, *models)[1])
+                if nearest:
+                    part = 0.5
+                else:
+                    part = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]) / 2.0**32
+                times += np.floor(rate + 1.0 - part).astype(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays(batch.take(pa.array(np.repeat(np.arange(len(batch)), times), pa.int64())).columns, names)
+
+    return docs.mapInArrow(run, docs.schema)
