@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_root
+from .shared import shared_root, staged
 
 N_SLOTS = 4096
 
@@ -129,6 +129,7 @@ def shard(docs: DataFrame, path: str, n_shards: int = 8, n_slots: int = N_SLOTS,
         F.crc32(text).alias("text_crc32"),
         virtual_slot(F.col("doc_id"), F.col("text"), n_slots).alias("virtual_slot"),
     )
+    sizes = slot_sizes(records)
     stored = versions(spark, path)
     if not stored:
         store_map(first_map(spark, n_shards, n_slots), path)
@@ -137,12 +138,13 @@ def shard(docs: DataFrame, path: str, n_shards: int = 8, n_slots: int = N_SLOTS,
             store_map(grow_map(load_map(spark, path, 1), n_shards), path)
         now, grown = load_map(spark, path, 1), load_map(spark, path, 2).select("virtual_slot", F.col("shard").alias("grown_shard"))
     else:
-        store_map(rebalance_map(load_map(spark, path), slot_sizes(records), n_shards), path)
+        sizes = staged(sizes, "slot-sizes")
+        store_map(rebalance_map(load_map(spark, path), sizes, n_shards), path)
         now = load_map(spark, path)
         grown = now.select("virtual_slot", F.lit(None).cast("int").alias("grown_shard"))
     table = (
         now.join(grown, "virtual_slot")
-        .join(slot_sizes(records), "virtual_slot")
+        .join(sizes, "virtual_slot")
         .withColumn("before", F.coalesce(F.sum("slot_rows").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
     # n_slots rows at most, whatever the input
