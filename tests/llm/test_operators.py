@@ -571,3 +571,179 @@ def test_bytes_are_evened_by_editing_the_map(spark):
     assert len(got) == 6000 and all(sorted(x.slot for x in got if x.shard == s) == list(range(sum(x.shard == s for x in got))) for s in range(8))
     with pytest.raises(ValueError):
         sharding.shard(table(spark, rows), path, law="rows")
+
+
+# ---- more of 1 and 2
+
+
+def test_unlike_texts_of_one_id_are_classed_apart(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, b + " more"), (0, a + " first"), (None, a)]
+    got = sorted((x.doc_id, x.class_id, x.leads, x.copy_of) for x in minhash.near_duplicates(table(spark, rows)).collect())
+    assert got == [(0, 0, True, 0), (1, 0, False, 1), (1, 1, True, 1), (1, 1, True, 1), (2, 0, False, 2), (3, 1, False, 3)]
+    kept = minhash.keep_leads(table(spark, rows).withColumn("_row", F.lit(1)).withColumn("_id", F.lit("x")))
+    assert kept.columns == [*table(spark, []).columns, "_row", "_id"]
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted([(0, rows[5][1]), (1, b), (None, a)], key=str)
+
+
+def test_recall_of_near_duplicates_on_a_table(spark):
+    """All pairs of similarity 0.8 of the small documents table meet in one class (against inverted lists of all shingles)."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs).collect()}
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
+    assert got == brute_classes(rows)
+
+
+def test_long_texts_are_whole_in_near_duplicates(spark):
+    r = random.Random(12)
+    base = [f"w{r.randrange(5000)}" for _ in range(120_000)]
+    tail = base[:100_000] + [f"v{r.randrange(5000)}" for _ in range(20_000)]
+    other = base[:60_000] + [f"u{r.randrange(5000)}" for _ in range(60_000)]
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(table(spark, [(1, " ".join(base)), (2, " ".join(base[:110_000])), (3, " ".join(other)), (4, " ".join(tail))])).collect()}
+    assert got == brute_classes([(1, " ".join(base)), (2, " ".join(base[:110_000])), (3, " ".join(other)), (4, " ".join(tail))])
+
+
+def nearest_totals(a, want, back):
+    """The point nearest to ``want`` (in the metric ``back``) among a @ r for r >= 0: active sets by Lawson and Hanson."""
+    root = np.linalg.cholesky(back).T
+    m, b = root @ a, root @ want
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(500):
+        pull = m.T @ (b - m @ x)
+        if free.all() or pull[~free].max() <= 1e-9 * np.abs(m).max() * max(1.0, np.abs(b).max()):
+            break
+        free[np.flatnonzero(~free)[pull[~free].argmax()]] = True
+        while True:
+            z = np.zeros_like(x)
+            z[free] = np.linalg.lstsq(m[:, free], b, rcond=None)[0]
+            if (z[free] > 1e-12).all():
+                x = z
+                break
+            low = free & (z <= 1e-12)
+            step = (x[low] / np.maximum(x[low] - z[low], 1e-300)).min()
+            x = x + step * (z - x)
+            free &= x > 1e-12
+    return a @ x
+
+
+@pytest.mark.parametrize("targets, near", [({"high": 0.3, "low": 0.3, "toxic": 0.4}, 1e-4), ({"high": 0.75, "low": 0.2, "toxic": 0.05}, 1e-3), ({"high": 0.0, "low": 0.0, "toxic": 1.0}, 0.05)])
+def test_rates_reach_what_an_independent_least_squares_reaches(spark, targets, near):
+    r = np.random.default_rng(3)
+    p = r.dirichlet([2.0, 1.0, 0.5], 60) * 0.8 + np.array([0.1, 0.06, 0.04])  # no pure domain: some targets are out of reach
+    tokens = r.integers(5, 500, 60)
+    soft = spark.createDataFrame([(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(tokens, p))], "doc_id long, tokens long, p_high double, p_low double, p_toxic double")
+    out, how = mixing.rates(soft, targets)
+    a = (p * tokens[:, None]).T
+    want = np.array([targets[d] for d in mixing.DOMAINS]) * a.sum()
+    best = nearest_totals(a, want, np.linalg.inv((p * tokens[:, None]).T @ p))
+    assert np.abs(how.reached - best).max() < near * a.sum() and np.allclose(how.wanted, want)
+    rate = np.array([x.rate for x in out.orderBy("doc_id").collect()])
+    assert np.allclose(a @ rate, how.reached) and np.allclose(how.rate(p), rate) and rate.min() >= 0
+
+
+def test_the_mix_itself_has_the_wanted_tokens(spark):
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(900):
+        kind = ["high", "high", "low", "toxic"][i % 4]
+        w = [f"word{r.randrange(200)}" for _ in range(r.randrange(20, 60))]
+        rows.append((i, (" ### " if kind == "low" else " ").join([*w, *(["nasty"] * 6 if kind == "toxic" else [])])))
+        labels += [(i, int(kind != "low"), int(kind == "toxic"))] if i % 3 else []
+    known, docs = spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), table(spark, [*rows, (5000, None), (None, "word1 word2")])
+    targets = {"high": 0.5, "low": 0.45, "toxic": 0.05}
+    out = mixing.realise(docs, known, targets)
+    assert out.columns == docs.columns
+    held = {d: 0 for d in targets}
+    for x in out.where("doc_id < 5000").collect():
+        held[["high", "high", "low", "toxic"][x.doc_id % 4]] += len(mixing.words([x.text])[0])
+    whole = sum(len(mixing.words([t])[0]) for _, t in rows)
+    assert all(abs(held[d] / whole - share) < 0.02 for d, share in targets.items())
+    clean = [x.doc_id for x in mixing.realise(docs, known, None, nearest=True).collect()]
+    assert sorted(clean, key=str) == sorted([*(i for i in range(900) if i % 4 != 3), 5000, None], key=str)
+    assert mixing.realise(docs.where("false"), known, targets).count() == 0
+    assert {x.target_miss < 0.01 for x in mixing.mix_rates(docs, known, targets).collect()} == {True}
+
+
+# ---- more of 4
+
+
+def least_edits(item, text):
+    """Edit distance of a word list to the best of all stretches of another, and whether the whole table says so."""
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(item, 1):
+        new = [i]
+        for j, v in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (w != v)))
+        row = new
+    return min(row)
+
+
+def test_matches_are_those_of_every_stretch(spark):
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, [r.choice(vocabulary) for _ in range(r.randrange(3, 40))]) for i in range(24)]
+    items += [(30, items[0][1]), (31, ["na"] * 12), (32, ["la", "lo"] * 10)]
+    rows = []
+    for n in range(60):
+        w = items[n % 27][1].copy()
+        for _ in range(r.randrange(0, 2 + len(w) // 3)):
+            at, kind = r.randrange(len(w) + 1), r.randrange(3)
+            w[at : at + (kind != 2)] = [r.choice(vocabulary)] if kind != 1 else []
+        rows.append((n, [r.choice(vocabulary) for _ in range(r.randrange(0, 50))] + w + [r.choice(vocabulary) for _ in range(r.randrange(0, 50))]))
+    rows += [(70, ["na"] * 300), (71, ["la"] * 200), (72, ["lo", "la"] * 150), (73, []), (74, rows[0][1] + rows[0][1])]
+    want = {(d, i): e for d, t in rows for i, w in items if (e := least_edits(w, t)) <= decontam.limit(len(w))}
+    docs = table(spark, [(d, " ".join(t)) for d, t in rows] + [(80, None)])
+    bench = spark.createDataFrame([*((i, " ".join(w).upper()) for i, w in items), (40, None), (41, "?")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontam.matches(docs, bench).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) > 50
+    texts = dict(rows)
+    for (d, i), x in got.items():
+        assert want[d, i] <= x.edits <= decontam.limit(x.item_words) and 0 <= x.start_word <= len(texts[d])
+        if x.edits == 0:
+            assert texts[d][x.start_word : x.start_word + x.item_words] == dict(items)[i]
+    assert sum(x.edits == want[k] for k, x in got.items()) >= 0.98 * len(got)
+    assert decontam.matches(docs.where("false"), bench).count() == 0 and decontam.clean(docs.where("false"), bench).count() == 0
+
+
+def test_words_that_repeat_on_and_on(spark):
+    bench = spark.createDataFrame([(1, "a " * 500), (2, "a b " * 250)], "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.edits) for x in decontam.matches(table(spark, [(1, "a " * 20_000), (2, "b a " * 9000), (3, "a " * 300)]), bench).collect())
+    assert got == [(1, 1, 0), (2, 2, 0)]
+
+
+def test_lengths_that_miss_the_recall_go_on_unsampled(monkeypatch):
+    r = np.random.default_rng(5)
+    item = [f"w{i}" for i in range(40)]
+    monkeypatch.setattr(decontam, "MOST", 1)
+    monkeypatch.setattr(decontam.repetitions, "__defaults__", (decontam.RECALL, 1))
+    made = decontam.Matcher([1], [" ".join(item)])
+    assert made.repeat.tolist() == [0]
+    for _ in range(40):
+        w = item.copy()
+        for at in r.choice(40, 9, replace=False):
+            w[at] = "new"
+        assert least_edits(item, w) == 9 and (not made._ranges(*decontam_words(w))[0].size or made.find([" ".join(w)])[0][:3] == (0, 0, 9))
+
+
+def decontam_words(w):
+    hashed, at = decontam.words([" ".join(w)])
+    return hashed, np.zeros(len(hashed), np.int64)
+
+
+@pytest.mark.parametrize("n", [8, 20, 45, 120])
+def test_measured_recall_of_the_sampling(n):
+    """Copies under as many edits as the limit allows, drawn anew, collide in the repetitions that the class got."""
+    r = np.random.default_rng(n)
+    items = [r.integers(2, 1 << 60, n).astype(np.uint64) for _ in range(30)]
+    count, measured = decontam.repetitions(items)[decontam.length_class(n)]
+    hit = []
+    for w in items * 10:
+        e = w.tolist()
+        for _ in range(decontam.limit(n)):
+            at, kind = int(r.integers(0, len(e))), int(r.integers(0, 3))
+            e[at : at + (kind != 2)] = [int(r.integers(2, 1 << 60))] if kind != 1 else []
+        a, b = np.array([w]), np.zeros((1, n), np.uint64)
+        b[0, : min(n, len(e))] = e[:n]
+        size = np.array([n])
+        hit.append(count == 0 or any((decontam.sampled(a, size, k) == decontam.sampled(b, size, k))[0] for k in range(count)))
+    assert measured >= 0.9 and np.mean(hit) >= 0.95
