@@ -1,21 +1,18 @@
 """Corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding, each over all that the one before kept.
 
 Every stage's result is written as Parquet in the cluster's shared folder and read again as the next one's
-input. All stages but the last return rows of ``documents`` with their columns. Rows without an id pass
-near-dedup and mixing as they are. ``ORACLE_SQL`` is None: language models, MinHash and edit distance have no SQL form.
+input. All stages but the last return rows of ``documents`` with their columns, whatever these are besides doc_id and text.
+Very long texts are one row like any other throughout; an empty table passes every stage as an empty one. Rows
+without an id pass near-dedup as they are. ``ORACLE_SQL`` is None: language models, MinHash and edit distance have no SQL form.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tabularium.llm import decontam, langid, minhash, mixing, sharding
 from tabularium.llm.shared import new_folder
 
-#: A document stays in the mix if its rate rounds to one copy.
-LEAST_RATE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Label the spans of every text; texts without a language (null, or without letters) go."""
@@ -23,10 +20,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (five-word shingles, similarity 0.8) the document of least id stays, once."""
-    found = minhash.near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Of each class of near-duplicates (five-word shingles, similarity 0.8) the row of least id stays, once.
+
+    Unlike texts of one id are classed apart, so neither is lost.
+    """
+    return minhash.keep_leads(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +33,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates towards the domain totals that are left without the documents that are toxic more likely than not; rates of a half and more stay."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out = mixing.mix_rates(docs, labels, None)
-    keep = out.where(F.col("rate") >= LEAST_RATE).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Rates towards the domain totals of the documents that are not toxic more likely than toxic, and each document as often as its rate rounds to.
+
+    So the targets are all tokens of high and of low quality and none of toxic domains; clean documents stay.
+    """
+    return mixing.realise(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), None, nearest=True)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and place of every document that is left."""
-    return sharding.shard(docs, new_folder(spark, "slot-map"), n_shards=8)
+    """doc_id and place of every document that is left, by a slot map edited for even bytes of this corpus."""
+    return sharding.shard(docs, new_folder(spark, "slot-map"), n_shards=8, law="bytes")
 
 
 STAGES = [
