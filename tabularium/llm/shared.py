@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,4 +45,4 @@ def spent(*tables: DataFrame) -> None:
     for table in tables:
         files = table.inputFiles()
         if files:
-            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(unquote(files[0].rsplit("/", 1)[0]))
