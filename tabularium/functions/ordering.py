@@ -35,16 +35,26 @@ def ranked(df: DataFrame, seed: int, row_id: str, out: str = "place", within: tu
     )
 
 
-def bucketed(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
-    """Add ``_bucket``: which of about ``buckets`` equal ranges of ranks the value falls in (cut points by quantile sketch)."""
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 20000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    return df.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
+def bucketed(df: DataFrame, value: str, buckets: int = 256, tie: str | None = None) -> DataFrame:
+    """Add ``_bucket``: which of about ``buckets`` ranges the value falls in, in their order (cut points by quantile sketch).
+
+    A value that is a cut point has a bucket for itself. With a numeric ``tie`` such a bucket, whose rows may be most of
+    the table, is cut again by ranges of the tie. So the order of (value, tie) is kept and no value is one task's.
+    """
+    numeric = tie is not None and dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
+    shares = [i / buckets for i in range(1, buckets)]
+    found = df.agg(F.percentile_approx(value, shares, 20000).alias("c"), (F.percentile_approx(tie, shares, 20000) if numeric else F.lit(None)).alias("t")).first()
+    cuts, ties = (F.array(*map(F.lit, sorted(set(v)))) if v else None for v in (found["c"], found["t"]))
+    if cuts is None:
+        return df.withColumn("_bucket", F.lit(0))
+    below, is_cut = F.size(F.filter(cuts, lambda c: c < F.col(value))), F.coalesce(F.array_contains(cuts, F.col(value)), F.lit(False))
+    within = F.when(is_cut, F.size(F.filter(ties, lambda t: t < F.col(tie)))).otherwise(0) if ties is not None else F.lit(0)
+    return df.withColumn("_bucket", (F.lit(2) * below + is_cut.cast("int")) * F.lit(2 * buckets) + within)
 
 
 def with_previous(df: DataFrame, value: str, tie: str, carried: str) -> DataFrame:
     """Add ``previous``: ``carried`` of the row before in the order of (value, tie); null for the first row."""
-    held = bucketed(df, value)
+    held = bucketed(df, value, tie=tie)
     order = Window.partitionBy("_bucket").orderBy(value, tie)
     lasts = held.groupBy("_bucket").agg(F.max_by(carried, F.struct(value, tie)).alias("_last"))
     edges = lasts.select(F.col("_bucket"), F.lag("_last").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")).alias("_edge"))
@@ -58,7 +68,7 @@ def with_previous(df: DataFrame, value: str, tie: str, carried: str) -> DataFram
 
 def with_rank(df: DataFrame, value: str, tie: str, out: str = "rank") -> DataFrame:
     """Add ``out``: place from 1 in the order of (value, tie), and ``out_n``: all rows."""
-    held = bucketed(df, value)
+    held = bucketed(df, value, tie=tie)
     sizes = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     one = Window.partitionBy(F.lit(0))
     before = sizes.select("_bucket", F.coalesce(F.sum("_n").over(one.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(one).alias(f"{out}_n"))

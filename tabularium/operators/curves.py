@@ -19,17 +19,32 @@ def recommended_epoch(curves: DataFrame, groups: list[str], target: float = 0.95
 
 
 def early_stop(curves: DataFrame, groups: list[str], patience: int, least_gain: float = 0.0) -> DataFrame:
-    """groups, best_epoch, best_r2, stop_epoch: stops at the first point that is ``patience`` points past an improvement."""
-    order = Window.partitionBy(*groups).orderBy("epoch")
-    best = F.max("r2").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = curves.withColumn("_better", best.isNull() | (F.col("r2") > best + F.lit(least_gain))).withColumn("_place", F.row_number().over(order))
-    rows = rows.withColumn("_since", F.col("_place") - F.max(F.when(F.col("_better"), F.col("_place"))).over(order))
-    stops = rows.withColumn("_stop", F.min(F.when(F.col("_since") >= patience, F.col("epoch"))).over(Window.partitionBy(*groups)))
-    seen = stops.where("_stop is null or epoch <= _stop")
-    return seen.groupBy(*groups).agg(
-        F.max_by("epoch", F.struct("r2", (-F.col("epoch")).alias("e"))).alias("best_epoch"), F.max("r2").alias("best_r2"), F.max("_stop").alias("stop_epoch")
+    """groups, best_epoch, best_r2, stop_epoch: stops at the point that is the ``patience``-th in a row without an improvement.
+
+    A point improves by more than ``least_gain`` over the last point that did, so small steps may add up to one. The best
+    point is the first of the highest seen. A group is one run's curve, whose points meet in one row.
+    """
+    point = F.struct("epoch", F.col("r2").cast("double").alias("r2"))
+    start = F.struct(
+        F.lit(None).cast("double").alias("accepted"), F.lit(0).alias("since"), F.lit(None).cast("long").alias("stop"),
+        F.lit(None).cast("long").alias("best_epoch"), F.lit(None).cast("double").alias("best_r2"),
     )
 
+    def follow(s: Column, p: Column) -> Column:
+        better = s["accepted"].isNull() | (p["r2"] > s["accepted"] + F.lit(float(least_gain)))
+        since = F.when(better, F.lit(0)).otherwise(s["since"] + 1)
+        top = s["best_r2"].isNull() | (p["r2"] > s["best_r2"])
+        new = F.struct(
+            F.when(better, p["r2"]).otherwise(s["accepted"]).alias("accepted"), since.alias("since"), F.when(since >= patience, p["epoch"].cast("long")).alias("stop"),
+            F.when(top, p["epoch"].cast("long")).otherwise(s["best_epoch"]).alias("best_epoch"), F.when(top, p["r2"]).otherwise(s["best_r2"]).alias("best_r2"),
+        )
+        return F.when(s["stop"].isNotNull(), s).otherwise(new)
+
+    held = curves.groupBy(*groups).agg(F.array_sort(F.collect_list(point)).alias("_points"))
+    done = held.select(*groups, F.aggregate("_points", start, follow).alias("s"))
+    kind = curves.schema["epoch"].dataType
+    return done.select(*groups, F.col("s.best_epoch").cast(kind).alias("best_epoch"), "s.best_r2", F.col("s.stop").cast(kind).alias("stop_epoch"))
+
 
 def mean_curve(curves: DataFrame, groups: list[str], split: str) -> DataFrame:
     """groups, epoch, r2, splits: means over the splits, of epochs that every split measured."""
@@ -39,6 +54,6 @@ def mean_curve(curves: DataFrame, groups: list[str], split: str) -> DataFrame:
 
 
 def spark_line(value: Column, low: Column, high: Column) -> Column:
-    """One of eight glyphs for the value's place between low and high."""
+    """The nearest of eight glyphs to the value's place between low and high."""
     share = (value - low) / F.greatest(high - low, F.lit(1e-12))
-    return F.substring(F.lit(GLYPHS), 1, 8).substr(F.least(F.lit(8), F.floor(share * 8) + 1).cast("int"), F.lit(1))
+    return F.lit(GLYPHS).substr(F.least(F.lit(8), F.round(share * 7) + 1).cast("int"), F.lit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,49 +31,76 @@ def tail_ratio(df: DataFrame, feature: str, row_id: str, residual: str) -> DataF
     return sums.select(F.lit(feature).alias("feature"), F.when((F.col("n") < 10) | (F.col("i") < 1e-12), F.lit(1.0)).otherwise(F.col("o") / F.col("i")).alias("tail_ratio"))
 
 
+def interleaved_order(df: DataFrame, row_id: str, most: int) -> DataFrame:
+    """row_id, offset, bucket of every row: bucket b of ``most`` holds the places from floor(b n / most) on; (offset, bucket) is the order.
+
+    So the first rows of all buckets come first, then the second ones: any beginning of the order is spread over the whole table.
+    """
+    rows = with_rank(df.select(F.col(row_id).alias("row_id")), "row_id", "row_id")
+    return rows.select("row_id", F.expr(f"(rank * least({most}, rank_n) + rank_n - 1) div rank_n - 1").alias("bucket"), "rank", "rank_n").select(
+        "row_id", (F.col("rank") - 1 - F.expr(f"bucket * rank_n div least({most}, rank_n)")).alias("offset"), "bucket"
+    )
+
+
 def interleaved(df: DataFrame, row_id: str, most: int) -> DataFrame:
     """row_id, turn of ``most`` rows spread evenly over the order of ids: the first of each of ``most`` buckets."""
-    rows = with_rank(df.select(F.col(row_id).alias("row_id")), "row_id", "row_id")
-    at, n = F.col("rank") - 1, F.col("rank_n")
-    bucket = F.floor(at * most / n)
-    begin = F.ceil(bucket * n / most)
-    return rows.where((n <= most) | (at == begin)).select("row_id", F.when(n <= most, at).otherwise(bucket).cast("long").alias("turn"))
+    return interleaved_order(df, row_id, most).where("offset = 0").select("row_id", F.col("bucket").cast("long").alias("turn"))
 
 
 def nearest_rows(df: DataFrame, row_id: str, category: str, columns: list[str], most: int = 300) -> DataFrame:
     """base_id, other_id, distance: for ``most`` spread-out rows the nearest other row of the same category (distance over 1e-9).
 
-    ``columns`` are z-scored. ``most`` is the size of the diagnostic sample, so the bases are a bounded broadcast; all
-    rows are searched, and the least of each base is taken by partial aggregates.
+    ``columns`` are z-scored. A row whose category has no other point is no base; the next one in the interleaved order is
+    taken for it. ``most`` is the size of the diagnostic sample, so the bases are a bounded broadcast; all rows are
+    searched, and the least of each base is taken by partial aggregates.
     """
-    bases = interleaved(df, row_id, most).join(df.withColumnRenamed(row_id, "row_id"), "row_id").select(F.col("row_id").alias("base_id"), F.col(category).alias("_cat"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    spread = [(F.max(c) - F.min(c)) > 2e-9 for c in columns]
+    alive = df.groupBy(category).agg(functools.reduce(lambda a, b: a | b, spread).alias("_apart")).where("_apart").select(category)
+    fit = df.join(alive, category, "left_semi").select(F.col(row_id).alias("row_id"), F.col(category).alias("_cat"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    chosen = interleaved_order(df, row_id, most).join(fit, "row_id").orderBy("offset", "bucket").limit(most)
+    bases = chosen.select(F.col("row_id").alias("base_id"), "_cat", *[f"b_{c}" for c in columns])
     pairs = df.join(F.broadcast(bases), F.col(category) == F.col("_cat"))
     square = sum(((F.col(c) - F.col(f"b_{c}")) * (F.col(c) - F.col(f"b_{c}")) for c in columns), F.lit(0.0))
     near = pairs.select("base_id", F.col(row_id).alias("other_id"), F.sqrt(square).alias("distance")).where("distance > 1e-9")
     return near.groupBy("base_id").agg(F.min(F.struct("distance", "other_id")).alias("m")).select("base_id", "m.other_id", "m.distance")
 
 
-def sensitivity(pairs: DataFrame, columns: list[str], predict: Callable[[list[Column]], Column], alpha: float = 1.0) -> DataFrame:
+def sensitivity(pairs: DataFrame, columns: list[str], predict: Callable[[list[Column]], Column | list[Column]], alpha: float = 1.0, sigmas: list[float] | None = None) -> DataFrame:
     """pairs, mean and max of |dy| / |dx| when a base moves the share ``alpha`` towards its neighbour.
 
-    ``pairs`` has columns a_<c> of the base and b_<c> of the neighbour; categories never move.
+    ``pairs`` has columns a_<c> of the base and b_<c> of the neighbour; categories never move. ``predict`` gives one output or
+    several, in units of ``sigmas`` (one each where left out); a prediction that isn't finite is an error.
     """
+    def outputs(at: list[Column]) -> list[Column]:
+        made = predict(at)
+        return made if isinstance(made, list) else [made]
+
     moved = [F.col(f"a_{c}") + F.lit(alpha) * (F.col(f"b_{c}") - F.col(f"a_{c}")) for c in columns]
     dx = F.sqrt(sum(((m - F.col(f"a_{c}")) * (m - F.col(f"a_{c}")) for m, c in zip(moved, columns)), F.lit(0.0)))
-    dy = F.abs(predict(moved) - predict([F.col(f"a_{c}") for c in columns]))
-    ratios = pairs.select(dx.alias("dx"), dy.alias("dy")).where("dx > 1e-9").select((F.col("dy") / F.col("dx")).alias("ratio"))
+    before, after = outputs([F.col(f"a_{c}") for c in columns]), outputs(moved)
+    steps = [(p - q) / F.lit(float(s)) for p, q, s in zip(after, before, sigmas or [1.0] * len(before), strict=True)]
+    dy = F.sqrt(sum((s * s for s in steps), F.lit(0.0)))
+    ratio = F.when(F.col("dy").isNull() | F.isnan("dy") | (F.col("dy") == float("inf")), F.raise_error(F.lit("a prediction is not finite")).cast("double")).otherwise(F.col("dy") / F.col("dx"))
+    ratios = pairs.select(dx.alias("dx"), dy.alias("dy")).where("dx > 1e-9").select(ratio.alias("ratio"))
     return ratios.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ratio").alias("mean_ratio"), F.max("ratio").alias("max_ratio"))
 
 
 def nearest_rank(df: DataFrame, groups: list[str], value: str, share: float = 0.95) -> DataFrame:
     """groups, importance: the value at place round((n - 1) * share) of each group, without interpolation.
 
-    Values are counted first, so a group is as many rows as it has distinct values.
+    A group's values are first counted in ranges between its approximate quantiles; only the range that holds the place is put
+    in order, so a group is one task for a small part of its values.
     """
-    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    shares = [i / 64 for i in range(1, 64)]
+    cuts = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.percentile_approx(value, shares, 2000).alias("_cuts"))
+    held = df.where(F.col(value).isNotNull()).join(cuts, groups).select(*groups, F.col(value).alias("importance"), F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_range"))
+    sizes = held.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
     window = Window.partitionBy(*groups)
-    reached = counts.select(*groups, F.col(value).alias("importance"), F.sum("_n").over(window.orderBy(value)).alias("_upto"), F.sum("_n").over(window).alias("_all"))
-    return reached.where(F.col("_upto") > F.round((F.col("_all") - 1) * F.lit(share))).groupBy(*groups).agg(F.min("importance").alias("importance"))
+    reached = sizes.select(*groups, "_range", F.sum("_n").over(window.orderBy("_range")).alias("_upto"), "_n", F.round((F.sum("_n").over(window) - 1) * F.lit(share)).alias("_place"))
+    wanted = reached.where((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_n") <= F.col("_place"))).select(*groups, "_range", (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_place"))
+    counts = held.join(wanted, [*groups, "_range"]).groupBy(*groups, "importance").agg(F.count(F.lit(1)).alias("_n"), F.first("_place").alias("_place"))
+    upto = counts.select(*groups, "importance", "_place", F.sum("_n").over(window.orderBy("importance")).alias("_upto"))
+    return upto.where(F.col("_upto") > F.col("_place")).groupBy(*groups).agg(F.min("importance").alias("importance"))
 
 
 def prune(edges: DataFrame, layer: list[str], share: float) -> DataFrame:

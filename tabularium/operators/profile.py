@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import is_missing, is_number
+from ..functions.numeric import is_missing, is_number, trimmed
 
 #: Levels that a category has at most; thresholds of affine dependencies.
 MOST_LEVELS = 256
@@ -21,7 +21,7 @@ def cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, total, missing, non_numeric, distinct_values (null above 256), is_numeric, is_constant."""
-    values = cells(df, columns).select("column", F.trim(F.coalesce("cell", F.lit(""))).alias("cell"))
+    values = cells(df, columns).select("column", trimmed(F.coalesce("cell", F.lit(""))).alias("cell"))
     per_value = values.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
     missing, number = is_missing(F.col("cell")), is_number(F.col("cell"))
     out = per_value.groupBy("column").agg(
@@ -55,17 +55,23 @@ def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def category_levels(df: DataFrame, column: str) -> DataFrame:
-    """level, code: levels in numeric order if all are numbers, else in byte order. Levels are few by definition (256 at most)."""
-    levels = df.where(~is_missing(F.col(column).cast("string"))).select(F.trim(F.col(column).cast("string")).alias("level")).distinct()
+    """level, code: levels in numeric order if all are numbers, else in byte order; an error beyond ``MOST_LEVELS``.
+
+    The levels are cut to one more than those before they meet in one row, so that none grows with the table.
+    """
+    text = F.col(column).cast("string")
+    levels = df.where(~is_missing(text)).select(trimmed(text).alias("level")).distinct().limit(MOST_LEVELS + 1)
     held = levels.agg(F.collect_set("level").alias("v"), F.min(is_number(F.col("level")).cast("int")).alias("numeric"))
     by_number = F.array_sort(F.transform("v", lambda x: F.struct(x.try_cast("double").alias("n"), x.alias("level"))))
     ordered = F.when(F.col("numeric") == 1, F.transform(by_number, lambda s: s["level"])).otherwise(F.array_sort("v"))
-    return held.select(F.posexplode(ordered).alias("code", "level")).select("level", "code")
+    few = F.when(F.size("v") <= MOST_LEVELS, ordered).otherwise(F.raise_error(F.lit(f"{column}: more than {MOST_LEVELS} levels")).cast("array<string>"))
+    return held.select(F.posexplode(few).alias("code", "level")).select("level", "code")
 
 
 def label_encode(df: DataFrame, column: str, levels: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and code of each row; an unknown level has a null code."""
-    return df.join(F.broadcast(levels), F.trim(F.col(column).cast("string")) == F.col("level"), "left").select(*keep, F.col("code").cast("int").alias("code"))
+    """``keep`` and code of each row; an unknown level has a null code. ``category_levels`` bounds the broadcast."""
+    known = levels.limit(MOST_LEVELS)
+    return df.join(F.broadcast(known), trimmed(F.col(column).cast("string")) == F.col("level"), "left").select(*keep, F.col("code").cast("int").alias("code"))
 
 
 # ---- affine dependencies
@@ -104,30 +110,23 @@ def fit_affine(n: int, means: np.ndarray, products: np.ndarray, target: int, ter
 
 
 def affine_dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """target, terms, intercept, r2, is_exact: inputs that others give; the last in order goes first, and no further term uses it.
+    """target, terms, intercept, r2, is_exact: inputs that the others give. Columns are tried in order; one that is found explains no later one.
 
     p by p sums come to the driver, whatever the rows.
     """
     n, means, products = gram(df, columns)
     spread = np.diag(products)
-    live = [i for i in range(len(columns)) if spread[i] > 1e-12 * max(means[i] ** 2, 1e-300) * max(n, 1)]
+    pool = [i for i in range(len(columns)) if spread[i] > 1e-24 * max(means[i] ** 2, 1e-300) * max(n, 1)]
     found = []
-    while n >= LEAST_ROWS:
-        hit = None
-        for target in reversed(live):
-            terms = [i for i in live if i != target]
-            if not terms or n - len(terms) - 1 < LEAST_FREEDOM:
-                continue
-            fit = fit_affine(n, means, products, target, terms)
-            if fit and fit[2] >= NEAR:
-                hit = (target, terms, fit)
-                break
-        if not hit:
-            break
-        target, terms, (coefficients, intercept, r2) = hit
-        big = np.abs(coefficients) * np.sqrt(spread[terms]) > 1e-4 * np.sqrt(spread[target])
-        found.append((columns[target], [(columns[t], float(c)) for t, c, b in zip(terms, coefficients, big) if b], intercept, r2, r2 >= EXACT))
-        live.remove(target)
+    for target in list(pool) if n >= LEAST_ROWS else []:
+        terms = [i for i in pool if i != target]
+        if not terms or n < len(terms) + 1 + LEAST_FREEDOM:
+            continue
+        fit = fit_affine(n, means, products, target, terms)
+        if fit and fit[2] >= NEAR:
+            coefficients, intercept, r2 = fit
+            found.append((columns[target], [(columns[t], float(c)) for t, c in zip(terms, coefficients) if abs(c) > 1e-9], intercept, r2, r2 >= EXACT))
+            pool.remove(target)
     return df.sparkSession.createDataFrame(found, "target string, terms array<struct<column:string,coefficient:double>>, intercept double, r2 double, is_exact boolean")
 
 

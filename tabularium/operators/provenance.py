@@ -10,16 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fingerprint(df: DataFrame, row_id: str, columns: list[str], digits: int = 6) -> DataFrame:
-    """One row: n_rows, digest of values and their order by row id; names don't count.
+def fingerprint(df: DataFrame, row_id: str, inputs: list[str], outputs: list[str] | None = None, levels: dict[str, int] | None = None) -> DataFrame:
+    """One row: n_rows, digest of the values as 32-bit numbers, their order by row id, and the kinds of the columns; names don't count.
 
-    Rows hash by themselves; groups of a thousand ids hash together, and the groups' hashes are what is put in order last,
-    so that no task sees all rows.
+    Each input has a tag, with its number of levels if it is a category (``levels``), so that a category isn't taken for a quantity.
+    A number is put as the shortest text that only it has; both noughts are one, all that is no number is another. Rows hash by themselves, then
+    groups of a thousand ids, of a million and of a milliard hash together, so that no task sees all rows.
     """
-    value = [F.coalesce(F.format_number(F.col(c).cast("double") + F.lit(0.0), digits), F.lit("-")) for c in columns]
-    rows = df.select(F.col(row_id).cast("long").alias("_id"), F.sha2(F.concat_ws("|", F.col(row_id).cast("string"), *value), 256).alias("_h"))
-    groups = rows.groupBy(F.floor(F.col("_id") / 1000).alias("_g")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_id", "_h"))), lambda s: s["_h"]), ""), 256).alias("_h"), F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.sum("_n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_g", "_h"))), lambda s: s["_h"]), ""), 256).alias("digest"))
+    columns = [*inputs, *(outputs or [])]
+    tags = ",".join([*(f"K{levels[c]}" if levels and c in levels else "C" for c in inputs), f"inputs {len(inputs)}", f"outputs {len(outputs or [])}"])
+    value = [F.coalesce((F.col(c).cast("float") + F.lit(0.0).cast("float")).cast("string"), F.lit("-")) for c in columns]
+    held = df.select(F.col(row_id).cast("long").alias("_id"), F.sha2(F.concat_ws("|", F.col(row_id).cast("string"), *value), 256).alias("_h"), F.lit(1).cast("long").alias("_n"))
+    together = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_id", "_h"))), lambda s: s["_h"]), ""), 256)
+    for _ in range(3):
+        held = held.groupBy(F.floor(F.col("_id") / 1000).alias("_up")).agg(together.alias("_h"), F.sum("_n").alias("_n")).withColumnRenamed("_up", "_id")
+    whole = held.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), together.alias("_h"))
+    return whole.select("n_rows", F.sha2(F.concat(F.lit(tags + ";"), F.coalesce("_h", F.lit(""))), 256).alias("digest"))
 
 
 def stamp(spec: dict) -> str:

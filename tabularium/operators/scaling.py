@@ -18,6 +18,27 @@ def fit(df: DataFrame, columns: list[str], groups: list[str] | None = None) -> D
     return wide.select(*groups, F.inline(F.array(*[f"s{i}" for i in range(len(columns))])))
 
 
+def fit_without(df: DataFrame, columns: list[str], fold: str) -> DataFrame:
+    """``fit`` of the rows that are in every other fold, for each fold: one pass over the rows, the rest on a row for each fold and column."""
+    each = df.groupBy(fold).agg(*[
+        F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("m"), F.var_pop(c).alias("v"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(f"s{i}")
+        for i, c in enumerate(columns)
+    ]).select(F.col(fold).alias("_own"), F.inline(F.array(*[f"s{i}" for i in range(len(columns))])))
+    whole = each.groupBy("feature").agg(F.collect_list(F.struct("_own", "n", "m", "v", "low", "high")).alias("_all"))
+    others = whole.select("feature", "_all", F.explode("_all").alias("_one")).select("feature", F.col("_one._own").alias(fold), F.filter("_all", lambda p: p["_own"] != F.col("_one._own")).alias("_p"))
+
+    def total(value):
+        return F.aggregate("_p", F.lit(0.0), lambda s, p: s + value(p))
+
+    others = others.where(F.size("_p") > 0).withColumn("_n", total(lambda p: p["n"].cast("double")))
+    others = others.withColumn("mean", total(lambda p: p["n"] * p["m"]) / F.col("_n"))
+    square = total(lambda p: p["n"] * (p["v"] + (p["m"] - F.col("mean")) * (p["m"] - F.col("mean"))))
+    return others.select(
+        fold, "feature", "mean", F.greatest(F.sqrt(square / F.col("_n")), F.lit(FLOOR)).alias("std"),
+        F.array_min(F.transform("_p", lambda p: p["low"])).alias("low"), F.array_max(F.transform("_p", lambda p: p["high"])).alias("high"),
+    )
+
+
 def literals(stats: DataFrame) -> dict[str, dict[str, float]]:
     """The statistics of one fit on the driver: a row for each column."""
     return {r["feature"]: r.asDict() for r in stats.collect()}

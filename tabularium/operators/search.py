@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Values of an axis by budget.
+#: Axes of the additive spline models that this library fits, by budget.
 BUDGETS = {
     "quick": {"grid": [4], "strength": [1e-3, 1e-1], "epochs": [25]},
     "balanced": {"grid": [4, 8], "strength": [1e-4, 1e-2], "epochs": [40]},
     "thorough": {"grid": [4, 8, 12], "strength": [1e-5, 1e-3, 1e-1], "epochs": [40]},
 }
+#: Axes of the networks whose runs are recorded elsewhere and ranked here, by budget and kind; seeds; epochs of a search and of a final fit.
+NETWORKS = {
+    "quick": {
+        "attention": {"d_model": [64], "layers": [2], "d_ff": [128], "encoder": ["linear", "mlp"]},
+        "mlp": {"width": [128, 256], "layers": [3]},
+        "kan": {"width": [16], "layers": [2], "grid": [8, 16]},
+        "seeds": [0], "epochs": 25, "final_epochs": 60,
+    },
+    "balanced": {
+        "attention": {"d_model": [64, 96], "layers": [2, 3], "d_ff": [128, 384], "encoder": ["linear", "mlp"]},
+        "mlp": {"width": [128, 256], "layers": [3, 4]},
+        "kan": {"width": [16, 32], "layers": [2], "grid": [8, 16]},
+        "seeds": [0], "epochs": 40, "final_epochs": 80,
+    },
+    "thorough": {
+        "attention": {"d_model": [64, 96, 128], "layers": [2, 3], "d_ff": [128, 256, 384], "encoder": ["linear", "mlp"]},
+        "mlp": {"width": [128, 256, 512], "layers": [3, 4]},
+        "kan": {"width": [16, 32], "layers": [2, 3], "grid": [8, 16, 32]},
+        "seeds": [0, 1], "epochs": 40, "final_epochs": 80,
+    },
+}
 LONG_MAX = (1 << 63) - 1
 
 
+def network_configs(budget: str) -> list[dict]:
+    """Every configuration of a budget: kind and a value of each of its axes, last axis fastest."""
+    own = NETWORKS[budget]
+    out = []
+    for kind in ("attention", "mlp", "kan"):
+        out += [{"kind": kind, **dict(zip(own[kind], values))} for values in itertools.product(*own[kind].values())]
+    return out
+
+
 def candidates(spark: SparkSession, axes: dict[str, Sequence[float]]) -> DataFrame:
     """candidate (from 0, last axis fastest) and a column for each axis: the product of the axes, as one exploded row."""
     if not axes or any(not len(v) for v in axes.values()):

@@ -34,9 +34,9 @@ def kfold(df: DataFrame, row_id: str, k: int = 5, test: float = 0.15, test_seed:
     check_fractions(test)
     first = ranked(df.select(F.col(row_id).alias("row_id")), test_seed, "row_id", "drawn")
     is_test = F.col("drawn") < F.round(F.col("drawn_n") * F.lit(test))
-    tested = first.where(is_test).select("row_id", F.lit("test").alias("part"), F.lit(None).cast("int").alias("fold"))
-    pool = ranked(first.where(~is_test).select("row_id"), folds_seed, "row_id")
-    return tested.unionByName(pool.select("row_id", F.lit("pool").alias("part"), fold_of(k).alias("fold")))
+    # both parts are ranked, so that the first ranking is made once
+    parted = ranked(first.select("row_id", F.when(is_test, "test").otherwise("pool").alias("part")), folds_seed, "row_id", within=("part",))
+    return parted.select("row_id", "part", F.when(F.col("part") == "pool", fold_of(k)).alias("fold"))
 
 
 def fold_of(k: int):
@@ -85,4 +85,4 @@ class HoldoutTest:
 def prepare(df: DataFrame, row_id: str, plan: DataFrame) -> tuple[SearchPool, HoldoutTest]:
     """Join rows with their plan and part them."""
     both = df.join(plan.withColumnRenamed("row_id", row_id), row_id)
-    return SearchPool(both.where("part <> 'test'")), HoldoutTest(both.where("part = 'test'").drop("part", "fold"))
+    return SearchPool(both.where("part <> 'test'")), HoldoutTest(both.where("part = 'test'").drop(*(c for c in ("part", "fold") if c not in df.columns)))

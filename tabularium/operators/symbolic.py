@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import PRIMITIVES, affine_edge, primitive
+from ..functions.numeric import PRIMITIVES, affine_edge, in_domain, primitive
 
-#: Ranges of the inner scale and shift, settings of each, rounds of refinement.
-B_RANGE, C_RANGE, STEPS, ZOOMS = (-3.0, 3.0), (-4.0, 4.0), 13, 3
+#: Ranges of the inner scale and shift, settings of each, rounds after the first (three in all).
+B_RANGE, C_RANGE, STEPS, ZOOMS = (-3.0, 3.0), (-4.0, 4.0), 13, 2
+#: Squared deviations under which a curve is constant, and under which a setting says nothing.
+CONSTANT, BLIND = 1e-10, 1e-9
 
 
 def grid(spark: SparkSession, b: tuple[float, float] = B_RANGE, c: tuple[float, float] = C_RANGE) -> DataFrame:
@@ -24,24 +26,31 @@ def grid(spark: SparkSession, b: tuple[float, float] = B_RANGE, c: tuple[float,
 
 
 def _value(u: Column) -> Column:
+    """The primitive of column ``name`` at u; null outside of its domain."""
     out = F.lit(None).cast("double")
     for n in PRIMITIVES:
-        out = F.when(F.col("name") == n, primitive(n, u)).otherwise(out)
+        out = F.when((F.col("name") == n) & in_domain(n, u), primitive(n, u)).otherwise(out)
     return out
 
 
 def fit_round(samples: DataFrame, settings: DataFrame, keys: list[str]) -> DataFrame:
     """keys, turn, name, b, c, a, d, r2: closed-form a and d of every setting for each edge's samples (keys, x, y).
 
-    Settings are a bounded broadcast (1521 rows for each edge at most); sums are partial, so samples never meet.
+    A setting under which a sample leaves the primitive's domain, or all samples have one value, is left out. Settings are
+    1521 rows for each edge at most and come from literals; sums are partial, so samples never meet.
     """
     on = [k for k in keys if k in settings.columns]
-    pairs = samples.join(F.broadcast(settings), on) if on else samples.join(F.broadcast(settings))
+    pairs = samples.join(settings, on) if on else samples.join(F.broadcast(settings))
     pairs = pairs.withColumn("f", _value(F.col("b") * F.col("x") + F.col("c")))
-    sums = pairs.groupBy(*keys, "turn", "name", "b", "c").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("f").alias("mf"), F.avg("y").alias("my"), F.var_pop("f").alias("vf"), F.var_pop("y").alias("vy"), F.covar_pop("f", "y").alias("cv"))
-    a = F.when(F.col("vf") > 1e-12, F.col("cv") / F.col("vf")).otherwise(F.lit(0.0))
-    r2 = F.when((F.col("vf") > 1e-12) & (F.col("vy") > 1e-12), F.col("cv") * F.col("cv") / (F.col("vf") * F.col("vy"))).otherwise(F.lit(0.0))
-    return sums.select(*keys, "turn", "name", "b", "c", a.alias("a"), (F.col("my") - a * F.col("mf")).alias("d"), r2.alias("r2"))
+    n = F.count(F.lit(1))
+    sums = pairs.groupBy(*keys, "turn", "name", "b", "c").agg(
+        n.alias("n"), F.count("f").alias("inside"), F.avg("f").alias("mf"), F.avg("y").alias("my"),
+        (F.var_pop("f") * n).alias("vf"), (F.var_pop("y") * n).alias("vy"), (F.covar_pop("f", "y") * n).alias("cv"),
+    )
+    able = sums.where((F.col("inside") == F.col("n")) & (F.col("vf") >= BLIND))
+    a = F.col("cv") / F.col("vf")
+    r2 = F.when(F.col("vy") > 1e-12, F.col("cv") * F.col("cv") / (F.col("vf") * F.col("vy"))).otherwise(F.lit(0.0))
+    return able.select(*keys, "turn", "name", "b", "c", a.alias("a"), (F.col("my") - a * F.col("mf")).alias("d"), r2.alias("r2"))
 
 
 def best_of(fits: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,8 +59,16 @@ def best_of(fits: DataFrame, keys: list[str]) -> DataFrame:
     return fits.groupBy(*keys).agg(F.min(order).alias("m")).select(*keys, "m.name", "m.a", "m.b", "m.c", "m.d", "m.r2")
 
 
+def constants(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, mean, is_constant of each edge's samples."""
+    return samples.groupBy(*keys).agg(F.avg("y").alias("mean"), (F.var_pop("y") * F.count(F.lit(1)) < CONSTANT).alias("is_constant"))
+
+
 def fit_edges(samples: DataFrame, keys: list[str], zooms: int = ZOOMS) -> DataFrame:
-    """Best edge of each key: a first round over the whole grid, then rounds around each primitive's best setting."""
+    """Best edge of each key: a first round over the whole grid, then rounds around each primitive's best setting.
+
+    An edge whose samples are constant, or that no primitive explains at all, is ``const``: d is the mean, r2 is 1 or 0.
+    """
     spark = samples.sparkSession
     fits = fit_round(samples, grid(spark), keys)
     wide_b, wide_c = (B_RANGE[1] - B_RANGE[0]) / (STEPS - 1), (C_RANGE[1] - C_RANGE[0]) / (STEPS - 1)
@@ -61,7 +78,13 @@ def fit_edges(samples: DataFrame, keys: list[str], zooms: int = ZOOMS) -> DataFr
         near = tops.select(*keys, "turn", "name", (F.col("b")).alias("b0"), F.col("c").alias("c0"), F.explode(offsets).alias("o")).select(*keys, "turn", "name", (F.col("b0") + F.col("o.x")).alias("b"), (F.col("c0") + F.col("o.y")).alias("c"))
         fits = fit_round(samples, near, keys)
         wide_b, wide_c = 2 * wide_b / (STEPS - 1), 2 * wide_c / (STEPS - 1)
-    return best_of(fits, keys)
+    best = best_of(fits.where("r2 > 0"), keys)
+    flat = F.col("is_constant") | F.col("name").isNull()
+    nought = F.lit(0.0)
+    return constants(samples, keys).join(best, keys, "left").select(
+        *keys, F.when(flat, "const").otherwise(F.col("name")).alias("name"), *[F.when(flat, nought).otherwise(F.col(c)).alias(c) for c in ("a", "b", "c")],
+        F.when(flat, F.col("mean")).otherwise(F.col("d")).alias("d"), F.when(F.col("is_constant"), F.lit(1.0)).when(flat, nought).otherwise(F.col("r2")).alias("r2"),
+    )
 
 
 def edge_quality(best: DataFrame, least: float = 0.99) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..functions.ordering import with_rank
 from ..operators import curves, diagnostics, metrics, models, profile, provenance, scaling, scoring, search, split, symbolic
-from ..sources import text_table
+from ..sources import generators, text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,11 +54,12 @@ _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 _PROFILED = ["p_name", "p_brand", "p_type", "p_size"]
 _NUM = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+_IS_NUM = f"(regexp_matches(cell, '{_NUM}') and abs(try_cast(cell as double)) < 3.4028235677973366e38)"
 _PROFILE_SQL = f"""
 c as ({' union all '.join(f"select '{c}' as col, trim(coalesce({c}::varchar, '')) as cell from part" for c in _PROFILED)}
   union all select 'event_type', trim(coalesce(event_type, '')) from events union all select 'user_id', trim(coalesce(user_id::varchar, '')) from events),
 pr as (select col as "column", count(*) as total, sum(case when cell = '' then 1 else 0 end)::bigint as missing,
-  sum(case when cell <> '' and not regexp_matches(cell, '{_NUM}') then 1 else 0 end)::bigint as non_numeric,
+  sum(case when cell <> '' and not {_IS_NUM} then 1 else 0 end)::bigint as non_numeric,
   count(distinct case when cell <> '' then cell end) as kinds from c group by col),
 p2 as (select "column", total, missing, non_numeric, case when kinds <= 256 then kinds end as distinct_values,
   (non_numeric = 0 and missing < total) as is_numeric, (missing = 0 and kinds = 1) as is_constant from pr)
@@ -114,8 +115,8 @@ def label_decode(spark, sf_dir):
 
 
 @query(f"""with c as (select user_id, trim(unnest(regexp_split_to_array(props, '[,:{{}}"]+'))) as cell from events)
-select case when cell = '' then 'missing' when regexp_matches(cell, '{_NUM}') then 'number' else 'text' end as kind, count(*) as n,
-round(sum(case when regexp_matches(cell, '{_NUM}') then cell::double end), 4) as total from c group by 1""")
+select case when cell = '' then 'missing' when {_IS_NUM} then 'number' else 'text' end as kind, count(*) as n,
+round(sum(case when {_IS_NUM} then cell::double end), 4) as total from c group by 1""")
 def parse_cells(spark, sf_dir):
     cells = _t(spark, sf_dir, "events").select(F.explode(F.split("props", '[,:{}"]+', -1)).alias("c")).select(F.trim("c").alias("cell"))
     kind = F.when(numeric.is_missing(F.col("cell")), "missing").when(numeric.is_number(F.col("cell")), "number").otherwise("text")
@@ -172,13 +173,13 @@ def affine_pairs(spark, sf_dir):
     return rounded(profile.affine_pairs(_t(spark, sf_dir, "lineitem"), sorted(_LINE)), 5, r2=7)
 
 
-@query("""select 'net' as target, 1 as n_terms, regr_r2(l_extendedprice * 0.9 + 3, l_extendedprice) >= 0.999999 as is_exact from lineitem
-union all select 'rest', 1, regr_r2(100 - l_quantity, l_quantity) >= 0.999999 from lineitem""")
+@query("""select 'l_quantity' as target, 1 as n_terms, regr_r2(l_quantity, 100 - l_quantity) >= 0.999999 as is_exact from lineitem
+union all select 'l_extendedprice', 1, regr_r2(l_extendedprice, l_extendedprice * 0.9 + 3) >= 0.999999 from lineitem""")
 def affine_dependency(spark, sf_dir):
-    """Two derived columns of lineitem are found as exact functions of the column that they come from."""
+    """Two columns of lineitem are found as exact functions of the one that was made of each: the first in order is the target."""
     lines = _t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", (F.lit(100.0) - F.col("l_quantity")).alias("rest"), (F.col("l_extendedprice") * F.lit(0.9) + F.lit(3.0)).alias("net"))
     found = profile.affine_dependencies(lines, ["l_quantity", "l_extendedprice", "rest", "net"])
-    return found.select("target", F.size("terms").alias("n_terms"), "is_exact")
+    return found.select("target", F.size(F.filter("terms", lambda t: F.abs(t["coefficient"]) > 0.01)).alias("n_terms"), "is_exact")
 
 
 # ---- normalizers and ranges
@@ -203,11 +204,12 @@ def inverse_zscore(spark, sf_dir):
     return rounded(o.select("row_id", *[scaling.inverse(scaling.transform(c, stats), c, stats).alias(c) for c in ("x0", "y")]), 4)
 
 
-_RANGES = _ORDERS + ", s as (select min(x0) as l0, max(x0) as h0, min(x1) as l1, max(x1) as h1 from o where priority in ('1-URGENT', '2-HIGH'))"
+_RANGES = _ORDERS + ", s as (select min(x0) as l0, max(x0) as h0, min(x1) as l1, max(x1) as h1 from o where priority in ('1-URGENT', '2-HIGH') and x1 < 1200)"
 
 
 def _urgent(o):
-    return scaling.literals(scaling.fit(o.where(F.col("priority").isin("1-URGENT", "2-HIGH")), ["x0", "x1"]))
+    """Ranges of the urgent orders of the first years: later ones are outside."""
+    return scaling.literals(scaling.fit(o.where(F.col("priority").isin("1-URGENT", "2-HIGH") & (F.col("x1") < 1200)), ["x0", "x1"]))
 
 
 @query(f"with {_RANGES} select row_id, 'x0' as feature, x0 as value, l0 as low, h0 as high from o, s where x0 < l0 or x0 > h0 union all select row_id, 'x1', x1, l1, h1 from o, s where x1 < l1 or x1 > h1")
@@ -266,8 +268,7 @@ def fold_normalizers(spark, sf_dir):
     """Normalizers of each fold's training rows: what is in every other fold."""
     o = _orders(spark, sf_dir)
     rows = o.join(split.kfold(o, "row_id").where("part = 'pool'").select("row_id", F.col("fold").alias("own")), "row_id")
-    others = rows.select("x0", "y", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda f: f != F.col("own"))).alias("fold"))
-    return rounded(scaling.fit(others, ["x0", "y"], ["fold"]))
+    return rounded(scaling.fit_without(rows, ["x0", "y"], "own").withColumnRenamed("own", "fold"))
 
 
 # ---- metrics
@@ -372,7 +373,9 @@ def tail_ratio(spark, sf_dir):
     return rounded(diagnostics.tail_ratio(rows, "x0", "row_id", "e").unionByName(diagnostics.tail_ratio(rows, "x1", "row_id", "e")), 6)
 
 
-_INTER = "i as (select row_id, (case when n <= 300 then k else k * 300 // n end)::bigint as turn from (select p_partkey as row_id, row_number() over (order by p_partkey) - 1 as k, count(*) over () as n from part) where n > 300 and k = ceil((k * 300 // n) * n / 300.0::double) or n <= 300)"
+_INTER = """io as (select row_id, k - (b * n // m) as off, b from (select *, ((k + 1) * m + n - 1) // n - 1 as b from (
+  select *, least(300, n) as m from (select p_partkey as row_id, row_number() over (order by p_partkey) - 1 as k, count(*) over () as n from part)))),
+i as (select row_id, b::bigint as turn from io where off = 0)"""
 
 
 @query(f"with {_INTER} select row_id, turn from i")
@@ -381,7 +384,9 @@ def interleaved_rows(spark, sf_dir):
 
 
 _NEAR = f"""{_INTER}, z as (select p_partkey as id, p_brand as cat, (p_size - (select avg(p_size) from part)) / (select stddev_pop(p_size) from part) as s, (p_retailprice - (select avg(p_retailprice) from part)) / (select stddev_pop(p_retailprice) from part) as p from part),
-q as (select a.id as base_id, b.id as other_id, sqrt((b.s - a.s) ** 2 + (b.p - a.p) ** 2) as distance from z a join i on a.id = i.row_id join z b on a.cat = b.cat),
+apart as (select cat from z group by cat having max(s) - min(s) > 2e-9 or max(p) - min(p) > 2e-9),
+bases as (select row_id from io join z on row_id = id where cat in (select cat from apart) order by off, b limit 300),
+q as (select a.id as base_id, b.id as other_id, sqrt((b.s - a.s) ** 2 + (b.p - a.p) ** 2) as distance from z a join bases on a.id = bases.row_id join z b on a.cat = b.cat),
 n as (select base_id, arg_min(other_id, (round(distance, 9), other_id)) as other_id, min(distance) as distance from q where distance > 1e-9 group by base_id)"""
 
 
@@ -408,6 +413,18 @@ def sensitivity(spark, sf_dir):
     return rounded(diagnostics.sensitivity(pairs, ["s", "p"], lambda v: F.lit(2.0) * v[0] + F.lit(0.5) * v[1] * v[1]), 5)
 
 
+@query(f"""with {_NEAR}, r as (select sqrt((abs(2 * (b.s - a.s) + 0.5 * (b.p * b.p - a.p * a.p)) / 4) ** 2 + (((b.s - a.s) - (b.p - a.p)) / 0.5) ** 2) / sqrt((b.s - a.s) ** 2 + (b.p - a.p) ** 2) as ratio from n join z a on a.id = base_id join z b on b.id = other_id)
+select count(*) as pairs, round(avg(ratio), 5) as mean_ratio, round(max(ratio), 5) as max_ratio from r""")
+def sensitivity_of_outputs(spark, sf_dir):
+    """Two outputs, each in units of its own spread."""
+    z = _scaled_parts(spark, sf_dir)
+    near = diagnostics.nearest_rows(z, "p_partkey", "p_brand", ["s", "p"])
+    a = z.select(F.col("p_partkey").alias("base_id"), F.col("s").alias("a_s"), F.col("p").alias("a_p"))
+    b = z.select(F.col("p_partkey").alias("other_id"), F.col("s").alias("b_s"), F.col("p").alias("b_p"))
+    pairs = near.join(a, "base_id").join(b, "other_id")
+    return rounded(diagnostics.sensitivity(pairs, ["s", "p"], lambda v: [F.lit(2.0) * v[0] + F.lit(0.5) * v[1] * v[1], v[0] - v[1]], 1.0, [4.0, 0.5]), 5)
+
+
 _EDGES = "g as (select l_returnflag as layer, l_linestatus || l_linenumber::varchar as edge, arg_min(v, k) as importance from (select l_returnflag, l_linestatus, l_linenumber, l_extendedprice as v, row_number() over w as k, round((count(*) over (partition by l_returnflag, l_linestatus, l_linenumber) - 1) * 0.95::double) + 1 as want from lineitem window w as (partition by l_returnflag, l_linestatus, l_linenumber order by l_extendedprice)) where k >= want group by all)"
 
 
@@ -460,8 +477,19 @@ def early_stop(spark, sf_dir):
     return curves.early_stop(rounded(_curve(spark, sf_dir), 9), ["run", "split"], 3)
 
 
+@query(f"""with recursive {_CURVE}, b as (select run, split, epoch, round(r2, 9) as r2, row_number() over (partition by run, split order by epoch) as place from c),
+f as (select run, split, place, r2 as accepted, 0 as since, epoch as best_epoch, r2 as best_r2, null::int as stop from b where place = 1
+union all select b.run, b.split, b.place, case when b.r2 > accepted + 0.01 then b.r2 else accepted end, case when b.r2 > accepted + 0.01 then 0 else since + 1 end,
+  case when b.r2 > best_r2 then b.epoch else best_epoch end, greatest(b.r2, best_r2), case when b.r2 <= accepted + 0.01 and since + 1 >= 2 then b.epoch end
+  from f join b on b.run = f.run and b.split = f.split and b.place = f.place + 1 where f.stop is null)
+select run, split, arg_max(best_epoch, place) as best_epoch, max(best_r2) as best_r2, max(stop) as stop_epoch from f group by run, split""")
+def early_stop_least_gain(spark, sf_dir):
+    """Stops two points after the last gain of more than a hundredth; small gains add up."""
+    return curves.early_stop(rounded(_curve(spark, sf_dir), 9), ["run", "split"], 2, 0.01)
+
+
 @query(f"""with {_CURVE}, w as (select *, min(r2) over (partition by run, split) as lo, max(r2) over (partition by run, split) as hi from c)
-select run, split, epoch, substr('▁▂▃▄▅▆▇█', least(8, floor(round((r2 - lo) / greatest(hi - lo, 1e-12), 9) * 8) + 1)::int, 1) as glyph from w""")
+select run, split, epoch, substr('▁▂▃▄▅▆▇█', least(8, round(round((r2 - lo) / greatest(hi - lo, 1e-12), 9) * 7) + 1)::int, 1) as glyph from w""")
 def spark_lines(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -481,7 +509,7 @@ def lr_schedule(spark, sf_dir):
 # ---- models
 
 
-@query("select p_partkey, round(0.5::double * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715::double * x * x * x))), 8) as g, round(sin(x), 8) as s, round(exp(least(x, 15.0::double)), 6) as e, round(ln(greatest(x, 1e-4)), 8) as l, round(tanh(x), 8) as t, round(sqrt(greatest(x, 0.0::double)), 8) as q from (select p_partkey, (p_size - 25) / 10.0::double as x from part)")
+@query("select p_partkey, round(0.5::double * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715::double * x * x * x))), 8) as g, round(sin(x), 8) as s, round(exp(least(x, 15.0::double)), 6) as e, round(ln(greatest(x, 1e-6)), 8) as l, round(tanh(x), 8) as t, round(sqrt(greatest(x, 0.0::double)), 8) as q from (select p_partkey, (p_size - 25) / 10.0::double as x from part)")
 def activations(spark, sf_dir):
     x = (F.col("p_size") - F.lit(25.0)) / F.lit(10.0)
     p = _t(spark, sf_dir, "part")
@@ -556,7 +584,7 @@ def search_splines(spark, sf_dir):
 
 
 
-def _edges(spark, sf_dir):
+def _price_edges(spark, sf_dir):
     line = _t(spark, sf_dir, "lineitem")
     samples = line.groupBy("l_returnflag", "l_quantity").agg(F.avg("l_extendedprice").alias("y")).select(F.col("l_returnflag").alias("edge"), ((F.col("l_quantity") - F.lit(25.0)) / F.lit(15.0)).alias("x"), (F.col("y") / F.lit(10000.0)).alias("y"))
     return symbolic.fit_edges(samples, ["edge"])
@@ -565,13 +593,13 @@ def _edges(spark, sf_dir):
 @query()
 def symbolic_fit(spark, sf_dir):
     """The primitive that fits price by quantity best, for each return flag."""
-    return rounded(_edges(spark, sf_dir), 4)
+    return rounded(_price_edges(spark, sf_dir), 4)
 
 
 @query()
 def weak_best_edges(spark, sf_dir):
     """Worst and mean R2 of the edges' best fits of nine primitives, and how many edges are below 0.99 even so."""
-    return rounded(symbolic.edge_quality(_edges(spark, sf_dir)), 4)
+    return rounded(symbolic.edge_quality(_price_edges(spark, sf_dir)), 4)
 
 
 def _best_fits(spark, sf_dir):
@@ -592,7 +620,7 @@ def symbolic_round(spark, sf_dir):
     return rounded(_best_fits(spark, sf_dir), 6)
 
 
-@query("select p_partkey, round(2 * sin(1.5 * p_size / 10.0::double - 0.5) + 0.3 + 1.7 * ln(greatest(p_retailprice / 1000.0::double + 3, 1e-4)) - 0.4 + 0.1, 7) as pred from part")
+@query("select p_partkey, round(2 * sin(1.5 * p_size / 10.0::double - 0.5) + 0.3 + 1.7 * ln(greatest(p_retailprice / 1000.0::double + 3, 1e-6)) - 0.4 + 0.1, 7) as pred from part")
 def formula_score(spark, sf_dir):
     """A symbolic formula as one Column."""
     p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / F.lit(10.0)).alias("size"), (F.col("p_retailprice") / F.lit(1000.0)).alias("price"))
@@ -620,6 +648,18 @@ def char_vocabulary(spark, sf_dir):
     return counts.select("ch", "n", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ch")) - 1).alias("id"))
 
 
+@query("""with x as (select p_partkey, (p_size - 25) / 25.0::double as a, (p_retailprice - 1000) / 1000.0::double as b from part)
+select p_partkey, round(a + b, 8) as "sum_y", round(a * b, 8) as product_y, round(sin(3 * a), 8) as sine_y0, round(cos(3 * a), 8) as sine_y1, round(0.5 * a * a - a + 1, 8) as polynomial_y,
+round((5.5 + 4.5 * a) * (5.5 + 4.5 * a) * sin(2 * (0.8 + 0.7 * b)) / 9.81, 7) as projectile_y from x""")
+def sample_functions(spark, sf_dir):
+    """The known functions over inputs that parts give."""
+    a, b = (F.col("p_size") - F.lit(25.0)) / F.lit(25.0), (F.col("p_retailprice") - F.lit(1000.0)) / F.lit(1000.0)
+    at = {"sum": [a, b], "product": [a, b], "sine": [F.lit(3.0) * a], "polynomial": [a], "projectile": [F.lit(5.5) + F.lit(4.5) * a, F.lit(0.8) + F.lit(0.7) * b]}
+    made = {n: generators.truth(n, x) for n, x in at.items()}
+    out = _t(spark, sf_dir, "part").select("p_partkey", *[y.alias(f"{n}_y" if len(ys) == 1 else f"{n}_y{i}") for n, ys in made.items() for i, y in enumerate(ys)])
+    return rounded(out, 8, projectile_y=7)
+
+
 # ---- delivery
 
 
@@ -641,7 +681,7 @@ def export_summary(spark, sf_dir):
 
 @query()
 def dataset_fingerprint(spark, sf_dir):
-    return provenance.fingerprint(_orders(spark, sf_dir), "row_id", ["x0", "x1", "y"])
+    return provenance.fingerprint(_orders(spark, sf_dir), "row_id", ["x0", "x1"], ["y"])
 
 
 # ---- searches, reports

@@ -7,12 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE = r"(?U)^\s+|\s+$"
-
-
-def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, SPACE, "")
-
+from ..functions.numeric import trimmed
 
 def uncommented(line: Column) -> Column:
     """The line up to its first #, also within quotes: there is no quoting here."""
@@ -22,7 +17,7 @@ def uncommented(line: Column) -> Column:
 def split_cells(line: Column, delimiter: str) -> Column:
     """Cells of a line, trimmed, empty ones kept; ``delimiter`` is ',', a tab or '' for runs of blanks."""
     own = uncommented(line)
-    parts = F.split(trimmed(own), r"\s+", -1) if delimiter == "" else F.split(own, delimiter, -1)
+    parts = F.split(trimmed(own), r"(?U)\s+", -1) if delimiter == "" else F.split(own, delimiter, -1)
     return F.transform(parts, trimmed)
 
 

@@ -131,6 +131,21 @@ def test_affine_dependencies(spark):
     assert profile.affine_dependencies(none, ["a", "b"]).count() == 0
     two = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 17), 3.0 * (i * i % 17)) for i in range(40)], "a double, b double, c double, d double")
     assert profile.affine_dependencies(two, ["a", "b", "c", "d"]).count() == 2
+    assert [r.target for r in profile.affine_dependencies(two, ["a", "b"]).collect()] == ["a"]
+
+
+def test_numbers_and_blanks_as_the_text_source_sees_them(spark):
+    df = spark.createDataFrame([("1e39", "\u00a0", "3.4028235e38"), ("2", " \u2003 5 ", "-1")], "big string, blank string, edge string")
+    rows = {r["column"]: r for r in profile.profile_columns(df, ["big", "blank", "edge"]).collect()}
+    assert (rows["big"].non_numeric, rows["big"].is_numeric) == (1, False)
+    assert (rows["blank"].missing, rows["blank"].non_numeric) == (1, 0) and rows["edge"].is_numeric
+
+
+def test_more_levels_than_a_category_has(spark):
+    df = spark.range(400).selectExpr("cast(id as string) as v")
+    assert profile.category_levels(df.where("id < 256"), "v").count() == 256
+    with pytest.raises(Exception, match="more than 256 levels"):
+        profile.category_levels(df, "v").collect()
 
 
 # ---- evaluation
@@ -202,7 +217,69 @@ def test_residual_structure(spark):
 
 def test_interleaved_starts(spark):
     got = diagnostics.interleaved(spark.range(10).withColumnRenamed("id", "k"), "k", 3).orderBy("turn").collect()
-    assert [r.row_id for r in got] == [0, 4, 7]
+    assert [r.row_id for r in got] == [0, 3, 6]
+    order = diagnostics.interleaved_order(spark.range(10).withColumnRenamed("id", "k"), "k", 3).orderBy("offset", "bucket").collect()
+    want = [i for offset in range(4) for b in range(3) if (i := b * 10 // 3 + offset) < (b + 1) * 10 // 3]
+    assert [r.row_id for r in order] == want and sorted(want) == list(range(10))
+    few = diagnostics.interleaved(spark.range(4).withColumnRenamed("id", "k"), "k", 300).orderBy("turn").collect()
+    assert [(r.row_id, r.turn) for r in few] == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_a_base_without_a_neighbour_is_replaced(spark):
+    rows = [(i, "alone" if i < 3 else "many", 0.0 if i < 3 else float(i)) for i in range(9)]
+    got = diagnostics.nearest_rows(spark.createDataFrame(rows, "k long, c string, x double"), "k", "c", ["x"], 3).collect()
+    assert sorted(r.base_id for r in got) == [3, 4, 6] and all(r.distance == 1.0 for r in got)
+
+
+def test_sensitivity_is_in_units_of_the_outputs(spark):
+    pairs = spark.createDataFrame([(0.0, 1.0), (2.0, 4.0)], "a_x double, b_x double")
+    got = diagnostics.sensitivity(pairs, ["x"], lambda v: [v[0] * 6, v[0] * 4], 1.0, [2.0, 1.0]).first()
+    assert (got.pairs, got.mean_ratio, got.max_ratio) == (2, 5.0, 5.0)
+    with pytest.raises(Exception, match="not finite"):
+        diagnostics.sensitivity(pairs, ["x"], lambda v: F.log(v[0] - 5.0) + F.lit(float("nan"))).collect()
+
+
+@pytest.mark.parametrize("points, delta, want", [
+    ([.50, .51, .52, .53, .54], .015, (5, .54, None)),  # each second point is a gain over the last one that was
+    ([.50, .505, .51, .90], .015, (3, .51, 3)),
+    ([.5, .5, .5], .0, (1, .5, 3)),
+    ([.2, .6, .6, .59], .0, (2, .6, 4)),
+    ([.3], .0, (1, .3, None)),
+])
+def test_early_stopping_follows_the_last_accepted_point(spark, points, delta, want):
+    df = spark.createDataFrame([("r", e, v) for e, v in enumerate(points, 1)], "run string, epoch int, r2 double")
+    got = curves.early_stop(df, ["run"], 2, delta).first()
+    assert (got.best_epoch, got.best_r2, got.stop_epoch) == want
+
+
+def test_spark_line_takes_the_nearest_glyph(spark):
+    df = spark.createDataFrame([(v,) for v in (0.0, 0.07, 0.08, 0.5, 0.92, 0.93, 1.0)], "v double")
+    line = [r.g for r in df.select(curves.spark_line(F.col("v"), F.lit(0.0), F.lit(1.0)).alias("g")).collect()]
+    assert line == [curves.GLYPHS[i] for i in (0, 0, 1, 4, 6, 7, 7)]
+    assert df.select(curves.spark_line(F.lit(5.0), F.lit(5.0), F.lit(5.0)).alias("g")).first().g == "▁"
+
+
+def test_a_constant_feature_is_many_tasks(spark):
+    from tabularium.functions import ordering
+
+    df = spark.range(5000).select(F.col("id").alias("k"), F.lit(1.0).alias("x"), (F.col("id") % 3).cast("double").alias("code"))
+    for x in ("x", "code"):
+        held = ordering.bucketed(df, x, tie="k").groupBy("_bucket").count()
+        assert held.count() > 100 and held.agg(F.max("count")).first()[0] < 100
+        got = ordering.with_rank(df, x, "k").orderBy(x, "k").collect()
+        assert [r["rank"] for r in got] == list(range(1, 5001))
+        pairs = ordering.with_previous(df, x, "k", "k").orderBy(x, "k").collect()
+        assert [r.previous for r in pairs] == [None, *(r.k for r in pairs[:-1])]
+
+
+@pytest.mark.parametrize("n", [1, 2, 20, 1001])
+def test_nearest_rank_by_sorting(spark, n):
+    r = np.random.default_rng(n)
+    rows = [("g" if i % 3 else "h", float(v)) for i, v in enumerate(r.integers(0, 300, n))] + [("flat", 7.0)] * 50
+    got = {x.g: x.importance for x in diagnostics.nearest_rank(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    for g in {g for g, _ in rows}:
+        own = sorted(v for x, v in rows if x == g)
+        assert got[g] == own[int(np.floor((len(own) - 1) * 0.95 + 0.5))]
 
 
 @pytest.mark.parametrize("points, target, epoch", [([(1, .5), (2, .96), (5, .99)], .95, 2), ([(1, .5), (2, .82), (5, .83), (10, .835)], .99, 2), ([(1, .2), (2, .5)], .99, 2), ([(1, .50), (5, .82), (10, .83), (20, .96)], .99, 5)])
@@ -273,6 +350,24 @@ def test_symbolic_query_runs_all_rounds(spark, sf_dir):
     assert weak.weak == sum(r.r2 < 0.99 for r in want.values()) and abs(weak.worst - min(r.r2 for r in want.values())) < 1e-4
 
 
+def test_settings_outside_of_a_domain_are_no_fits(spark):
+    """log(b x + c) can't be fitted where a sample lies outside of its domain; what is left must fit all samples."""
+    xs = [-2.0, -1.0, 0.0, 1.0, 2.0]
+    samples = spark.createDataFrame([("e", x, x * x) for x in xs], "edge string, x double, y double")
+    fits = symbolic.fit_round(samples, symbolic.grid(spark), ["edge"]).collect()
+    inside = {"log": lambda u: u > 1e-4, "sqrt": lambda u: u >= 0, "1/x": lambda u: abs(u) > 1e-3, "exp": lambda u: u < 15}
+    assert all(inside[f.name](f.b * x + f.c) for f in fits if f.name in inside for x in xs)
+    assert {f.name for f in fits} >= {"log", "sqrt", "1/x"} and all(f.b != 0 for f in fits)
+
+
+def test_edges_that_are_constant(spark):
+    rows = [("flat", float(x), 4.0) for x in range(5)] + [("line", float(x), 2.0 * x + 1) for x in range(5)]
+    got = {r.edge: r for r in symbolic.fit_edges(spark.createDataFrame(rows, "edge string, x double, y double"), ["edge"]).collect()}
+    assert tuple(got["flat"])[1:] == ("const", 0.0, 0.0, 0.0, 4.0, 1.0) and got["line"].name == "x"
+    out = spark.range(1).select(symbolic.formula_column([symbolic.Edge("id", "const", 0.0, 0.0, 0.0, 4.0)], 1.0).alias("y"))
+    assert out.first().y == 5.0
+
+
 def test_weak_edges_are_judged_by_their_best_primitive(spark):
     """An exponential is no edge of sin, tanh or x^2, but of one of the nine; noise is of none."""
     xs, r = np.linspace(-2, 2, 40), np.random.default_rng(3)
@@ -329,6 +424,17 @@ def test_fingerprint_sees_values_and_order(spark):
     assert one.digest != provenance.fingerprint(df.withColumn("v", F.when(F.col("id") == 7, -1.0).otherwise(F.col("v"))), "id", ["v"]).first().digest
 
 
+def test_fingerprint_tells_numbers_kinds_and_noughts_apart(spark):
+    def of(values, **kinds):
+        return provenance.fingerprint(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double"), "id", ["v"], **kinds).first().digest
+
+    assert of([1.0, 2.0]) != of([1.0000001, 2.0]) and of([0.0]) != of([1e-9]) and of([0.0]) == of([-0.0]) and of([float("nan")]) == of([-float("nan")])
+    assert of([1.0, 2.0]) != of([2.0, 1.0]) and of([1.0]) != of([1.0], levels={"v": 3}) != of([1.0], levels={"v": 4})
+    both = spark.createDataFrame([(0, 1.0, 2.0)], "id long, a double, b double")
+    assert provenance.fingerprint(both, "id", ["a", "b"]).first() != provenance.fingerprint(both, "id", ["a"], ["b"]).first()
+    assert of([])
+
+
 def test_stream_scores_as_batch(spark, sf_dir, tmp_path):
     stats = {"value": {"low": -1e9, "high": 1e9}}
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -357,3 +463,11 @@ def test_generated_tables_repeat(spark):
     a, b = (generators.generate(spark, "projectile", 50, 3).repartition(n).orderBy("row_id").collect() for n in (1, 7))
     assert a == b and all(1 <= r.x0 <= 10 and abs(r.y - r.x0**2 * np.sin(2 * r.x1) / 9.81) < 1e-9 for r in a)
     assert generators.generate(spark, "sum", 5, 1).collect() != generators.generate(spark, "sum", 5, 2).collect()
+    sine = generators.generate(spark, "sine", 200, 1).collect()
+    assert all(-np.pi <= r.x0 <= np.pi and abs(r.y0 - np.sin(r.x0)) < 1e-12 and abs(r.y1 - np.cos(r.x0)) < 1e-12 for r in sine) and max(r.x0 for r in sine) > 3
+    assert all(abs(r.y - (0.5 * r.x0**2 - r.x0 + 1)) < 1e-12 for r in generators.generate(spark, "polynomial", 50).collect())
+
+
+def test_network_grids_have_their_sizes():
+    assert [len(search.network_configs(b)) for b in ("quick", "balanced", "thorough")] == [6, 24, 54]
+    assert [len(search.NETWORKS[b]["seeds"]) for b in ("quick", "balanced", "thorough")] == [1, 1, 2]
