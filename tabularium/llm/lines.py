@@ -4,8 +4,12 @@ A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-
 at least ``min_chars`` code points found in at least ``min_docs`` documents lose their lines in every
 document but the one of smallest id.
 
+Lines are read and hashed once and staged as two hashes with their place; documents then meet their dropped places
+and take the others in order, in time that grows with their lines.
+
 Edge cases: null and empty texts are one empty line; repeated rows of one id count as one document; rows
-without an id hold no key, so they neither drop nor cause drops; an empty table gives an empty result;
+without an id hold no key, so they neither drop nor cause drops; a text may have any number of lines and of dropped ones;
+of a key's documents the smallest id keeps all its lines, also where it has several; an empty table gives an empty result;
 extra columns are ignored. A key's rows meet as partial counts, and the join that finds the lines again
 is one that Spark splits where a key is hot.
 """
@@ -38,6 +42,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> D
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "text_hash", "line_no", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
     )
+    lines = staged(lines, "lines")
     if min_docs == 2:
         keys = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
     else:
@@ -62,12 +67,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         .agg(F.collect_set("line_no").alias("gone"))
     )
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _text_hash().alias("text_hash"))
-    joined = whole.join(drops, ["doc_id", "text_hash"], "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    joined = whole.join(drops, ["doc_id", "text_hash"], "left").select("doc_id", "text", "gone", F.split("text", "\n").alias("lines"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
     return joined.select(
         "doc_id",
-        F.size(lines).cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
     )
