@@ -4,18 +4,21 @@ skippable frame, every record compressed by itself so that one can be read alone
 Spark decides which records refer to an earlier capture, writes the archives through its own text writer
 (so any file system that Spark can write to will do) and reads them back as binary files. An archive is
 one output file: the dictionary frame, then a frame for each record. Spark's writer ends each piece with a
-line feed; a one-byte skippable frame opened before it makes that byte part of a valid file.
+line feed; a one-byte skippable frame opened before it makes that byte part of a valid file. A task begins a new archive
+after ``PIECES`` pieces or ``ARCHIVE_BYTES``, which ends with empty pieces, so that the writer's file ends there too.
 
 Edge cases: null html is an empty payload; a null url becomes ``urn:x-none``; of equal payloads (of
 ``min_bytes`` at least) the largest page_id is the response, and rows that repeat that id and payload are
-responses too; rows without an id revisit if any row with an id has the payload; too few records to train a
-dictionary give an archive without one; an empty table gives no archive and no rows.
+responses too; rows without an id revisit if any row with an id has the payload; where an archive has too few records to
+train a dictionary, the beginnings of its records are the dictionary as they are; a very long page is one record and makes its piece
+longer; extra columns, also of names used here, are ignored; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
@@ -29,7 +32,9 @@ from .shared import staged
 
 DICT_MAGIC, PAD_MAGIC = 0x184D2A5D, 0x184D2A50
 #: Bytes of records that a dictionary is trained on, and its own size; this bounds a writer's memory and time.
-SAMPLE_BYTES, DICT_BYTES, PIECE_BYTES, LEVEL = 1 << 20, 1 << 15, 4 << 20, 5
+SAMPLE_BYTES, SAMPLE_EACH, DICT_BYTES, PIECE_BYTES, LEVEL = 1 << 20, 1 << 16, 1 << 15, 4 << 20, 5
+#: Pieces and bytes of one archive; binary files of 2 GB and more can't be read back.
+PIECES, ARCHIVE_BYTES = 128, 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -81,46 +86,46 @@ def parse_record(raw: bytes) -> dict:
 # ---- archives
 
 
-def _train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Trained on the samples; their beginnings where they are too few or too short for training."""
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL)
     except zstandard.ZstdError:
-        return None
+        each = max(64, DICT_BYTES // len(samples))
+        return zstandard.ZstdCompressionDict(b"".join(s[:each] for s in samples)[:DICT_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def archive_pieces(records: Iterable[bytes]) -> Iterator[bytes]:
-    """Pieces of one archive, each lacking the line feed that its writer adds."""
+def archive_pieces(records: Iterable[bytes], pieces: int = PIECES, most: int = ARCHIVE_BYTES) -> Iterator[bytes]:
+    """Pieces of archives, each lacking the line feed that its writer adds; ``pieces`` of them are one archive, the last may have fewer."""
     end = struct.pack("<II", PAD_MAGIC, 1)
     records = iter(records)
-    first, size = [], 0
-    for r in records:
-        first.append(r)
-        size += len(r)
-        if size >= SAMPLE_BYTES:
-            break
-    if not first:
-        return
-    samples, left = [], SAMPLE_BYTES
-    for r in first:
-        samples.append(r[: min(left, 1 << 16)])
-        left -= len(samples[-1])
-        if left <= 0:
-            break
-    trained = _train(samples) if len(samples) >= 8 else None
-    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True, write_checksum=True)
-    parts, size = [], 0
-    if trained:
+    while True:
+        first, left = [], SAMPLE_BYTES
+        for r in records:
+            first.append(r)
+            left -= min(len(r), SAMPLE_EACH)
+            if left <= 0:
+                break
+        if not first:
+            return
+        trained = _dictionary([r[:SAMPLE_EACH] for r in first])
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True, write_checksum=True)
         body = trained.as_bytes()
-        parts = [struct.pack("<II", DICT_MAGIC, len(body)), body]
-    for group in (first, records):
-        for r in group:
+        parts, size, done, written = [struct.pack("<II", DICT_MAGIC, len(body)), body], 0, 0, 0
+        records = itertools.chain(first, records)
+        for r in records:
             parts.append(packer.compress(r))
             size += len(parts[-1])
             if size >= PIECE_BYTES:
                 yield b"".join([*parts, end])
-                parts, size = [], 0
-    if parts:
-        yield b"".join([*parts, end])
+                done, written, parts, size = done + 1, written + size, [], 0
+                if done >= pieces or written >= most:
+                    break
+        else:
+            if parts:
+                yield b"".join([*parts, end])
+            return
+        yield from [end] * (pieces - done)
 
 
 def frames(data: bytes) -> Iterator[tuple[int, int, bool]]:
@@ -148,7 +153,7 @@ def frames(data: bytes) -> Iterator[tuple[int, int, bool]]:
 
 
 def read_archive(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, record) of each record; the dictionary is the leading frame's, if there is one."""
+    """(offset, length, record) of each record; the dictionary, trained or not, is the leading frame's, if there is one."""
     unpacker = zstandard.ZstdDecompressor()
     for start, end, skip in frames(data):
         if skip:
@@ -189,7 +194,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.binary())], ["piece"])
 
     pieces = captures(pages, min_bytes).mapInArrow(write, "piece binary")
-    pieces.select(F.col("piece").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    pieces.select(F.col("piece").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", PIECES).text(path)
 
 
 READ_SCHEMA = "archive string, offset long, length long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"

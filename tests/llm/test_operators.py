@@ -747,3 +747,53 @@ def test_measured_recall_of_the_sampling(n):
         size = np.array([n])
         hit.append(count == 0 or any((decontam.sampled(a, size, k) == decontam.sampled(b, size, k))[0] for k in range(count)))
     assert measured >= 0.9 and np.mean(hit) >= 0.95
+
+
+# ---- more of 6 and 7
+
+
+def test_archives_end_by_size_and_all_have_a_dictionary(monkeypatch):
+    r = random.Random(13)
+    monkeypatch.setattr(warc, "PIECE_BYTES", 2000)
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 9000)
+    monkeypatch.setattr(warc, "DICT_BYTES", 1024)
+    held = [warc.make_record(i, f"http://x/{i}", bytes(r.randrange(256) for _ in range(r.choice([10, 700, 200_000 if i == 3 else 900]))), None, False) for i in range(120)]
+    pieces = list(warc.archive_pieces(held, pieces=5, most=1 << 20))
+    archives = [b"\n".join([*pieces[i : i + 5], b""]) for i in range(0, len(pieces), 5)]
+    assert len(archives) > 3 and all(struct.unpack_from("<I", a)[0] == warc.DICT_MAGIC for a in archives)
+    assert [raw for a in archives for _, _, raw in warc.read_archive(a)] == held
+    small = list(warc.archive_pieces(held, pieces=50, most=6000))
+    assert [raw for i in range(0, len(small), 50) for _, _, raw in warc.read_archive(b"\n".join([*small[i : i + 50], b""]))] == held and len(small) > 100
+    one = b"\n".join([*warc.archive_pieces(held[:1]), b""])
+    assert struct.unpack_from("<I", one)[0] == warc.DICT_MAGIC and [x for _, _, x in warc.read_archive(one)] == held[:1]
+    assert list(warc.archive_pieces([])) == []
+
+
+def test_long_first_pages_do_not_keep_an_archive_from_its_dictionary():
+    held = [warc.make_record(i, "u", b"<p>%d</p>" % i * (300_000 if i < 3 else 30), None, False) for i in range(40)]
+    data = b"\n".join([*warc.archive_pieces(held), b""])
+    size = struct.unpack_from("<I", data, 4)[0]
+    assert zstandard.ZstdCompressionDict(data[8 : 8 + size]).dict_id() != 0  # trained
+    assert [x for _, _, x in warc.read_archive(data)] == held
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "u", "<p>a</p>", "x", "y", "z"), (2, "v", "<p>a</p>", "x", "y", "z"), (2, "v", "<p>a</p>", "x", "y", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, name string, refers_to string")
+    path = new_folder(spark, "warc")
+    warc.write_archives(pages, path)
+    assert sorted((x.page_id, x.record_type, x.refers_to) for x in warc.read_archives(spark, path).collect()) == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
+
+
+def test_texts_of_very_many_lines(spark):
+    import time
+
+    long = "\n".join(f"line number {i}" for i in range(100_000))
+    rows = [(1, long), (2, long), (3, "\n".join([*long.split("\n")[::2], "of its own here"]))]
+    lines.dedup_lines(table(spark, rows[:1])).collect()
+    began = time.time()
+    got = {x.doc_id: (x.n_lines, x.n_dropped, x.text) for x in lines.dedup_lines(table(spark, rows)).collect()}
+    assert time.time() - began < 60
+    assert got == {1: (100_000, 0, long), 2: (100_000, 100_000, ""), 3: (50_001, 50_000, "of its own here")}
+    three = {x.doc_id: x.n_dropped for x in lines.dedup_lines(table(spark, rows), min_docs=3).collect()}
+    assert three == {1: 0, 2: 50_000, 3: 50_000}
