@@ -12,8 +12,11 @@ So only suffixes at anchors are sorted, and of those only the ones whose anchor
 3. documents drop the bytes that were found.
 
 Equal texts are one text of their least id throughout: in the others all bytes go if there are ``span``.
-Texts are dealt out by id in one exchange that the three steps share. An anchor's surroundings are sorted
-by anchor outside of memory and worked on in runs of whole anchors; equal suffixes cost one comparison.
+Texts are dealt out by id in one exchange that the three steps share. Of equal surroundings that documents of one task
+have, only those of the least id go on: the others' strings are all in that document. So an anchor of a passage that
+very many documents share is a row for each task and not for each document. An anchor's surroundings are sorted
+by anchor outside of memory and worked on in runs of whole anchors; equal suffixes cost one comparison. Anchors meet in
+buckets whose number grows with the bytes of the input.
 
 Edge cases: null is the empty text; texts under ``span`` bytes keep all bytes; rows without an id keep all
 bytes and remove none; repeated rows give repeated results (ids are otherwise taken to be unique); an
@@ -34,6 +37,9 @@ from .textkit import U64, blocks, mix, prefix_hash, slice_hash
 
 SPAN, GRAM = 50, 24
 FLUSH = 1 << 21
+#: Bytes of text for each bucket of anchors, and buckets at most; surroundings that a task remembers, if so many documents of a block had them.
+BUCKET_BYTES, BUCKETS = 13 << 20, 1 << 18
+REMEMBERED, OFTEN = 4096, 4
 
 
 # ---- anchors
@@ -266,12 +272,28 @@ def _whole_runs(name: np.ndarray, most: int):
 def _surroundings(texts: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
     """key, doc_id, left, right, places, around of the anchors in column ``keys`` of ``texts`` (doc_id, text, keys).
 
-    A document's anchors with the same surroundings, as periodic text has them, are one row with all their places.
+    A document's anchors with the same surroundings, as periodic text has them, are one row with all their places. Where a
+    document of smaller id in the same task has the same surroundings, the row is settled already: left and -1 - right are the
+    most and the fewest bytes before the anchor at which a repeated string begins, around is empty and key spreads such rows.
     """
     before = span - gram
     wide = 2 * span - gram
 
     def run(batches):
+        known: dict[int, tuple[int, bytes]] = {}  # surroundings that were frequent in a block: least id, bytes
+
+        def least(name: int, doc: int, text: bytes) -> int:
+            """The least id that has these surroundings as far as is known; remembers ``doc`` if it is that."""
+            held = known.get(name)
+            if held is not None and held[1] != text:
+                return doc
+            if held is None or doc < held[0]:
+                if held is None and len(known) >= REMEMBERED:
+                    known.pop(next(iter(known)))
+                known[name] = (doc, text)
+                return doc
+            return held[0]
+
         for batch in batches:
             for block in blocks(zip(*(c.to_pylist() for c in batch.columns)), 1):
                 data, ends = _joined([t for _, t, _ in block])
@@ -286,22 +308,39 @@ def _surroundings(texts: DataFrame, buckets: int, span: int, gram: int) -> DataF
                 ids = np.array([b[0] for b in block], np.int64)[which]
                 padded = np.concatenate([np.zeros(before, np.uint8), data, np.zeros(span, np.uint8)])
                 prefix = prefix_hash(data)
-                name = mix(slice_hash(prefix, spots - left, spots + right) + mix((which * 4 * span * span + left * 2 * span + right).astype(U64)))
-                by = np.argsort(name, kind="stable")
+                name = mix(slice_hash(prefix, spots - left, spots + right) + mix((left * 2 * span + right).astype(U64)))
+                by = np.lexsort((which, ids, name))
                 spots, which, begin, left, right, ids, key, name = (x[by] for x in (spots, which, begin, left, right, ids, key, name))
                 for a, b in _whole_runs(name, 1 << 15):
                     part = slice(a, b)
                     around = padded[spots[part, None] + np.arange(wide)]
                     column = np.arange(wide)
                     around[(column < before - left[part, None]) | (column >= before + right[part, None])] = 0
-                    new = np.ones(len(around), bool)  # also where a hash is shared by unlike bytes
-                    new[1:] = (name[part][1:] != name[part][:-1]) | (which[part][1:] != which[part][:-1]) | (around[1:] != around[:-1]).any(1)
+                    other = np.ones(len(around), bool)  # also where a hash is shared by unlike bytes
+                    other[1:] = (name[part][1:] != name[part][:-1]) | (around[1:] != around[:-1]).any(1) | (left[part][1:] != left[part][:-1]) | (right[part][1:] != right[part][:-1])
+                    new = other.copy()
+                    new[1:] |= which[part][1:] != which[part][:-1]
                     first = np.flatnonzero(new)
                     places = np.split((spots - begin)[part], first[1:])
-                    by = np.argsort(spots[part][first])  # neighbours overlap, which compresses well
-                    first, places = first[by], [places[i] for i in by]
-                    flat = pa.Array.from_buffers(pa.binary(wide), len(first), [None, pa.py_buffer(around[first].tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part][first]), pa.array(ids[part][first]), pa.array(left[part][first], pa.int16()), pa.array(right[part][first], pa.int16()), pa.array([x.astype(np.int64).tobytes() for x in places], pa.binary()), flat], ["key", "doc_id", "left", "right", "places", "around"])
+                    group = np.cumsum(other)[first] - 1
+                    heads = np.flatnonzero(other[first])
+                    lowest = ids[part][first][heads]
+                    for g in np.flatnonzero(np.bincount(group) >= OFTEN).tolist():
+                        at = first[heads[g]]
+                        lowest[g] = least(int(name[part][at]), int(lowest[g]), around[at].tobytes())
+                    settled = ids[part][first] > lowest[group]
+                    fewest = np.maximum(0, span - right[part][first])
+                    useful = ~settled | (fewest <= left[part][first])
+                    by = np.argsort(np.where(settled, len(data), spots[part][first]))  # neighbours overlap, which compresses well
+                    by = by[useful[by]]
+                    settled, fewest, first, places = settled[by], fewest[by], first[by], [places[i] for i in by]
+                    doc = ids[part][first]
+                    offsets = np.concatenate([[0], np.cumsum(np.where(settled, 0, wide))]).astype(np.int32)
+                    flat = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(around[first[~settled]].tobytes())])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.where(settled, mix(doc.view(U64)).view(np.int64), key[part][first])), pa.array(doc), pa.array(left[part][first], pa.int16()),
+                        pa.array(np.where(settled, -1 - fewest, right[part][first]), pa.int16()), pa.array([x.astype(np.int64).tobytes() for x in places], pa.binary()), flat,
+                    ], ["key", "doc_id", "left", "right", "places", "around"])
 
     return texts.select("doc_id", "text", "keys").mapInArrow(run, "key long, doc_id long, left short, right short, places binary, around binary")
 
@@ -318,11 +357,22 @@ def _repeats(rows: DataFrame, span: int, gram: int, most: int = 1 << 16) -> Data
         each = [np.frombuffer(places[i], np.int64) for i in got]
         n = np.fromiter(map(len, each), np.int64, len(each))
         pos = np.concatenate([np.empty(0, np.int64), *each])
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(doc[got], n)), pa.array(pos - np.repeat(most[got], n)), pa.array(pos + span - np.repeat(fewest[got], n))], ["doc_id", "start", "end"])
+        return stretches(np.repeat(doc[got], n), pos, np.repeat(most[got], n), np.repeat(fewest[got], n))
+
+    def stretches(doc, pos, most, fewest):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos - most), pa.array(pos + span - fewest)], ["doc_id", "start", "end"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
+            is_settled = batch.column(3).to_numpy(zero_copy_only=False) < 0
+            if is_settled.any():
+                done = batch.filter(pa.array(is_settled))
+                batch = batch.filter(pa.array(~is_settled))
+                each = [np.frombuffer(x, np.int64) for x in done.column(4).to_pylist()]
+                n = np.fromiter(map(len, each), np.int64, len(each))
+                doc, most_, fewest_ = (np.repeat(done.column(i).to_numpy(zero_copy_only=False).astype(np.int64), n) for i in (1, 2, 3))
+                yield stretches(doc, np.concatenate(each), most_, -1 - fewest_)
             if not len(batch):
                 continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
@@ -375,7 +425,6 @@ def _cut(texts: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, first_id (least id with the same text), a row for each row."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long")
     rows = docs.select(
@@ -384,6 +433,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     )
     first = staged(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id")), "texts")
     rows = staged(rows.join(first, ["h1", "h2"]).select("doc_id", "n_bytes", "own_sha256", "first_id"), "rows")
+    whole_bytes = rows.where(F.col("doc_id") == F.col("first_id")).agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, whole_bytes // BUCKET_BYTES + 1))
     chosen = rows.where(F.col("doc_id") == F.col("first_id")).where(F.col("n_bytes") >= span).select("doc_id").distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = source.join(chosen.hint("shuffle_hash"), "doc_id")

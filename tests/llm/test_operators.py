@@ -797,3 +797,34 @@ def test_texts_of_very_many_lines(spark):
     assert got == {1: (100_000, 0, long), 2: (100_000, 100_000, ""), 3: (50_001, 50_000, "of its own here")}
     three = {x.doc_id: x.n_dropped for x in lines.dedup_lines(table(spark, rows), min_docs=3).collect()}
     assert three == {1: 0, 2: 50_000, 3: 50_000}
+
+
+# ---- more of 9
+
+
+def test_a_passage_that_most_documents_share(spark, monkeypatch):
+    """Equal surroundings in one task, remembered ones of earlier blocks, and ids in falling order."""
+    r = random.Random(17)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(180))
+    rows = [(400 - i, "".join(r.choice("ijkl ") for _ in range(r.randrange(0, 60))) + passage[r.choice([0, 0, 0, 7]) :] + "".join(r.choice("mnop ") for _ in range(r.randrange(0, 60)))) for i in range(300)]
+    rows += [(500 + i, (passage[20:90] + "|") * 4) for i in range(40)]
+    got = suffix.remove_repeats(table(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute_passages(rows)
+
+
+def test_settled_surroundings_of_small_blocks(spark):
+    """Blocks of a few documents, so that what is remembered decides; all documents in one task."""
+    import tabularium.llm.textkit as kit
+
+    r = random.Random(18)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(120))
+    rows = [(r.randrange(10**6) * 100 + i, "".join(r.choice("ijkl ") for _ in range(40)) + passage) for i in range(60)]
+    df = spark.createDataFrame([(d, t, [0]) for d, t in rows], "doc_id long, text string, keys array<long>").coalesce(1)
+    anchors_, hashed = suffix.anchors(np.frombuffer(passage.encode(), np.uint8), np.array([120]))
+    key = (((hashed >> np.uint64(32)) % np.uint64(16)) << np.uint64(32)) | (hashed & np.uint64(0xFFFFFFFF))
+    df = df.withColumn("keys", F.array(*[F.lit(int(k)) for k in key.view(np.int64)]))
+    out = suffix._surroundings(df, 16, 50, 24).collect()
+    inner = [x for x in out if x.left == 26]
+    assert {x.doc_id for x in inner if x.right < 0} and all(len(x.around) == 0 for x in out if x.right < 0)
+    full = [x for x in inner if x.right >= 0 and bytes(x.around) in passage.encode()]
+    assert len(full) <= 2 * len({bytes(x.around) for x in full}) and min(d for d, _ in rows) in {x.doc_id for x in full}
