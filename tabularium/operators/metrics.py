@@ -62,6 +62,39 @@ def over_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def run_problems(runs: DataFrame, keys: list[str], seeds: list[int], k: int = 1, repeats: int = 1) -> DataFrame:
+    """keys, seed, repeat, problem: runs that don't make a whole plan of ``k`` folds and ``repeats`` repeats for each of ``seeds``.
+
+    Every candidate needs every seed; every seed each repeat from 0; every repeat each fold from 0 once. A plan of one fold is a
+    holdout, whose runs may have a null fold and repeat.
+    """
+    if not seeds or len(set(seeds)) < len(seeds):
+        raise ValueError("seeds must be there, each once")
+    if k < 1 or repeats < 1 or repeats > 1 and k < 2:
+        raise ValueError(f"{repeats} repeats of {k} folds are no plan")
+    own = runs.select(*keys, F.col("seed").cast("long").alias("seed"), F.coalesce(F.col("repeat"), F.lit(0)).cast("long").alias("repeat"), F.coalesce(F.col("fold"), F.lit(0)).cast("long").alias("fold"))
+    listed = F.col("seed").isin(*seeds)
+    unlisted = own.where(~listed).groupBy(*keys, "seed", "repeat").agg(F.lit("seed is not listed").alias("problem"))
+    plan = own.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(int(s)).cast("long") for s in seeds])).alias("seed")).select("*", F.explode(F.array(*[F.lit(r).cast("long") for r in range(repeats)])).alias("repeat"))
+    held = own.where(listed).groupBy(*keys, "seed", "repeat").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_distinct("fold").alias("_folds"), F.min("fold").alias("_low"), F.max("fold").alias("_high")
+    )
+    both = plan.join(held, [*keys, "seed", "repeat"], "full")
+    problem = (
+        F.when(F.col("repeat") >= repeats, "repeat is not of the plan").when(F.col("_n").isNull(), "no runs")
+        .when(F.col("_n") > F.col("_folds"), "a fold is there twice").when((F.col("_folds") != k) | (F.col("_low") != 0) | (F.col("_high") != k - 1), "folds are missing or not of the plan")
+    )
+    return unlisted.unionByName(both.select(*keys, "seed", "repeat", problem.alias("problem")).where("problem is not null"))
+
+
+def aggregate_runs(runs: DataFrame, keys: list[str], seeds: list[int], k: int = 1, repeats: int = 1) -> DataFrame:
+    """``over_runs`` of a whole plan; the first problem is an error."""
+    first = run_problems(runs, keys, seeds, k, repeats).orderBy(*keys, "seed", "repeat").first()
+    if first is not None:
+        raise ValueError(f"{', '.join(str(first[c]) for c in keys)}, seed {first['seed']}, repeat {first['repeat']}: {first['problem']}")
+    return over_runs(runs, keys)
+
+
 def best_first(score: str, tie: str) -> list[Column]:
     """Order: finite scores first, descending, ties by ``tie``."""
     finite = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,10 +15,31 @@ SEED_STEP = 0x9E3779B97F4A7C15
 
 
 def check_fractions(*parts: float) -> None:
-    if not all(0 < p < 1 for p in parts) or sum(parts) >= 1:
+    if not all(math.isfinite(p) and 0 < p < 1 for p in parts) or sum(parts) >= 1:
         raise ValueError("fractions must be positive and sum to less than one")
 
 
+def check_holdout(n_rows: int, train: float = 0.70, val: float = 0.15) -> tuple[int, int, int]:
+    """Rows of train, validation and test; an error if any is empty."""
+    check_fractions(train, val)
+    first, second = math.floor(n_rows * train + 0.5), math.floor(n_rows * val + 0.5)
+    parts = first, second, n_rows - first - second
+    if min(parts) < 1:
+        raise ValueError(f"{n_rows} rows give parts of {parts}: each needs a row")
+    return parts
+
+
+def check_kfold(n_rows: int, k: int = 5, test: float = 0.15, repeats: int = 1) -> tuple[int, int]:
+    """Rows of test and pool; an error if the test is empty or the pool has fewer rows than folds."""
+    if k < 2 or repeats < 1 or k * repeats >= 1 << 63:
+        raise ValueError(f"{repeats} repeats of {k} folds are no plan")
+    check_fractions(test)
+    held = math.floor(n_rows * test + 0.5)
+    if held < 1 or n_rows - held < k:
+        raise ValueError(f"{n_rows} rows give {held} of test and {n_rows - held} for {k} folds")
+    return held, n_rows - held
+
+
 def holdout(df: DataFrame, row_id: str, seed: int = 1, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """row_id, part: round(n * train) rows train, round(n * val) validate, the rest test."""
     check_fractions(train, val)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions.ordering import with_rank
-from ..operators import curves, diagnostics, metrics, models, profile, provenance, scaling, scoring, search, split, symbolic
+from ..operators import curves, diagnostics, metrics, models, profile, provenance, scaling, schema, scoring, search, split, symbolic
 from ..sources import generators, text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,24 @@ def profile_messages(spark, sf_dir):
     return profile.profile_messages(_profile(spark, sf_dir))
 
 
+@query(f"""with {_PROFILE_SQL} select "column", case when "column" = 'p_size' then 'output' else 'input' end as role, case when is_numeric then 'number' else 'category' end as kind from p2 where "column" like 'p!_%' escape '!'""")
+def schema_draft(spark, sf_dir):
+    """What a draft makes of the columns of part: the last is the output, what is no number is a category."""
+    return schema.draft_fields(_t(spark, sf_dir, "part"), _PROFILED)
+
+
+@query(f"""with {_PROFILE_SQL}, d as (select count(*) - count(distinct (p_name, p_brand, p_type, p_size)) as n from part)
+select 'Warning' as severity, "column", missing::varchar || ' missing cells' as message from p2 where missing > 0 and "column" like 'p!_%' escape '!'
+union all select 'Warning', "column", non_numeric::varchar || ' non-numeric cells' from p2 where non_numeric > 0 and "column" like 'p!_%' escape '!'
+union all select 'Note', "column", 'constant column' from p2 where is_constant and "column" like 'p!_%' escape '!'
+union all select 'Note', null, n::varchar || ' repeated rows' from d where n > 0""")
+def table_messages(spark, sf_dir):
+    """All that a reader of the table part should know, with repeated rows."""
+    part = _t(spark, sf_dir, "part")
+    ragged = part.agg(F.count_if(F.lit(False)).alias("n_ragged"))
+    return schema.messages(profile.profile_columns(part, _PROFILED), ragged, profile.duplicate_rows(part, _PROFILED))
+
+
 @query("""select count(*) as total_rows, (select count(*) from (select distinct l_returnflag, l_linestatus, l_linenumber, l_quantity from lineitem)) as distinct_rows,
 count(*) - (select count(*) from (select distinct l_returnflag, l_linestatus, l_linenumber, l_quantity from lineitem)) as duplicate_rows from lineitem""")
 def duplicate_rows(spark, sf_dir):
@@ -326,6 +344,15 @@ def cv_aggregate(spark, sf_dir):
     return rounded(metrics.over_runs(_runs(spark, sf_dir), ["candidate"]), 7)
 
 
+@query(f"""with {_RUNS}, w as (select * from r where not (seed = 1 and repeat = 1 and fold = 2)), s as (select unnest([0, 1, 2])::bigint as seed), p as (select unnest([0, 1])::bigint as repeat),
+plan as (select candidate, s.seed, p.repeat from (select distinct candidate from w), s, p), h as (select candidate, seed, repeat, count(*) as n from w group by all)
+select plan.candidate, plan.seed, plan.repeat, case when n is null then 'no runs' else 'folds are missing or not of the plan' end as problem from plan left join h on h.candidate = plan.candidate and h.seed = plan.seed and h.repeat = plan.repeat where n is null or n <> 3""")
+def incomplete_runs(spark, sf_dir):
+    """What a plan of three seeds, two repeats and three folds lacks, if one run is left out."""
+    own = _runs(spark, sf_dir).where("not (seed = 1 and repeat = 1 and fold = 2)")
+    return metrics.run_problems(own, ["candidate"], [0, 1, 2], 3, 2)
+
+
 @query(f"with {_RUNS}, {_OVER} select candidate, round(r2_mean, 7) as r2_mean, row_number() over (order by round(r2_mean, 7) desc nulls last, candidate)::int as place from c")
 def search_rank(spark, sf_dir):
     from pyspark.sql import Window

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import trimmed
@@ -31,14 +31,23 @@ def detect_delimiter(line: str) -> str:
     return next((d for d in (",", "\t") if d in line), "")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no from 1, value) of one text file.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row_no from 1, value) of the lines of a text file, or of a folder's files in order of their names.
 
-    Spark's text source has no line numbers; offsets come from the position of each line in its file split,
-    so this reads a file as one split: raw tables are files that people edit. Large tables belong in Parquet.
+    Spark's text source has no line numbers: a line's number is its place within its file split plus the lines of the splits before it.
     """
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "value")).select((F.col("at") + 1).alias("row_no"), "value")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value")).alias("value"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("_id"),
+    )
+    sizes = lines.groupBy("file", "at").agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each split
+    before = sizes.select("file", "at", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("file", "at").orderBy("_id"))
+    return lines.withColumn("_in", place).join(before, ["file", "at"]).select((F.col("_before") + F.col("_in")).cast("long").alias("row_no"), "value")
+
+
+read_lines = numbered_lines
 
 
 @dataclass
@@ -155,7 +164,8 @@ def read_typed(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     kept = lines.where(trimmed(uncommented(F.col("value"))) != "")
     words = kept.select("file", "at", split_cells(F.col("value"), "").alias("cells"))
-    named = words.where(~F.get("cells", F.lit(0)).rlike(r"^[+-]?[0-9.]")).collect()  # keywords only: a few lines
+    is_head = F.get("cells", F.lit(0)).isin(*MAGIC, "inputs", "outputs", "specs", "rows", "data")
+    named = words.where(is_head).limit(100).collect()  # keywords only: a few lines
     header: dict = {}
     for r in named:
         key, *rest = r["cells"]
@@ -167,7 +177,7 @@ def read_typed(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     wide = int(header["inputs"][0]) + int(header["outputs"][0])
     if len(header["specs"]) != int(header["inputs"][0]):
         raise ValueError(f"{path}: specs do not match inputs")
-    data = words.where(F.get("cells", F.lit(0)).rlike(r"^[+-]?[0-9.]"))
+    data = words.where(~is_head)
     from ..functions.numeric import parse_number
 
     values = data.select(F.size("cells").alias("n"), F.transform("cells", parse_number).alias("values"))
