@@ -10,6 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free_of(df: DataFrame, *names: str) -> None:
+    """An error if the table has columns of names that are used here."""
+    taken = [n for n in names if n in df.columns]
+    if taken:
+        raise ValueError(f"columns {', '.join(taken)} are there already")
+
+
 def shuffle_key(seed: int, row_id: Column) -> Column:
     """A pseudo-random order that any engine with MD5 can repeat."""
     return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")).cast("binary"))
@@ -20,6 +27,7 @@ def ranked(df: DataFrame, seed: int, row_id: str, out: str = "place", within: tu
 
     Buckets are the first three digits of the hash, so there are 4096 of them whatever the input.
     """
+    free_of(df, "_key", "_bucket", "_in", "_before", "_n", out, f"{out}_n")
     keyed = df.withColumn("_key", shuffle_key(seed, F.col(row_id))).withColumn("_bucket", F.substring("_key", 1, 3))
     sizes = keyed.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
@@ -54,6 +62,7 @@ def bucketed(df: DataFrame, value: str, buckets: int = 256, tie: str | None = No
 
 def with_previous(df: DataFrame, value: str, tie: str, carried: str) -> DataFrame:
     """Add ``previous``: ``carried`` of the row before in the order of (value, tie); null for the first row."""
+    free_of(df, "_bucket", "_inner", "_at", "_edge", "previous")
     held = bucketed(df, value, tie=tie)
     order = Window.partitionBy("_bucket").orderBy(value, tie)
     lasts = held.groupBy("_bucket").agg(F.max_by(carried, F.struct(value, tie)).alias("_last"))
@@ -68,6 +77,7 @@ def with_previous(df: DataFrame, value: str, tie: str, carried: str) -> DataFram
 
 def with_rank(df: DataFrame, value: str, tie: str, out: str = "rank") -> DataFrame:
     """Add ``out``: place from 1 in the order of (value, tie), and ``out_n``: all rows."""
+    free_of(df, "_bucket", "_in", "_before", "_n", out, f"{out}_n")
     held = bucketed(df, value, tie=tie)
     sizes = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     one = Window.partitionBy(F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,26 @@ from pyspark.sql import functions as F
 GLYPHS = "▁▂▃▄▅▆▇█"
 
 
+@dataclass(frozen=True)
+class Schedule:
+    """Epochs at which a run is measured: every n-th, or those listed; none where both are left out."""
+
+    every: int | None = None
+    at: tuple[int, ...] | None = None
+
+    def check(self, epochs: int) -> None:
+        """An error for a schedule that measures nothing or what isn't run."""
+        if self.every is not None and not 1 <= self.every <= epochs:
+            raise ValueError(f"every {self.every} of {epochs} epochs measures nothing")
+        if self.at is not None and (not self.at or len(set(self.at)) < len(self.at) or min(self.at) < 1 or max(self.at) > epochs):
+            raise ValueError(f"points {self.at} of {epochs} epochs")
+
+    def wants(self, epoch: Column) -> Column:
+        if self.at is not None:
+            return epoch.isin(*self.at)
+        return epoch % self.every == 0 if self.every else F.lit(False)
+
+
 def recommended_epoch(curves: DataFrame, groups: list[str], target: float = 0.95, least_gain: float = 0.02, plateau: float = 0.80) -> DataFrame:
     """groups, epoch: first to reach the target; else first on the plateau whose next gain is small; else the last."""
     rows = curves.withColumn("_next", F.lead("r2").over(Window.partitionBy(*groups).orderBy("epoch")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spread of flat targets; share of sigma under which a target is near nought.
@@ -16,7 +18,7 @@ def per_output(df: DataFrame, scales: DataFrame, groups: list[str] | None = None
     flat targets; the scaled errors are null without a positive sigma, the relative one also if any target is near 0.
     """
     keys = [*(groups or []), "output"]
-    rows = df.join(F.broadcast(scales), keys, "left")  # a row for each output and group
+    rows = df.join(scales, keys, "left")
     error = F.col("pred") - F.col("target")
     near = F.abs("target") <= F.lit(TINY) * F.col("sigma")
     sums = rows.groupBy(*keys).agg(
@@ -48,6 +50,24 @@ def overall(df: DataFrame, outputs: DataFrame) -> DataFrame:
     return flat.join(F.broadcast(means)).select("rmse", "mae", r2.alias("r2"), "nmae", "nrmse", "rel_error")  # one row each
 
 
+def scales(spark: SparkSession, sigmas: dict[str, float | None]) -> DataFrame:
+    """output, sigma as ``per_output`` takes them; None where a spread isn't known."""
+    for name, s in sigmas.items():
+        if s is not None and not (math.isfinite(s) and s >= 0):
+            raise ValueError(f"{name}: spread {s}")
+    return spark.createDataFrame([(n, None if s is None else float(s)) for n, s in sigmas.items()], "output string, sigma double")
+
+
+def report(outputs: DataFrame, whole: DataFrame) -> DataFrame:
+    """One row: outputs, rmse and mae (of a single output only: several have no common unit), r2, the scaled errors, worst output and its r2."""
+    worst = outputs.agg(F.count(F.lit(1)).alias("outputs"), F.min(F.struct("r2", "output")).alias("w"))
+    one = F.col("outputs") == 1
+    return worst.join(F.broadcast(whole)).select(  # one row each
+        "outputs", F.when(one, F.col("rmse")).alias("rmse"), F.when(one, F.col("mae")).alias("mae"), whole["r2"], "nmae", "nrmse", "rel_error",
+        F.col("w.output").alias("worst_output"), F.col("w.r2").alias("worst_r2"),
+    )
+
+
 def over_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     """r2_mean and the three spreads of runs (keys, seed, repeat, fold, r2): folds in repeats in seeds, population deviations.
 

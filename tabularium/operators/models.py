@@ -44,6 +44,34 @@ def spline_layer(inputs: Sequence[Column], base: np.ndarray, spline: np.ndarray,
     return out
 
 
+def edge(layer: dict, i: int, j: int, x: Column) -> Column:
+    """The function of one edge of a spline layer, without the node's bias: base * gelu(x) + basis(x) . spline."""
+    out = gelu(x) * F.lit(float(np.asarray(layer["base"])[i][j]))
+    for b, w in zip(bspline(x, layer["grid"]), np.asarray(layer["spline"])[i][j]):
+        out = out + b * F.lit(float(w))
+    return out
+
+
+def edge_values(df: DataFrame, inputs: list[str], layer: dict, keep: list[str]) -> DataFrame:
+    """``keep``, input, output, x, value: every edge of a spline layer at the row's own inputs."""
+    n_out = np.asarray(layer["base"]).shape[1]
+    each = [F.struct(F.lit(i).alias("input"), F.lit(j).alias("output"), F.col(c).cast("double").alias("x"), edge(layer, i, j, F.col(c).cast("double")).alias("value")) for i, c in enumerate(inputs) for j in range(n_out)]
+    return df.select(*keep, F.inline(F.array(*each)))
+
+
+def edge_l1(df: DataFrame, inputs: list[str], layer: dict) -> DataFrame:
+    """One row with l1: the sum over all edges of a spline layer of the mean size of what they add, both branches together."""
+    each = [F.avg(F.abs(edge(layer, i, j, F.col(c).cast("double")))) for i, c in enumerate(inputs) for j in range(np.asarray(layer["base"]).shape[1])]
+    return df.agg(F.coalesce(sum(each[1:], each[0]), F.lit(0.0)).alias("l1"))
+
+
+def activations(df: DataFrame, inputs: list[str], layers: list[dict], keep: list[str]) -> list[DataFrame]:
+    """What arrives at each layer, and the network's outputs last: ``keep`` and a0, a1, .. of each."""
+    first = df.select(*keep, *[F.col(c).cast("double").alias(f"a{i}") for i, c in enumerate(inputs)])
+    rest = [score(df, inputs, layers[: k + 1], keep, "a") for k in range(len(layers))]
+    return [first, *(x.withColumnRenamed("a", "a0") for x in rest)]
+
+
 def score(df: DataFrame, inputs: list[str], layers: list[dict], keep: list[str], name: str = "pred") -> DataFrame:
     """``keep`` and the outputs (``name`` or name0, name1, ...) of a network; a select for each layer.
 

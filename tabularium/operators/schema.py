@@ -119,6 +119,12 @@ def parse_cards(text: str, n_inputs: int) -> dict[int, int]:
     return out
 
 
+def code_warning(kind: str, schema: Schema) -> str | None:
+    """Models that take codes as quantities see distances between levels that aren't there."""
+    names = [f.name for f in schema.inputs if f.levels is not None and len(f.levels) > 2]
+    return f"{kind} takes the codes of {', '.join(names)} as quantities" if names and kind in ("mlp", "kan", "spline", "dense") else None
+
+
 # ---- drafts
 
 

@@ -40,6 +40,11 @@ def check_kfold(n_rows: int, k: int = 5, test: float = 0.15, repeats: int = 1) -
     return held, n_rows - held
 
 
+def label(k: int = 1, repeats: int = 1, is_test: bool = False) -> str:
+    """Where a score comes from."""
+    return "test" if is_test else "validation" if k == 1 else f"cv-{k}" if repeats == 1 else f"cv-{k}x{repeats}"
+
+
 def holdout(df: DataFrame, row_id: str, seed: int = 1, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """row_id, part: round(n * train) rows train, round(n * val) validate, the rest test."""
     check_fractions(train, val)

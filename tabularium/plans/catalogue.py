@@ -320,6 +320,15 @@ def metrics_aggregate(spark, sf_dir):
     return rounded(metrics.overall(rows, metrics.per_output(rows, scales)), 6)
 
 
+@query(f"""with {_PREDS}, a as (select 1 - sum((pred - target) ** 2) / (var_pop(target) * count(*)) as r2 from p),
+w as (select count(*) as outputs, min(r2) as worst, arg_min(output, (r2, output)) as worst_output, case when count(nmae) = count(*) then avg(nmae) end as nmae, case when count(nrmse) = count(*) then avg(nrmse) end as nrmse, case when count(rel_error) = count(*) then avg(rel_error) end as rel_error from m)
+select outputs, null::double as rmse, null::double as mae, round(r2, 6) as r2, round(nmae, 6) as nmae, round(nrmse, 6) as nrmse, round(rel_error, 6) as rel_error, worst_output, round(worst, 6) as worst_r2 from w, a""")
+def metrics_report(spark, sf_dir):
+    rows, scales = _predictions(spark, sf_dir)
+    each = metrics.per_output(rows, scales)
+    return rounded(metrics.report(each, metrics.overall(rows, each)), 6)
+
+
 @query("select 'l_quantity' as output, round(stddev_pop(l_quantity), 6) as sigma from lineitem union all select 'l_tax', round(stddev_pop(l_tax), 6) from lineitem")
 def target_scale(spark, sf_dir):
     stats = _t(spark, sf_dir, "lineitem").agg(F.array(*[F.struct(F.lit(c).alias("output"), F.stddev_pop(c).alias("sigma")) for c in ("l_quantity", "l_tax")]).alias("s"))
@@ -490,6 +499,14 @@ def recommended_epoch(spark, sf_dir):
     return curves.recommended_epoch(rounded(_curve(spark, sf_dir), 9), ["run", "split"])
 
 
+@query(f"with {_CURVE} select run, split, epoch, round(r2, 7) as r2 from c where epoch % 5 = 0")
+def scheduled_epochs(spark, sf_dir):
+    """Points of a schedule of every fifth epoch."""
+    schedule = curves.Schedule(every=5)
+    schedule.check(24)
+    return rounded(_curve(spark, sf_dir).where(schedule.wants(F.col("epoch"))), 7)
+
+
 @query(f"""with {_CURVE}, n as (select run, count(distinct split) as k from c group by run)
 select run, epoch, round(avg(r2), 7) as r2, count(distinct split) as splits from c join n using (run) group by run, epoch, k having count(distinct split) = k""")
 def mean_curve(spark, sf_dir):
@@ -584,6 +601,23 @@ def spline_score(spark, sf_dir):
     return rounded(models.score(z, ["a"], [{"kind": "spline", "base": [[0.7]], "spline": [[_W]], "bias": [0.25], "grid": 5}], ["p_partkey"]), 7)
 
 
+_EDGE_SQL = "0.7 * (0.5::double * {x} * (1 + tanh(sqrt(2 / pi()) * ({x} + 0.044715::double * {x} * {x} * {x})))) + ".format(x=_X) + " + ".join(f"({w}) * {b}" for w, b in zip(_W, _bspline_sql(_X, 5)))
+_LAYER = {"kind": "spline", "base": [[0.7]], "spline": [[_W]], "bias": [0.25], "grid": 5}
+
+
+@query(f"select p_partkey, 0 as input, 0 as output, round({_X}, 8) as x, round({_EDGE_SQL}, 7) as value from part")
+def edge_curve(spark, sf_dir):
+    """What one edge of a spline layer makes of each part's size."""
+    z = _t(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") - F.lit(25.0)) / F.lit(10.0)).alias("a"))
+    return rounded(models.edge_values(z, ["a"], _LAYER, ["p_partkey"]), 8, value=7)
+
+
+@query(f"select round(avg(abs({_EDGE_SQL})), 7) as l1 from part")
+def edge_l1(spark, sf_dir):
+    z = _t(spark, sf_dir, "part").select(((F.col("p_size") - F.lit(25.0)) / F.lit(10.0)).alias("a"))
+    return rounded(models.edge_l1(z, ["a"], _LAYER), 7)
+
+
 @query(f"""with {_KFOLD}, x as (select k.fold, y, x0, x1 from o join k using (row_id) where part = 'pool'),
 l as (select fold, y, 'x0' as feature, x0 as x from x union all select fold, y, 'x1', x1 from x),
 s as (select feature, fold, count(*)::double as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy from l group by all),

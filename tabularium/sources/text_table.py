@@ -78,6 +78,16 @@ def read_table(spark: SparkSession, path: str, has_header: bool = True, delimite
     return Table(cells, head if has_header else None, path, first["row_no"] if has_header else None, delimiter, None, len(head))
 
 
+def preview(table: Table, n: int = 20) -> DataFrame:
+    """The first rows."""
+    return table.rows.orderBy("row_no").limit(n)
+
+
+def ragged_examples(table: Table, n: int = 5) -> list[int]:
+    """The first rows of another width, by their place in the file."""
+    return [r["row_no"] for r in ragged_rows(table).orderBy("row_no").limit(n).collect()]
+
+
 def ragged_rows(table: Table) -> DataFrame:
     """row_no, cells of rows whose number of cells is not that of the first."""
     return table.rows.where(F.size("cells") != table.n_columns)

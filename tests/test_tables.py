@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabularium.operators import metrics, profile, schema, split
+from tabularium.operators import curves, metrics, profile, schema, split
 from tabularium.operators.schema import IGNORE, INPUT, OUTPUT, Field, Schema
 from tabularium.sources import open_table, text_table
 
@@ -238,3 +238,51 @@ def test_plans_need_rows():
     for bad in (lambda: split.check_holdout(2), lambda: split.check_kfold(4, 5), lambda: split.check_kfold(100, 1), lambda: split.check_fractions(float("nan")), lambda: split.check_kfold(3, 2, 0.1)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_schedules_and_labels(spark):
+    assert [split.label(), split.label(5), split.label(5, 3), split.label(is_test=True)] == ["validation", "cv-5", "cv-5x3", "test"]
+    epochs = spark.range(1, 13).withColumnRenamed("id", "e")
+    for schedule, want in ((curves.Schedule(), []), (curves.Schedule(5), [5, 10]), (curves.Schedule(at=(2, 12)), [2, 12])):
+        schedule.check(12)
+        assert [r.e for r in epochs.where(schedule.wants(F.col("e"))).orderBy("e").collect()] == want
+    for bad in (curves.Schedule(0), curves.Schedule(13), curves.Schedule(at=()), curves.Schedule(at=(0,)), curves.Schedule(at=(3, 3)), curves.Schedule(at=(13,))):
+        with pytest.raises(ValueError):
+            bad.check(12)
+
+
+def test_scales_previews_and_warnings(spark, tmp_path):
+    assert sorted(map(tuple, metrics.scales(spark, {"a": 1.5, "b": None}).collect())) == [("a", 1.5), ("b", None)]
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            metrics.scales(spark, {"a": bad})
+    t = text_table.read_table(spark, write(tmp_path, "a,b\n" + "".join(f"{i}\n" if i % 4 == 3 else f"{i},2\n" for i in range(40))))
+    assert [r.cells[0] for r in text_table.preview(t).collect()] == [str(i) for i in range(20)] and text_table.ragged_examples(t) == [5, 9, 13, 17, 21]
+    s = schema.numbered(2, 1, {1: 3})
+    assert "x1" in schema.code_warning("kan", s) and schema.code_warning("attention", s) is None and schema.code_warning("kan", schema.numbered(2, 1, {1: 2})) is None
+
+
+def test_edges_add_up_to_the_network(spark):
+    import numpy as np
+
+    from tabularium.operators import models
+
+    r = np.random.default_rng(4)
+    layer = {"kind": "spline", "base": r.normal(size=(2, 2)), "spline": r.normal(size=(2, 2, 8)), "bias": np.array([0.5, -1.0]), "grid": 5}
+    df = spark.createDataFrame([(i, *r.uniform(-2, 2, 2).tolist()) for i in range(20)], "id int, a double, b double")
+    sums = {(x.id, x.output): x.v for x in models.edge_values(df, ["a", "b"], layer, ["id"]).groupBy("id", "output").agg(F.sum("value").alias("v")).collect()}
+    one, two = models.activations(df, ["a", "b"], [layer], ["id"])
+    assert one.columns == ["id", "a0", "a1"]
+    for x in two.collect():
+        assert abs(sums[x.id, 0] + 0.5 - x.a0) < 1e-9 and abs(sums[x.id, 1] - 1.0 - x.a1) < 1e-9
+    values = models.edge_values(df, ["a", "b"], layer, ["id"]).groupBy("input", "output").agg(F.avg(F.abs("value")).alias("m")).agg(F.sum("m")).first()[0]
+    assert abs(models.edge_l1(df, ["a", "b"], layer).first().l1 - values) < 1e-9
+
+
+def test_columns_of_names_that_are_used(spark):
+    from tabularium.functions import ordering
+
+    df = spark.range(3).withColumn("rank", F.lit(1))
+    with pytest.raises(ValueError, match="rank"):
+        ordering.with_rank(df, "id", "id")
+    assert ordering.with_rank(df, "id", "id", "place").count() == 3
