@@ -220,9 +220,15 @@ def edited_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with column edits from a table of (doc_id, start, end, text): code points of the text, end excluded."""
+    """``docs`` with column edits from a table of (doc_id, start, end, text): code points of the text, end excluded.
+
+    A column of that name that is there already gets underscores at its end.
+    """
     held = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("text").alias("text"))).alias("edits"))
-    return docs.drop("edits").join(held, "doc_id", "left")
+    free = "edits"
+    while free in docs.columns:
+        free += "_"
+    return docs.withColumnRenamed("edits", free).join(held, "doc_id", "left")
 
 
 def redactions(text: Column) -> Column:
