@@ -828,3 +828,52 @@ def test_settled_surroundings_of_small_blocks(spark):
     assert {x.doc_id for x in inner if x.right < 0} and all(len(x.around) == 0 for x in out if x.right < 0)
     full = [x for x in inner if x.right >= 0 and bytes(x.around) in passage.encode()]
     assert len(full) <= 2 * len({bytes(x.around) for x in full}) and min(d for d, _ in rows) in {x.doc_id for x in full}
+
+
+# ---- more of 3 and 5
+
+
+def test_no_documents_to_count_or_label(spark):
+    none = table(spark, []).withColumn("edits", F.lit(None))
+    assert tokens.recount(tokens.build(none)).count() == 0 and tokens.edited_counts(none).count() == 0
+    model = langid.fit(table(spark, []))
+    assert langid.predict(table(spark, []), model).count() == 0 and langid.spans(table(spark, []), model).count() == 0 and langid.keep_known(table(spark, []), model).count() == 0
+
+
+def test_trees_of_long_pieces_and_of_a_clashing_column(spark):
+    rows = [(1, "a" * 3000 + " b"), (2, " " * 5000), (3, None), (4, "one two")]
+    edits = spark.createDataFrame([(1, 10, 20, "x y"), (2, 0, 4999, ""), (4, 0, 3, "three")], "doc_id long, start int, end int, text string")
+    docs = tokens.with_edits(table(spark, rows).withColumn("edits", F.lit("mine")), edits)
+    assert "edits_" in docs.columns
+    kept, whole = ({x.doc_id: tuple(x) for x in f.collect()} for f in (tokens.recount(tokens.build(docs)), tokens.edited_counts(docs)))
+    assert kept == whole
+    counter = tokens.Counter.of(tokens.VOCABULARY)
+    for d, t in ((1, "a" * 10 + "x y" + "a" * 2980 + " b"), (2, " "), (3, ""), (4, "three two")):
+        assert kept[d][4] == len(counter.encoding.encode_ordinary(t))
+
+
+def test_labels_against_every_path():
+    r = np.random.default_rng(2)
+    model = langid.Model(("a", "b", "c"), np.log(r.dirichlet(np.ones(langid.BUCKETS) * 0.05, 3).T + 1e-9).astype(np.float32), np.ones((len(langid.SCRIPT_NAMES), 3), bool))
+    texts = [" ".join("".join(chr(97 + c) for c in r.integers(0, 26, r.integers(1, 4))) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6) for _ in range(6)]
+    got, path, _ = langid.label(texts, model)
+    score = np.stack([np.add.reduceat(model.columns[j][got["gram"]], got["first"]) for j in range(3)], 1).astype(float)
+    changed = 0
+    for a, b in zip(got["text"], got["text"][1:]):
+        def value(p):
+            return sum(score[a + i, j] for i, j in enumerate(p)) - langid.PENALTY * sum(x != y for x, y in zip(p, p[1:]))
+
+        best = max(value(p) for p in itertools.product(range(3), repeat=b - a))
+        assert abs(value(tuple(path[a:b])) - best) < 1e-6
+        changed += len(set(path[a:b].tolist())) > 1
+    assert changed > 3
+
+
+def test_ties_repeats_and_long_texts_of_languages(spark):
+    docs = spark.createDataFrame([(i, "abc abd" if i % 2 else "xyz xyw", "p" if i % 2 else "q") for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    long = "abc abd " * 60_000 + "xyz xyw " * 60_000
+    rows = [(1, "mmm"), (2, long), (3, "abc"), (3, "abc"), (4, long)]
+    got = sorted(tuple(x) for x in langid.predict(table(spark, rows), model).collect())
+    assert [x[0] for x in got] == [1, 2, 3, 3, 4] and got[2] == got[3] and got[1][1:] == got[4][1:] and got[1][3:] == (240_000, 2)
+    assert got[0][1] == "p"  # neither language has seen it: first in byte order
