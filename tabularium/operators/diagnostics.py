@@ -85,6 +85,33 @@ def sensitivity(pairs: DataFrame, columns: list[str], predict: Callable[[list[Co
     return ratios.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ratio").alias("mean_ratio"), F.max("ratio").alias("max_ratio"))
 
 
+def gather(df: DataFrame, row_id: str, picked: DataFrame) -> DataFrame:
+    """The rows of ``df`` at the picked (row_id, turn), with their turn; a row that is picked twice comes twice."""
+    return df.join(picked.select(F.col("row_id").alias("_picked"), "turn"), F.col(row_id) == F.col("_picked")).drop("_picked")
+
+
+def calibration_sample(df: DataFrame, row_id: str, most: int = 256) -> DataFrame:
+    """row_id of ``most`` rows at even strides of the order of ids, all rows if there are no more."""
+    rows = with_rank(df.select(F.col(row_id).alias("row_id")), "row_id", "row_id")
+    at, stride = F.col("rank") - 1, F.col("rank_n") / F.lit(float(most))
+    turn = F.ceil(at / stride)
+    hit = F.lit(False)
+    for near in (0, 1, -1):  # the turn whose stride begins here, whichever way the division was rounded
+        hit = hit | (F.floor((turn + near) * stride) == at) & (turn + near).between(0, most - 1)
+    return rows.where((F.col("rank_n") <= most) | hit).select("row_id")
+
+
+def report(df: DataFrame, features: list[str], row_id: str, residual: str, outside: DataFrame) -> DataFrame:
+    """kind, feature, value: changes of sign and tail ratio of the residuals along each feature, and how many rows are outside of its range.
+
+    ``outside``: one row of outside_<feature> counts, as ``scaling.range_report`` gives them.
+    """
+    parts = [sign_changes(df, x, row_id, residual).select(F.lit("sign_changes").alias("kind"), "feature", F.col("sign_change_rate").alias("value")) for x in features]
+    parts += [tail_ratio(df, x, row_id, residual).select(F.lit("tail_ratio").alias("kind"), "feature", F.col("tail_ratio").alias("value")) for x in features]
+    counts = F.array(*[F.struct(F.lit("outside").alias("kind"), F.lit(x).alias("feature"), F.col(f"outside_{x}").cast("double").alias("value")) for x in features])
+    return functools.reduce(DataFrame.unionByName, [*parts, outside.select(F.inline(counts))])
+
+
 def nearest_rank(df: DataFrame, groups: list[str], value: str, share: float = 0.95) -> DataFrame:
     """groups, importance: the value at place round((n - 1) * share) of each group, without interpolation.
 

@@ -50,6 +50,13 @@ def overall(df: DataFrame, outputs: DataFrame) -> DataFrame:
     return flat.join(F.broadcast(means)).select("rmse", "mae", r2.alias("r2"), "nmae", "nrmse", "rel_error")  # one row each
 
 
+def target_scale(df: DataFrame, columns: list[str]) -> DataFrame:
+    """output, sigma: population spread of each target of the training rows, without a floor; null if there are none or one isn't finite."""
+    each = [F.stddev_pop(c) for c in columns]
+    finite = [F.when(~F.isnan(s) & (F.abs(s) < float("inf")), s) for s in each]
+    return df.agg(F.array(*[F.struct(F.lit(c).alias("output"), s.alias("sigma")) for c, s in zip(columns, finite)]).alias("s")).select(F.inline("s"))
+
+
 def scales(spark: SparkSession, sigmas: dict[str, float | None]) -> DataFrame:
     """output, sigma as ``per_output`` takes them; None where a spread isn't known."""
     for name, s in sigmas.items():

@@ -66,6 +66,11 @@ def kfold(df: DataFrame, row_id: str, k: int = 5, test: float = 0.15, test_seed:
     return parted.select("row_id", "part", F.when(F.col("part") == "pool", fold_of(k)).alias("fold"))
 
 
+def refit_pool(plan: DataFrame) -> DataFrame:
+    """row_id of train and validation rows together, as a final fit uses them."""
+    return plan.where("part in ('train', 'val')").select("row_id").distinct()
+
+
 def fold_of(k: int):
     """Fold of ``place`` among ``place_n`` rows."""
     small, more = F.floor(F.col("place_n") / k), F.col("place_n") % k

@@ -87,6 +87,12 @@ def fit_edges(samples: DataFrame, keys: list[str], zooms: int = ZOOMS) -> DataFr
     )
 
 
+def primitive_quality(fits: DataFrame, keys: list[str], least: float = 0.99) -> DataFrame:
+    """name, worst, mean, weak: how well each primitive does over all edges at its best setting, and how many edges it leaves below ``least``."""
+    best = fits.groupBy(*keys, "name").agg(F.max("r2").alias("r2"))
+    return best.groupBy("name").agg(F.min("r2").alias("worst"), F.avg("r2").alias("mean"), F.count_if(F.col("r2") < least).alias("weak"))
+
+
 def edge_quality(best: DataFrame, least: float = 0.99) -> DataFrame:
     """worst, mean, weak: R2 over the edges of ``fit_edges`` and how many are below ``least``; without edges 1, 1 and 0."""
     one = F.lit(1.0)

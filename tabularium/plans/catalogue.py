@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions.ordering import with_rank
-from ..operators import curves, diagnostics, metrics, models, profile, provenance, scaling, schema, scoring, search, split, symbolic
+from ..operators import characters, curves, diagnostics, metrics, models, profile, provenance, scaling, schema, scoring, search, split, symbolic
 from ..sources import generators, text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,8 +277,7 @@ def repeated_kfold_split(spark, sf_dir):
 @query(f"with {_HOLDOUT} select row_id from h where part = 'train' union select row_id from h where part = 'val'")
 def refit_pool(spark, sf_dir):
     """Train and validation rows together, as a final fit uses them."""
-    plan = split.holdout(_orders(spark, sf_dir), "row_id")
-    return plan.where("part = 'train'").select("row_id").union(plan.where("part = 'val'").select("row_id")).distinct()
+    return split.refit_pool(split.holdout(_orders(spark, sf_dir), "row_id"))
 
 
 @query(f"with {_KFOLD}, f as (select unnest(range(5))::int as fold) select f.fold, 'x0' as feature, round(avg(x0), 5) as mean, round(greatest(stddev_pop(x0), 1e-8), 5) as std, min(x0) as low, max(x0) as high from f, k join o using (row_id) where k.part = 'pool' and k.fold <> f.fold group by f.fold union all select f.fold, 'y', round(avg(y), 5), round(greatest(stddev_pop(y), 1e-8), 5), min(y), max(y) from f, k join o using (row_id) where k.part = 'pool' and k.fold <> f.fold group by f.fold")
@@ -331,8 +330,7 @@ def metrics_report(spark, sf_dir):
 
 @query("select 'l_quantity' as output, round(stddev_pop(l_quantity), 6) as sigma from lineitem union all select 'l_tax', round(stddev_pop(l_tax), 6) from lineitem")
 def target_scale(spark, sf_dir):
-    stats = _t(spark, sf_dir, "lineitem").agg(F.array(*[F.struct(F.lit(c).alias("output"), F.stddev_pop(c).alias("sigma")) for c in ("l_quantity", "l_tax")]).alias("s"))
-    return rounded(stats.select(F.inline("s")), 6)
+    return rounded(metrics.target_scale(_t(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"]), 6)
 
 
 _RUNS = "r as (select l_returnflag as candidate, l_linenumber % 2 as seed, l_suppkey % 2 as repeat, l_partkey % 3 as fold, 1 - avg(l_discount) - avg(l_tax) as r2 from lineitem group by all)"
@@ -692,21 +690,13 @@ def formula_score(spark, sf_dir):
 @query(f"with {_ORDERS}, r as (select row_id, row_number() over (order by row_id) - 1 as k, count(*) over () as n from o), w as (select distinct floor(i * (n / 256.0::double))::bigint as k from (select max(n) as n from r), (select unnest(range(256)) as i)) select row_id from r join w using (k)")
 def calibration_sample(spark, sf_dir):
     """256 rows at even strides of the order of ids (the operator's own size)."""
-    rows = with_rank(_orders(spark, sf_dir).select("row_id"), "row_id", "row_id")
-    at, stride = F.col("rank") - 1, F.col("rank_n") / F.lit(256.0)
-    turn = F.ceil(at / stride)
-    hit = (F.floor(turn * stride) == at) & (turn < 256) | (F.floor((turn + 1) * stride) == at) & (turn + 1 < 256) | (F.floor((turn - 1) * stride) == at) & (turn - 1 >= 0) & (turn - 1 < 256)
-    return rows.where(hit).select("row_id")
+    return diagnostics.calibration_sample(_orders(spark, sf_dir), "row_id")
 
 
 @query("""with c as (select unnest(string_split(text, '')) as ch from documents), v as (select ch, count(*) as n from c where ch <> '' group by ch)
 select ch, n, (row_number() over (order by encode(ch)) - 1)::int as id from v""")
 def char_vocabulary(spark, sf_dir):
-    from pyspark.sql import Window
-
-    counts = _t(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
-    # a row for each character of the scripts in use
-    return counts.select("ch", "n", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ch")) - 1).alias("id"))
+    return characters.vocabulary(_t(spark, sf_dir, "documents"), "text")
 
 
 @query("""with x as (select p_partkey, (p_size - 25) / 25.0::double as a, (p_retailprice - 1000) / 1000.0::double as b from part)
@@ -773,37 +763,28 @@ r as (select edge, n, max(coalesce(r2, 0)) as r2 from (select edge, n, b, c, cas
 select n as name, round(min(r2), 4) as worst, round(avg(r2), 4) as mean, count(*) filter (r2 < 0.99) as weak from r group by n""")
 def weak_edges(spark, sf_dir):
     """How well each primitive does over all edges, and how many edges it leaves below 0.99."""
-    fits = _best_fits(spark, sf_dir)
-    return rounded(fits.groupBy("name").agg(F.min("r2").alias("worst"), F.avg("r2").alias("mean"), F.count_if(F.col("r2") < 0.99).alias("weak")), 4)
+    return rounded(symbolic.primitive_quality(_best_fits(spark, sf_dir), ["edge"]), 4)
 
 
 @query(f"""with {_RES}, {_RANGES[len(_ORDERS) + 2:]} """ + " union all ".join(
-    [f"select 'sign_changes' as kind, '{x}' as feature, round(count(*) filter (e * p < 0) / (count(*) - 1)::double, 6) as value from (select e, lag(e) over (order by {x}, row_id) as p from e)" for x in ("x0", "x1")]
+    [f"select 'tail_ratio' as kind, '{x}' as feature, round(avg(case when k < n // 10 or k >= n - n // 10 then abs(e) end) / avg(case when k >= n // 5 and k < n - n // 5 then abs(e) end), 6) as value from (select e, row_number() over (order by {x}, row_id) - 1 as k, count(*) over () as n from e)" for x in ("x0", "x1")]
+    + [f"select 'sign_changes' as kind, '{x}' as feature, round(count(*) filter (e * p < 0) / (count(*) - 1)::double, 6) as value from (select e, lag(e) over (order by {x}, row_id) as p from e)" for x in ("x0", "x1")]
     + [f"select 'outside', '{x}', count(*) filter ({x} < l{x[1]} or {x} > h{x[1]})::double from o, s" for x in ("x0", "x1")]))
 def diagnostic_report(spark, sf_dir):
     """Residual structure and range violations of each feature, as one table."""
     o, rows = _orders(spark, sf_dir), _residuals(spark, sf_dir)
-    out = None
-    for x in ("x0", "x1"):
-        part = diagnostics.sign_changes(rows, x, "row_id", "e").select(F.lit("sign_changes").alias("kind"), "feature", F.col("sign_change_rate").alias("value"))
-        out = part if out is None else out.unionByName(part)
-    report = scaling.range_report(o, ["x0", "x1"], _urgent(o))
-    outside = report.select(F.inline(F.array(*[F.struct(F.lit("outside").alias("kind"), F.lit(x).alias("feature"), F.col(f"outside_{x}").cast("double").alias("value")) for x in ("x0", "x1")])))
-    return rounded(out.unionByName(outside), 6)
+    return rounded(diagnostics.report(rows, ["x0", "x1"], "row_id", "e", scaling.range_report(o, ["x0", "x1"], _urgent(o))), 6)
 
 
 @query("""with t as (select text, unnest(range(length(text) - 1)) as i from documents where length(text) > 1)
 select substr(text, i + 1, 1) as context, substr(text, i + 2, 1) as following, count(*) as n from t group by 1, 2""")
 def char_transitions(spark, sf_dir):
     """Character windows of one context and one target, counted over all texts."""
-    chars = _t(spark, sf_dir, "documents").select(F.filter(F.split("text", ""), lambda c: c != "").alias("c")).where(F.size("c") > 1)
-    pairs = F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("context"), F.slice("c", F.lit(2), F.size("c") - 1).alias("following"))
-    return chars.select(F.inline(pairs)).toDF("context", "following").groupBy("context", "following").agg(F.count(F.lit(1)).alias("n"))
+    return characters.windows(_t(spark, sf_dir, "documents"), "text").groupBy("context", "following").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {_INTER} select turn, p_partkey, p_retailprice from i join part on row_id = p_partkey")
 def gather_rows(spark, sf_dir):
     """Rows picked by place, with their turn."""
     part = _t(spark, sf_dir, "part")
-    picked = diagnostics.interleaved(part, "p_partkey", 300)
-    return part.join(F.broadcast(picked), part["p_partkey"] == picked["row_id"]).select("turn", "p_partkey", "p_retailprice")
+    return diagnostics.gather(part, "p_partkey", diagnostics.interleaved(part, "p_partkey", 300)).select("turn", "p_partkey", "p_retailprice")

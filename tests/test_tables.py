@@ -286,3 +286,31 @@ def test_columns_of_names_that_are_used(spark):
     with pytest.raises(ValueError, match="rank"):
         ordering.with_rank(df, "id", "id")
     assert ordering.with_rank(df, "id", "id", "place").count() == 3
+
+
+def test_characters(spark):
+    from tabularium.operators import characters
+
+    df = spark.createDataFrame([(1, "abca"), (2, ""), (3, None), (4, "é b")], "id int, text string")
+    known = characters.vocabulary(df, "text")
+    ids = {r.ch: r.id for r in known.collect()}
+    assert ids == {c: i for i, c in enumerate(sorted("abc é", key=lambda c: c.encode()))}
+    codes = characters.encode(df, "id", "text", known)
+    got = {r.row_id: r.codes for r in codes.collect()}
+    assert got == {1: [ids[c] for c in "abca"], 2: [], 3: [], 4: [ids[c] for c in "é b"]}
+    assert {r.row_id: r.text for r in characters.decode(codes, "codes", known, ["row_id"]).collect()} == {1: "abca", 2: "", 3: "", 4: "é b"}
+    assert characters.encode(df.where("id = 1"), "id", "text", known.where("ch <> 'b'")).first().codes == [ids["a"], None, ids["c"], ids["a"]]
+    assert sorted(map(tuple, characters.windows(df, "text", 2).collect())) == [("ab", "c"), ("bc", "a"), ("é ", "b")]
+    with pytest.raises(ValueError):
+        characters.windows(df, "text", 0)
+
+
+def test_rows_picked_twice_and_small_samples(spark):
+    from tabularium.operators import diagnostics
+
+    df = spark.createDataFrame([(i, i * 10) for i in range(5)], "k int, v int")
+    picked = spark.createDataFrame([(3, 0), (1, 1), (3, 2)], "row_id int, turn int")
+    assert [r.v for r in diagnostics.gather(df, "k", picked).orderBy("turn").collect()] == [30, 10, 30]
+    assert diagnostics.calibration_sample(df, "k", 8).count() == 5
+    many = spark.range(1000)
+    assert [r.row_id for r in diagnostics.calibration_sample(many, "id", 7).orderBy("row_id").collect()] == [int(i * 1000 / 7) for i in range(7)]
