@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .text_table import Table
 
+#: Ranges of the built-in number formats of dates and times.
+DATE_FORMATS = ((14, 22), (27, 36), (45, 47), (50, 58))
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -30,43 +36,77 @@ def sheets(data: bytes) -> dict[str, str]:
         return {s.get("name"): "xl/" + links[s.get(_REL)].lstrip("/").removeprefix("xl/") for s in names}
 
 
-def sheet_rows(data: bytes, part: str) -> list[tuple[int, list[str]]]:
-    """(physical row, cells) of rows that are not empty; booleans are 1 and 0, error cells are refused."""
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Places of the cell styles that show a number as a date or a time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_MAIN}numFmt")}
+    dated = {n for n, code in own.items() if re.search("[dmyhs]", re.sub(r'"[^"]*"|\\.|\[(?!h|m|s)[^\]]*\]', "", code.lower()))}
+    dated |= {n for low, high in DATE_FORMATS for n in range(low, high + 1) if n not in own}
+    formats = root.find(f"{_MAIN}cellXfs")
+    return {i for i, x in enumerate(formats if formats is not None else []) if int(x.get("numFmtId", 0)) in dated}
+
+
+def sheet_rows(data: bytes, part: str) -> Iterator[tuple[int, list[str]]]:
+    """(physical row, cells) of rows that are not empty; booleans are 1 and 0, error cells and dates are refused."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        out = []
-        for row in ElementTree.fromstring(book.read(part)).iter(f"{_MAIN}row"):
-            cells: dict[int, str] = {}
-            for c in row.iter(f"{_MAIN}c"):
-                kind, value = c.get("t", "n"), c.find(f"{_MAIN}v")
-                if kind == "e":
-                    raise ValueError(f"{c.get('r')}: an error cell")
-                if kind == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-                else:
-                    text = "" if value is None else shared[int(value.text)] if kind == "s" else value.text or ""
-                cells[_column(c.get("r"))] = text.strip()
-            if any(cells.values()):
-                out.append((int(row.get("r")), [cells.get(i, "") for i in range(max(cells) + 1)]))
-        return out
+        dates = _date_styles(book)
+        with book.open(part) as sheet:
+            for _, row in ElementTree.iterparse(sheet):
+                if row.tag != f"{_MAIN}row":
+                    continue
+                cells: dict[int, str] = {}
+                for c in row.iter(f"{_MAIN}c"):
+                    kind, value = c.get("t", "n"), c.find(f"{_MAIN}v")
+                    if kind == "e":
+                        raise ValueError(f"{c.get('r')}: an error cell")
+                    if kind == "d" or kind == "n" and value is not None and int(c.get("s", 0)) in dates:
+                        raise ValueError(f"{c.get('r')}: a date or a time is no number")
+                    if kind == "inlineStr":
+                        text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+                    else:
+                        text = "" if value is None else shared[int(value.text)] if kind == "s" else value.text or ""
+                    cells[_column(c.get("r"))] = text.strip()
+                if any(cells.values()):
+                    yield int(row.get("r")), [cells.get(i, "") for i in range(max(cells) + 1)]
+                row.clear()
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, has_header: bool = True) -> Table:
-    """A book is small by its format (a million rows at most), so one task holds it."""
-    data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
-    known = sheets(data)
+    """A sheet as a raw table, parsed by the task that reads the book; the driver sees the sheets' names and the first row."""
+    book = spark.read.format("binaryFile").load(path).select("content")
+
+    def names(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(list(column)) for column in zip(*sheets(content.as_py()).items())], ["name", "part"])
+
+    known = {r["name"]: r["part"] for r in book.mapInArrow(names, "name string, part string").collect()}
     if sheet is None and len(known) > 1:
         raise ValueError(f"{path}: name one of the sheets {', '.join(known)}")
     sheet = next(iter(known)) if sheet is None else sheet
     if sheet not in known:
         raise ValueError(f"{path}: no sheet {sheet}; it has {', '.join(known)}")
-    rows = sheet_rows(data, known[sheet])
-    if not rows:
+    part = known[sheet]
+
+    def rows(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                found = sheet_rows(content.as_py(), part)
+                while held := list(itertools.islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([c for _, c in held], pa.list_(pa.string()))], ["row_no", "cells"])
+
+    cells = book.mapInArrow(rows, "row_no long, cells array<string>")
+    first = cells.orderBy("row_no").first()
+    if first is None:
         raise ValueError(f"{path}: no rows")
-    wide = max(len(c) for _, c in rows)
-    rows = [(n, c + [""] * (wide - len(c))) for n, c in rows]
-    header = rows[0][1] if has_header else None
-    body = rows[1:] if has_header else rows
-    return Table(spark.createDataFrame(body, "row_no int, cells array<string>"), header, path, rows[0][0] if has_header else None, ",", sheet, wide)
+    wide = cells.agg(F.max(F.size("cells"))).first()[0]
+    body = cells.select("row_no", F.concat("cells", F.array_repeat(F.lit(""), F.lit(wide) - F.size("cells"))).alias("cells"))
+    if not has_header:
+        return Table(body, None, path, None, ",", sheet, wide)
+    header = first["cells"] + [""] * (wide - len(first["cells"]))
+    return Table(body.where(F.col("row_no") > first["row_no"]), header, path, first["row_no"], ",", sheet, wide)

@@ -314,3 +314,32 @@ def test_rows_picked_twice_and_small_samples(spark):
     assert diagnostics.calibration_sample(df, "k", 8).count() == 5
     many = spark.range(1000)
     assert [r.row_id for r in diagnostics.calibration_sample(many, "id", 7).orderBy("row_id").collect()] == [int(i * 1000 / 7) for i in range(7)]
+
+
+def styled(cells, formats, custom=""):
+    """A book of one sheet with number formats: cells are (reference, style, value)."""
+    import io
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" r:id="r0"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r0" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts>{custom}</numFmts><cellXfs>' + "".join(f'<xf numFmtId="{n}"/>' for n in formats) + "</cellXfs></styleSheet>")
+        body = "".join(f'<row r="{i + 1}"><c r="{r}" s="{s}"><v>{v}</v></c></row>' for i, (r, s, v) in enumerate(cells))
+        z.writestr("xl/worksheets/s.xml", f'<worksheet {main}><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def test_dates_of_workbooks_are_refused(spark, tmp_path):
+    from tabularium.sources import workbook
+
+    custom = '<numFmt numFmtId="164" formatCode="yyyy-mm-dd"/><numFmt numFmtId="165" formatCode="0.0 &quot;days&quot;"/>'
+    good = styled([("A1", 0, "1"), ("B2", 2, "2.5"), ("A3", 0, "3")], [0, 14, 165], custom)
+    (tmp_path / "good.xlsx").write_bytes(good)
+    t = workbook.read_workbook(spark, str(tmp_path / "good.xlsx"), has_header=False)
+    assert [tuple(r) for r in t.rows.orderBy("row_no").collect()] == [(1, ["1", ""]), (2, ["", "2.5"]), (3, ["3", ""])] and t.n_columns == 2
+    for formats in ([14], [164], [22]):
+        with pytest.raises(ValueError, match="A1"):
+            list(workbook.sheet_rows(styled([("A1", 0, "45000")], formats, custom), "xl/worksheets/s.xml"))
