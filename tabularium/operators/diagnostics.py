@@ -71,6 +71,9 @@ def sensitivity(pairs: DataFrame, columns: list[str], predict: Callable[[list[Co
     ``pairs`` has columns a_<c> of the base and b_<c> of the neighbour; categories never move. ``predict`` gives one output or
     several, in units of ``sigmas`` (one each where left out); a prediction that isn't finite is an error.
     """
+    if not 0 < alpha <= 1 or not columns or any(not s > 0 or s == float("inf") for s in sigmas or []):
+        raise ValueError("a step is a share in (0, 1] of numbers, and outputs have positive spreads")
+
     def outputs(at: list[Column]) -> list[Column]:
         made = predict(at)
         return made if isinstance(made, list) else [made]
@@ -85,6 +88,17 @@ def sensitivity(pairs: DataFrame, columns: list[str], predict: Callable[[list[Co
     return ratios.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ratio").alias("mean_ratio"), F.max("ratio").alias("max_ratio"))
 
 
+def sensitivity_report(
+    pairs: DataFrame, columns: list[str], model: Callable[[list[Column]], Column | list[Column]], reference: Callable[[list[Column]], Column | list[Column]],
+    alpha: float = 1.0, sigmas: list[float] | None = None,
+) -> DataFrame:
+    """pairs, mean and max ratio of a model and of the process it stands for, on the same pairs, and how far the means are apart."""
+    mine, theirs = (sensitivity(pairs, columns, f, alpha, sigmas) for f in (model, reference))
+    renamed = theirs.select(F.col("mean_ratio").alias("reference_mean"), F.col("max_ratio").alias("reference_max"))
+    both = mine.join(F.broadcast(renamed))  # one row each
+    return both.withColumn("divergence", F.abs(F.col("mean_ratio") - F.col("reference_mean")))
+
+
 def gather(df: DataFrame, row_id: str, picked: DataFrame) -> DataFrame:
     """The rows of ``df`` at the picked (row_id, turn), with their turn; a row that is picked twice comes twice."""
     return df.join(picked.select(F.col("row_id").alias("_picked"), "turn"), F.col(row_id) == F.col("_picked")).drop("_picked")

@@ -6,6 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,17 @@ def fingerprint(df: DataFrame, row_id: str, inputs: list[str], outputs: list[str
     return whole.select("n_rows", F.sha2(F.concat(F.lit(tags + ";"), F.coalesce("_h", F.lit(""))), 256).alias("digest"))
 
 
+def model_fingerprint(layers: list[dict]) -> str:
+    """Digest of a network: kinds, shapes and weights as 32-bit numbers, where both noughts are one and all that is no number another."""
+    digest = hashlib.sha256()
+    for layer in layers:
+        digest.update(json.dumps({k: v for k, v in layer.items() if isinstance(v, (str, int, bool))}, sort_keys=True).encode())
+        for k in sorted(k for k, v in layer.items() if not isinstance(v, (str, int, bool))):
+            values = np.asarray(layer[k], np.float32) + np.float32(0)
+            digest.update(f"{k}{values.shape}".encode() + np.where(np.isnan(values), np.float32("nan"), values).astype("<f4").tobytes())
+    return digest.hexdigest()
+
+
 def stamp(spec: dict) -> str:
     """Digest of a candidate's settings."""
     return hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest()

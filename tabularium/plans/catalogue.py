@@ -459,6 +459,18 @@ def sensitivity_of_outputs(spark, sf_dir):
     return rounded(diagnostics.sensitivity(pairs, ["s", "p"], lambda v: [F.lit(2.0) * v[0] + F.lit(0.5) * v[1] * v[1], v[0] - v[1]], 1.0, [4.0, 0.5]), 5)
 
 
+@query(f"""with {_NEAR}, r as (select abs(2 * (b.s - a.s) + 0.5 * (b.p * b.p - a.p * a.p)) / sqrt((b.s - a.s) ** 2 + (b.p - a.p) ** 2) as m, abs((b.s - a.s) + (b.p - a.p)) / sqrt((b.s - a.s) ** 2 + (b.p - a.p) ** 2) as t from n join z a on a.id = base_id join z b on b.id = other_id)
+select count(*) as pairs, round(avg(m), 5) as mean_ratio, round(max(m), 5) as max_ratio, round(avg(t), 5) as reference_mean, round(max(t), 5) as reference_max, round(abs(avg(m) - avg(t)), 5) as divergence from r""")
+def sensitivity_of_both(spark, sf_dir):
+    """A model and the process it stands for, on the same pairs."""
+    z = _scaled_parts(spark, sf_dir)
+    near = diagnostics.nearest_rows(z, "p_partkey", "p_brand", ["s", "p"])
+    a = z.select(F.col("p_partkey").alias("base_id"), F.col("s").alias("a_s"), F.col("p").alias("a_p"))
+    b = z.select(F.col("p_partkey").alias("other_id"), F.col("s").alias("b_s"), F.col("p").alias("b_p"))
+    pairs = near.join(a, "base_id").join(b, "other_id")
+    return rounded(diagnostics.sensitivity_report(pairs, ["s", "p"], lambda v: F.lit(2.0) * v[0] + F.lit(0.5) * v[1] * v[1], lambda v: v[0] + v[1]), 5)
+
+
 _EDGES = "g as (select l_returnflag as layer, l_linestatus || l_linenumber::varchar as edge, arg_min(v, k) as importance from (select l_returnflag, l_linestatus, l_linenumber, l_extendedprice as v, row_number() over w as k, round((count(*) over (partition by l_returnflag, l_linestatus, l_linenumber) - 1) * 0.95::double) + 1 as want from lineitem window w as (partition by l_returnflag, l_linestatus, l_linenumber order by l_extendedprice)) where k >= want group by all)"
 
 

@@ -343,3 +343,24 @@ def test_dates_of_workbooks_are_refused(spark, tmp_path):
     for formats in ([14], [164], [22]):
         with pytest.raises(ValueError, match="A1"):
             list(workbook.sheet_rows(styled([("A1", 0, "45000")], formats, custom), "xl/worksheets/s.xml"))
+
+
+def test_fingerprints_of_networks():
+    from tabularium.operators import provenance
+
+    layer = {"kind": "dense", "weights": [[0.5, 0.0]], "bias": [0.1, 0.2], "activate": True}
+    one = provenance.model_fingerprint([layer])
+    assert one == provenance.model_fingerprint([{**layer, "weights": [[0.5, -0.0]]}])
+    for other in ({"weights": [[0.5, 1e-9]]}, {"activate": False}, {"bias": [0.2, 0.1]}, {"weights": [[0.5], [0.0]]}):
+        assert one != provenance.model_fingerprint([{**layer, **other}])
+
+
+def test_steps_that_are_refused(spark):
+    from tabularium.operators import diagnostics
+
+    pairs = spark.createDataFrame([(0.0, 1.0)], "a_x double, b_x double")
+    for alpha, sigmas in ((0.0, None), (1.5, None), (float("nan"), None), (1.0, [0.0])):
+        with pytest.raises(ValueError):
+            diagnostics.sensitivity(pairs, ["x"], lambda v: v[0], alpha, sigmas)
+    got = diagnostics.sensitivity_report(pairs, ["x"], lambda v: v[0] * 3, lambda v: v[0]).first()
+    assert (got.mean_ratio, got.reference_mean, got.divergence) == (3.0, 1.0, 2.0)
