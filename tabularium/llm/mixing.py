@@ -37,7 +37,9 @@ from .textkit import U64, blocks, words
 DOMAINS = ("high", "low", "toxic")
 #: Labelled documents that the classifiers learn from at most, in expectation: of each label pair.
 FIT_ROWS = 3000
-BUCKETS = 1 << 16
+#: Words fall in so many buckets that in a long text of many words hardly one shares the bucket of a telling one.
+BITS = 21
+BUCKETS = 1 << BITS
 #: Rows that every word starts with, the squared standard errors at which a ratio counts half, parts of the labelled rows.
 PRIOR, DOUBT, FOLDS = 1.0, 30.0, 10
 TARGETS = {"high": 0.75, "low": 0.2, "toxic": 0.05}
@@ -49,8 +51,8 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """(distinct word buckets of all texts, offsets, [texts, marks] log rates of punctuation, words of each text)."""
     hashed, at = words(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
-    pair = np.unique(doc << 16 | (hashed & U64(BUCKETS - 1)).astype(np.int64))
-    offsets = np.searchsorted(pair >> 16, np.arange(len(texts) + 1))
+    pair = np.unique(doc << BITS | (hashed & U64(BUCKETS - 1)).astype(np.int64))
+    offsets = np.searchsorted(pair >> BITS, np.arange(len(texts) + 1))
     marks = np.zeros((len(texts), len(_MARKS)))
     for i, t in enumerate(texts):
         raw = np.bincount(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
@@ -73,7 +75,7 @@ class Classifier:
 
     def inputs(self, bucket, offsets, marks):
         n = len(marks)
-        value = self.ratio[bucket]
+        value = self.ratio[bucket].astype(float)
         total, top, low = np.zeros(n), np.zeros(n), np.zeros(n)
         full = np.flatnonzero(np.diff(offsets) > 0)
         if len(full):
@@ -100,7 +102,7 @@ def ratios(bucket, owner, label) -> np.ndarray:
     seen = [c + PRIOR * n / sum(rows) for c, n in zip(counts, rows)]
     ratio = np.log(seen[1] / rows[1]) - np.log(seen[0] / rows[0])
     z2 = ratio * ratio / (1 / seen[0] + 1 / seen[1])
-    return ratio * z2 / (z2 + DOUBT)
+    return (ratio * z2 / (z2 + DOUBT)).astype(np.float32)
 
 
 def train(bucket, offsets, marks, label, unknown: float = 0.5) -> Classifier:
@@ -153,12 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[C
         for batch in batches:
             for block in blocks(zip(*(c.to_pylist() for c in batch.columns)), 1):
                 bucket, at, marks, _ = features([b[1] for b in block])
-                rows = [(b[0], bucket[i:j].astype(np.uint16).tobytes(), marks[n].astype(np.float32).tobytes(), b[2], b[3]) for n, (b, i, j) in enumerate(zip(block, at[:-1], at[1:]))]
+                rows = [(b[0], bucket[i:j].astype(np.uint32).tobytes(), marks[n].astype(np.float32).tobytes(), b[2], b[3]) for n, (b, i, j) in enumerate(zip(block, at[:-1], at[1:]))]
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "words", "marks", "quality", "toxic"])
 
     held = taught.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(run, "doc_id long, words binary, marks binary, quality int, toxic int").toArrow().sort_by("doc_id")
-    word = [np.frombuffer(w, np.uint16).astype(np.int64) for w in held["words"].to_pylist()]
+    word = [np.frombuffer(w, np.uint32).astype(np.int64) for w in held["words"].to_pylist()]
     marks = np.array([np.frombuffer(m, np.float32) for m in held["marks"].to_pylist()]).reshape(len(word), len(_MARKS))
 
     def taught_by(column, unknown):
