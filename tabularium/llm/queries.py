@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, lines, media, minhash, mixing, sharding, suffix, tokens, warc
-from .shared import new_folder
+from .shared import new_folder, staged
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", tokens.redactions(F.col("text")).alias("edits"))
-    return tokens.edited_counts(docs)
+    # the kept trees: a table that later edits start from
+    return tokens.recount(staged(tokens.build(docs), "trees", compression="zstd"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ pieces are the old ones. The blocks touched get new sums, and so do their ancest
 
 Edge cases: null is the empty text, of no pieces; null edits are none; edits that lie outside of the text are cut to it;
 of overlapping edits the one that begins first holds (of those the longer, then the lesser text) and the others are
-skipped; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
+skipped; repeated rows give repeated results; very long texts, also of one piece, are whole documents; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,15 +151,24 @@ def settled(edits, size: int) -> list[tuple[int, int, str]]:
 # ---- Spark jobs
 
 
+def _pack(numbers: list[int]) -> bytes:
+    """Numbers of one byte each where all fit, else of four; the first byte says which."""
+    return b"\1" + bytes(numbers) if max(numbers, default=0) < 256 else b"\4" + np.array(numbers, np.uint32).tobytes()
+
+
+def _unpack(held: bytes) -> list[int]:
+    return list(held[1:]) if held[:1] == b"\1" else np.frombuffer(held, np.uint32, offset=1).tolist()
+
+
 def build(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, text, edits, lengths, counts: each document's pieces, packed as 32-bit numbers (edits pass through)."""
+    """doc_id, text, edits, lengths, counts: each document's pieces, packed (edits pass through). Keep it as a table and ``recount`` it."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, edits array<struct<start:int,end:int,text:string>>, lengths binary, counts binary"
 
     def run(batches):
         counter = Counter.of(path)
         for batch in _slices(batches):
             held = [counter.pieces(t.as_py() or "") for t in batch.column(1)]
-            packed = [pa.array([np.array(h[k], np.uint32).tobytes() for h in held], pa.binary()) for k in (0, 1)]
+            packed = [pa.array([_pack(h[k]) for h in held], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *packed], ["doc_id", "text", "edits", "lengths", "counts"])
 
     return docs.select("doc_id", F.col("text").cast("string"), F.col("edits").cast("array<struct<start:int,end:int,text:string>>").alias("edits")).mapInArrow(run, schema)
@@ -197,7 +207,7 @@ def recount(trees: DataFrame, path: str = VOCABULARY) -> DataFrame:
         for batch in _slices(batches):
             rows = []
             for text, edits, lengths, counts in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                sizes, n = (np.frombuffer(x.as_buffer(), np.uint32).tolist() for x in (lengths, counts))
+                sizes, n = _unpack(lengths.as_py()), _unpack(counts.as_py())
                 rows.append(_after(text.as_py() or "", edits, sizes, n, counter))
             yield _counts(batch.column(0), rows)
 
