@@ -310,6 +310,6 @@ def keep_leads(docs: DataFrame, **settings) -> DataFrame:
     key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.lit(1), text).alias("_h1"), F.xxhash64(F.lit(2), text).alias("_h2")]
     keep = near_duplicates(docs, **settings).where("leads").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
     names = ["_id", "_h1", "_h2"]
-    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("_row"), *key)
+    rows = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key)
     rows = rows.join(keep, names, "left_semi").dropDuplicates(names)
     return rows.select("_row.*").unionByName(docs.where("doc_id is null"))

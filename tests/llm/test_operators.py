@@ -581,8 +581,8 @@ def test_unlike_texts_of_one_id_are_classed_apart(spark):
     rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, b + " more"), (0, a + " first"), (None, a)]
     got = sorted((x.doc_id, x.class_id, x.leads, x.copy_of) for x in minhash.near_duplicates(table(spark, rows)).collect())
     assert got == [(0, 0, True, 0), (1, 0, False, 1), (1, 1, True, 1), (1, 1, True, 1), (2, 0, False, 2), (3, 1, False, 3)]
-    kept = minhash.keep_leads(table(spark, rows).withColumn("_row", F.lit(1)).withColumn("_id", F.lit("x")))
-    assert kept.columns == [*table(spark, []).columns, "_row", "_id"]
+    kept = minhash.keep_leads(table(spark, rows).withColumn("_row", F.lit(1)).withColumn("_id", F.lit("x")).withColumn("a.b", F.lit(2)))
+    assert kept.columns == [*table(spark, []).columns, "_row", "_id", "a.b"]
     assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted([(0, rows[5][1]), (1, b), (None, a)], key=str)
 
 
