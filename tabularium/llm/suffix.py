@@ -36,7 +36,7 @@ from .shared import staged
 from .textkit import U64, blocks, mix, prefix_hash, slice_hash
 
 SPAN, GRAM = 50, 24
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Bytes of text for each bucket of anchors, and buckets at most; surroundings that a task remembers, if so many documents of a block had them.
 BUCKET_BYTES, BUCKETS = 13 << 20, 1 << 18
 REMEMBERED, OFTEN = 4096, 4
@@ -345,7 +345,7 @@ def _surroundings(texts: DataFrame, buckets: int, span: int, gram: int) -> DataF
     return texts.select("doc_id", "text", "keys").mapInArrow(run, "key long, doc_id long, left short, right short, places binary, around binary")
 
 
-def _repeats(rows: DataFrame, span: int, gram: int, most: int = 1 << 16) -> DataFrame:
+def _repeats(rows: DataFrame, span: int, gram: int, most: int = 1 << 15) -> DataFrame:
     """doc_id, start, end of stretches to drop. Rows come sorted by key; a run of whole keys is worked on at a time."""
     wide = 2 * span - gram
 
