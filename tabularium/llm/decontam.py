@@ -35,7 +35,7 @@ SEED, SHARE, BITS, RECALL = 3, 0.25, 2, 0.99
 MOST, COPIES = 64, 96
 BLOCK_ITEMS, BLOCK_BYTES = 4000, 4 << 20
 #: Characters of documents that are searched at a time.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 _ANY = U64(1)
 
 

@@ -133,7 +133,7 @@ def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int =
     def run(batches):
         for batch in batches:
             ids, h1, h2 = (c.to_pylist() for c in batch.columns[:3])
-            for block in blocks(zip(ids, h1, h2, batch.column(3).to_pylist()), 3):
+            for block in blocks(zip(ids, h1, h2, batch.column(3).to_pylist()), 3, 1 << 19):
                 elements, at = shingles([b[3] for b in block], size)
                 keys = band_keys(signatures(elements, at, k=bands * rows), bands).view(np.int64)
                 n = np.diff(at)
