@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, media, minhash, mixing, sharding, suffix, tokens, warc
+from . import decontam, langid, lines, media, minhash, mixing, runs, sharding, suffix, tokens, trie, warc
 from .shared import new_folder, staged
 
 
@@ -89,6 +89,44 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "n_spans")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return trie.prefix_trie(*trie.rebuilt(turns))
+
+
+OP11_SQL = """
+with t as (select conv_id, struct_pack(role := coalesce(role, ''), body := coalesce(text, '')) as turn_of,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as place
+    from conversations where conv_id is not null),
+s as (select conv_id, count(*) as n, list(turn_of order by place) as own, CAST(conv_id AS VARCHAR) as name from t group by conv_id),
+b as (select *, list_transform(range(8 * length(name)), lambda i: CAST((ascii(substr(name, CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT)) as bits from s),
+h as (select *, xor(list_reduce(list_prepend(4294967295, bits), lambda c, x: xor(c >> 1, 3988292384 * xor(c & 1, x))), 4294967295) % 9 as h from b),
+r as (select a.conv_id, list_concat(coalesce(list_slice(c.own, 1, a.h), []), list_slice(a.own, a.h + 1, a.n)) as turns
+    from h a left join s c on c.conv_id = a.conv_id - a.conv_id % 5),
+p as (select conv_id, len(turns) as n_turns, unnest(range(0, len(turns) + 1)) as depth, turns from r),
+k as (select conv_id, n_turns, depth, list_slice(turns, 1, depth) as key, case when depth > 0 then strlen(turns[depth].body) else 0 end as bytes from p),
+n as (select key, depth, min(conv_id) as conv_id, count(*) as n_convs, max(bytes) as bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' order by conv_id) filter (n_turns = depth), '')) as ends_sha256 from k group by key, depth),
+m as (select k.conv_id as member, k.depth, n.conv_id as node from k join n on k.key = n.key and k.depth = n.depth),
+q as (select n.*, m.node as parent_conv_id from n left join m on m.member = n.conv_id and m.depth = n.depth - 1),
+c as (select parent_conv_id as node, depth - 1 as depth, count(*) as n_children from q where depth > 0 group by 1, 2),
+f as (select q.*, coalesce(c.n_children, 0) as n_children from q left join c on c.node = q.conv_id and c.depth = q.depth),
+u as (select m.node as conv_id, m.depth, count(*) filter (f.n_children = 0) as n_leaves, sum((f.n_convs - 1) * f.bytes) as saved_tokens
+    from f join m on m.member = f.conv_id and m.depth <= f.depth group by 1, 2)
+select f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) as saved_tokens, f.ends_sha256
+from f join u on f.conv_id = u.conv_id and f.depth = u.depth
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = runs.periodic_runs(docs.select("doc_id", runs.replayed(F.col("text"), F.col("doc_id")).alias("text")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        digest(runs.runs_text(F.col("runs"))).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dartminhash": op1_dartminhash,
     "op2_soft_mixing": op2_soft_mixing,
@@ -100,5 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_gif_media": op10_gif_media,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op6_warc_zstd": OP6_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op6_warc_zstd": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL}
