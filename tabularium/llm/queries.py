@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, media, minhash, mixing, runs, sharding, suffix, tokens, trie, warc
+from . import bpe, decontam, langid, lines, media, minhash, mixing, runs, sharding, suffix, tokens, trie, warc
 from .shared import new_folder, staged
 
 
@@ -118,6 +118,15 @@ from f join u on f.conv_id = u.conv_id and f.depth = u.depth
 """
 
 
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    name = bpe.lexicon(docs)
+    done = bpe.decode(bpe.encode(docs, name), name)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join("ids", ",")).alias("ids_sha256"), digest(F.col("text")).alias("decoded_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = runs.periodic_runs(docs.select("doc_id", runs.replayed(F.col("text"), F.col("doc_id")).alias("text")))
@@ -139,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_gif_media": op10_gif_media,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_bpe_transducer": op12_bpe_transducer,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op6_warc_zstd": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL}
