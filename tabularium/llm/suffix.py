@@ -19,8 +19,8 @@ by anchor outside of memory and worked on in runs of whole anchors; equal suffix
 buckets whose number grows with the bytes of the input.
 
 Edge cases: null is the empty text; texts under ``span`` bytes keep all bytes; rows without an id keep all
-bytes and remove none; repeated rows give repeated results (ids are otherwise taken to be unique); an
-empty table gives an empty result; extra columns are ignored.
+bytes and remove none; repeated rows give repeated results; unlike texts of one id are documents of their own, neither before the
+other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -198,7 +198,7 @@ def _by_bytes(live, doc, around, at, span, asked):
 
 
 def _packed_anchors(texts: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
-    """bucket, keys (32 bits of the hash each), ids: the distinct anchors of each document, in runs by bucket."""
+    """bucket, keys (32 bits of the hash each), ids: the distinct anchors of each text, in runs by bucket."""
 
     def flush(held):
         hashed, ids = (np.concatenate(x) for x in zip(*held))
@@ -228,11 +228,11 @@ def _packed_anchors(texts: DataFrame, buckets: int, span: int, gram: int) -> Dat
         if size:
             yield flush(held)
 
-    return texts.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, ids binary")
+    return texts.select("node", "text").mapInArrow(run, "bucket int, keys binary, ids binary")
 
 
 def _shared_anchors(packed: DataFrame) -> DataFrame:
-    """doc_id, key: anchors that two documents at least have (by bucket and 32 bits of hash)."""
+    """node, key: anchors that two texts at least have (by bucket and 32 bits of hash)."""
 
     def settle(bucket, held):
         keys = np.concatenate([np.frombuffer(k, np.uint32) for k, _ in held])
@@ -242,7 +242,7 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
         keep = np.repeat(several, np.diff(np.append(first, len(keys))))
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array((np.int64(bucket) << 32) | keys[keep].astype(np.int64), pa.int64())], ["doc_id", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array((np.int64(bucket) << 32) | keys[keep].astype(np.int64), pa.int64())], ["node", "key"])
 
     def run(batches):
         now, held = None, []
@@ -256,7 +256,7 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
         if held:
             yield settle(now, held)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, key long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "node long, key long")
 
 
 def _whole_runs(name: np.ndarray, most: int):
@@ -270,7 +270,7 @@ def _whole_runs(name: np.ndarray, most: int):
 
 
 def _surroundings(texts: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
-    """key, doc_id, left, right, places, around of the anchors in column ``keys`` of ``texts`` (doc_id, text, keys).
+    """key, node, doc_id, left, right, places, around of the anchors in column ``keys`` of ``texts`` (node, doc_id, text, keys).
 
     A document's anchors with the same surroundings, as periodic text has them, are one row with all their places. Where a
     document of smaller id in the same task has the same surroundings, the row is settled already: left and -1 - right are the
@@ -295,17 +295,18 @@ def _surroundings(texts: DataFrame, buckets: int, span: int, gram: int) -> DataF
             return held[0]
 
         for batch in batches:
-            for block in blocks(zip(*(c.to_pylist() for c in batch.columns)), 1):
-                data, ends = _joined([t for _, t, _ in block])
+            for block in blocks(zip(*(c.to_pylist() for c in batch.columns)), 2):
+                data, ends = _joined([b[2] for b in block])
                 spots, hashed = anchors(data, ends, span, gram)
                 which = np.searchsorted(ends, spots, "right")
                 key = (((hashed >> U64(32)) % U64(buckets)) << U64(32)) | (hashed & U64(0xFFFFFFFF))
-                asked = np.concatenate([mix(np.array(k, np.int64).view(U64)) + U64(i) for i, (_, _, k) in enumerate(block)])
+                asked = np.concatenate([mix(np.array(k, np.int64).view(U64)) + U64(i) for i, (*_, k) in enumerate(block)])
                 keep = np.isin(mix(key) + which.astype(U64), asked)
                 spots, which, key = spots[keep], which[keep], key[keep].view(np.int64)
                 begin = np.concatenate([[0], ends])[which]
                 left, right = np.minimum(spots - begin, before), np.minimum(ends[which] - spots, span)
-                ids = np.array([b[0] for b in block], np.int64)[which]
+                ids = np.array([b[1] for b in block], np.int64)[which]
+                nodes = np.array([b[0] for b in block], np.int64)
                 padded = np.concatenate([np.zeros(before, np.uint8), data, np.zeros(span, np.uint8)])
                 prefix = prefix_hash(data)
                 name = mix(slice_hash(prefix, spots - left, spots + right) + mix((left * 2 * span + right).astype(U64)))
@@ -334,56 +335,55 @@ def _surroundings(texts: DataFrame, buckets: int, span: int, gram: int) -> DataF
                     by = np.argsort(np.where(settled, len(data), spots[part][first]))  # neighbours overlap, which compresses well
                     by = by[useful[by]]
                     settled, fewest, first, places = settled[by], fewest[by], first[by], [places[i] for i in by]
-                    doc = ids[part][first]
+                    doc, node = ids[part][first], nodes[which[part][first]]
                     offsets = np.concatenate([[0], np.cumsum(np.where(settled, 0, wide))]).astype(np.int32)
                     flat = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(around[first[~settled]].tobytes())])
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.where(settled, mix(doc.view(U64)).view(np.int64), key[part][first])), pa.array(doc), pa.array(left[part][first], pa.int16()),
+                        pa.array(np.where(settled, mix(doc.view(U64)).view(np.int64), key[part][first])), pa.array(node), pa.array(doc), pa.array(left[part][first], pa.int16()),
                         pa.array(np.where(settled, -1 - fewest, right[part][first]), pa.int16()), pa.array([x.astype(np.int64).tobytes() for x in places], pa.binary()), flat,
-                    ], ["key", "doc_id", "left", "right", "places", "around"])
+                    ], ["key", "node", "doc_id", "left", "right", "places", "around"])
 
-    return texts.select("doc_id", "text", "keys").mapInArrow(run, "key long, doc_id long, left short, right short, places binary, around binary")
+    return texts.select("node", "doc_id", "text", "keys").mapInArrow(run, "key long, node long, doc_id long, left short, right short, places binary, around binary")
 
 
 def _repeats(rows: DataFrame, span: int, gram: int, most: int = 1 << 15) -> DataFrame:
-    """doc_id, start, end of stretches to drop. Rows come sorted by key; a run of whole keys is worked on at a time."""
+    """node, start, end of stretches to drop. Rows come sorted by key; a run of whole keys is worked on at a time."""
     wide = 2 * span - gram
 
     def settle(held):
-        key, doc, left, right, places = (np.concatenate([h[i] for h in held]) for i in range(5))
-        around = np.concatenate([h[5] for h in held])
+        key, node, doc, left, right, places, around = (np.concatenate([h[i] for h in held]) for i in range(7))
         most, fewest = _earlier(key, doc, left, right, around, span, gram)
         got = np.flatnonzero(most >= 0)
         each = [np.frombuffer(places[i], np.int64) for i in got]
         n = np.fromiter(map(len, each), np.int64, len(each))
         pos = np.concatenate([np.empty(0, np.int64), *each])
-        return stretches(np.repeat(doc[got], n), pos, np.repeat(most[got], n), np.repeat(fewest[got], n))
+        return stretches(np.repeat(node[got], n), pos, np.repeat(most[got], n), np.repeat(fewest[got], n))
 
-    def stretches(doc, pos, most, fewest):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos - most), pa.array(pos + span - fewest)], ["doc_id", "start", "end"])
+    def stretches(node, pos, most, fewest):
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(pos - most), pa.array(pos + span - fewest)], ["node", "start", "end"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            is_settled = batch.column(3).to_numpy(zero_copy_only=False) < 0
+            is_settled = batch.column(4).to_numpy(zero_copy_only=False) < 0
             if is_settled.any():
                 done = batch.filter(pa.array(is_settled))
                 batch = batch.filter(pa.array(~is_settled))
-                each = [np.frombuffer(x, np.int64) for x in done.column(4).to_pylist()]
+                each = [np.frombuffer(x, np.int64) for x in done.column(5).to_pylist()]
                 n = np.fromiter(map(len, each), np.int64, len(each))
-                doc, most_, fewest_ = (np.repeat(done.column(i).to_numpy(zero_copy_only=False).astype(np.int64), n) for i in (1, 2, 3))
-                yield stretches(doc, np.concatenate(each), most_, -1 - fewest_)
+                node, most_, fewest_ = (np.repeat(done.column(i).to_numpy(zero_copy_only=False).astype(np.int64), n) for i in (1, 3, 4))
+                yield stretches(node, np.concatenate(each), most_, -1 - fewest_)
             if not len(batch):
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
             places = np.empty(len(batch), object)
-            places[:] = batch.column(4).to_pylist()
-            around = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, wide)
+            places[:] = batch.column(5).to_pylist()
+            around = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, wide)
             held.append((*cols, places, around))
             size += len(around)
             if size < most or cols[0][-1] == held[0][0][0]:  # all of one key
                 continue
-            flat = [np.concatenate([h[i] for h in held]) for i in range(6)]
+            flat = [np.concatenate([h[i] for h in held]) for i in range(7)]
             last = int(np.searchsorted(flat[0], flat[0][-1]))  # the last key may go on
             held = [tuple(flat)]
             if last:
@@ -393,16 +393,16 @@ def _repeats(rows: DataFrame, span: int, gram: int, most: int = 1 << 15) -> Data
         if held:
             yield settle(held)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start long, end long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node long, start long, end long")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """doc_id, n_removed, n_spans, kept_sha256, kept of texts with their stretches (starts, stops; null without any)."""
+    """node, n_removed, n_spans, kept_sha256 of texts with their stretches (pairs; null without any)."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+            for node, text, pairs in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 spans: list[list[int]] = []
                 for p in sorted((p["start"], p["end"]) for p in pairs or []):
@@ -415,11 +415,24 @@ def _cut(texts: DataFrame) -> DataFrame:
                     parts.append(raw[at:a])
                     at = b
                 kept = b"".join([*parts, raw[at:]])
-                rows.append((doc_id, len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+                rows.append((node, len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["node", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.select("doc_id", "text", "pairs").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.select("node", "text", "pairs").mapInArrow(run, "node long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Marks a further text of an id that has several; ids of documents are below.
+_FURTHER = 1 << 62
+
+
+def _named(texts: DataFrame) -> DataFrame:
+    """``texts`` (h1, h2, first_id) with node: first_id, but of unlike texts with one first_id only one has it and the others have a hash."""
+    order = F.struct("h1", "h2")
+    several = texts.groupBy("first_id").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("first_id", "head")
+    further = F.xxhash64("h1", "h2", "first_id").bitwiseAND(F.lit(_FURTHER - 1)).bitwiseOR(F.lit(_FURTHER))
+    node = F.when(order > F.col("head"), further).otherwise(F.col("first_id"))
+    return texts.join(several, "first_id", "left").select("h1", "h2", "first_id", node.alias("node"))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -431,18 +444,24 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
         F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"),
         F.when((size < span) | F.col("doc_id").isNull(), F.sha2(text, 256)).alias("own_sha256"),
     )
-    first = staged(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id")), "texts")
-    rows = staged(rows.join(first, ["h1", "h2"]).select("doc_id", "n_bytes", "own_sha256", "first_id"), "rows")
+    first = staged(_named(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))), "texts")
+    rows = staged(rows.join(first, ["h1", "h2"]).select("doc_id", "node", "n_bytes", "own_sha256", "first_id"), "rows")
     whole_bytes = rows.where(F.col("doc_id") == F.col("first_id")).agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, whole_bytes // BUCKET_BYTES + 1))
-    chosen = rows.where(F.col("doc_id") == F.col("first_id")).where(F.col("n_bytes") >= span).select("doc_id").distinct()
+    chosen = rows.where(F.col("doc_id") == F.col("first_id")).where(F.col("n_bytes") >= span).select("node").distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = source.join(chosen.hint("shuffle_hash"), "doc_id")
-    keys = _shared_anchors(_packed_anchors(texts, buckets, span, gram)).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    around = _surroundings(texts.join(keys.hint("shuffle_hash"), "doc_id"), buckets, span, gram)
-    pairs = _repeats(around, span, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("pairs"))
-    cut = _cut(texts.join(pairs.hint("shuffle_hash"), "doc_id", "left"))
-    done = rows.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left")
+    further = first.where(F.col("node") != F.col("first_id"))
+    if further.isEmpty():  # every text has an id of its own
+        source = source.withColumn("node", F.col("doc_id"))
+    else:
+        hashed = source.withColumns({"h1": F.xxhash64(F.lit(1), "text"), "h2": F.xxhash64(F.lit(2), "text")})
+        source = hashed.join(further.select("h1", "h2", F.col("first_id").alias("doc_id"), "node"), ["doc_id", "h1", "h2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+    texts = source.select("node", "doc_id", "text").join(chosen.hint("shuffle_hash"), "node")
+    keys = _shared_anchors(_packed_anchors(texts, buckets, span, gram)).groupBy("node").agg(F.collect_list("key").alias("keys"))
+    around = _surroundings(texts.join(keys.hint("shuffle_hash"), "node"), buckets, span, gram)
+    pairs = _repeats(around, span, gram).groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("pairs"))
+    cut = _cut(texts.join(pairs.hint("shuffle_hash"), "node", "left"))
+    done = rows.join(cut.dropDuplicates(["node"]), "node", "left")
     copy = F.col("doc_id") > F.col("first_id")
     whole = (F.col("n_bytes") >= span) & copy
     return done.select(

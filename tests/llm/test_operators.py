@@ -822,7 +822,7 @@ def test_settled_surroundings_of_small_blocks(spark):
     df = spark.createDataFrame([(d, t, [0]) for d, t in rows], "doc_id long, text string, keys array<long>").coalesce(1)
     anchors_, hashed = suffix.anchors(np.frombuffer(passage.encode(), np.uint8), np.array([120]))
     key = (((hashed >> np.uint64(32)) % np.uint64(16)) << np.uint64(32)) | (hashed & np.uint64(0xFFFFFFFF))
-    df = df.withColumn("keys", F.array(*[F.lit(int(k)) for k in key.view(np.int64)]))
+    df = df.withColumn("keys", F.array(*[F.lit(int(k)) for k in key.view(np.int64)])).withColumn("node", F.col("doc_id"))
     out = suffix._surroundings(df, 16, 50, 24).collect()
     inner = [x for x in out if x.left == 26]
     assert {x.doc_id for x in inner if x.right < 0} and all(len(x.around) == 0 for x in out if x.right < 0)
@@ -830,6 +830,18 @@ def test_settled_surroundings_of_small_blocks(spark):
     assert len(full) <= 2 * len({bytes(x.around) for x in full}) and min(d for d, _ in rows) in {x.doc_id for x in full}
 
 
+def test_unlike_texts_of_one_id(spark):
+    """Each is a document of its own; neither comes before the other, but a smaller id comes before both."""
+    r = random.Random(19)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    x, y, z = word(80), word(90), word(70)
+    rows = [(1, x), (1, x + "tail"), (2, word(30) + x[:60]), (2, y), (2, y + z), (2, z), (3, z + y), (3, x), (3, x), (None, x), (1, None), (2, "")]
+    rows += [(r.randrange(4, 9), word(r.randrange(40)) + r.choice([x, y, z])[r.randrange(20) :] + word(r.randrange(40))) for _ in range(60)]
+    got = suffix.remove_repeats(table(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute_passages(rows)
+    assert all(x.n_removed <= x.n_bytes for x in got)
+
+
 # ---- more of 3 and 5
 
 
