@@ -50,9 +50,17 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "text", tokens.redactions(F.col("text")).alias("edits"))
-    # the kept trees: a table that later edits start from
-    return tokens.recount(staged(tokens.build(docs), "trees", compression="zstd"))
+    # the kept trees: a table that edits start from; the second round starts from the trees that the first one returns
+    trees = staged(tokens.build(_documents(spark, sf_dir).select("doc_id", "text")), "trees", compression="zstd")
+    edits = tokens.redactions(F.col("text")).alias("edits")
+    first = tokens.edited(trees.select("*", edits))
+    counts = ["n_tokens", "n_pieces", "n_edits", "n_tokens_after", "n_reencoded"]
+    held = {f"{c}_1": F.col(c) for c in counts}
+    again = first.select("doc_id", "text", "sums", "blocks", edits, *(c.alias(n) for n, c in held.items()))
+    second = tokens.edited(again, carry=tuple(held))
+    return second.select(
+        "doc_id", *(F.col(f"{c}_1").alias(c) for c in counts), F.col("n_edits").alias("n_edits_2"), F.col("n_tokens_after").alias("n_tokens_2"),
+        F.col("n_reencoded").alias("n_reencoded_2"), "n_blocks", "n_blocks_read")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

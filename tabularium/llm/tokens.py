@@ -1,14 +1,14 @@
 """Token counts that follow edits: a segment tree of pre-token pieces per document, re-encoded only where edits touch it.
 
 Byte-level BPE encodes the pieces of a pre-token pattern one by one, so a document's count is the sum over its
-pieces. ``build`` keeps each piece's length and count; ``TokenTree`` holds them in blocks under a binary tree
-of sums. An edit re-splits the text from the piece that contains the character two before it (no piece
-that ends earlier looks that far ahead) until a new piece ends where an old one ended behind the edit; from there on all
+pieces. ``build`` makes a tree for each document, to be kept as a table: blocks of piece lengths and counts under a binary tree
+of sums. ``edited`` takes kept trees with edits, opens only the blocks that these come to, and returns the new trees, from which the
+next edits start. An edit re-splits the text from the piece that contains the character two before it (no piece that ends earlier looks that far ahead) until a new piece ends where an old one ended behind the edit; from there on all
 pieces are the old ones. The blocks touched get new sums, and so do their ancestors.
 
 Edge cases: null is the empty text, of no pieces; null edits are none; edits that lie outside of the text are cut to it;
 of overlapping edits the one that begins first holds (of those the longer, then the lesser text) and the others are
-skipped; repeated rows give repeated results; very long texts, also of one piece, are whole documents; an empty table gives an
+skipped; places are 32-bit numbers; repeated rows give repeated results; very long texts, also of one piece, are whole documents; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -60,22 +60,51 @@ class Counter(dict):
 
 
 class TokenTree:
-    """Pieces in blocks of about ``FAN``; ``chars`` and ``tokens`` are heaps of sums, their root at 1."""
+    """Pieces in blocks of about ``FAN``; ``chars`` and ``tokens`` are heaps of sums, their root at 1.
+
+    A tree that was kept (``restored``) has its sums at once and opens a block only when an edit comes to it; ``opened`` counts those.
+    """
 
     def __init__(self, lengths: list[int], counts: list[int]):
-        self.lengths = [lengths[i : i + FAN] for i in range(0, len(lengths), FAN)] or [[]]
-        self.counts = [counts[i : i + FAN] for i in range(0, len(counts), FAN)] or [[]]
-        self.leaves = 1 << (len(self.lengths) - 1).bit_length()
+        parts = [(lengths[i : i + FAN], counts[i : i + FAN]) for i in range(0, len(lengths), FAN)] or [([], [])]
+        self.packed: list[bytes | None] = [None] * len(parts)
+        self.open = dict(enumerate(parts))
+        self.opened = 0
+        self.leaves = 1 << (len(parts) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.leaves), [0] * (2 * self.leaves)
-        for heap, blocks in ((self.chars, self.lengths), (self.tokens, self.counts)):
-            heap[self.leaves : self.leaves + len(blocks)] = map(sum, blocks)
+        for k, heap in enumerate((self.chars, self.tokens)):
+            heap[self.leaves : self.leaves + len(parts)] = [sum(p[k]) for p in parts]
             for i in range(self.leaves - 1, 0, -1):
                 heap[i] = heap[2 * i] + heap[2 * i + 1]
 
+    @classmethod
+    def restored(cls, sums: bytes, blocks: list[bytes]) -> "TokenTree":
+        tree = cls.__new__(cls)
+        heaps = _unpack(sums)
+        tree.chars, tree.tokens = heaps[: len(heaps) // 2], heaps[len(heaps) // 2 :]
+        tree.packed, tree.open, tree.opened, tree.leaves = list(blocks), {}, 0, len(heaps) // 4
+        return tree
+
+    def kept(self) -> tuple[bytes, list[bytes]]:
+        """The sums and the packed blocks; a tree whose blocks have outgrown it is built anew."""
+        if any(len(lengths) > 8 * FAN for lengths, _ in self.open.values()):
+            parts = [self.block(b) for b in range(len(self.packed))]
+            return TokenTree([n for p in parts for n in p[0]], [n for p in parts for n in p[1]]).kept()
+        blocks = [held if b not in self.open else _pack(self.open[b][0] + self.open[b][1]) for b, held in enumerate(self.packed)]
+        return _pack(self.chars + self.tokens), blocks
+
     @property
     def total(self) -> int:
         return self.tokens[1]
 
+    def block(self, b: int) -> tuple[list[int], list[int]]:
+        """(lengths, tokens) of the block's pieces."""
+        if b not in self.open:
+            held = _unpack(self.packed[b])
+            self.open[b] = held[: len(held) // 2], held[len(held) // 2 :]
+            self.opened += 1
+        return self.open[b]
+
     def locate(self, at: int) -> tuple[int, int, int]:
         """(block, piece in the block, first character of the piece) of the piece that contains character ``at``."""
         node, begin = 1, 0
@@ -84,17 +113,19 @@ class TokenTree:
             if at >= begin + self.chars[node]:
                 begin += self.chars[node]
                 node += 1
-        block = node - self.leaves
-        for i, n in enumerate(self.lengths[block] if block < len(self.lengths) else []):
-            if at < begin + n:
-                return block, i, begin
-            begin += n
-        return min(block, len(self.lengths) - 1), len(self.lengths[min(block, len(self.lengths) - 1)]), begin
-
-    def _update(self, block: int) -> None:
-        for heap, blocks in ((self.chars, self.lengths), (self.tokens, self.counts)):
-            node = self.leaves + block
-            heap[node] = sum(blocks[block])
+        block = min(node - self.leaves, len(self.packed) - 1)
+        lengths = self.block(block)[0]
+        if node - self.leaves < len(self.packed):
+            for i, n in enumerate(lengths):
+                if at < begin + n:
+                    return block, i, begin
+                begin += n
+        return block, len(lengths), begin
+
+    def _update(self, b: int) -> None:
+        for k, heap in enumerate((self.chars, self.tokens)):
+            node = self.leaves + b
+            heap[node] = sum(self.open[b][k])
             while node > 1:
                 node //= 2
                 heap[node] = heap[2 * node] + heap[2 * node + 1]
@@ -104,38 +135,39 @@ class TokenTree:
         changed = text[:start] + new + text[end:]
         shift, behind = len(new) - (end - start), start + len(new)
         first, piece, begin = self.locate(max(0, start - AHEAD)) if text else (0, 0, 0)
-        block, i, old = first, piece, begin
-        lengths, counts = [], []
-        at, synced = begin, False
+        b, i, old = first, piece, begin
+        fresh: tuple[list[int], list[int]] = ([], [])
+        synced = False
         for found in counter.pattern.finditer(changed, begin):
             at = found.end()
-            lengths.append(at - found.start())
-            counts.append(counter[found.group()])
+            fresh[0].append(at - found.start())
+            fresh[1].append(counter[found.group()])
             if at < behind:
                 continue
-            while old < at - shift and block < len(self.lengths):
-                if i < len(self.lengths[block]):
-                    old += self.lengths[block][i]
+            while old < at - shift and b < len(self.packed):
+                lengths = self.block(b)[0]
+                if i < len(lengths):
+                    old += lengths[i]
                     i += 1
                 else:
-                    block, i = block + 1, 0
+                    b, i = b + 1, 0
             if old == at - shift and old >= end:
                 synced = True
                 break
-        if not synced:
-            block, i = len(self.lengths) - 1, len(self.lengths[-1])
-        elif block == len(self.lengths):
-            block, i = block - 1, len(self.lengths[-1])
-        for blocks, fresh in ((self.lengths, lengths), (self.counts, counts)):
-            tail = blocks[block][i:]
-            blocks[first] = blocks[first][:piece] + fresh + (tail if block == first else [])
-            if block != first:
-                blocks[block] = tail
-            for b in range(first + 1, block):
-                blocks[b] = []
-        for b in range(first, block + 1):
-            self._update(b)
-        return changed, len(lengths)
+        if not synced:  # the text ends in new pieces: what is left of old ones goes
+            b, i = len(self.packed) - 1, len(self.block(len(self.packed) - 1)[0])
+        elif b == len(self.packed):
+            b, i = b - 1, len(self.block(b - 1)[0])
+        head, tail = self.block(first), self.block(b)
+        rest = tuple(x[i:] for x in tail)
+        self.open[first] = tuple(h[:piece] + f + (r if b == first else []) for h, f, r in zip(head, fresh, rest))
+        if b != first:
+            self.open[b] = rest
+        for between in range(first + 1, b):
+            self.open[between] = [], []
+        for touched in range(first, b + 1):
+            self._update(touched)
+        return changed, len(fresh[0])
 
 
 def settled(edits, size: int) -> list[tuple[int, int, str]]:
@@ -152,44 +184,22 @@ def settled(edits, size: int) -> list[tuple[int, int, str]]:
 
 
 def _pack(numbers: list[int]) -> bytes:
-    """Numbers of one byte each where all fit, else of four; the first byte says which."""
-    return b"\1" + bytes(numbers) if max(numbers, default=0) < 256 else b"\4" + np.array(numbers, np.uint32).tobytes()
+    """Numbers of one byte each where all fit, else of four or eight; the first byte says which."""
+    most = max(numbers, default=0)
+    return b"\1" + bytes(numbers) if most < 256 else b"\4" + np.array(numbers, np.uint32).tobytes() if most < 1 << 32 else b"\10" + np.array(numbers, np.uint64).tobytes()
 
 
 def _unpack(held: bytes) -> list[int]:
-    return list(held[1:]) if held[:1] == b"\1" else np.frombuffer(held, np.uint32, offset=1).tolist()
-
-
-def build(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, text, edits, lengths, counts: each document's pieces, packed (edits pass through). Keep it as a table and ``recount`` it."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, edits array<struct<start:int,end:int,text:string>>, lengths binary, counts binary"
-
-    def run(batches):
-        counter = Counter.of(path)
-        for batch in _slices(batches):
-            held = [counter.pieces(t.as_py() or "") for t in batch.column(1)]
-            packed = [pa.array([_pack(h[k]) for h in held], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *packed], ["doc_id", "text", "edits", "lengths", "counts"])
+    return list(held[1:]) if held[:1] == b"\1" else np.frombuffer(held, np.uint32 if held[:1] == b"\4" else np.uint64, offset=1).tolist()
 
-    return docs.select("doc_id", F.col("text").cast("string"), F.col("edits").cast("array<struct<start:int,end:int,text:string>>").alias("edits")).mapInArrow(run, schema)
 
+_EDITS = "array<struct<start:int,end:int,text:string>>"
+_TREE = "text string, sums binary, blocks array<binary>"
+_COUNTS = "n_tokens long, n_pieces long, n_edits long, n_tokens_after long, n_reencoded long, n_blocks long, n_blocks_read long"
 
-_COUNTS = "n_tokens long, n_pieces long, n_edits long, n_tokens_after long, n_reencoded long"
 
-
-def _after(text: str, edits, lengths: list[int], counts: list[int], counter: Counter) -> tuple[int, int, int, int, int]:
-    before, todo, fresh = sum(counts), settled(edits, len(text)), 0
-    if not todo:
-        return before, len(lengths), 0, before, 0
-    tree = TokenTree(lengths, counts)
-    for a, b, new in reversed(todo):  # from the right, so that places to the left stay
-        text, k = tree.edit(text, a, b, new, counter)
-        fresh += k
-    return before, len(lengths), len(todo), tree.total, fresh
-
-
-def _counts(ids, rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))], ["doc_id", *(c.split(" ")[0] for c in _COUNTS.split(", "))])
+def _names(*schemas: str) -> list[str]:
+    return [c.strip().split(" ")[0] for schema in schemas for c in schema.split(",")]
 
 
 def _slices(batches):
@@ -199,34 +209,52 @@ def _slices(batches):
             yield batch.slice(at, SLICE)
 
 
-def recount(trees: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, n_pieces, n_edits, n_tokens_after, n_reencoded of kept trees from ``build`` under their edits."""
+def build(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """doc_id, text, sums, blocks: each document's tree (and edits, if ``docs`` has them). Keep it as a table; edits start from it."""
+    more = ["edits"] if "edits" in docs.columns else []
 
     def run(batches):
         counter = Counter.of(path)
         for batch in _slices(batches):
-            rows = []
-            for text, edits, lengths, counts in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                sizes, n = _unpack(lengths.as_py()), _unpack(counts.as_py())
-                rows.append(_after(text.as_py() or "", edits, sizes, n, counter))
-            yield _counts(batch.column(0), rows)
+            held = [TokenTree(*counter.pieces(t.as_py() or "")).kept() for t in batch.column(1)]
+            trees = pa.array([h[0] for h in held], pa.binary()), pa.array([h[1] for h in held], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *trees, *batch.columns[2:]], ["doc_id", *_names(_TREE), *more])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(F.col(c).cast(_EDITS).alias(c) for c in more))
+    return rows.mapInArrow(run, f"doc_id {kind}, {_TREE}" + "".join(f", {c} {_EDITS}" for c in more))
 
-    return trees.mapInArrow(run, f"doc_id {trees.schema['doc_id'].dataType.simpleString()}, {_COUNTS}")
 
+def edited(trees: DataFrame, path: str = VOCABULARY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The trees of ``build`` (or of an earlier round) under their column ``edits``: doc_id, the new text, sums and blocks, the counts, and columns to ``carry`` along.
 
-def edited_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """What ``recount(build(docs))`` gives, in one pass that keeps each document's tree in its task only."""
+    n_tokens and n_pieces are those before the edits; n_reencoded pieces were encoded anew, n_blocks_read of n_blocks blocks opened.
+    """
 
     def run(batches):
         counter = Counter.of(path)
         for batch in _slices(batches):
             rows = []
-            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows.append(_after(text or "", edits, *counter.pieces(text or ""), counter))
-            yield _counts(batch.column(0), rows)
+            for text, sums, blocks, edits in zip(*(c.to_pylist() for c in batch.columns[1:5])):
+                text = text or ""
+                tree, todo, fresh = TokenTree.restored(sums, blocks), settled(edits, len(text)), 0
+                before, n, pieces = tree.total, len(blocks), sum((len(x) - 1) // x[0] // 2 for x in blocks)
+                for a, b, new in reversed(todo):  # from the right, so that places to the left stay
+                    text, k = tree.edit(text, a, b, new, counter)
+                    fresh += k
+                rows.append((text, *(tree.kept() if todo else (sums, blocks)), before, pieces, len(todo), tree.total, fresh, n, tree.opened))
+            kinds = [pa.string(), pa.binary(), pa.list_(pa.binary()), *[pa.int64()] * 7]
+            new = (pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[5:]], ["doc_id", *_names(_TREE, _COUNTS), *carry])
+
+    types = dict(trees.dtypes)
+    rows = trees.select("doc_id", "text", "sums", "blocks", F.col("edits").cast(_EDITS).alias("edits"), *carry)
+    return rows.mapInArrow(run, f"doc_id {types['doc_id']}, {_TREE}, {_COUNTS}" + "".join(f", {c} {types[c]}" for c in carry))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string"), F.col("edits").cast("array<struct<start:int,end:int,text:string>>").alias("edits")).mapInArrow(run, f"doc_id {kind}, {_COUNTS}")
+
+def recount(trees: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """doc_id and the counts of ``edited``."""
+    return edited(trees, path).select("doc_id", *_names(_COUNTS))
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
