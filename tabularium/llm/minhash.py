@@ -255,7 +255,11 @@ def _nodes(sketches: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), copy_of (the least doc_id with its text), n_shingles, h1, h2 (the
-    text's hashes), leads (it is the class's first row, or a row equal to that one), a row for each row with an id."""
+    text's hashes), leads (it is the class's first row, or a row equal to that one), n_links (verified links of its text to unlike
+    texts), linked_to (the least doc_id at the other end of one; null without any), a row for each row with an id.
+
+    A class's links join all its texts: each is a pair of unlike texts whose similarity was found to reach the threshold.
+    """
     sketches = staged(sketch(docs, size, bands, rows), "sketch")
     nodes = _nodes(sketches)
     # staged, so that Spark can split the hot side of the joins that follow
@@ -280,7 +284,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     star = shared.where("id <> lead").select("lead", "id", "n").distinct().join(sizes, "lead").where(alike)
     first = staged(verified(star.select(F.col("lead").alias("a"), F.col("id").alias("b")), sets, similarity), "links")
     labels = classes(first, nodes.select("id", F.col("id").alias("label")))
-    spent(first)
     # what is left: members of one bucket in unlike classes
     placed = shared.select("key", "id").join(labels, "id")
     mixed = staged(placed.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key"), "mixed")
@@ -292,24 +295,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
         labels = classes(second, labels)
     heads = staged(labels.join(nodes.select("id", F.col("doc_id").alias("least")), "id"), "heads")
     leaders = heads.groupBy("label").agg(F.min(F.struct("least", "id")).alias("lead"))
-    named = staged(heads.select("id", "label").join(leaders.hint("merge"), "label").select("id", F.col("lead.least").alias("class_id"), F.col("lead.id").alias("lead")), "named")
-    spent(heads)
+    links = first.union(second.select("a", "b"))
+    met = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
+    far = nodes.select(F.col("id").alias("other"), F.col("doc_id").alias("linked"))
+    met = met.join(far.hint("merge"), "other").groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.min("linked").alias("linked_to"))
+    named = heads.select("id", "label").join(leaders.hint("merge"), "label").join(met, "id", "left")
+    named = staged(named.select("id", F.col("lead.least").alias("class_id"), F.col("lead.id").alias("lead"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "linked_to"), "named")
+    spent(heads, first, second)
     # kept a merge join: Spark splits the rows of a hot text in it
     return members.join(named.hint("merge"), "id").select(
         "doc_id", "class_id", F.col("first_id").alias("copy_of"), F.col("n").alias("n_shingles"), "h1", "h2",
-        ((F.col("id") == F.col("lead")) & (F.col("doc_id") == F.col("class_id"))).alias("leads"),
+        ((F.col("id") == F.col("lead")) & (F.col("doc_id") == F.col("class_id"))).alias("leads"), "n_links", "linked_to",
     )
 
 
 def keep_leads(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` with all their columns, but of each class only its leading row, once; rows without an id stay.
 
-    Of rows with the same id and text one stays; which one is open, if other columns differ.
+    Of rows with the same id and text one stays, the one whose columns have the least hash: whichever task finds it, it is the same.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.lit(1), text).alias("_h1"), F.xxhash64(F.lit(2), text).alias("_h2")]
     keep = near_duplicates(docs, **settings).where("leads").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
     names = ["_id", "_h1", "_h2"]
-    rows = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key)
-    rows = rows.join(keep, names, "left_semi").dropDuplicates(names)
+    order = F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    rows = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), order.alias("_order"), *key)
+    rows = rows.join(keep, names, "left_semi").groupBy(*names).agg(F.min_by("_row", "_order").alias("_row"))
     return rows.select("_row.*").unionByName(docs.where("doc_id is null"))

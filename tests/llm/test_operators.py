@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabularium.llm import decontam, langid, lines, media, minhash, mixing, queries, sharding, suffix, tokens, warc
 from tabularium.llm.shared import new_folder
+from tabularium.llm.textkit import shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 string, keys string, id string"
 
@@ -866,6 +867,37 @@ def test_unlike_texts_of_one_id(spark):
     assert all(x.n_removed <= x.n_bytes for x in got)
 
 
+# ---- more of 1
+
+
+def check_links(rows, got):
+    """Rows of unique ids: links are true pairs of unlike texts, and every text of a class of several has some."""
+    text = dict(rows)
+    elements, at = shingles(list(text.values()))
+    sets = {d: set(elements[a:b].tolist()) for d, a, b in zip(text, at, at[1:])}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and bool(sets[a])
+    reps = {x.copy_of for x in got}
+    for x in got:
+        true = [d for d in reps if d != x.copy_of and alike(d, x.copy_of)]
+        assert x.n_links <= len(true) and (x.n_links > 0) == bool(true) == (x.linked_to is not None)
+        assert x.linked_to is None or x.linked_to in true
+    return sum(x.n_links for x in got if x.doc_id == x.copy_of) // 2
+
+
+def test_links_of_the_given_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = queries.op1_dartminhash(spark, sf_dir).collect()
+    texts = len({x.copy_of for x in got})
+    n = check_links([tuple(d) for d in docs.collect()], got)
+    assert n >= texts - len({x.class_id for x in got})  # links enough to join each class
+
+
+def test_the_same_row_stays_whatever_the_order(spark):
+    rows = [(1, "one two three four five six", i) for i in range(30)] + [(2, "other words than those of the first", 1)]
+    kept = {tuple(minhash.keep_leads(spark.createDataFrame(rows[::step], "doc_id long, text string, n int").repartition(3)).orderBy("doc_id").collect()) for step in (1, -1)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
 # ---- more of 3 and 5
 
 
