@@ -33,8 +33,8 @@ from tokenizers import pre_tokenizers
 from .shared import new_folder
 
 WORDS, LONGEST = 1 << 16, 64
-#: Units or words that a worker keeps at hand.
-AT_HAND = 1 << 17
+#: Units or words that a worker keeps at hand, and as many older ones.
+AT_HAND = 1 << 16
 #: White space as Unicode has it, and the pre-token pattern of byte-level BPE.
 BLANK = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
@@ -49,11 +49,19 @@ class Pieces:
     """Pre-token pieces of a text. ``odd``: ranges of code points that ``regex`` takes for letters or numbers, but the encoding doesn't know as such."""
 
     def __init__(self, odd: Iterable[tuple[int, int]] = ()):
+        odd = list(odd)
         held = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in odd)
         self.odd = regex.compile(f"[{held}]") if held else None
+        self.least = chr(min(a for a, _ in odd)) if held else "\U0010ffff"
+
+    def after_blank(self, unit: str) -> list[str]:
+        """Pieces of a blank and ``unit``: one if that is all letters."""
+        if unit.isalpha() and (unit.isascii() or max(unit) < self.least):
+            return [" " + unit]
+        return self(" " + unit)
 
     def __call__(self, text: str) -> list[str]:
-        if self.odd is None or text.isascii() or not self.odd.search(text):
+        if text.isascii() or max(text, default="") < self.least or self.odd is None or not self.odd.search(text):
             return _PIECE.findall(text)
         return [text[m.start() : m.end()] for m in _PIECE.finditer(self.odd.sub(_OTHER, text))]
 
@@ -120,12 +128,73 @@ class Vocabulary:
 class Merger:
     """Exact merges: the pair of least rank first, of equal ones the leftmost."""
 
-    SHORT = 24
+    SHORT, WIDTHS = 24, (8, 12, 20, 40)
 
     def __init__(self, singles: list[int], merges: np.ndarray):
         self.singles = singles
-        self.ranks = dict(zip((merges[:, 0] << 32 | merges[:, 1]).tolist(), range(len(merges))))
+        keys = merges[:, 0] << 32 | merges[:, 1]
+        self.ranks = dict(zip(keys.tolist(), range(len(merges))))
         self.made = merges[:, 2].tolist()
+        # the same as arrays, for many words at once; a last key that no pair has
+        order = np.argsort(keys, kind="stable")
+        self._keys, self._rank = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, len(merges)).astype(np.int32)
+        self._made, self._singles = np.append(merges[:, 2], -1).astype(np.int64), np.array(singles, np.int64)
+
+    def many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as 32-bit numbers; words of about one length are merged side by side, one pair of each at a time."""
+        out: list[bytes] = [b""] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            width = next((x for x in self.WIDTHS if len(w) <= x), 0)
+            if width:
+                by_width.setdefault(width, []).append(i)
+            else:
+                out[i] = np.array(self(w), np.int32).tobytes()
+        for width, which in by_width.items():
+            for at in range(0, len(which), 1 << 14):
+                part = which[at : at + (1 << 14)]
+                for i, found in zip(part, self._side_by_side([words[i] for i in part], width)):
+                    out[i] = found
+        return out
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self._keys, key)
+        return np.where(self._keys[at] == key, self._rank[at], len(self.made)).astype(np.int32)
+
+    def _side_by_side(self, words: list[bytes], width: int) -> list[bytes]:
+        n, none = len(words), len(self.made)
+        size = np.fromiter(map(len, words), np.int64, n)
+        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        column = np.arange(width)
+        ids = np.where(column < size[:, None], self._singles[data], -1)
+        ranks = np.full((n, width), none, np.int32)
+        r, c = np.nonzero(column[:-1] + 1 < size[:, None])
+        ranks[r, c] = self._ranks_of(ids[r, c], ids[r, c + 1])
+        live = np.arange(n)
+        own, rank = ids, ranks
+        while len(live):
+            at = rank.argmin(1)
+            row = np.arange(len(live))
+            least = rank[row, at]
+            on = least < none
+            if not on.all():
+                ids[live[~on]] = own[~on]
+                live, own, rank, at, least = live[on], own[on], rank[on], at[on], least[on]
+                row = np.arange(len(live))
+                if not len(live):
+                    break
+            from_ = np.minimum(column + (column > at[:, None]), width - 1)  # what is right of the pair's first moves one to the left
+            own, rank = np.take_along_axis(own, from_, 1), np.take_along_axis(rank, from_, 1)
+            size[live] -= 1
+            own[column >= size[live][:, None]] = -1
+            rank[column + 1 >= size[live][:, None]] = none
+            own[row, at] = self._made[least]
+            for shift in (0, -1):
+                i = np.flatnonzero((at + shift >= 0) & (at + shift + 1 < size[live]))
+                rank[i, at[i] + shift] = self._ranks_of(own[i, at[i] + shift], own[i, at[i] + shift + 1])
+        flat, ends = ids[ids >= 0].astype(np.int32).tobytes(), (4 * np.cumsum(size)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def __call__(self, word: bytes) -> list[int]:
         ids = [self.singles[b] for b in word]
@@ -244,77 +313,133 @@ def compiled(entries: Iterable[tuple[bytes, tuple[int, ...]]], vocabulary: Vocab
     return sizes.tobytes() + b"".join(p.tobytes() for p in parts) + b"".join(held)
 
 
+class Recent:
+    """Ids of what was met lately. When ``most`` entries are held they become the older generation; what is asked for again moves on."""
+
+    def __init__(self, most: int):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.most = most
+
+    def known(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
+        """(ids of the keys that are held, the other keys)."""
+        found, unknown, now, before = {}, [], self.now.get, self.before.get
+        for k in keys:
+            ids = now(k) or before(k)
+            if ids is None:
+                unknown.append(k)
+            else:
+                found[k] = ids
+        return found, unknown
+
+    def hold(self, made: dict[str, bytes]) -> None:
+        if len(self.now) >= self.most:
+            self.now, self.before = {}, self.now
+        self.now.update(made)
+
+
 class Lexicon:
-    """A compiled file, mapped into memory: ``ids`` of a word that it knows, ``encode`` of any text, ``decode`` of any ids."""
+    """A compiled file, mapped into memory: ``walk`` looks up many words at once, ``encode`` takes texts, ``decode`` ids."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
-            held = memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-        numbers = held[: len(held) // 4 * 4].cast("I")
-        self.first, sizes, at = numbers[0], numbers[1:12].tolist(), 12
+            held = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        numbers = np.frombuffer(held, np.uint32, len(held) // 4)
+        self.first, sizes, at = int(numbers[0]), numbers[1:12].tolist(), 12
         parts = []
         for n in sizes:
             parts.append(numbers[at : at + n])
             at += n
         self.keys, self.targets, self.outs, self.ends, self.pool, singles, merges, ids, lengths, special, odd = parts
-        self.pieces = Pieces(zip(odd[0::2], odd[1::2]))
-        self.mask = len(self.keys) - 1
-        self.merge = Merger(singles.tolist(), np.array(merges, np.int64).reshape(-1, 3))
+        self.pieces = Pieces(zip(odd[0::2].tolist(), odd[1::2].tolist()))
+        self.merge = Merger(singles.tolist(), merges.astype(np.int64).reshape(-1, 3))
         self.tokens, place = {}, 4 * at
-        for i, n in zip(ids, lengths):
-            self.tokens[i] = bytes(held[place : place + n])
+        for i, n in zip(ids.tolist(), lengths.tolist()):
+            self.tokens[i] = held[place : place + n]
             place += n
-        self.special = {self.tokens[i].decode(): i for i in special}
+        self.special = {self.tokens[i].decode(): i for i in special.tolist()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def ids(self, word: bytes) -> list[int] | None:
-        """The outputs along the word's path, None where it isn't in the lexicon."""
-        keys, targets, outs, pool, mask = self.keys, self.targets, self.outs, self.pool, self.mask
-        state, found = self.first, []
-        for b in word:
-            key = state << 8 | b
-            slot = key * _SPREAD % (1 << 32) & mask
-            while keys[slot] != key:
-                if keys[slot] == _EMPTY:
-                    return None
-                slot = slot + 1 & mask
-            state, out = targets[slot], outs[slot]
-            if pool[out]:
-                found += pool[out + 1 : out + 1 + pool[out]].tolist()
-        end = self.ends[state]
-        if end == _EMPTY:
-            return None
-        return found + pool[end + 1 : end + 1 + pool[end]].tolist()
-
-    def _word(self, piece: str) -> bytes:
-        if piece not in self.words:
-            if len(self.words) >= AT_HAND:
-                self.words.clear()
-            held = piece.encode()
-            found = self.ids(held)
-            self.words[piece] = np.array(self.merge(held) if found is None else found, np.int32).tobytes()
-        return self.words[piece]
-
-    def _unit(self, unit: str) -> bytes:
-        """Ids of a blank and the unit."""
-        if len(self.units) >= AT_HAND:
-            self.units.clear()
-        self.units[unit] = found = b"".join(map(self._word, self.pieces(" " + unit)))
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
+        self.words, self.units = Recent(AT_HAND), Recent(AT_HAND)
+
+    def walk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether each word is in the lexicon, offsets of its ids, the ids): all words go along their paths together, byte by byte."""
+        n = len(words)
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        data = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        start, mask = np.cumsum(lengths) - lengths, np.uint32(len(self.keys) - 1)
+        state, known = np.full(n, self.first, np.uint32), np.ones(n, bool)
+        live, step, who, what = np.flatnonzero(lengths > 0), 0, [], []
+        while len(live):
+            key = state[live] << np.uint32(8) | data[start[live] + step].astype(np.uint32)
+            slot = key * np.uint32(_SPREAD) & mask
+            found = self.keys[slot]
+            while len(more := np.flatnonzero((found != key) & (found != _EMPTY))):
+                slot[more] = slot[more] + np.uint32(1) & mask
+                found[more] = self.keys[slot[more]]
+            on = found == key
+            known[live[~on]] = False
+            live, slot = live[on], slot[on]
+            state[live], out = self.targets[slot], self.outs[slot]
+            who.append(live[out > 0])
+            what.append(out[out > 0])
+            step += 1
+            live = live[lengths[live] > step]
+        end = np.where(known, self.ends[state], np.uint32(_EMPTY))
+        known &= end != _EMPTY
+        last = known & (end > 0)
+        who, what = np.concatenate([*who, np.flatnonzero(last)]), np.concatenate([*what, end[last]]).astype(np.int64)
+        kept = known[who]
+        order = np.argsort(who[kept], kind="stable")  # outputs along a path were met in its order
+        who, what = who[kept][order], what[kept][order]
+        size = self.pool[what].astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(who, size, n).astype(np.int64))])
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return known, offsets, self.pool[np.repeat(what + 1, size) + at].astype(np.int32)
+
+    def _made(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of words: by the transducer, or merged."""
+        words = [p.encode() for p in pieces]
+        known, offsets, ids = self.walk(words)
+        held, ends = ids.tobytes(), (offsets * 4).tolist()
+        made = {p: held[a:b] for p, a, b in zip(pieces, ends, ends[1:])}
+        strange = np.flatnonzero(~known).tolist()
+        made.update(zip([pieces[i] for i in strange], self.merge.many([words[i] for i in strange])))
+        return made
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        plan, asked, lead = [], set(), set()
+        for text in texts:
+            parts: list[tuple] = []
+            for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
+                if i % 2:
+                    parts.append((self.special[part], None))
+                elif part:
+                    first, *rest = units(part)
+                    parts.append((self.pieces(first), rest))
+                    lead.update(parts[-1][0])
+                    asked.update(rest)
+            plan.append(parts)
+        unit_ids, unknown = self.units.known(asked)
+        cut = [self.pieces.after_blank(u) for u in unknown]
+        lead.update(p for found in cut for p in found)
+        word_ids, missing = self.words.known(lead)
+        for at in range(0, len(missing), AT_HAND // 4):
+            word_ids |= self._made(missing[at : at + AT_HAND // 4])
+        unit_ids.update((u, word_ids[found[0]] if len(found) == 1 else b"".join([word_ids[p] for p in found])) for u, found in zip(unknown, cut))
+        self.words.hold(word_ids)
+        self.units.hold(unit_ids)
         out = []
-        for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if i % 2:
-                out.append(np.int32(self.special[part]).tobytes())
-            elif part:
-                first, *rest = units(part)
-                out += map(self._word, self.pieces(first))
-                get = self.units.get
-                out += [get(u) or self._unit(u) for u in rest]
-        return np.frombuffer(b"".join(out), np.int32)
+        for parts in plan:
+            held: list[bytes] = []
+            for first, rest in parts:
+                if rest is None:
+                    held.append(np.int32(first).tobytes())
+                else:
+                    held += map(word_ids.__getitem__, first)
+                    held += map(unit_ids.__getitem__, rest)
+            out.append(np.frombuffer(b"".join(held), np.int32))
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
@@ -346,7 +471,7 @@ def word_counts(docs: DataFrame, special: Iterable[str] = ()) -> DataFrame:
             pieces: Counter = Counter()
             for blank, counts in ((" ", held), ("", leading)):
                 for unit, n in counts.items():
-                    for p in find(blank + unit):
+                    for p in find.after_blank(unit) if blank else find(unit):
                         pieces[p] += n
                 counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(pieces.keys(), pa.string()), pa.array(pieces.values(), pa.int64())], ["word", "n"])
@@ -357,7 +482,7 @@ def word_counts(docs: DataFrame, special: Iterable[str] = ()) -> DataFrame:
                     first, *rest = units(part)
                     leading[first] += 1
                     held.update(rest)
-                if len(held) + len(leading) >= AT_HAND:
+                if len(held) + len(leading) >= 2 * AT_HAND:
                     yield out()
         yield out()
 
@@ -382,14 +507,20 @@ def lexicon(docs: DataFrame, vocabulary: str | None = None, words: int = WORDS)
     return name[1] + ".bin"
 
 
+def _parts(batch: pa.RecordBatch, most: int = 1 << 20):
+    """A batch in parts of about ``most`` bytes and a row at least, so that lists of units stay small."""
+    rows = max(1, len(batch) * most // max(most, batch.nbytes))
+    return (batch.slice(at, rows) for at in range(0, len(batch), rows))
+
+
 def encode(docs: DataFrame, name: str) -> DataFrame:
     """doc_id, ids of every text, by the lexicon of that name."""
 
     def run(batches):
         held = _lexicon(name)
         for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, len(batch), 256)):
-                found = [held.encode(t.as_py() or "") for t in part.column(1)]
+            for part in _parts(batch):
+                found = held.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *map(len, found)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
@@ -404,7 +535,7 @@ def decode(encoded: DataFrame, name: str) -> DataFrame:
     def run(batches):
         held = _lexicon(name)
         for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, len(batch), 256)):
+            for part in _parts(batch):
                 texts = pa.array([held.decode(ids.as_py() or []) for ids in part.column(1)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], ["doc_id", "ids", "text"])
 

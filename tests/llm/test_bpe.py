@@ -96,25 +96,26 @@ def test_transducer_is_minimal_and_exact(vocabulary, tmp_path):
     assert len(states) == len({residual(w[:i]) for w in words for i in range(len(w) + 1)})
     (tmp_path / "x.bin").write_bytes(bpe.compiled(((w, outs[w]) for w in words), vocabulary))
     held = bpe.Lexicon(str(tmp_path / "x.bin"))
-    for w in words:
-        assert tuple(held.ids(w)) == outs[w]
-    for _ in range(2000):
-        w = bytes(rng.choice(b"abcd") for _ in range(rng.randrange(0, 8)))
-        assert (held.ids(w) is not None) == (w in outs)
+    others = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(0, 8))) for _ in range(2000)]
+    known, ends, ids = held.walk([*words, *others])
+    assert known.tolist() == [w in outs for w in [*words, *others]]
+    assert [tuple(ids[a:b]) for a, b in zip(ends, ends[1:])] == [outs.get(w, ()) for w in [*words, *others]]
 
 
 def test_merges_by_list_and_heap_agree(vocabulary, library):
-    merge, rng = bpe.Merger(vocabulary.singles, vocabulary.merges), random.Random(6)
+    merge, rng, words = bpe.Merger(vocabulary.singles, vocabulary.merges), random.Random(6), ["", "a"]
     for _ in range(800):
         word = "".join(rng.choice("theinaouszé") for _ in range(rng.randrange(1, 60)))
         ids = library.encode(word, add_special_tokens=False).ids
         assert merge(word.encode()) == merge._by_heap([vocabulary.singles[b] for b in word.encode()]) == ids
+        words.append(word)
+    assert [np.frombuffer(x, np.int32).tolist() for x in merge.many([w.encode() for w in words])] == [merge(w.encode()) for w in words]
 
 
 def test_ids_do_not_depend_on_the_lexicon(vocabulary, tmp_path, library):
     (tmp_path / "none.bin").write_bytes(bpe.compiled([], vocabulary))
     held = bpe.Lexicon(str(tmp_path / "none.bin"))
     for text in odd_texts(50):
-        ids = held.encode(text)
+        ids = held.encode([text])[0]
         assert ids.dtype == np.int32 and ids.tolist() == library.encode(text, add_special_tokens=False).ids and held.decode(ids.tolist()) == text
     assert regex.fullmatch(bpe.PATTERN, " word")
