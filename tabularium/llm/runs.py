@@ -243,12 +243,18 @@ def replayed(text: Column, doc_id: Column) -> Column:
     """The query's texts: of every id with h % 10 = 0 the words from a on repeat the p words from there (h: CRC-32 of the decimal id)."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / F.lit(10)).cast("long")
-    found = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.greatest(F.size(found), F.lit(1)).cast("long")
-    a = g % n
-    p = F.lit(1).cast("long") + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
-    again = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(found, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int")))
-    return F.when((h % 10 == 0) & F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)), F.array_join(again, " ")).otherwise(text)
+    def again(found: Column) -> Column:
+        n = F.greatest(F.size(found), F.lit(1)).cast("long")
+        a = g % n
+        p = F.lit(1).cast("long") + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
+        place = F.sequence(F.lit(0).cast("long"), n - 1)
+        at = F.transform(place, lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.array_join(F.transform(at, lambda i: F.element_at(found, (i + 1).cast("int"))), " ")
+
+    # the words are the only element of an array, so that they are found once and not for each place
+    found = F.array(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    changed = (h % 10 == 0) & F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    return F.when(changed, F.element_at(F.transform(found, again), 1)).otherwise(text)
 
 
 def runs_text(runs: Column) -> Column:

@@ -213,7 +213,7 @@ def _packed_anchors(texts: DataFrame, buckets: int, span: int, gram: int) -> Dat
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for block in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), 1):
+            for block in blocks(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()), 1):
                 data, ends = _joined([t for _, t in block])
                 spots, hashed = anchors(data, ends, span, gram)
                 ids = np.array([i for i, _ in block], np.int64)[np.searchsorted(ends, spots, "right")]
@@ -228,7 +228,8 @@ def _packed_anchors(texts: DataFrame, buckets: int, span: int, gram: int) -> Dat
         if size:
             yield flush(held)
 
-    return texts.select("node", "text").mapInArrow(run, "bucket int, keys binary, ids binary")
+    # all three steps read the same columns, so that they share the exchange of the texts
+    return texts.select("node", "doc_id", "text").mapInArrow(run, "bucket int, keys binary, ids binary")
 
 
 def _shared_anchors(packed: DataFrame) -> DataFrame:
@@ -402,7 +403,7 @@ def _cut(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for node, text, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+            for node, text, pairs in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 spans: list[list[int]] = []
                 for p in sorted((p["start"], p["end"]) for p in pairs or []):
@@ -419,7 +420,7 @@ def _cut(texts: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["node", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.select("node", "text", "pairs").mapInArrow(run, "node long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.select("node", "doc_id", "text", "pairs").mapInArrow(run, "node long, n_removed long, n_spans long, kept_sha256 string")
 
 
 #: Marks a further text of an id that has several; ids of documents are below.
