@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-AHEAD, FAN, SLICE = 2, 32, 128
+AHEAD, FAN, SLICE = 2, 64, 128
 _CACHE = 1 << 17
 _loaded: dict[str, "Counter"] = {}
 
@@ -67,9 +67,9 @@ class TokenTree:
 
     def __init__(self, lengths: list[int], counts: list[int]):
         parts = [(lengths[i : i + FAN], counts[i : i + FAN]) for i in range(0, len(lengths), FAN)] or [([], [])]
-        self.packed: list[bytes | None] = [None] * len(parts)
         self.open = dict(enumerate(parts))
-        self.opened = 0
+        self.held, self.ends = b"", [0] * len(parts)
+        self.opened, self.pieces = 0, len(lengths)
         self.leaves = 1 << (len(parts) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.leaves), [0] * (2 * self.leaves)
         for k, heap in enumerate((self.chars, self.tokens)):
@@ -78,20 +78,29 @@ class TokenTree:
                 heap[i] = heap[2 * i] + heap[2 * i + 1]
 
     @classmethod
-    def restored(cls, sums: bytes, blocks: list[bytes]) -> "TokenTree":
+    def restored(cls, sums: bytes, blocks: bytes) -> "TokenTree":
         tree = cls.__new__(cls)
-        heaps = _unpack(sums)
-        tree.chars, tree.tokens = heaps[: len(heaps) // 2], heaps[len(heaps) // 2 :]
-        tree.packed, tree.open, tree.opened, tree.leaves = list(blocks), {}, 0, len(heaps) // 4
+        tree.pieces, n, *rest = _unpack(sums)
+        tree.leaves = 1 << (n - 1).bit_length()
+        tree.chars, tree.tokens, tree.ends = rest[: 2 * tree.leaves], rest[2 * tree.leaves : 4 * tree.leaves], rest[4 * tree.leaves :]
+        tree.held, tree.open, tree.opened = blocks, {}, 0
         return tree
 
-    def kept(self) -> tuple[bytes, list[bytes]]:
-        """The sums and the packed blocks; a tree whose blocks have outgrown it is built anew."""
+    def kept(self) -> tuple[bytes, bytes]:
+        """The sums (with where each block ends), and the packed blocks; a tree whose blocks have outgrown it is built anew."""
+        n = len(self.ends)
         if any(len(lengths) > 8 * FAN for lengths, _ in self.open.values()):
-            parts = [self.block(b) for b in range(len(self.packed))]
-            return TokenTree([n for p in parts for n in p[0]], [n for p in parts for n in p[1]]).kept()
-        blocks = [held if b not in self.open else _pack(self.open[b][0] + self.open[b][1]) for b, held in enumerate(self.packed)]
-        return _pack(self.chars + self.tokens), blocks
+            parts = [self.block(b) for b in range(n)]
+            return TokenTree([x for p in parts for x in p[0]], [x for p in parts for x in p[1]]).kept()
+        blocks = [_pack(self.open[b][0] + self.open[b][1]) if b in self.open else self._packed(b) for b in range(n)]
+        ends, at = [], 0
+        for x in blocks:
+            at += len(x)
+            ends.append(at)
+        return _pack([self.pieces, n, *self.chars, *self.tokens, *ends]), b"".join(blocks)
+
+    def _packed(self, b: int) -> bytes:
+        return self.held[self.ends[b - 1] if b else 0 : self.ends[b]]
 
     @property
     def total(self) -> int:
@@ -100,7 +109,7 @@ class TokenTree:
     def block(self, b: int) -> tuple[list[int], list[int]]:
         """(lengths, tokens) of the block's pieces."""
         if b not in self.open:
-            held = _unpack(self.packed[b])
+            held = _unpack(self._packed(b))
             self.open[b] = held[: len(held) // 2], held[len(held) // 2 :]
             self.opened += 1
         return self.open[b]
@@ -113,9 +122,9 @@ class TokenTree:
             if at >= begin + self.chars[node]:
                 begin += self.chars[node]
                 node += 1
-        block = min(node - self.leaves, len(self.packed) - 1)
+        block = min(node - self.leaves, len(self.ends) - 1)
         lengths = self.block(block)[0]
-        if node - self.leaves < len(self.packed):
+        if node - self.leaves < len(self.ends):
             for i, n in enumerate(lengths):
                 if at < begin + n:
                     return block, i, begin
@@ -144,7 +153,7 @@ class TokenTree:
             fresh[1].append(counter[found.group()])
             if at < behind:
                 continue
-            while old < at - shift and b < len(self.packed):
+            while old < at - shift and b < len(self.ends):
                 lengths = self.block(b)[0]
                 if i < len(lengths):
                     old += lengths[i]
@@ -155,10 +164,11 @@ class TokenTree:
                 synced = True
                 break
         if not synced:  # the text ends in new pieces: what is left of old ones goes
-            b, i = len(self.packed) - 1, len(self.block(len(self.packed) - 1)[0])
-        elif b == len(self.packed):
+            b, i = len(self.ends) - 1, len(self.block(len(self.ends) - 1)[0])
+        elif b == len(self.ends):
             b, i = b - 1, len(self.block(b - 1)[0])
         head, tail = self.block(first), self.block(b)
+        self.pieces += len(fresh[0]) - (i - piece if b == first else len(head[0]) - piece + i + sum(len(self.block(k)[0]) for k in range(first + 1, b)))
         rest = tuple(x[i:] for x in tail)
         self.open[first] = tuple(h[:piece] + f + (r if b == first else []) for h, f, r in zip(head, fresh, rest))
         if b != first:
@@ -194,7 +204,7 @@ def _unpack(held: bytes) -> list[int]:
 
 
 _EDITS = "array<struct<start:int,end:int,text:string>>"
-_TREE = "text string, sums binary, blocks array<binary>"
+_TREE = "text string, sums binary, blocks binary"
 _COUNTS = "n_tokens long, n_pieces long, n_edits long, n_tokens_after long, n_reencoded long, n_blocks long, n_blocks_read long"
 
 
@@ -217,7 +227,7 @@ def build(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         counter = Counter.of(path)
         for batch in _slices(batches):
             held = [TokenTree(*counter.pieces(t.as_py() or "")).kept() for t in batch.column(1)]
-            trees = pa.array([h[0] for h in held], pa.binary()), pa.array([h[1] for h in held], pa.list_(pa.binary()))
+            trees = [pa.array([h[k] for h in held], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *trees, *batch.columns[2:]], ["doc_id", *_names(_TREE), *more])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -238,12 +248,12 @@ def edited(trees: DataFrame, path: str = VOCABULARY, carry: tuple[str, ...] = ()
             for text, sums, blocks, edits in zip(*(c.to_pylist() for c in batch.columns[1:5])):
                 text = text or ""
                 tree, todo, fresh = TokenTree.restored(sums, blocks), settled(edits, len(text)), 0
-                before, n, pieces = tree.total, len(blocks), sum((len(x) - 1) // x[0] // 2 for x in blocks)
+                before, n, pieces = tree.total, len(tree.ends), tree.pieces
                 for a, b, new in reversed(todo):  # from the right, so that places to the left stay
                     text, k = tree.edit(text, a, b, new, counter)
                     fresh += k
                 rows.append((text, *(tree.kept() if todo else (sums, blocks)), before, pieces, len(todo), tree.total, fresh, n, tree.opened))
-            kinds = [pa.string(), pa.binary(), pa.list_(pa.binary()), *[pa.int64()] * 7]
+            kinds = [pa.string(), pa.binary(), pa.binary(), *[pa.int64()] * 7]
             new = (pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))
             yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[5:]], ["doc_id", *_names(_TREE, _COUNTS), *carry])
 

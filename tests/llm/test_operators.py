@@ -223,8 +223,8 @@ def test_trees_of_several_rounds(spark):
         text, _ = tree.edit(text, a, b, r.choice(["", "x", " new words", "\n\n", "long " * 300]), counter)
         assert tree.total == len(counter.encoding.encode_ordinary(text)) and tree.chars[1] == len(text) and tree.opened <= 4
         sums, blocks = tree.kept()
-        held = [x for b in blocks for x in tokens._unpack(b)[: len(tokens._unpack(b)) // 2]]
-        assert held == counter.pieces(text)[0]
+        again = tokens.TokenTree.restored(sums, blocks)
+        assert [x for b in range(len(again.ends)) for x in again.block(b)[0]] == counter.pieces(text)[0] and again.pieces == len(counter.pieces(text)[0])
 
 
 # ---- 4
