@@ -79,19 +79,18 @@ class Schema:
         if (len(self.inputs), len(self.outputs)) != (n_inputs, n_outputs):
             raise ValueError(f"the schema has {len(self.inputs)} inputs and {len(self.outputs)} outputs, the data {n_inputs} and {n_outputs}")
 
+    def signature(self) -> list[tuple[str, object]]:
+        """What a model depends on, as (what, value) pairs in a fixed order: how many columns of each role, then names, kinds and levels; units don't count."""
+        out: list[tuple[str, object]] = [(f"number of {role}s", len(self.places(role))) for role in (INPUT, OUTPUT)]
+        for role, held in ((INPUT, self.inputs), (OUTPUT, self.outputs)):
+            for i, f in enumerate(held, 1):
+                out += [(f"{role} {i}, name", f.name), (f"{f.name}, kind", "number" if f.levels is None else "category"), (f"{f.name}, levels", f.levels)]
+        return out
+
     def incompatible(self, data: Schema) -> str | None:
-        """Why a model of this schema can't take data of the other one, or None: number, names, kinds and levels count, units don't."""
-        for what, mine, theirs in (("input", self.inputs, data.inputs), ("output", self.outputs, data.outputs)):
-            if len(mine) != len(theirs):
-                return f"{what}s: the model has {len(mine)}, the data {len(theirs)}"
-            for i, (m, d) in enumerate(zip(mine, theirs), 1):
-                if m.name != d.name:
-                    return f"{what} {i}: the model has {m.name}, the data {d.name}"
-                if (m.levels is None) != (d.levels is None):
-                    return f"{what} {m.name}: a {'number' if m.levels is None else 'category'} for the model, a {'number' if d.levels is None else 'category'} in the data"
-                if m.levels != d.levels:
-                    return f"{what} {m.name}: levels {', '.join(m.levels)} against {', '.join(d.levels)}"
-        return None
+        """Why a model of this schema can't take data of the other one: the first pair of their signatures that differs; None if all are equal."""
+        unlike = ((what, m, d) for (what, m), (_, d) in zip(self.signature(), data.signature()) if m != d)
+        return next((f"{what}: {m} for the model, {d} in the data" for what, m, d in unlike), None)
 
 
 def numbered(n_inputs: int, n_outputs: int, cards: dict[int, int] | None = None) -> Schema:
@@ -136,6 +135,17 @@ class DraftField:
     unit: str | None = None
 
 
+#: What speaks against a column of a draft, and when it does.
+RULES = {
+    "column {place} needs a name": lambda c: c["blank"],
+    "column {name} is there twice": lambda c: c["again"],
+    "{name}: an output is a number": lambda c: c["output"] and c["category"],
+    "{name}: not all values are numbers": lambda c: c["used"] and not (c["category"] or c["numeric"]),
+    "{name}: more than {most} values": lambda c: c["used"] and c["category"] and c["values"] is None,
+    "{name}: a category without values": lambda c: c["used"] and c["category"] and c["values"] == 0,
+}
+
+
 @dataclass(frozen=True)
 class Draft:
     """A schema that may still be wrong. Every change gives a new draft; ``finish`` says what is wrong or gives the schema.
@@ -163,33 +173,25 @@ class Draft:
             raise ValueError(f"{n_inputs} inputs of {len(self.fields)} columns")
         return replace(self, fields=tuple(replace(f, role=INPUT if i < n_inputs else OUTPUT) for i, f in enumerate(self.fields)))
 
+    def facts(self) -> list[dict]:
+        """A row for each column, as the rules see it."""
+        names = [f.name.strip() for f in self.fields]
+        return [
+            {"place": i + 1, "name": n, "blank": not n, "again": bool(n) and n in names[:i], "output": f.role == OUTPUT, "used": f.role != IGNORE, "category": f.is_category, "numeric": ok, "values": None if held is None else len(held)}
+            for i, (f, n, ok, held) in enumerate(zip(self.fields, names, self.numeric, self.levels))
+        ]
+
     def issues(self) -> list[str]:
-        out = [f"an {role} is needed" for role in (INPUT, OUTPUT) if not any(f.role == role for f in self.fields)]
-        seen: set[str] = set()
-        for i, (f, levels) in enumerate(zip(self.fields, self.levels)):
-            name = f.name.strip()
-            if not name:
-                out.append(f"column {i + 1} needs a name")
-            elif name in seen:
-                out.append(f"column {name} is there twice")
-            seen.add(name)
-            if f.role == OUTPUT and f.is_category:
-                out.append(f"{f.name}: an output is a number")
-            if f.role == IGNORE:
-                continue
-            if not f.is_category and not self.numeric[i]:
-                out.append(f"{f.name}: not all values are numbers")
-            if f.is_category and levels is None:
-                out.append(f"{f.name}: more than {MOST_LEVELS} values")
-            if f.is_category and levels == ():
-                out.append(f"{f.name}: a category without values")
-        return out
+        """Every rule that a column or the whole draft breaks."""
+        roles = {f.role for f in self.fields}
+        return [f"an {role} is needed" for role in (INPUT, OUTPUT) if role not in roles] + [why.format(**c, most=MOST_LEVELS) for why, broken in RULES.items() for c in self.facts() if broken(c)]
 
     def finish(self) -> Schema:
-        found = self.issues()
-        if found:
+        """The schema of a draft without issues."""
+        if found := self.issues():
             raise ValueError("; ".join(found))
-        return Schema(tuple(Field(f.name, f.role, levels if f.is_category and levels else None, f.unit) for f, levels in zip(self.fields, self.levels)))
+        of = dict(zip((f.name for f in self.fields), self.levels))
+        return Schema(tuple(Field(f.name, f.role, (of[f.name] or None) if f.is_category else None, f.unit) for f in self.fields))
 
 
 def draft(df: DataFrame, columns: Sequence[str]) -> Draft:
