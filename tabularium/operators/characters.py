@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters that a vocabulary has at most; it is broadcast.
-MOST = 1 << 16
-
 
 def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
@@ -22,15 +19,15 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
 def encode(df: DataFrame, row_id: str, text: str, known: DataFrame) -> DataFrame:
     """row_id, codes: each text as ids of its characters in order; a character that isn't known is null."""
     each = df.select(F.col(row_id).alias("row_id"), F.posexplode_outer(characters(F.col(text))).alias("at", "ch"))
-    # MOST rows at most
-    coded = each.join(F.broadcast(known.select("ch", "id").limit(MOST)), "ch", "left")
+    # a row for each character: Unicode has 1,114,112
+    coded = each.join(F.broadcast(known.groupBy("ch").agg(F.min("id").alias("id"))), "ch", "left")
     held = coded.groupBy("row_id").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "id")))).alias("_c"))
     return held.select("row_id", F.transform("_c", lambda s: s["id"]).alias("codes"))
 
 
 def decode(df: DataFrame, codes: str, known: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, text of lists of ids; ids that aren't known are left out."""
-    alphabet = known.limit(MOST).agg(F.array_sort(F.collect_list(F.struct("id", "ch"))).alias("_a")).select(F.transform("_a", lambda s: s["ch"]).alias("_a"))
+    alphabet = known.groupBy("id").agg(F.min("ch").alias("ch")).agg(F.array_sort(F.collect_list(F.struct("id", "ch"))).alias("_a")).select(F.transform("_a", lambda s: s["ch"]).alias("_a"))
     return df.join(F.broadcast(alphabet)).select(*keep, F.array_join(F.transform(codes, lambda i: F.get("_a", i)), "").alias("text"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import is_missing, is_number, trimmed
@@ -69,8 +69,9 @@ def category_levels(df: DataFrame, column: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, levels: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and code of each row; an unknown level has a null code. ``category_levels`` bounds the broadcast."""
-    known = levels.limit(MOST_LEVELS)
+    """``keep`` and code of each row; an unknown level has a null code. More levels than a category may have are an error, so the broadcast is bounded."""
+    counted = levels.limit(MOST_LEVELS + 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    known = counted.where(F.when(F.col("_n") <= MOST_LEVELS, True).otherwise(F.raise_error(F.lit(f"{column}: more than {MOST_LEVELS} levels")).cast("boolean"))).drop("_n")
     return df.join(F.broadcast(known), trimmed(F.col(column).cast("string")) == F.col("level"), "left").select(*keep, F.col("code").cast("int").alias("code"))
 
 

@@ -1,32 +1,58 @@
-"""Fingerprints of datasets and the ledger that lets a test set be opened once per dataset."""
+"""Fingerprints of datasets as hash trees, of models, and the ledger that lets a test set be opened once per dataset."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import with_rank
+
+#: Children of a node of a fingerprint's tree.
+FAN = 1024
+
+
+def hash_tree(df: DataFrame, row_id: str, columns: list[str]) -> list[DataFrame]:
+    """Levels of a hash tree over the rows, leaves first: node, n_rows, digest. The last level is one node (none without rows).
+
+    A leaf holds a run of ``FAN`` places in the order of (row_id, values), a node ``FAN`` nodes of the level below, so that no group is
+    larger whatever the ids are. A number is put as the shortest text that only it has as 32 bits; both noughts are one, all that is no number is another.
+    """
+    value = [F.coalesce((F.col(f"`{c}`").cast("float") + F.lit(0.0).cast("float")).cast("string"), F.lit("-")) for c in columns]
+    rows = df.select(F.col(row_id).alias("_id"), F.sha2(F.concat_ws("|", *value), 256).alias("_h"))
+    n = rows.count()
+    held = with_rank(rows, "_id", "_h").select((F.col("rank") - 1).alias("_at"), "_h", F.lit(1).cast("long").alias("n_rows"))
+    together = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda s: s["_h"]), ""), 256)
+    levels, nodes = [], n
+    while nodes > 1 or not levels:
+        held = held.groupBy(F.floor(F.col("_at") / FAN).alias("_up")).agg(together.alias("_h"), F.sum("n_rows").alias("n_rows")).withColumnRenamed("_up", "_at")
+        levels.append(held.select(F.col("_at").alias("node"), "n_rows", F.col("_h").alias("digest")))
+        nodes = -(-nodes // FAN)
+    return levels
+
+
+def changed_leaves(one: DataFrame, other: DataFrame) -> DataFrame:
+    """node, first_place, last_place of leaves (first levels of ``hash_tree``) that differ or are in one of the two only; places count from 0."""
+    both = one.select("node", F.col("digest").alias("_a"), F.col("n_rows").alias("_n")).join(other.select("node", F.col("digest").alias("_b"), F.col("n_rows").alias("_m")), "node", "full")
+    rows = F.greatest(F.coalesce("_n", F.lit(0)), F.coalesce("_m", F.lit(0)))
+    return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("node", (F.col("node") * FAN).alias("first_place"), (F.col("node") * FAN + rows - 1).alias("last_place"))
+
 
 def fingerprint(df: DataFrame, row_id: str, inputs: list[str], outputs: list[str] | None = None, levels: dict[str, int] | None = None) -> DataFrame:
-    """One row: n_rows, digest of the values as 32-bit numbers, their order by row id, and the kinds of the columns; names don't count.
+    """One row: n_rows, digest of the values as 32-bit numbers, their order by row id, and the kinds of the columns; names and the ids themselves don't count.
 
-    Each input has a tag, with its number of levels if it is a category (``levels``), so that a category isn't taken for a quantity.
-    A number is put as the shortest text that only it has; both noughts are one, all that is no number is another. Rows hash by themselves, then
-    groups of a thousand ids, of a million and of a milliard hash together, so that no task sees all rows.
+    Each input has a tag, with its number of levels if it is a category (``levels``), so that a category isn't taken for a quantity. Built
+    from the top of ``hash_tree``. The number of rows is counted while the plan is made.
     """
     columns = [*inputs, *(outputs or [])]
     tags = ",".join([*(f"K{levels[c]}" if levels and c in levels else "C" for c in inputs), f"inputs {len(inputs)}", f"outputs {len(outputs or [])}"])
-    value = [F.coalesce((F.col(c).cast("float") + F.lit(0.0).cast("float")).cast("string"), F.lit("-")) for c in columns]
-    held = df.select(F.col(row_id).cast("long").alias("_id"), F.sha2(F.concat_ws("|", F.col(row_id).cast("string"), *value), 256).alias("_h"), F.lit(1).cast("long").alias("_n"))
-    together = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_id", "_h"))), lambda s: s["_h"]), ""), 256)
-    for _ in range(3):
-        held = held.groupBy(F.floor(F.col("_id") / 1000).alias("_up")).agg(together.alias("_h"), F.sum("_n").alias("_n")).withColumnRenamed("_up", "_id")
-    whole = held.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), together.alias("_h"))
-    return whole.select("n_rows", F.sha2(F.concat(F.lit(tags + ";"), F.coalesce("_h", F.lit(""))), 256).alias("digest"))
+    top = hash_tree(df, row_id, columns)[-1].agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.max("digest").alias("_h"))
+    return top.select("n_rows", F.sha2(F.concat(F.lit(tags + ";"), F.coalesce("_h", F.lit(""))), 256).alias("digest"))
 
 
 def model_fingerprint(layers: list[dict]) -> str:
@@ -74,3 +100,79 @@ class Ledger:
         if self.checked != stamp(spec):
             raise Refused("Stale")
         self.finalized = self.disclosed[self.dataset] = stamp(spec)
+
+
+# ---- the ledger as a table
+
+
+_EVENT = "seq long, kind string, dataset string, stamp string"
+
+
+class SharedLedger:
+    """The same rules for many drivers on one folder: an append-only table of events, and one claim for each dataset whose test was opened.
+
+    Every event is a file that is created only if it isn't there (its name is the next number; who comes second takes the one after), and so is a
+    dataset's claim. So of two drivers that open the test of one dataset at once exactly one succeeds, and a claim outlives all of them. The folder's
+    file system must create files atomically, as HDFS and local ones do.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        jvm = spark._jvm.org.apache.hadoop.fs
+        self._path = jvm.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        for part in ("events", "claims"):
+            self._fs.mkdirs(self._path(f"{self.folder}/{part}"))
+
+    def _create(self, name: str, row: dict) -> bool:
+        """Whether the file wasn't there and now is."""
+        path = self._path(f"{self.folder}/{name}")
+        if not self._fs.createNewFile(path):
+            return False
+        out = self._fs.create(path, True)
+        out.write(bytearray((json.dumps(row) + "\n").encode()))
+        out.close()
+        return True
+
+    def events(self) -> DataFrame:
+        """seq, kind (check, test), dataset, stamp: all that was recorded."""
+        return self.spark.read.schema(_EVENT).json(f"{self.folder}/events").where("seq is not null")
+
+    def claims(self) -> DataFrame:
+        """dataset, stamp of every test that was opened."""
+        return self.spark.read.schema("dataset string, stamp string").json(f"{self.folder}/claims").where("dataset is not null")
+
+    def _append(self, kind: str, dataset: str, stamped: str) -> None:
+        seq = self.events().agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        while not self._create(f"events/{seq:012d}.json", {"seq": seq, "kind": kind, "dataset": dataset, "stamp": stamped}):
+            seq += 1
+
+    def record_check(self, dataset: str, spec: dict) -> None:
+        """The latest check of a dataset replaces the one before."""
+        self._append("check", dataset, stamp(spec))
+
+    def _claimed(self, dataset: str) -> str | None:
+        """The stamp of the dataset's claim. A claim whose writer hasn't filled it in yet counts as another's."""
+        name = self._path(f"{self.folder}/claims/{hashlib.sha256(dataset.encode()).hexdigest()}.json")
+        if not self._fs.exists(name):
+            return None
+        for _ in range(20):
+            found = self.claims().where(F.col("dataset") == dataset).first()
+            if found is not None:
+                return found["stamp"]
+            time.sleep(0.1)
+        return ""
+
+    def finalize(self, dataset: str, spec: dict) -> None:
+        """Open the test set for these settings, or say why not: disclosed first, then not checked, then stale."""
+        own, claimed = stamp(spec), self._claimed(dataset)
+        if claimed is not None:
+            raise Refused("AlreadyFinalized" if claimed == own else "TestDisclosed")
+        last = self.events().where((F.col("kind") == "check") & (F.col("dataset") == dataset)).agg(F.max_by("stamp", "seq")).first()[0]
+        if last is None:
+            raise Refused("NotChecked")
+        if last != own:
+            raise Refused("Stale")
+        if not self._create(f"claims/{hashlib.sha256(dataset.encode()).hexdigest()}.json", {"dataset": dataset, "stamp": own}):
+            raise Refused("TestDisclosed")
+        self._append("test", dataset, own)

@@ -203,7 +203,7 @@ named as (select model || ':' || output as model, fold, y, x0, x1 from sampled)"
 @query(f"""with {_SWEEP}, {ridge_sql('named', [2, 3], [1e-4, 1e-2])},
 o as (select split_part(model, ':', 1) as model, split_part(model, ':', 2) as output, grid, strength, avg(r2) as r2, avg(nrmse) as nrmse from scores group by all),
 m as (select model, grid, strength, min(r2) as worst_r2, avg(r2) as mean_r2, avg(nrmse) as nrmse from o group by all)
-select model, format('grid={{}} ridge={{}}', grid, case when strength < 1e-3 then '0.000100000' else '0.0100000' end) as candidate, round(worst_r2, 6) as worst_r2, round(mean_r2, 6) as mean_r2, round(nrmse, 4) as nrmse,
+select model, format('grid={{}} ridge={{}}', grid, case when strength < 1e-3 then '0.000100000' else '0.0100000' end) as candidate, round(worst_r2, 5) as worst_r2, round(mean_r2, 5) as mean_r2, round(nrmse, 4) as nrmse,
 row_number() over (partition by model order by round(worst_r2, 9) desc, grid, strength)::int as place from m""")
 def blackbox_sweep(spark, sf_dir):
     """All five known functions over inputs that parts give, every grid, ridge and fold in one grouped job, ranked by the worst output."""
@@ -220,7 +220,7 @@ def blackbox_sweep(spark, sf_dir):
     found = spline_search.search(rows, ["x0", "x1"], "y", "fold", [2, 3], [1e-4, 1e-2], "key", widths)
     parts = F.split("model", ":")
     named = found.withColumns({"output": parts[1], "model": parts[0], "r2": F.round("r2", 9)})
-    return rounded(spline_search.sweep(named), 6, nrmse=4)
+    return rounded(spline_search.sweep(named), 5, nrmse=4)
 
 
 _PRUNED = """n as (select avg(l_quantity) as a, stddev_pop(l_quantity) as b, avg(l_tax) as c, stddev_pop(l_tax) as d from lineitem),

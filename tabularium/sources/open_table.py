@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import INFINITE, parse_code, parse_number
@@ -92,7 +92,8 @@ def write_typed(df: DataFrame, row_id: str, schema: Schema, path: str) -> int:
 def read_typed(spark: SparkSession, path: str) -> tuple[DataFrame, Schema]:
     """(row_id and a column for each input and output, schema) of a TRNUM1 or TRNUM2 file or a folder of its parts.
 
-    Lines that begin with a keyword are the head and go to the driver, as many as keywords and categories; all others are data.
+    Lines that begin with a keyword are the head and go to the driver, as many as keywords and categories; all others are data: a stream of
+    numbers in which a row may go over several lines and a line may hold several rows.
     """
     lines = numbered_lines(spark, path)
     cells = F.split(trimmed(uncommented(F.col("value"))), r"\s+", -1)
@@ -127,15 +128,39 @@ def read_typed(spark: SparkSession, path: str) -> tuple[DataFrame, Schema]:
     schema = Schema(tuple(
         Field(n, INPUT if i < n_in else OUTPUT, levels.get(i, tuple(map(str, range(cards[i])))) if i in cards else None, None if u == "-" else u) for i, (n, u) in enumerate(zip(names, units))
     ))
-    data = kept.where(~is_head & (F.col("row_no") > rows[-1]["row_no"]))
-    values = data.select("row_no", F.size("cells").alias("n"), F.transform("cells", parse_number).alias("v"))
-    wide = values.select("row_no", "n", *[F.get("v", F.lit(i)).alias(f.name) for i, f in enumerate(schema.fields)])
-    bad = (F.col("n") != n_in + n_out) | bad_values(wide, schema)
     before = kept.where(~is_head & (F.col("row_no") < rows[-1]["row_no"]))
-    found = wide.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).first()
-    if found["bad"] or found["n"] != int(head["rows"][0]) or not before.isEmpty():
-        raise ValueError(f"{path}: {found['bad']} rows of wrong width or values, {found['n']} rows for {head['rows'][0]}")
-    return wide.select(F.col("row_no").alias("row_id"), *[f"`{f.name}`" for f in schema.fields]), schema
+    data = kept.where(~is_head & (F.col("row_no") > rows[-1]["row_no"])).select("row_no", "cells")
+    n, wide = int(head["rows"][0]), n_in + n_out
+    found = data.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0)).alias("tokens"), F.count_if(F.size("cells") != wide).alias("wrapped")).first()
+    if found["tokens"] != n * wide or not before.isEmpty():
+        raise ValueError(f"{path}: {found['tokens']} values for {n} rows of {wide}")
+    values = _by_tokens(data, wide, rows[-1]["row_no"]) if found["wrapped"] else data.select("row_no", F.transform("cells", parse_number).alias("v"))
+    table = values.select("row_no", *[F.get("v", F.lit(i)).alias(f.name) for i, f in enumerate(schema.fields)])
+    bad = table.agg(F.count_if(bad_values(table, schema))).first()[0]
+    if bad:
+        raise ValueError(f"{path}: {bad} rows of wrong values")
+    return table.select(F.col("row_no").alias("row_id"), *[f"`{f.name}`" for f in schema.fields]), schema
+
+
+#: Lines that share a block when tokens are counted through a file.
+LINES = 1 << 14
+
+
+def _by_tokens(data: DataFrame, wide: int, head_row: int) -> DataFrame:
+    """row_no, v: every ``wide`` tokens are a row, wherever lines and file splits end. Rows are numbered as if each had its line after the head.
+
+    A token's place is its place in its line, plus the tokens of earlier lines of the block, plus those of earlier blocks (a row for each block).
+    """
+    lines = data.select("row_no", "cells", F.size("cells").alias("_n"), F.floor(F.col("row_no") / LINES).alias("_block"))
+    blocks = lines.groupBy("_block").agg(F.sum("_n").alias("_in"))
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_in").over(past(Window.partitionBy(F.lit(0)).orderBy("_block"))), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("_n").over(past(Window.partitionBy("_block").orderBy("row_no"))), F.lit(0))
+    tokens = lines.withColumn("_within", within).join(blocks, "_block").select((F.col("_before") + F.col("_within")).alias("_start"), F.posexplode("cells").alias("_pos", "_cell"))
+    placed = tokens.select((F.col("_start") + F.col("_pos")).alias("_at"), parse_number(F.col("_cell")).alias("_v"))
+    row = F.floor(F.col("_at") / wide)
+    cells = [F.max(F.when(F.col("_at") % wide == i, F.col("_v"))) for i in range(wide)]
+    return placed.groupBy((row + head_row + 1).alias("row_no")).agg(F.array(*cells).alias("v"))
 
 
 # ---- tables

@@ -34,20 +34,17 @@ def detect_delimiter(line: str) -> str:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_no from 1, value) of the lines of a text file, or of a folder's files in order of their names.
 
-    Spark's text source has no line numbers: a line's number is its place within its file split plus the lines of the splits before it.
+    Spark's text source has no line numbers, but ids that rise by one within a partition: a line's number is its id, less the least of its file
+    split, plus the lines of the splits before. The splits' least ids and sizes are a row for each split, so lines aren't shuffled.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value")).alias("value"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("_id"),
     )
-    sizes = lines.groupBy("file", "at").agg(F.count(F.lit(1)).alias("_n"))
-    # a row for each split
-    before = sizes.select("file", "at", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("file", "at").orderBy("_id"))
-    return lines.withColumn("_in", place).join(before, ["file", "at"]).select((F.col("_before") + F.col("_in")).cast("long").alias("row_no"), "value")
-
-
-read_lines = numbered_lines
+    sizes = lines.groupBy("file", "at").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_least"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = sizes.select("file", "at", (before - F.col("_least") + 1).alias("_start"))
+    return lines.join(F.broadcast(start), ["file", "at"]).select((F.col("_id") + F.col("_start")).cast("long").alias("row_no"), "value")
 
 
 @dataclass
@@ -64,7 +61,7 @@ class Table:
 
 
 def read_table(spark: SparkSession, path: str, has_header: bool = True, delimiter: str | None = None) -> Table:
-    lines = surviving(read_lines(spark, path))
+    lines = surviving(numbered_lines(spark, path))
     first = lines.orderBy("row_no").first()
     if first is None:
         raise ValueError(f"{path}: no rows")
@@ -93,25 +90,6 @@ def ragged_rows(table: Table) -> DataFrame:
     return table.rows.where(F.size("cells") != table.n_columns)
 
 
-def to_dataset(table: Table, numeric: dict[str, int], categorical: dict[str, tuple[int, list[str]]]) -> DataFrame:
-    """row_id and typed columns; raises with the physical row of the first cell that has no value.
-
-    ``numeric``: name -> place of the column; ``categorical``: name -> (place, levels).
-    """
-    from ..functions.numeric import parse_code, parse_number
-
-    values = {n: parse_number(F.get("cells", F.lit(i))) for n, i in numeric.items()} | {n: parse_code(F.get("cells", F.lit(i)), levels, False) for n, (i, levels) in categorical.items()}
-    out = table.rows.select(F.col("row_no").alias("row_id"), F.size("cells").alias("_width"), *[v.alias(n) for n, v in values.items()])
-    bad = F.col("_width") != table.n_columns
-    for n in values:
-        bad = bad | F.col(n).isNull()
-    first = out.where(bad).orderBy("row_id").first()
-    if first is not None:
-        column = next((n for n in values if first[n] is None), "its number of cells")
-        raise ValueError(f"{table.source}, row {first['row_id']}: no value for {column}")
-    return out.drop("_width")
-
-
 # ---- inference from names and values
 
 
@@ -154,51 +132,6 @@ def data_lines(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(row_id).alias("row_id"), F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("line"))
 
 
-def write_typed(df: DataFrame, row_id: str, inputs: list[str], outputs: list[str], levels: dict[str, int], path: str) -> None:
-    """A folder of text parts in row order: header first. Specs are C, or K:n for a column of n codes."""
-    from tabularium.functions.ordering import bucketed
-
-    spark = df.sparkSession
-    specs = " ".join(f"K:{levels[c]}" if c in levels else "C" for c in inputs)
-    head = ["TRNUM1", f"inputs {len(inputs)}", f"outputs {len(outputs)}", f"specs {specs}", f"rows {df.count()}", "data"]
-    header = spark.createDataFrame([(-1, i, h) for i, h in enumerate(head)], "part long, row_id long, line string")
-    body = bucketed(data_lines(df, row_id, [*inputs, *outputs]), "row_id").select(F.col("_bucket").cast("long").alias("part"), F.col("row_id").cast("long"), "line")
-    header.unionByName(body).repartitionByRange("part", "row_id").sortWithinPartitions("part", "row_id").select("line").write.text(path)
-
-
-def read_typed(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(row_no and values columns, header) of a typed file or of a folder of its parts.
-
-    The header is short and goes to the driver; data lines are checked and parsed by Spark.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    kept = lines.where(trimmed(uncommented(F.col("value"))) != "")
-    words = kept.select("file", "at", split_cells(F.col("value"), "").alias("cells"))
-    is_head = F.get("cells", F.lit(0)).isin(*MAGIC, "inputs", "outputs", "specs", "rows", "data")
-    named = words.where(is_head).limit(100).collect()  # keywords only: a few lines
-    header: dict = {}
-    for r in named:
-        key, *rest = r["cells"]
-        if key in header:
-            raise ValueError(f"{path}: {key} twice")
-        header[key] = rest
-    if not any(m in header for m in MAGIC) or "data" not in header:
-        raise ValueError(f"{path}: not a typed table")
-    wide = int(header["inputs"][0]) + int(header["outputs"][0])
-    if len(header["specs"]) != int(header["inputs"][0]):
-        raise ValueError(f"{path}: specs do not match inputs")
-    data = words.where(~is_head)
-    from ..functions.numeric import parse_number
-
-    values = data.select(F.size("cells").alias("n"), F.transform("cells", parse_number).alias("values"))
-    bad = (F.col("n") != wide) | F.exists("values", lambda v: v.isNull())
-    found = values.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).first()
-    if found["bad"] or found["n"] != int(header["rows"][0]):
-        raise ValueError(f"{path}: {found['bad']} rows of wrong width or values, {found['n']} rows for {header['rows'][0]}")
-    names = [f"x{i}" for i in range(int(header["inputs"][0]))] + [f"y{i}" for i in range(int(header["outputs"][0]))]
-    return values.select(*[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(names)]), header
-
-
 def bad_codes(df: DataFrame, row_id: str, cards: dict[str, int]) -> DataFrame:
     """row_id, column, value of codes that are not whole within 1e-4 or not in [0, n)."""
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"), F.lit(n).alias("n")) for c, n in cards.items()])

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabularium.functions import numeric
-from tabularium.operators import curves, diagnostics, metrics, models, profile, provenance, scaling, scoring, search, split, symbolic
+from tabularium.operators import curves, diagnostics, metrics, models, profile, provenance, scaling, schema, scoring, search, split, symbolic
 from tabularium.plans import catalogue
-from tabularium.sources import generators, text_table, workbook
+from tabularium.sources import generators, open_table, text_table, workbook
 from tabularium.streaming import scorer
 
 
@@ -46,13 +46,14 @@ def test_ragged_rows_by_file_row(spark, tmp_path):
 
 def test_dataset_and_its_errors(spark, tmp_path):
     t = text_table.read_table(spark, write(tmp_path, "x,m,y\n0.5,sand,3\n1.5,clay,5\n"))
-    rows = text_table.to_dataset(t, {"x": 0, "y": 2}, {"m": (1, ["sand", "clay"])}).orderBy("row_id").collect()
+    of = lambda *levels: schema.Schema((schema.Field("x"), schema.Field("m", schema.INPUT, levels), schema.Field("y", schema.OUTPUT)))
+    rows = open_table.dataset(t, of("sand", "clay")).orderBy("row_id").collect()
     assert [(r.x, r.m, r.y) for r in rows] == [(0.5, 0, 3.0), (1.5, 1, 5.0)]
     with pytest.raises(ValueError, match="row 3.*m"):
-        text_table.to_dataset(t, {"x": 0}, {"m": (1, ["sand"])})
+        open_table.dataset(t, of("sand"))
     bad = text_table.read_table(spark, write(tmp_path, "a,b\n# c\n1,2\n\nnot-a-number,4\n"))
     with pytest.raises(ValueError, match="row 5"):
-        text_table.to_dataset(bad, {"a": 0, "b": 1}, {})
+        open_table.dataset(bad, schema.Schema((schema.Field("a"), schema.Field("b", schema.OUTPUT))))
 
 
 def test_header_names_say_outputs_and_categories():
@@ -61,20 +62,6 @@ def test_header_names_say_outputs_and_categories():
     assert text_table.categorical_by_name("material_id") and not text_table.categorical_by_name("width")
 
 
-def test_typed_file_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([(i, float(i), i % 3, 2.0 * i) for i in range(50)], "row_id long, x0 double, x1 int, y0 double")
-    path = str(tmp_path / "typed")
-    text_table.write_typed(df, "row_id", ["x0", "x1"], ["y0"], {"x1": 3}, path)
-    back, header = text_table.read_typed(spark, path)
-    assert header["specs"] == ["C", "K:3"] and sorted(map(tuple, back.collect())) == sorted((float(i), float(i % 3), 2.0 * i) for i in range(50))
-
-
-@pytest.mark.parametrize("text", ["TRNUM1\ninputs 1\noutputs 1\nspecs C\nrows 2\ndata\n1 2\n", "TRNUM1\ninputs 1\noutputs 1\nspecs C C\nrows 1\ndata\n1 2\n", "TRNUM1\ninputs 1\noutputs 1\nspecs C\nrows 1\ndata\n1 2 3\n", "inputs 1\ndata\n1\n"])
-def test_broken_typed_files_are_refused(spark, tmp_path, text):
-    with pytest.raises((ValueError, KeyError)):
-        text_table.read_typed(spark, write(tmp_path, text, "t.tnum"))
-
-
 def book(sheets):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
