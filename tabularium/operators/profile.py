@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import is_missing, is_number, trimmed
@@ -110,25 +110,69 @@ def fit_affine(n: int, means: np.ndarray, products: np.ndarray, target: int, ter
     return coefficients, float(means[target] - coefficients @ means[terms]), float(r2)
 
 
+def explained(products: np.ndarray, pool: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(R2 of each column of the pool on the pool's others, coefficients in units of spreads) from one inverse of the correlations.
+
+    With B the inverse, column i is explained up to ``1 / B_ii`` of its spread, by ``-B_ij / B_ii``. A ridge of 1e-12 stands for the
+    places of exact ties.
+    """
+    scale = np.sqrt(np.maximum(np.diag(products)[pool], 1e-300))
+    inverse = np.linalg.inv(products[np.ix_(pool, pool)] / np.outer(scale, scale) + 1e-12 * np.eye(len(pool)))
+    weights = -inverse / np.diag(inverse)[:, None]
+    np.fill_diagonal(weights, 0.0)
+    return 1.0 - 1.0 / np.diag(inverse), weights * scale[:, None] / scale[None, :]
+
+
 def affine_dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """target, terms, intercept, r2, is_exact: inputs that the others give. Columns are tried in order; one that is found explains no later one.
 
-    p by p sums come to the driver, whatever the rows.
+    p by p sums come to the driver, whatever the rows; they say which columns are tied. R2 of those is taken from the residuals in one more
+    pass over the rows, because products of near-exact fits cancel.
     """
     n, means, products = gram(df, columns)
     spread = np.diag(products)
     pool = [i for i in range(len(columns)) if spread[i] > 1e-24 * max(means[i] ** 2, 1e-300) * max(n, 1)]
-    found = []
+    found, stale = [], True
     for target in list(pool) if n >= LEAST_ROWS else []:
-        terms = [i for i in pool if i != target]
-        if not terms or n < len(terms) + 1 + LEAST_FREEDOM:
+        if len(pool) < 2 or n < len(pool) + LEAST_FREEDOM:
             continue
-        fit = fit_affine(n, means, products, target, terms)
-        if fit and fit[2] >= NEAR:
-            coefficients, intercept, r2 = fit
-            found.append((columns[target], [(columns[t], float(c)) for t, c in zip(terms, coefficients) if abs(c) > 1e-9], intercept, r2, r2 >= EXACT))
+        if stale:
+            r2, weights = explained(products, pool)
+            stale = False
+        at = pool.index(target)
+        if r2[at] >= NEAR - 1e-9:
+            own = {pool[j]: float(weights[at, j]) for j in range(len(pool)) if abs(weights[at, j]) > 1e-9}
+            found.append((target, own, float(means[target] - sum(k * means[j] for j, k in own.items()))))
             pool.remove(target)
-    return df.sparkSession.createDataFrame(found, "target string, terms array<struct<column:string,coefficient:double>>, intercept double, r2 double, is_exact boolean")
+            stale = True
+    schema = "target string, terms array<struct<column:string,coefficient:double>>, intercept double, r2 double, is_exact boolean"
+    if not found:
+        return df.sparkSession.createDataFrame([], schema)
+    own = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
+    errors = [F.col(f"c{t}") - F.lit(d) - sum((F.col(f"c{j}") * F.lit(k) for j, k in terms.items()), F.lit(0.0)) for t, terms, d in found]
+    left = own.agg(*[F.sum(e * e) for e in errors]).first()
+    rows = []
+    for (target, terms, intercept), sse in zip(found, left):
+        r2 = float(1.0 - sse / spread[target])
+        if r2 >= NEAR:
+            rows.append((columns[target], [(columns[j], k) for j, k in sorted(terms.items())], intercept, r2, r2 >= EXACT))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def coefficient_text(value: Column) -> Column:
+    """At most six decimals without closing noughts."""
+    text = F.regexp_replace(F.format_string("%.6f", F.round(value, 6)), r"\.?0+$", "")
+    return F.when(text.isin("-0", ""), "0").otherwise(text)
+
+
+def dependency_notes(dependencies: DataFrame) -> DataFrame:
+    """severity, column, message: a note for each tie of inputs, since formulas and sensitivities by tied inputs are ambiguous."""
+    size = lambda t: coefficient_text(F.abs(t["coefficient"]))
+    shown = F.filter("terms", lambda t: size(t) != "0")
+    terms = F.array_join(F.transform(shown, lambda t: F.concat(F.when(t["coefficient"] < 0, " - ").otherwise(" + "), size(t), F.lit("·"), t["column"])), "")
+    how = F.when(F.col("is_exact"), "exactly").otherwise("nearly")
+    message = F.concat(F.lit("tied "), how, F.lit(" to other inputs: "), F.col("target"), F.lit(" ≈ "), coefficient_text(F.col("intercept")), terms, F.lit(" (R2 = "), F.format_string("%.6f", "r2"), F.lit(")"))
+    return dependencies.select(F.lit("Note").alias("severity"), F.col("target").alias("column"), message.alias("message"))
 
 
 def affine_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

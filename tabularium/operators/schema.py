@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import MOST_LEVELS, category_levels, profile_columns, profile_messages
+from .profile import MOST_LEVELS, category_levels, dependency_notes, profile_columns, profile_messages
 
 INPUT, OUTPUT, IGNORE = "input", "output", "ignore"
 
@@ -213,12 +213,13 @@ def draft_fields(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def messages(profile: DataFrame, n_ragged: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """severity, column, message of a table: ragged rows block, missing and other cells warn, repeats and constants are noted.
+def messages(profile: DataFrame, n_ragged: DataFrame, duplicates: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
+    """severity, column, message of a table: ragged rows block, missing and other cells warn, repeats, constants and ties between inputs are noted.
 
-    ``n_ragged``: one row with n_ragged; ``duplicates``: one row with duplicate_rows.
+    ``n_ragged``: one row with n_ragged; ``duplicates``: one row with duplicate_rows; ``dependencies``: what ``profile.affine_dependencies`` gives.
     """
     none = F.lit(None).cast("string").alias("column")
     ragged = n_ragged.where("n_ragged > 0").select(F.lit("Blocking").alias("severity"), none, F.concat(F.col("n_ragged").cast("string"), F.lit(" rows of another width")).alias("message"))
     repeated = duplicates.where("duplicate_rows > 0").select(F.lit("Note").alias("severity"), none, F.concat(F.col("duplicate_rows").cast("string"), F.lit(" repeated rows")).alias("message"))
-    return ragged.unionByName(profile_messages(profile)).unionByName(repeated)
+    out = ragged.unionByName(profile_messages(profile)).unionByName(repeated)
+    return out if dependencies is None else out.unionByName(dependency_notes(dependencies))

@@ -194,3 +194,18 @@ def changed_leaves(spark, sf_dir):
 @query(f"with {_TREE} select sum(n_rows)::bigint as n_rows, sha256('C,inputs 1,outputs 1;' || max(digest)) as digest from l1 where (select count(*) from l0) > 1 having count(*) > 0 union all select n_rows, sha256('C,inputs 1,outputs 1;' || digest) from l0 where (select count(*) from l0) = 1")
 def sparse_fingerprint(spark, sf_dir):
     return rounded(provenance.fingerprint(_tree_rows(spark, sf_dir), "id", ["x0"], ["y"]))
+
+
+# ---- notes on tied inputs
+
+
+_TIED = "t as (select l_quantity as a, 2.5 * l_quantity + 3 as b, l_tax as c, l_extendedprice as d from lineitem)"
+
+
+@query(f"""with {_TIED} select 'Note' as severity, 'a' as "column", 'tied exactly to other inputs: a ≈ ' || rtrim(rtrim(printf('%.6f', regr_intercept(a, b)), '0'), '.') || ' + ' || rtrim(rtrim(printf('%.6f', regr_slope(a, b)), '0'), '.') || '·b (R2 = ' || printf('%.6f', regr_r2(a, b)) || ')' as message from t""")
+def dependency_notes(spark, sf_dir):
+    """Which of four inputs of lineitem are tied, and how."""
+    from ..operators import profile
+
+    line = _t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), (F.lit(2.5) * F.col("l_quantity") + 3).alias("b"), F.col("l_tax").alias("c"), F.col("l_extendedprice").alias("d"))
+    return profile.dependency_notes(profile.affine_dependencies(line, ["a", "b", "c", "d"]))
