@@ -209,3 +209,37 @@ def dependency_notes(spark, sf_dir):
 
     line = _t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), (F.lit(2.5) * F.col("l_quantity") + 3).alias("b"), F.col("l_tax").alias("c"), F.col("l_extendedprice").alias("d"))
     return profile.dependency_notes(profile.affine_dependencies(line, ["a", "b", "c", "d"]))
+
+
+# ---- training reports
+
+
+@query("""with c as (select c_custkey as k, c_custkey % 4 + 1 as version, c_custkey % 5 as fault, 'm' || c_custkey as model from customer where c_custkey is not null)
+select k, version::int as version, 'model is the one described' as rule from c where fault = 1 and version > 1
+union all select k, version::int, 'data are those of the run' from c where fault = 2
+union all select k, version::int, 'a search has seeds' from c where fault = 3
+union all select k, version::int, 'check has a history for each run' from c where k % 7 = 0
+union all select k, version::int, 'final test is of the run''s plan' from c where k % 11 = 0""")
+def report_problems(spark, sf_dir):
+    """Reports of four versions, one for each customer, written as JSON, read back and judged; some have faults."""
+    from ..operators import reports
+
+    k = F.col("c_custkey")
+    text = k.cast("string")
+    plan = F.struct(F.lit("kfold").alias("kind"), F.lit(3).alias("k"), F.lit(1).alias("repeats"), F.lit(0).cast("long").alias("seed"))
+    other = F.struct(F.lit("kfold").alias("kind"), F.lit(3).alias("k"), F.lit(1).alias("repeats"), F.lit(9).cast("long").alias("seed"))
+    source = reports.eval_source(plan)
+    none = F.lit(None).cast(reports._PROFILE)
+    rows = _t(spark, sf_dir, "customer").where("c_custkey is not null").select(
+        k.alias("k"), (k % 4 + 1).cast("int").alias("version"), F.concat(F.lit("d"), text).alias("dataset"),
+        F.when(k % 4 > 0, F.concat(F.lit("m"), F.when(k % 5 == 1, F.lit("x")).otherwise(F.lit("")), text)).alias("model"), F.lit("a,b,y").alias("columns"), F.lit(1).alias("n_outputs"),
+        F.struct(F.concat(F.lit("d"), F.when(k % 5 == 2, F.lit("other")).otherwise(text)).alias("dataset"), plan.alias("plan"), F.lit("kan").alias("config"), none.alias("profile"), F.lit(5).cast("long").alias("final_seed")).alias("stamp"),
+        F.struct(F.lit("search").alias("kind"), F.lit("aggregate_r2").alias("objective"), F.when(k % 5 != 3, F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("seeds")).alias("selection"),
+        F.struct(source.alias("source"), F.lit(0.9).alias("r2"), F.lit(0.0).alias("r2_std_repeats"), F.when(k % 7 == 0, F.array(source)).otherwise(F.array(source, source, source)).alias("histories"), F.array().cast(reports._STEPS).alias("interpret"), F.lit(1).alias("outputs")).alias("check"),
+        F.struct(F.when(k % 11 == 0, other).otherwise(plan).alias("plan"), F.lit(5).cast("long").alias("final_seed"), source.alias("source"), F.lit(False).alias("has_validation"), F.array().cast(reports._STEPS).alias("interpret"), F.lit(1).alias("outputs"), F.lit(0.8).alias("r2")).alias("final"))
+    folder = new_folder(spark, "reports")
+    rows.write.json(folder)
+    # a report for each line here: its customer stands for its file
+    back = spark.read.schema(f"k long, {reports.SCHEMA}").json(folder).withColumnRenamed("k", "file")
+    models = rows.select(F.col("k").alias("file"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("model"), "columns", F.lit("kan").alias("config"), none.alias("profile"))
+    return reports.problems(back, models).withColumnRenamed("file", "k")
