@@ -529,6 +529,22 @@ def encode(docs: DataFrame, name: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+def round_trip(docs: DataFrame, name: str) -> DataFrame:
+    """What ``decode(encode(docs, name), name)`` gives, in one pass: doc_id, ids, and the text made of these ids."""
+
+    def run(batches):
+        held = _lexicon(name)
+        for batch in batches:
+            for part in _parts(batch):
+                found = held.encode([t or "" for t in part.column(1).to_pylist()])
+                ends = np.cumsum([0, *map(len, found)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([held.decode(x.tolist()) for x in found], pa.string())], ["doc_id", "ids", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, name: str) -> DataFrame:
     """doc_id, ids, text: the text that the ids stand for; null ids are none."""
 

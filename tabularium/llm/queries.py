@@ -128,8 +128,7 @@ from f join u on f.conv_id = u.conv_id and f.depth = u.depth
 
 def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    name = bpe.lexicon(docs)
-    done = bpe.decode(bpe.encode(docs, name), name)
+    done = bpe.round_trip(docs, bpe.lexicon(docs))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join("ids", ",")).alias("ids_sha256"), digest(F.col("text")).alias("decoded_sha256"))

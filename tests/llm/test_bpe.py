@@ -55,6 +55,16 @@ def test_encoding_of_odd_rows(spark, tmp_path, library):
     assert rows_of(queries.op12_bpe_transducer(spark, str(tmp_path))) == sorted((expected(library, *r) for r in rows), key=str)
 
 
+def test_ids_are_a_table_that_is_decoded_later(spark, library):
+    rows = [(i, t) for i, t in enumerate(odd_texts(60))] + [(99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    name = bpe.lexicon(docs, words=40)
+    held = bpe.encode(docs, name)
+    back = {r.doc_id: (r.ids, r.text) for r in bpe.decode(held.unionByName(spark.createDataFrame([(100, None)], "doc_id long, ids array<int>")), name).collect()}
+    assert back == {**{i: (library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows}, 100: (None, "")}
+    assert {r.doc_id: (r.ids, r.text) for r in bpe.round_trip(docs, name).collect()} == {k: v for k, v in back.items() if k < 100}
+
+
 def test_encoding_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.op12_bpe_transducer(spark, str(tmp_path)).count() == 0
