@@ -79,3 +79,8 @@ def spark_line(value: Column, low: Column, high: Column) -> Column:
     """The nearest of eight glyphs to the value's place between low and high."""
     share = (value - low) / F.greatest(high - low, F.lit(1e-12))
     return F.lit(GLYPHS).substr(F.least(F.lit(8), F.round(share * 7) + 1).cast("int"), F.lit(1))
+
+
+def last_values(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, last_epoch, last_r2: the last point of each curve that has a value."""
+    return df.where(F.col("r2").isNotNull()).groupBy(*keys).agg(F.max("epoch").alias("last_epoch"), F.max_by("r2", "epoch").alias("last_r2"))

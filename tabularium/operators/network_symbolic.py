@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import affine_edge
@@ -40,6 +40,28 @@ def edge_samples(df: DataFrame, inputs: Sequence[str], layers: Sequence[dict], r
     return rows.select(F.inline(F.array(*each))) if each else rows.sparkSession.createDataFrame([], "layer int, input int, output int, x double, y double")
 
 
+def activation_l1(df: DataFrame, inputs: Sequence[str], layers: Sequence[dict]) -> DataFrame:
+    """layer, l1: for each layer the sum over its edges of the mean size of what they add, over all rows; their sum is the network's."""
+    names = [f"a0_{i}" for i in range(len(inputs))]
+    rows, sums = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(inputs, names)]), []
+    for k, layer in enumerate(layers):
+        base = np.asarray(layer["base"])
+        size = sum((F.abs(models.edge(layer, i, j, F.col(names[i]))) for i in range(base.shape[0]) for j in range(base.shape[1])), F.lit(0.0))
+        outs = models.spline_layer([F.col(n) for n in names], base, np.asarray(layer["spline"]), layer["bias"], layer["grid"])
+        rows = rows.select(*[f"s{m}" for m in range(k)], size.alias(f"s{k}"), *[o.alias(f"a{k + 1}_{j}") for j, o in enumerate(outs)])
+        names = [f"a{k + 1}_{j}" for j in range(len(outs))]
+        sums.append(F.struct(F.lit(k).alias("layer"), F.coalesce(F.avg(f"s{k}"), F.lit(0.0)).alias("l1")))
+    return rows.agg(F.array(*sums).alias("l")).select(F.inline("l"))
+
+
+def edge_points(spark: SparkSession, layer: dict, i: int, j: int, n: int = 200, low: float = -3.0, high: float = 3.0) -> DataFrame:
+    """place, x, y: one edge at ``n`` even points from ``low`` to ``high``, both included."""
+    if n < 2:
+        raise ValueError("a curve has two points at least")
+    x = F.lit(low) + F.lit(high - low) * F.col("id") / F.lit(float(n - 1))
+    return spark.range(n).select(F.col("id").alias("place"), x.alias("x")).select("place", "x", models.edge(layer, i, j, F.col("x")).alias("y"))
+
+
 @dataclass(frozen=True)
 class Fit:
     """y = a f(b x + c) + d for one edge."""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scaling import warnings
+from .models import score
+from .scaling import inverse, transform, warnings
 
 
 def bind(df: DataFrame, names: list[str]) -> dict[str, str]:
@@ -34,3 +35,14 @@ def export(df: DataFrame, inputs: list[str], outputs: dict[str, Callable[[dict[s
 def summary(scored: DataFrame) -> DataFrame:
     """total, extrapolated rows of an export."""
     return scored.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_warnings") > 0).alias("extrapolated"))
+
+
+def predict(df: DataFrame, inputs: list[str], layers: list[dict], stats: dict[str, dict[str, float]], outputs: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` and the outputs in their own units: inputs are normalised by ``stats``, scored by a select for each layer, and taken back.
+
+    ``stats``: mean and std of each input and output, as ``scaling.literals`` gives them; categories have none and go in as they are.
+    """
+    scaled = [(transform(c, stats) if c in stats else F.col(c).cast("double")).alias(f"_z{i}") for i, c in enumerate(inputs)]
+    names = ["_p"] if len(outputs) == 1 else [f"_p{j}" for j in range(len(outputs))]
+    scored = score(df.select(*keep, *scaled), [f"_z{i}" for i in range(len(inputs))], layers, keep, "_p")
+    return scored.select(*keep, *[inverse(F.col(n), o, stats).alias(o) for n, o in zip(names, outputs)])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import interpret, network_symbolic, scaling, spline_search, symbolic
+from ..operators import curves, interpret, network_symbolic, scaling, scoring, spline_search, symbolic
 from ..sources import generators
-from .catalogue import _FIT, ORACLES, _bspline_sql, _t, query, rounded
+from .catalogue import _CURVE, _FIT, ORACLES, _bspline_sql, _curve, _t, query, rounded
 
 # ---- fits as SQL
 
@@ -248,5 +248,29 @@ def interpret_steps(spark, sf_dir):
     return rounded(found.withColumn("kept", F.concat_ws(",", "kept")).drop("active_edges"), 5)
 
 
+@query(f"""with {_SCALED}, {_HIDDEN} select unnest([0, 1])::int as layer, round(unnest([avg(abs({_edge_sql(0, 0, 0, 'z0')}) + abs({_edge_sql(0, 0, 1, 'z0')}) + abs({_edge_sql(0, 1, 0, 'z1')})), avg(abs({_edge_sql(1, 0, 0, 'h0')}) + abs({_edge_sql(1, 1, 0, 'h1')}))]), 6) as l1 from h""")
+def network_l1(spark, sf_dir):
+    """What the activation penalty of each layer of a network is over all parts."""
+    return rounded(network_symbolic.activation_l1(_scaled(spark, sf_dir), ["z0", "z1"], _NET), 6)
+
+
+@query("""with s as (select avg(p_size) as m0, stddev_pop(p_size) as s0, avg(p_retailprice) as m1, stddev_pop(p_retailprice) as s1 from part),
+z as (select p_partkey, (p_size - m0) / s0 as a, (p_retailprice - m1) / s1 as b, m1, s1 from part, s),
+h as (select *, a * 0.5 + b * 0.2 + 0.1 as u, a * -0.3 + b * 0.8 - 0.2 as v from z),
+g as (select *, 0.5::double * u * (1 + tanh(sqrt(2 / pi()) * (u + 0.044715::double * u * u * u))) as x, 0.5::double * v * (1 + tanh(sqrt(2 / pi()) * (v + 0.044715::double * v * v * v))) as y from h)
+select p_partkey, round((x * 1.5 - y * 0.7 + 0.3) * s1 + m1, 5) as p_retailprice from g""")
+def predict_dataset(spark, sf_dir):
+    """Raw parts in, raw prices out: normalise, score, take back."""
+    part = _t(spark, sf_dir, "part")
+    stats = scaling.literals(scaling.fit(part, ["p_size", "p_retailprice"]))
+    layers = [{"kind": "dense", "weights": [[0.5, -0.3], [0.2, 0.8]], "bias": [0.1, -0.2], "activate": True}, {"kind": "dense", "weights": [[1.5], [-0.7]], "bias": [0.3], "activate": False}]
+    return rounded(scoring.predict(part, ["p_size", "p_retailprice"], layers, stats, ["p_retailprice"], ["p_partkey"]), 5)
+
+
+@query(f"with {_CURVE} select run, split, max(epoch) as last_epoch, round(arg_max(r2, epoch), 7) as last_r2 from c where r2 is not null group by run, split")
+def last_values(spark, sf_dir):
+    return rounded(curves.last_values(_curve(spark, sf_dir), ["run", "split"]), 7)
+
+
 ORACLES["symbolic_fit"] = f"with {_FIT}, {fit_sql('p', 'edge')} select edge, name, round(a, 4) as a, round(b, 4) as b, round(c, 4) as c, round(d, 4) as d, round(r2, 4) as r2 from fits"
 ORACLES["weak_best_edges"] = f"with {_FIT}, {fit_sql('p', 'edge')} select round(min(r2), 4) as worst, round(avg(r2), 4) as mean, count(*) filter (r2 < 0.99) as weak from fits"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -251,9 +253,19 @@ def read_numeric(spark: SparkSession, path: str, delimiter: str | None = None) -
     return dataset(table, schema, tuple(f.name for f in schema.inputs if f.levels is not None)), schema
 
 
+def same_file(spark: SparkSession, one: str, other: str) -> bool:
+    """Whether two paths name one file or folder: relative ones, ``..`` and links of a local file system are followed."""
+    real = []
+    for path in (one, other):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+        real.append(f"file:{os.path.realpath(whole.getPath())}" if whole.getScheme() == "file" else f"{whole.getScheme()}://{whole.getAuthority()}{posixpath.normpath(whole.getPath())}")
+    return real[0] == real[1]
+
+
 def table_to_typed(spark: SparkSession, path: str, out: str, n_inputs: int, n_outputs: int, cards: dict[int, int] | None = None, header: bool = True, delimiter: str | None = None) -> int:
     """Write a table as a typed file elsewhere; returns its rows."""
-    if path.rstrip("/") == out.rstrip("/"):
+    if same_file(spark, path, out):
         raise ValueError(f"{path}: the table would be overwritten")
     table = read_table(spark, path, header, delimiter)
     schema = spec_schema(table, n_inputs, n_outputs, cards)

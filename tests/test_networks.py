@@ -249,3 +249,26 @@ def test_rows_over_lines_and_splits_equal_their_one_line_form(spark, tmp_path):
     (tmp_path / "short.tnum").write_text(head + "\n".join(lines[:-1]) + "\n")
     with pytest.raises(ValueError, match="values for"):
         open_table.read_typed(spark, str(tmp_path / "short.tnum"))
+
+
+def test_points_of_an_edge_and_penalties(spark):
+    net = [layer(2, 2), layer(2, 1)]
+    got = network_symbolic.edge_points(spark, net[0], 1, 0, 5).orderBy("place").collect()
+    assert [round(r.x, 6) for r in got] == [-3, -1.5, 0, 1.5, 3]
+    df = table(spark, 50)
+    rows = network_symbolic.edge_samples(df, ["a", "b"], net, "row_id").collect()
+    want = {k: sum(abs(r.y) for r in rows if r.layer == k) / 50 for k in (0, 1)}
+    assert {r.layer: round(r.l1, 9) for r in network_symbolic.activation_l1(df, ["a", "b"], net).collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert [r.l1 for r in network_symbolic.activation_l1(df.limit(0), ["a", "b"], net).collect()] == [0.0, 0.0]
+
+
+def test_one_file_by_several_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y0\n1,2\n")
+    (tmp_path / "b.csv").symlink_to(tmp_path / "a.csv")
+    (tmp_path / "sub").mkdir()
+    a = str(tmp_path / "a.csv")
+    for other in (f"file://{a}", f"{tmp_path}/sub/../a.csv", str(tmp_path / "b.csv")):
+        assert open_table.same_file(spark, a, other)
+        with pytest.raises(ValueError, match="overwritten"):
+            open_table.table_to_typed(spark, a, other, 1, 1)
+    assert not open_table.same_file(spark, a, str(tmp_path / "c.csv"))
