@@ -5,8 +5,9 @@ period q shows as a stretch of ``max(6, 4 * q) - q`` equal pairs or more, so bou
 below 2**(k + 1)) meet each such stretch with some words of it to their right. A document is exploded into the tiles around boundaries
 whose next words recur one period of the octave further (every run has such boundaries; text without repeats has almost none). A tile is solved on its
 own by two Z-functions from its boundary, to the right and to the left, which give the equal stretch through the boundary for every period
-of the octave as far as the tile goes. The tiles overlap by a boundary's distance, so fragments of one stretch touch: they are shuffled by
-(document, period) and stitched to whole stretches. Of periods with the same stretch of words the smallest one is the run's.
+of the octave as far as the tile goes; a period whose words repeat a divisor of it isn't a smallest one, which the first Z-function says too. The
+tiles overlap by a boundary's distance, so fragments of one stretch touch: they are shuffled by (document, period) and stitched to whole
+stretches. Tiles that lie side by side go in one row, so that overlapping words are sent once. Of periods with the same stretch of words the smallest one is the run's.
 
 Edge cases: null and empty texts have no words; a null id is an id; equal rows have equal results; unlike texts of one id are told apart by
 their hash; a very long text has many small tiles, dealt to many tasks; an empty table gives an empty one; columns besides doc_id and text are ignored, whatever their names.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 LEAST, POWER = 6, 4
+#: Words of a row of tiles, about.
+ROW = 1 << 12
 #: Words that must recur at a boundary: at most as many that boundaries 2 * 2**k apart still meet every stretch.
 GRAM = 8
 
@@ -91,14 +94,47 @@ def z_function(x: list) -> list[int]:
     return z
 
 
+def tile_rows(ids: np.ndarray) -> Iterator[tuple[int, list[int], int, int]]:
+    """(octave, boundaries, first word, last word + 1): tiles side by side together, a row of about ``ROW`` words or of one tile."""
+    held: tuple[int, list[int], int, int] | None = None
+    for octave, boundary in candidates(ids):
+        a, b = tile_bounds(len(ids), octave, boundary)
+        if held and held[0] == octave and boundary - held[1][-1] <= 2 << octave and b - held[2] <= max(ROW, 8 << octave):
+            held[1].append(boundary)
+            held = (octave, held[1], held[2], b)
+        else:
+            if held:
+                yield held
+            held = (octave, [boundary], a, b)
+    if held:
+        yield held
+
+
+def primes(n: int) -> list[int]:
+    out, p = [], 2
+    while p * p <= n:
+        if n % p == 0:
+            out.append(p)
+            while n % p == 0:
+                n //= p
+        p += 1
+    return out + [n] * (n > 1)
+
+
 def solve(tile: list[int], first: int, octave: int, boundary: int) -> list[tuple[int, int, int]]:
-    """(period, begin, end) of the equal pairs through the boundary, as far as the tile sees; stretches that end within it and are too short are left out."""
+    """(period, begin, end) of the equal pairs through the boundary, as far as the tile sees; stretches that end within it and are too short are left out.
+
+    So are periods whose words from the boundary on repeat a divisor of the period: the whole stretch does then.
+    """
     base, at = 1 << octave, boundary - first
     periods = [q for q in range(base, 2 * base) if at + q < len(tile) and tile[at] == tile[at + q]]
     if not periods:
         return []
     most = 2 * base + _gram(octave)
     ahead = z_function(tile[at : at + most + 2 * base])
+    periods = [q for q in periods if not any(ahead[q // r] >= q - q // r for r in primes(q))]
+    if not periods:
+        return []
     head = tile[:at][::-1]
     behind = z_function([*head, -1, *tile[: at + 2 * base - 1][::-1]])
     out = []
@@ -112,9 +148,24 @@ def solve(tile: list[int], first: int, octave: int, boundary: int) -> list[tuple
     return out
 
 
+def solve_row(words_: list[int], first: int, octave: int, boundaries: list[int]) -> list[tuple[int, int, int]]:
+    """The fragments of all tiles of a row, each solved on its own; those of one period that touch are joined."""
+    found: dict[int, list[list[int]]] = {}
+    step = 2 << octave
+    for boundary in boundaries:
+        a, b = max(first, boundary - step), min(first + len(words_), boundary + 2 * step + _gram(octave))
+        for q, begin, end in solve(words_[a - first : b - first], a, octave, boundary):
+            own = found.setdefault(q, [])
+            while own and begin <= own[-1][1]:  # boundaries rise, so only the last ones can touch
+                last = own.pop()
+                begin, end = min(begin, last[0]), max(end, last[1])
+            own.append([begin, end])
+    return [(q, begin, end) for q, own in found.items() for begin, end in own]
+
+
 # ---- Spark jobs
 
-_TILE = "id {kind}, key binary, octave int, boundary int, first int, words binary, text string"
+_TILE = "id {kind}, key binary, octave int, first int, boundaries binary, words binary, text string"
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -125,12 +176,12 @@ def _key(docs: DataFrame) -> DataFrame:
 
 def _tiles(doc: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
     same = [pa.array([doc.column(i)[0].as_py()] * len(rows), doc.column(i).type) for i in (0, 1)]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-    return pa.RecordBatch.from_arrays([*same, *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["id", "key", "octave", "boundary", "first", "words", "text"])
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([*same, *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["id", "key", "octave", "first", "boundaries", "words", "text"])
 
 
 def tiles(docs: DataFrame) -> DataFrame:
-    """Rows of documents that may hold runs: one with the text (octave null) and one for each tile (words as packed numbers)."""
+    """Rows of documents that may hold runs: one with the text (octave null) and one for each row of tiles (words and boundaries as packed numbers)."""
     schema = _TILE.format(kind=docs.schema["id"].dataType.simpleString())
 
     def run(batches):
@@ -140,9 +191,8 @@ def tiles(docs: DataFrame) -> DataFrame:
                 ids = numbered(words(text))
                 rows: list[tuple] = []
                 size = n = 0
-                for octave, boundary in candidates(ids):
-                    a, b = tile_bounds(len(ids), octave, boundary)
-                    rows.append((octave, boundary, a, ids[a:b].astype(np.int32).tobytes(), None))
+                for octave, boundaries, a, b in tile_rows(ids):
+                    rows.append((octave, a, np.array(boundaries, np.int32).tobytes(), ids[a:b].astype(np.int32).tobytes(), None))
                     n, size = n + 1, size + b - a
                     if size > 1 << 20:
                         yield _tiles(doc, rows)
@@ -159,13 +209,13 @@ def fragments(tiles_of: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys, rows = [], []
-            for key, octave, boundary, first, held in zip(*(c.to_pylist() for c in batch.columns)):
-                found = solve(np.frombuffer(held, np.int32).tolist(), first, octave, boundary)
+            for key, octave, first, boundaries, held in zip(*(c.to_pylist() for c in batch.columns)):
+                found = solve_row(np.frombuffer(held, np.int32).tolist(), first, octave, np.frombuffer(boundaries, np.int32).tolist())
                 rows += found
                 keys += [key] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([r[i] for r in rows], pa.int32()) for i in range(3))], ["key", "period", "begin", "end"])
 
-    return tiles_of.select("key", "octave", "boundary", "first", "words").mapInArrow(run, "key binary, period int, begin int, end int")
+    return tiles_of.select("key", "octave", "first", "boundaries", "words").mapInArrow(run, "key binary, period int, begin int, end int")
 
 
 def stitch(found: DataFrame) -> DataFrame:
@@ -228,7 +278,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
             yield _rows(batch.column(0), list(zip(batch.column(1).to_pylist(), ([] if r is None else r for r in batch.column(2).to_pylist()))), kind)
 
     cut = staged(tiles(docs), "tiles", compression="zstd")
-    dealt = cut.where(F.col("octave").isNotNull()).repartition("key", "octave", "boundary")
+    dealt = cut.where(F.col("octave").isNotNull()).repartition("key", "octave", "first")
     each = F.struct(*(F.col(c).cast("long").alias(c) for c in ("start", "length", "period")))
     found = stitch(fragments(dealt)).groupBy("key").agg(F.sort_array(F.collect_list(each)).alias("runs"))
     texts = cut.where(F.col("octave").isNull()).select("id", "key", "text")

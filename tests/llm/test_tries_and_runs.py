@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabularium.llm import queries, runs, trie
@@ -189,17 +190,18 @@ def test_runs_of_odd_rows(spark, tmp_path):
     assert rows_of(queries.op13_periodic_runs(spark, folder)) == sorted((plain_row(*r) for r in rows), key=str)
 
 
-def test_tiles_of_random_words():
+@pytest.mark.parametrize("row", [4, 1 << 12])
+def test_tiles_of_random_words(monkeypatch, row):
     rng = random.Random(9)
+    monkeypatch.setattr(runs, "ROW", row)
     for _ in range(1500):
         w = [rng.randrange(rng.choice([1, 2, 3, 40])) for _ in range(rng.randrange(120))]
         a, p = rng.randrange(len(w) + 1), rng.randrange(1, 30)
         for i in range(a + p, len(w)):
             w[i] = w[i - p]
         ids, found = runs.numbered(w), defaultdict(list)
-        for octave, boundary in runs.candidates(ids):
-            begin, end = runs.tile_bounds(len(ids), octave, boundary)
-            for q, x, y in runs.solve(ids[begin:end].tolist(), begin, octave, boundary):
+        for octave, boundaries, begin, end in runs.tile_rows(ids):
+            for q, x, y in runs.solve_row(ids[begin:end].tolist(), begin, octave, boundaries):
                 found[q].append((x, y))
         whole = {}
         for q in sorted(found):
