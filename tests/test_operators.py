@@ -218,6 +218,15 @@ def test_a_base_without_a_neighbour_is_replaced(spark):
     assert sorted(r.base_id for r in got) == [3, 4, 6] and all(r.distance == 1.0 for r in got)
 
 
+def test_nearest_rows_tie_by_nine_digits_and_nothing_is_sorted_by_pair(spark):
+    # both neighbours are 0.3 away but for the last bit: the least id is taken
+    df = spark.createDataFrame([(1, "a", 0.1 + 0.2), (2, "a", -0.3), (3, "a", 0.0)], "k long, c string, x double")
+    near = diagnostics.nearest_rows(df, "k", "c", ["x"], 3)
+    got = {r.base_id: (r.other_id, r.distance) for r in near.collect()}
+    assert got[3] == (1, 0.3) and got[2] == (3, 0.3) and got[1][0] == 3
+    assert "SortAggregate" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sensitivity_is_in_units_of_the_outputs(spark):
     pairs = spark.createDataFrame([(0.0, 1.0), (2.0, 4.0)], "a_x double, b_x double")
     got = diagnostics.sensitivity(pairs, ["x"], lambda v: [v[0] * 6, v[0] * 4], 1.0, [2.0, 1.0]).first()
