@@ -173,6 +173,17 @@ def test_groups_of_a_hash_tree_are_bounded_whatever_the_ids(spark):
     assert provenance.hash_tree(df.limit(0), "id", ["v"])[-1].count() == 0
 
 
+def test_trees_of_more_than_two_levels_equal_their_sql(spark, sf_dir, monkeypatch):
+    from tabularium.plans import catalogue
+
+    from .test_catalogue import same
+
+    monkeypatch.setattr(provenance, "FAN", 8)  # 1500 orders are four levels then
+    for name in ("fingerprint_tree", "sparse_fingerprint", "changed_leaves", "whole_tree", "whole_fingerprint"):
+        same(catalogue.QUERIES[name](spark, sf_dir), catalogue.ORACLES[name].replace("1024", "8"), sf_dir)
+    assert catalogue.QUERIES["whole_tree"](spark, sf_dir).agg(F.max("level")).first()[0] == 3
+
+
 def test_one_of_two_drivers_opens_a_test(spark, tmp_path):
     folder = "file://" + str(tmp_path / "ledger")
     a, b = provenance.SharedLedger(spark, folder), provenance.SharedLedger(spark.newSession(), folder)
