@@ -364,3 +364,27 @@ def test_steps_that_are_refused(spark):
             diagnostics.sensitivity(pairs, ["x"], lambda v: v[0], alpha, sigmas)
     got = diagnostics.sensitivity_report(pairs, ["x"], lambda v: v[0] * 3, lambda v: v[0]).first()
     assert (got.mean_ratio, got.reference_mean, got.divergence) == (3.0, 1.0, 2.0)
+
+
+def test_character_transitions_are_counted_windows(spark):
+    import random
+
+    from tabularium.operators import characters
+
+    draw = random.Random(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    texts = [None, "", "a", "abca", "é b\U0001f600\U0001f600\U0010ffff", "ab\x00c\n", "ab€" * 800_000, *("".join(draw.choices(letters, k=400)) for _ in range(20))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    for context in (1, 2, 7):
+        got = characters.transitions(df, "text", context)
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        want = characters.windows(df, "text", context).groupBy("context", "following").count()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        characters.transitions(df, "text", 0)
+
+
+def test_the_query_of_transitions_has_no_row_for_each_character(spark, sf_dir):
+    from tabularium.plans import catalogue
+
+    assert "Generate" not in catalogue.QUERIES["char_transitions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
