@@ -283,3 +283,20 @@ def test_one_file_by_several_names(spark, tmp_path):
         with pytest.raises(ValueError, match="overwritten"):
             open_table.table_to_typed(spark, a, other, 1, 1)
     assert not open_table.same_file(spark, a, str(tmp_path / "c.csv"))
+
+
+def test_the_query_of_spline_models_is_one_plan_with_the_scores_of_full_products(spark, sf_dir):
+    from tabularium.operators import metrics, scaling
+    from tabularium.plans import catalogue
+
+    got = catalogue.QUERIES["search_splines"](spark, sf_dir)
+    assert "FlatMapGroups" in got._jdf.queryExecution().executedPlan().toString()  # scores weren't brought to the driver
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    names = ["l_quantity", "l_discount"]
+    stats = scaling.literals(scaling.fit(line, names))
+    z = line.select(*[scaling.transform(c, stats).alias(c) for c in names], F.col("l_extendedprice").alias("y"), F.pmod(F.xxhash64(*line.columns), F.lit(5)).cast("int").alias("fold"))
+    runs = spark.createDataFrame(models.search(z, names, "y", "fold", [4, 8], [1e-6, 1e-3])).select(F.format_string("grid=%d ridge=%g", "grid", "strength").alias("candidate"), F.lit(0).alias("seed"), F.lit(0).alias("repeat"), "fold", "r2")
+    want = {r.candidate: r for r in metrics.over_runs(runs, ["candidate"]).collect()}
+    for r in got.collect():
+        assert abs(r.r2_mean - want[r.candidate].r2_mean) < 2e-6 and r.folds == 5
+    assert len(want) == 4
