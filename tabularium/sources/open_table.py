@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import INFINITE, parse_code, parse_number
-from ..functions.ordering import bucketed
 from ..operators.schema import INPUT, OUTPUT, Field, Schema
 from .text_table import MAGIC, Table, categorical_by_name, numbered_lines, output_start, read_table, trimmed, uncommented
 
@@ -50,12 +49,15 @@ def words_of(line: str) -> list[str]:
 
 def plain_number(value: Column) -> Column:
     """A 32-bit number as its shortest decimal text without an exponent: 2, 0.5, 10000000000."""
-    short = F.regexp_replace(value.cast("float").cast("string"), r"\.0(?=E|$)", "")
+    text = value.cast("float").cast("string")
+    # most numbers have no exponent and need no pattern
+    plain = F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    short = F.regexp_replace(text, r"\.0(?=E|$)", "")
     sign, exponent = F.when(short.startswith("-"), "-").otherwise(""), F.regexp_extract(short, r"E(-?[0-9]+)$", 1).try_cast("int")
     digits = F.regexp_replace(F.regexp_extract(short, r"^-?([0-9.]+)", 1), r"\.", "")
     large = F.concat(F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0")), F.when(F.length(digits) > exponent + 1, F.concat(F.lit("."), F.substring(digits, exponent + 2, F.lit(99)))).otherwise(""))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    return F.when(exponent.isNull(), short).otherwise(F.concat(sign, F.when(exponent >= 0, large).otherwise(small)))
+    return F.when(~text.contains("E"), plain).otherwise(F.concat(sign, F.when(exponent >= 0, large).otherwise(small)))
 
 
 def header_lines(schema: Schema, n_rows: int) -> list[str]:
@@ -84,10 +86,13 @@ def write_typed(df: DataFrame, row_id: str, schema: Schema, path: str) -> int:
     found = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad_values(df, schema)).alias("bad")).first()
     if found["bad"]:
         raise ValueError(f"{found['bad']} rows hold a value that is not finite or no code of its category")
-    lines = df.select(F.col(row_id).cast("long").alias("row_id"), F.concat_ws(" ", *[plain_number(F.col(f"`{f.name}`")) for f in [*schema.inputs, *schema.outputs]]).alias("line"))
-    body = bucketed(lines, "row_id").select(F.col("_bucket").cast("long").alias("part"), "row_id", "line")
-    head = df.sparkSession.createDataFrame([(-1, i, h) for i, h in enumerate(header_lines(schema, found["n"]))], "part long, row_id long, line string")
-    head.unionByName(body).repartitionByRange("part", "row_id").sortWithinPartitions("part", "row_id").select("line").write.text(path)
+    columns = [*schema.inputs, *schema.outputs]
+    values = [f"_v{i}" for i in range(len(columns))]
+    body = df.select(F.lit(0).cast("long").alias("part"), F.col(row_id).cast("long").alias("row_id"), *[F.col(f"`{f.name}`").alias(v) for v, f in zip(values, columns)])
+    head = df.sparkSession.createDataFrame([(-1, i, h) for i, h in enumerate(header_lines(schema, found["n"]))], "part long, row_id long, _head string")
+    # rows are put in order as numbers, and become text once they lie there
+    laid = head.unionByName(body, allowMissingColumns=True).repartitionByRange("part", "row_id").sortWithinPartitions("part", "row_id")
+    laid.select(F.coalesce("_head", F.concat_ws(" ", *[plain_number(F.col(v)) for v in values])).alias("line")).write.text(path)
     return found["n"]
 
 
@@ -130,15 +135,24 @@ def read_typed(spark: SparkSession, path: str) -> tuple[DataFrame, Schema]:
     schema = Schema(tuple(
         Field(n, INPUT if i < n_in else OUTPUT, levels.get(i, tuple(map(str, range(cards[i])))) if i in cards else None, None if u == "-" else u) for i, (n, u) in enumerate(zip(names, units))
     ))
-    before = kept.where(~is_head & (F.col("row_no") < rows[-1]["row_no"]))
-    data = kept.where(~is_head & (F.col("row_no") > rows[-1]["row_no"])).select("row_no", "cells")
-    n, wide = int(head["rows"][0]), n_in + n_out
-    found = data.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0)).alias("tokens"), F.count_if(F.size("cells") != wide).alias("wrapped")).first()
-    if found["tokens"] != n * wide or not before.isEmpty():
+    n, wide, after = int(head["rows"][0]), n_in + n_out, F.col("row_no") > rows[-1]["row_no"]
+    data = kept.where(~is_head & after).select("row_no", "cells")
+
+    def columns(values: DataFrame) -> DataFrame:
+        return values.select("row_no", *[F.get("v", F.lit(i)).alias(f.name) for i, f in enumerate(schema.fields)])
+
+    # one pass counts tokens and lines of another width, and judges the values as if each line were a row
+    lined = kept.where(~is_head).select("row_no", "cells", F.transform("cells", parse_number).alias("v"))
+    judged = lined.select("cells", after.alias("_after"), F.struct(*[F.get("v", F.lit(i)).alias(f.name) for i, f in enumerate(schema.fields)]).alias("_row"))
+    judged = judged.select(F.size("cells").alias("_n"), "_after", "_row.*")
+    found = judged.agg(
+        F.coalesce(F.sum(F.when(F.col("_after"), F.col("_n"))), F.lit(0)).alias("tokens"), F.count_if(F.col("_after") & (F.col("_n") != wide)).alias("wrapped"),
+        F.count_if(~F.col("_after")).alias("before"), F.count_if(F.col("_after") & bad_values(judged, schema)).alias("bad"),
+    ).first()
+    if found["tokens"] != n * wide or found["before"]:
         raise ValueError(f"{path}: {found['tokens']} values for {n} rows of {wide}")
-    values = _by_tokens(data, wide, rows[-1]["row_no"]) if found["wrapped"] else data.select("row_no", F.transform("cells", parse_number).alias("v"))
-    table = values.select("row_no", *[F.get("v", F.lit(i)).alias(f.name) for i, f in enumerate(schema.fields)])
-    bad = table.agg(F.count_if(bad_values(table, schema))).first()[0]
+    table = columns(_by_tokens(data, wide, rows[-1]["row_no"]) if found["wrapped"] else data.select("row_no", F.transform("cells", parse_number).alias("v")))
+    bad = table.agg(F.count_if(bad_values(table, schema))).first()[0] if found["wrapped"] else found["bad"]
     if bad:
         raise ValueError(f"{path}: {bad} rows of wrong values")
     return table.select(F.col("row_no").alias("row_id"), *[f"`{f.name}`" for f in schema.fields]), schema

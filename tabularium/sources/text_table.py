@@ -35,7 +35,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_no from 1, value) of the lines of a text file, or of a folder's files in order of their names.
 
     Spark's text source has no line numbers, but ids that rise by one within a partition: a line's number is its id, less the least of its file
-    split, plus the lines of the splits before. The splits' least ids and sizes are a row for each split, so lines aren't shuffled.
+    split, plus the lines of the splits before. The splits' least ids and sizes are a row for each split, so lines aren't shuffled. They are
+    counted while the plan is made and held by the driver, so that what reads the lines later needn't count them again.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value")).alias("value"),
@@ -44,6 +45,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = lines.groupBy("file", "at").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_least"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = sizes.select("file", "at", (before - F.col("_least") + 1).alias("_start"))
+    start = spark.createDataFrame(start.collect(), "file string, at long, _start long")
     return lines.join(F.broadcast(start), ["file", "at"]).select((F.col("_id") + F.col("_start")).cast("long").alias("row_no"), "value")
 
 
@@ -62,15 +64,16 @@ class Table:
 
 def read_table(spark: SparkSession, path: str, has_header: bool = True, delimiter: str | None = None) -> Table:
     lines = surviving(numbered_lines(spark, path))
-    first = lines.orderBy("row_no").first()
-    if first is None:
+    top = lines.orderBy("row_no").limit(2).collect()
+    if not top:
         raise ValueError(f"{path}: no rows")
+    first = top[0]
     delimiter = detect_delimiter(first["value"].split("#")[0]) if delimiter is None else delimiter
     cells = lines.select("row_no", split_cells(F.col("value"), delimiter).alias("cells"))
-    head = cells.where(F.col("row_no") == first["row_no"]).first()["cells"]
+    head = spark.createDataFrame([(first["value"],)], "value string").select(split_cells(F.col("value"), delimiter)).first()[0]
     if has_header:
         cells = cells.where(F.col("row_no") > first["row_no"])
-        if cells.isEmpty():
+        if len(top) == 1:
             raise ValueError(f"{path}: a header and no rows")
     return Table(cells, head if has_header else None, path, first["row_no"] if has_header else None, delimiter, None, len(head))
 

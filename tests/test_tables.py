@@ -388,3 +388,13 @@ def test_the_query_of_transitions_has_no_row_for_each_character(spark, sf_dir):
     from tabularium.plans import catalogue
 
     assert "Generate" not in catalogue.QUERIES["char_transitions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_numbered_once_and_numbers_stay_plain_text(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate([0.0, -2.0, 0.5, 1e10, -1.5e-7, 123456.0])), "k long, x double").withColumn("y0", -F.col("x"))
+    out = str(tmp_path / "typed")
+    assert open_table.write_typed(df, "k", Schema((Field("x", INPUT), Field("y0", "output"))), out) == 6
+    assert "Aggregate" not in text_table.numbered_lines(spark, out)._jdf.queryExecution().executedPlan().toString()
+    lines = [r.value for r in text_table.numbered_lines(spark, out).orderBy("row_no").collect()]
+    assert lines[-5:] == ["-2 2", "0.5 -0.5", "10000000000 -10000000000", "-0.00000015 0.00000015", "123456 -123456"]
+    assert [r.x for r in open_table.read_typed(spark, out)[0].orderBy("row_id").collect()][1:4] == [-2.0, 0.5, 1e10]
