@@ -281,12 +281,13 @@ def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 def redactions(text: Column) -> Column:
     """Edits of a clean-up pass: the first address and the first number masked, the first line break doubled, 40 last characters cut."""
-    address = F.regexp_substr(text, F.lit(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z.]+"))
+    # an address begins where its run of characters does and no run is read twice, so that long runs take linear time
+    address = F.when(text.contains("@"), F.regexp_substr(text, F.lit(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++@[A-Za-z0-9-]++\.[A-Za-z.]++")))
     number = F.regexp_substr(text, F.lit("[0-9]+"))
-    edits = []
-    for found, new in ((address, "<EMAIL>"), (number, "<NUM>"), (F.lit("\n"), "\n\n")):
-        at = F.call_function("locate", found, text)
-        edits.append(F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.char_length(found)).alias("end"), F.lit(new).alias("text"))))
+    # what is found is an element of an array, so that it is looked for once, however often its place is needed
+    wanted = F.array(*(F.struct(found.alias("found"), F.lit(new).alias("new")) for found, new in ((address, "<EMAIL>"), (number, "<NUM>"), (F.lit("\n"), "\n\n"))))
+    placed = F.transform(wanted, lambda e: F.struct((F.call_function("locate", e["found"], text) - 1).alias("start"), F.char_length(e["found"]).alias("n"), e["new"].alias("text")))
+    edits = F.transform(F.filter(placed, lambda e: e["start"] >= 0), lambda e: F.struct(e["start"].alias("start"), (e["start"] + e["n"]).alias("end"), e["text"].alias("text")))
     size = F.char_length(text)
-    edits.append(F.when(size > 80, F.struct((size - 40).alias("start"), size.alias("end"), F.lit("").alias("text"))))
-    return F.filter(F.array(*edits), lambda e: e.isNotNull())
+    cut = F.array(F.when(size > 80, F.struct((size - 40).alias("start"), size.alias("end"), F.lit("").alias("text"))))
+    return F.concat(edits, F.filter(cut, lambda e: e.isNotNull()))

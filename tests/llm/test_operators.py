@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -211,6 +212,25 @@ def test_query_counts_equal_a_full_encoding(spark, sf_dir):
         assert x.n_blocks_read <= 4 * x.n_edits_2 and x.n_blocks_read <= x.n_blocks  # no edit opens more than the blocks around it
 
 
+def test_edits_of_a_pass_are_found_in_linear_time(spark):
+    def plain(text):
+        out, text = [], text or ""
+        for pattern, new in ((r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z.]+", "<EMAIL>"), ("[0-9]+", "<NUM>"), ("\n", "\n\n")):
+            if found := re.search(pattern, text):
+                at = text.index(found[0])
+                out.append((at, at + len(found[0]), new))
+        return out + ([(len(text) - 40, len(text), "")] if len(text) > 80 else [])
+
+    r = random.Random(23)
+    texts = [None, "", "x a@b.c y 12\nz", "--.@a-.c..d 1", "é@b.c ée@b.c", "a@b.c" * 40, "日" * 81, "\n" * 80]
+    texts += ["".join(r.choice("aZ9.-_@@é \n") for _ in range(r.randrange(120))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", tokens.redactions(F.col("text")).alias("e")).collect()
+    assert {x.k: [tuple(e) for e in x.e] for x in rows} == {k: plain(t) for k, t in enumerate(texts)}
+    long, began = "a" * 200_000 + " @", time.monotonic()
+    [row] = spark.createDataFrame([(long,)], "text string").select(tokens.redactions(F.col("text")).alias("e")).collect()
+    assert [tuple(e) for e in row.e] == [(len(long) - 40, len(long), "")] and time.monotonic() - began < 10
+
+
 def test_trees_of_several_rounds(spark):
     """Trees that are packed and restored between edits keep the sums of a full encoding, and read only what edits touch."""
     counter, r = tokens.Counter.of(tokens.VOCABULARY), random.Random(15)
