@@ -18,12 +18,14 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ from .shared import new_folder
 WORDS, LONGEST = 1 << 16, 64
 #: Units or words that a worker keeps at hand, and as many older ones.
 AT_HAND = 1 << 16
+#: Bytes of texts whose words are counted together.
+COUNTED = 1 << 23
 #: White space as Unicode has it, and the pre-token pattern of byte-level BPE.
 BLANK = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
@@ -43,6 +47,7 @@ _PIECE = regex.compile(PATTERN)
 _DOUBLED, _UNIT = regex.compile(rf" (?:[{BLANK}]|$)"), regex.compile(rf" (?=[^{BLANK}])")
 #: A character that is neither letter, number nor blank in any version of Unicode.
 _OTHER = "\ue000"
+_MARKS = frozenset(".,;:!?")
 
 
 class Pieces:
@@ -55,9 +60,12 @@ class Pieces:
         self.least = chr(min(a for a, _ in odd)) if held else "\U0010ffff"
 
     def after_blank(self, unit: str) -> list[str]:
-        """Pieces of a blank and ``unit``: one if that is all letters."""
-        if unit.isalpha() and (unit.isascii() or max(unit) < self.least):
-            return [" " + unit]
+        """Pieces of a blank and ``unit``: one if that is all letters, two if a mark follows these."""
+        if unit.isalpha():
+            if unit.isascii() or max(unit) < self.least:
+                return [" " + unit]
+        elif unit[-1:] in _MARKS and (word := unit[:-1]).isalpha() and (word.isascii() or max(word) < self.least):
+            return [" " + word, unit[-1]]
         return self(" " + unit)
 
     def __call__(self, text: str) -> list[str]:
@@ -98,9 +106,32 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def units(text: str) -> list[str]:
-    """The text cut before each blank that a word follows; the cutting blanks are left out. Pieces never cross such a cut."""
-    return _UNIT.split(text) if _DOUBLED.search(text) else text.split(" ")
+def units(texts: list[str]) -> tuple[list[str], pa.ListArray]:
+    """Each text cut before each blank that a word follows: (what stands before the first cut, the other units without the cutting blanks).
+
+    Pieces never cross such a cut.
+    """
+    first, plain, doubled, where = [], [], [], []
+    for text in texts:
+        if _DOUBLED.search(text):
+            begins, *rest = _UNIT.split(text)
+            where.append(~len(doubled))
+            doubled.append(rest)
+        else:
+            begins, _, rest = text.partition(" ")
+            where.append(len(plain))
+            plain.append(rest or None)
+        first.append(begins)
+    held = pc.split_pattern(pa.array(plain, pa.string()), " ")
+    if doubled:
+        at = np.array(where)
+        held = pa.concat_arrays([held, pa.array(doubled, held.type)]).take(pa.array(np.where(at < 0, len(plain) + ~at, at)))
+    return first, held
+
+
+def _strings(held: pa.Array) -> list[str]:
+    """``to_pylist`` without an Arrow scalar for each string."""
+    return held.to_numpy(zero_copy_only=False).tolist()
 
 
 # ---- the vocabulary
@@ -139,15 +170,15 @@ class Merger:
         order = np.argsort(keys, kind="stable")
         self._keys, self._rank = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, len(merges)).astype(np.int32)
         self._made, self._singles = np.append(merges[:, 2], -1).astype(np.int64), np.array(singles, np.int64)
+        self._of_bytes = self._ranks_of(*np.broadcast_arrays(self._singles[:, None], self._singles))
 
     def many(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as 32-bit numbers; words of about one length are merged side by side, one pair of each at a time."""
         out: list[bytes] = [b""] * len(words)
         by_width: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            width = next((x for x in self.WIDTHS if len(w) <= x), 0)
-            if width:
-                by_width.setdefault(width, []).append(i)
+            if len(w) <= self.WIDTHS[-1]:
+                by_width.setdefault(self.WIDTHS[bisect_left(self.WIDTHS, len(w))], []).append(i)
             else:
                 out[i] = np.array(self(w), np.int32).tobytes()
         for width, which in by_width.items():
@@ -163,37 +194,36 @@ class Merger:
         return np.where(self._keys[at] == key, self._rank[at], len(self.made)).astype(np.int32)
 
     def _side_by_side(self, words: list[bytes], width: int) -> list[bytes]:
-        n, none = len(words), len(self.made)
-        size = np.fromiter(map(len, words), np.int64, n)
+        n, none, wide = len(words), len(self.made), width + 1
+        size = np.fromiter(map(len, words), np.int64, n)[:, None]
         data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
-        column = np.arange(width)
-        ids = np.where(column < size[:, None], self._singles[data], -1)
+        column, first = np.arange(wide), np.arange(n)[:, None] * wide
+        # ids stay where they are and know their neighbours' places; the last place of each row, without an id, is the neighbour of its ends
+        ids = np.full((n, wide), -1, np.int64)
+        ids[:, :width] = np.where(column[:-1] < size, self._singles[data], -1)
         ranks = np.full((n, width), none, np.int32)
-        r, c = np.nonzero(column[:-1] + 1 < size[:, None])
-        ranks[r, c] = self._ranks_of(ids[r, c], ids[r, c + 1])
-        live = np.arange(n)
-        own, rank = ids, ranks
-        while len(live):
-            at = rank.argmin(1)
-            row = np.arange(len(live))
-            least = rank[row, at]
+        ranks[:, :-1] = np.where(column[1:-1] < size, self._of_bytes[data[:, :-1], data[:, 1:]], none)
+        after, before = (first + np.where(column + 1 < size, column + 1, width)).ravel(), (first + np.where(column > 0, column - 1, width)).ravel()
+        held, base = ids.ravel(), first.ravel()
+        while True:
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(at)), at]
             on = least < none
             if not on.all():
-                ids[live[~on]] = own[~on]
-                live, own, rank, at, least = live[on], own[on], rank[on], at[on], least[on]
-                row = np.arange(len(live))
-                if not len(live):
-                    break
-            from_ = np.minimum(column + (column > at[:, None]), width - 1)  # what is right of the pair's first moves one to the left
-            own, rank = np.take_along_axis(own, from_, 1), np.take_along_axis(rank, from_, 1)
-            size[live] -= 1
-            own[column >= size[live][:, None]] = -1
-            rank[column + 1 >= size[live][:, None]] = none
-            own[row, at] = self._made[least]
-            for shift in (0, -1):
-                i = np.flatnonzero((at + shift >= 0) & (at + shift + 1 < size[live]))
-                rank[i, at[i] + shift] = self._ranks_of(own[i, at[i] + shift], own[i, at[i] + shift + 1])
-        flat, ends = ids[ids >= 0].astype(np.int32).tobytes(), (4 * np.cumsum(size)).tolist()
+                base, ranks, at, least = base[on], ranks[on], at[on], least[on]
+            if not len(at):
+                break
+            row, here = np.arange(len(at)), base + at
+            gone, left = after[here], before[here]
+            right = after[gone]
+            held[here], held[gone] = self._made[least], -1
+            after[here], before[right] = right, here
+            ranks[row, gone - base] = none
+            ranks[row, at] = self._ranks_of(held[here], held[right])
+            row = np.flatnonzero(held[left] >= 0)
+            ranks[row, (left - base)[row]] = self._ranks_of(held[left[row]], held[here[row]])
+        kept = ids >= 0
+        flat, ends = ids[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def __call__(self, word: bytes) -> list[int]:
@@ -321,16 +351,11 @@ class Recent:
         self.before: dict[str, bytes] = {}
         self.most = most
 
-    def known(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
+    def known(self, keys: Collection[str]) -> tuple[dict[str, bytes], list[str]]:
         """(ids of the keys that are held, the other keys)."""
-        found, unknown, now, before = {}, [], self.now.get, self.before.get
-        for k in keys:
-            ids = now(k) or before(k)
-            if ids is None:
-                unknown.append(k)
-            else:
-                found[k] = ids
-        return found, unknown
+        now, before = self.now.get, self.before.get
+        found = {k: ids for k in keys if (ids := now(k) or before(k)) is not None}
+        return found, [k for k in keys if k not in found]
 
     def hold(self, made: dict[str, bytes]) -> None:
         if len(self.now) >= self.most:
@@ -357,6 +382,10 @@ class Lexicon:
         for i, n in zip(ids.tolist(), lengths.tolist()):
             self.tokens[i] = held[place : place + n]
             place += n
+        # the same as arrays, for many ids at once
+        self.token_size, self.token_at = np.zeros((2, int(ids.max(initial=0)) + 1), np.int64)
+        self.token_size[ids], self.token_at[ids] = lengths, np.cumsum(lengths, dtype=np.int64) - lengths
+        self.token_bytes = np.frombuffer(held, np.uint8, offset=4 * at)
         self.special = {self.tokens[i].decode(): i for i in special.tolist()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words, self.units = Recent(AT_HAND), Recent(AT_HAND)
@@ -408,42 +437,74 @@ class Lexicon:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        plan, asked, lead = [], set(), set()
+        plan: list[list[int]] = []  # of each text its special ids, as they are, and its parts' numbers, inverted
+        parts: list[str] = []
         for text in texts:
-            parts: list[tuple] = []
+            plan.append([])
             for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
                 if i % 2:
-                    parts.append((self.special[part], None))
+                    plan[-1].append(self.special[part])
                 elif part:
-                    first, *rest = units(part)
-                    parts.append((self.pieces(first), rest))
-                    lead.update(parts[-1][0])
-                    asked.update(rest)
-            plan.append(parts)
+                    plan[-1].append(~len(parts))
+                    parts.append(part)
+        first, rest = units(parts)
+        first = [self.pieces(x) for x in first]
+        lead = {p for found in first for p in found}
+        every = rest.flatten().dictionary_encode()
+        asked = _strings(every.dictionary)
         unit_ids, unknown = self.units.known(asked)
-        cut = [self.pieces.after_blank(u) for u in unknown]
-        lead.update(p for found in cut for p in found)
+        cut = {u: found for u in unknown if len(found := self.pieces.after_blank(u)) != 1}
+        # a unit's first piece is a blank and a unit of that one piece: held as such, not as a word once more
+        heads = {found[0][1:] for found in cut.values()}.difference(unit_ids)
+        head_ids, new = self.units.known(heads.difference(unknown))
+        whole = [u for u in (*unknown, *new) if u not in cut]
+        lead.update(p for found in cut.values() for p in found[1:])
         word_ids, missing = self.words.known(lead)
         for at in range(0, len(missing), AT_HAND // 4):
             word_ids |= self._made(missing[at : at + AT_HAND // 4])
-        unit_ids.update((u, word_ids[found[0]] if len(found) == 1 else b"".join([word_ids[p] for p in found])) for u, found in zip(unknown, cut))
+        for at in range(0, len(whole), AT_HAND // 4):
+            some = whole[at : at + AT_HAND // 4]
+            unit_ids.update(zip(some, self._made([" " + u for u in some]).values()))
+        unit_ids.update(head_ids)
+        for u, found in cut.items():
+            unit_ids[u] = b"".join([unit_ids[found[0][1:]], *map(word_ids.__getitem__, found[1:])])
         self.words.hold(word_ids)
         self.units.hold(unit_ids)
+        held = list(map(unit_ids.__getitem__, asked))
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        begin, pool = np.cumsum(size) - size, np.frombuffer(b"".join(held), np.int32)
+        which = every.indices.to_numpy()
+        reach = np.concatenate([[0], np.cumsum(size[which])])
+        ids = pool[np.repeat(begin[which] - reach[:-1], size[which]) + np.arange(reach[-1])]
+        lengths = pc.fill_null(pc.list_value_length(rest), 0).to_numpy(zero_copy_only=False)
+        ends = reach[np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])].tolist()
         out = []
-        for parts in plan:
-            held: list[bytes] = []
-            for first, rest in parts:
-                if rest is None:
-                    held.append(np.int32(first).tobytes())
+        for of_text in plan:
+            found: list[np.ndarray] = [np.zeros(0, np.int32)]
+            for i in of_text:
+                if i < 0:
+                    found.append(np.frombuffer(b"".join([word_ids[p] for p in first[~i]]), np.int32))
+                    found.append(ids[ends[~i] : ends[~i + 1]])
                 else:
-                    held += map(word_ids.__getitem__, first)
-                    held += map(unit_ids.__getitem__, rest)
-            out.append(np.frombuffer(b"".join(held), np.int32))
+                    found.append(np.array([i], np.int32))
+            out.append(np.concatenate(found))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ``ids`` between one of ``ends`` and the next: bytes of all tokens are gathered at once."""
+        held, reach = [], [np.zeros(1, np.int64)]
+        for at in range(0, len(ids), 1 << 17):
+            part = ids[at : at + (1 << 17)]
+            size = self.token_size[part]
+            reach.append(reach[-1][-1] + np.cumsum(size))
+            behind = np.cumsum(size) - size
+            held.append(self.token_bytes[np.repeat(self.token_at[part] - behind, size) + np.arange(size.sum())].tobytes())
+        data, ends = b"".join(held), np.concatenate(reach)[ends].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
 
 _loaded: dict[str, Lexicon] = {}
 
@@ -464,27 +525,21 @@ def word_counts(docs: DataFrame, special: Iterable[str] = ()) -> DataFrame:
     cut, odd = regex.compile("|".join(map(regex.escape, special))) if special else None, odd_letters()
 
     def run(batches):
-        held, leading = Counter(), Counter()  # units after a blank; beginnings of texts
         find = Pieces(odd)
-
-        def out():
-            pieces: Counter = Counter()
-            for blank, counts in ((" ", held), ("", leading)):
-                for unit, n in counts.items():
-                    for p in find.after_blank(unit) if blank else find(unit):
-                        pieces[p] += n
-                counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pieces.keys(), pa.string()), pa.array(pieces.values(), pa.int64())], ["word", "n"])
-
         for batch in batches:
-            for text in batch.column(0):
-                for part in cut.split(text.as_py()) if cut else [text.as_py()]:
-                    first, *rest = units(part)
-                    leading[first] += 1
-                    held.update(rest)
-                if len(held) + len(leading) >= 2 * AT_HAND:
-                    yield out()
-        yield out()
+            for some in _parts(batch, COUNTED):
+                texts = some.column(0).to_pylist()
+                first, rest = units([part for text in texts for part in (cut.split(text) if cut else [text])])
+                counted = rest.flatten().value_counts()
+                held, n = counted.field(0), counted.field(1)
+                whole = pc.ascii_is_alpha(held)  # units that are one word
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise("", held.filter(whole), " "), n.filter(whole)], ["word", "n"])
+                pieces = Counter(p for text in first for p in find(text))
+                other = pc.invert(whole)
+                for unit, k in zip(_strings(held.filter(other)), n.filter(other).to_pylist()):
+                    for p in find.after_blank(unit):
+                        pieces[p] = pieces.get(p, 0) + k
+                yield pa.RecordBatch.from_arrays([pa.array(pieces.keys(), pa.string()), pa.array(pieces.values(), pa.int64())], ["word", "n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text") != "")
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -537,9 +592,9 @@ def round_trip(docs: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             for part in _parts(batch):
                 found = held.encode([t or "" for t in part.column(1).to_pylist()])
-                ends = np.cumsum([0, *map(len, found)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([held.decode(x.tolist()) for x in found], pa.string())], ["doc_id", "ids", "text"])
+                ends, every = np.cumsum([0, *map(len, found)]), np.concatenate(found)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(held.decode_many(every, ends), pa.string())], ["doc_id", "ids", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")

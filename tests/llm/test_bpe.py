@@ -129,3 +129,33 @@ def test_ids_do_not_depend_on_the_lexicon(vocabulary, tmp_path, library):
         ids = held.encode([text])[0]
         assert ids.dtype == np.int32 and ids.tolist() == library.encode(text, add_special_tokens=False).ids and held.decode(ids.tolist()) == text
     assert regex.fullmatch(bpe.PATTERN, " word")
+
+
+def test_each_word_is_looked_up_once(vocabulary, tmp_path, library):
+    """A unit of one word is held as that, not as a word besides; marks behind it don't make it another word."""
+    (tmp_path / "few.bin").write_bytes(bpe.compiled([(b" known", (7,))], vocabulary))
+    held, asked = bpe.Lexicon(str(tmp_path / "few.bin")), []
+    made = held._made
+    held._made = lambda pieces: asked.extend(pieces) or made(pieces)
+    texts = ["Begin strangeword, strangeword. other", "Begin other! strangeword known.", "strangeword"]
+    found = held.encode(texts[:2]) + held.encode(texts[2:] + texts[:1])
+    assert sorted(asked) == sorted(["Begin", " strangeword", ",", ".", " other", "!", " known", "strangeword"])
+    assert not {w for w in (*held.words.now, *held.words.before) if w.startswith(" ")}
+    want = [library.encode(t, add_special_tokens=False).ids for t in (*texts, texts[0])]
+    known = library.encode(" known", add_special_tokens=False).ids
+    at = next(i for i in range(len(want[1])) if want[1][i : i + len(known)] == known)
+    want[1][at : at + len(known)] = [7]
+    assert [x.tolist() for x in found] == want
+
+
+def test_units_and_tokens_side_by_side(vocabulary, tmp_path, library):
+    texts, pieces = odd_texts(400), bpe.Pieces(bpe.odd_letters())
+    first, rest = bpe.units(texts)
+    for text, begins, others in zip(texts, first, rest.to_pylist()):
+        assert begins + "".join(" " + u for u in others or []) == text
+        assert pieces(begins) + [p for u in others or [] for p in pieces.after_blank(u)] == pieces(text)
+    (tmp_path / "none.bin").write_bytes(bpe.compiled([], vocabulary))
+    held, rng = bpe.Lexicon(str(tmp_path / "none.bin")), random.Random(9)
+    rows = [[rng.choice(sorted(vocabulary.tokens)) for _ in range(rng.randrange(9))] for _ in range(300)] + [[5] * 300_000]  # also bytes that are no UTF-8
+    got = held.decode_many(np.array([i for r in rows for i in r], np.int32), np.cumsum([0, *map(len, rows)]))
+    assert got == [held.decode(r) for r in rows] == [library.decode(r, skip_special_tokens=False) for r in rows]
