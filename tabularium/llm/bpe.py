@@ -39,6 +39,8 @@ WORDS, LONGEST = 1 << 16, 64
 AT_HAND = 1 << 16
 #: Bytes of texts whose words are counted together.
 COUNTED = 1 << 23
+#: Units or ids whose places are computed together, so that very long texts take little more than their ids.
+GATHERED = 1 << 17
 #: White space as Unicode has it, and the pre-token pattern of byte-level BPE.
 BLANK = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
@@ -475,7 +477,12 @@ class Lexicon:
         begin, pool = np.cumsum(size) - size, np.frombuffer(b"".join(held), np.int32)
         which = every.indices.to_numpy()
         reach = np.concatenate([[0], np.cumsum(size[which])])
-        ids = pool[np.repeat(begin[which] - reach[:-1], size[which]) + np.arange(reach[-1])]
+        gathered = [np.zeros(0, np.int32)]
+        for at in range(0, len(which), GATHERED):
+            some = which[at : at + GATHERED]
+            behind = np.cumsum(size[some]) - size[some]
+            gathered.append(pool[np.repeat(begin[some] - behind, size[some]) + np.arange(size[some].sum())])
+        ids = np.concatenate(gathered)
         lengths = pc.fill_null(pc.list_value_length(rest), 0).to_numpy(zero_copy_only=False)
         ends = reach[np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])].tolist()
         out = []
@@ -496,8 +503,8 @@ class Lexicon:
     def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of ``ids`` between one of ``ends`` and the next: bytes of all tokens are gathered at once."""
         held, reach = [], [np.zeros(1, np.int64)]
-        for at in range(0, len(ids), 1 << 17):
-            part = ids[at : at + (1 << 17)]
+        for at in range(0, len(ids), GATHERED):
+            part = ids[at : at + GATHERED]
             size = self.token_size[part]
             reach.append(reach[-1][-1] + np.cumsum(size))
             behind = np.cumsum(size) - size

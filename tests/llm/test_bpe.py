@@ -158,4 +158,6 @@ def test_units_and_tokens_side_by_side(vocabulary, tmp_path, library):
     held, rng = bpe.Lexicon(str(tmp_path / "none.bin")), random.Random(9)
     rows = [[rng.choice(sorted(vocabulary.tokens)) for _ in range(rng.randrange(9))] for _ in range(300)] + [[5] * 300_000]  # also bytes that are no UTF-8
     got = held.decode_many(np.array([i for r in rows for i in r], np.int32), np.cumsum([0, *map(len, rows)]))
+    long = "some words of a text " * 40_000 + "<|endoftext|> and  more"  # more units than are gathered together
+    assert held.encode(["a b", long, ""])[1].tolist() == library.encode(long, add_special_tokens=False).ids
     assert got == [held.decode(r) for r in rows] == [library.decode(r, skip_special_tokens=False) for r in rows]
